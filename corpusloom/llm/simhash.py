@@ -16,6 +16,7 @@ repeated rows have equal results; an empty table gives none; other columns are i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,8 +32,9 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints that are compared as one block.
 TILE = 1024
-#: Powers of two by which a meeting place's mean number of fingerprints may exceed one.
-CROWD = 5
+#: Fingerprints, as a power of two, that a meeting place may have on average. Up to a tile,
+#: comparing them costs less than meeting by more choices of blocks.
+CROWD = 7
 
 _WHOLE = np.uint64(2**64 - 1)
 #: Bit j of a byte as byte j of a word.
@@ -152,11 +154,10 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 def block_masks(nodes: int, radius: int = RADIUS) -> list[int]:
     """Bit masks of every choice of blocks in which a pair within the radius may agree."""
-    wanted = max(0, nodes.bit_length() - CROWD)
-    for blocks in range(radius + 1, 33):
-        size = 64 // blocks
-        if size * (blocks - radius) >= wanted or blocks == 2 * radius + 4:
-            break
+    wanted = math.log2(max(nodes, 1)) - CROWD
+    blocks = radius + 1
+    while 64 * (blocks - radius) / blocks < wanted and blocks < 2 * radius + 4:
+        blocks += 1
     edges = [64 * b // blocks for b in range(blocks + 1)]
     part = [(1 << edges[b + 1]) - (1 << edges[b]) for b in range(blocks)]
     return [sum(part[b] for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
@@ -171,6 +172,7 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     masks = block_masks(count, radius)
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])
     met = nodes.select("fp", F.explode(keys).alias("x")).select("fp", "x.band", "x.key")
+    met = storage.written(met, "met")
     crowd = met.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     met = met.join(crowd, ["band", "key"]).withColumn("tiles", tiles)
