@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, langid, packing, quality, rules, simhash, substrings, urls
+from corpusloom.llm import decontaminate, langid, packing, quality, rules, simhash, substrings, training_order, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,14 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written shards hold, read back in training order."""
+    layout = training_order.materialise(table(spark, sf_dir, "documents"), word_tokenizer())
+    back = training_order.read(spark, layout)
+    return back.select("slot", "sequence_id", "shard", "byte_offset", "doc_id", "start", F.col("n_ids").cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup(table(spark, sf_dir, "documents"))
