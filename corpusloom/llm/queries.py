@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, langid, packing, quality, rules, simhash, substrings, training_order, urls
+from corpusloom.llm import decontaminate, langid, packing, quality, rules, simhash, substrings, toolcalls, training_order, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,37 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
+    found = toolcalls.link(calls, results, toolcalls.REPLY)
+    return found.select("conv_id", "call_id", "order_key", "status", "n_missing", F.array_join("errors", "; ").alias("errors"), F.sha2("json", 256).alias("json_sha256"))
+
+
+ORACLES["op3_tool_calls"] = """
+with calls as (
+  select conv_id, conv_id || ':' || turn as call_id, turn, text, conv_id || ':' || (turn - 2) as need
+  from conversations where role = 'user'
+), results as (
+  select conv_id, conv_id || ':' || (turn - 1) as call_id, turn, text as content
+  from conversations where role = 'assistant'
+), linked as (
+  select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.turn, r.turn) as order_key,
+         case when c.call_id is null then 'orphan' when r.call_id is null then 'pending' else 'linked' end as status,
+         c.text as prompt, c.turn as turn, r.content as content, c.call_id is null as orphan,
+         case when c.turn >= 2 and not exists (select 1 from calls p where p.conv_id = c.conv_id and p.call_id = c.need) then 1 else 0 end as missing
+  from calls c full join results r on c.conv_id = r.conv_id and c.call_id = r.call_id
+)
+select conv_id, call_id, cast(order_key as bigint) as order_key, status, cast(missing as bigint) as n_missing,
+       case when not orphan and prompt is null then 'prompt: missing' when not orphan and prompt = '' then 'prompt: below 1' else '' end as errors,
+       sha256('{' || concat_ws(',',
+         case when not orphan then '"arguments":{' || concat_ws(',', case when prompt is not null then '"prompt":' || to_json(prompt) end, '"turn":' || turn) || '}' end,
+         '"id":' || to_json(call_id), case when not orphan then '"name":"reply"' end,
+         case when content is not null then '"result":' || to_json(content) end, '"status":"' || status || '"') || '}') as json_sha256
+from linked
+"""
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
