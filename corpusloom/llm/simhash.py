@@ -9,6 +9,12 @@ carry-save counters hold 64 distances side by side. Words whose counters all exc
 radius are abandoned. A crowded meeting place is dealt out as pairs of tiles. Only a
 spanning forest of each place's links leaves it; components() joins the forests.
 
+`similar` groups by Jaccard similarity of word shingles instead: a fingerprint of WIDE bits
+estimates it, so nodes meet by agreeing in drawn bits, are compared bit-sliced on a part of
+the fingerprint, and the nearest pairs that span a place's components leave it. Pairs whose
+whole fingerprints are clearly near are linked; those near the limit are linked if their
+shingles' exact similarity reaches it. What is drawn grows with the number of nodes.
+
 Defined results: a null or wordless text has fingerprint zero, linked like any other; a
 null doc_id stays null, and its group's id is the smallest known one (null if none is);
 repeated rows have equal results; an empty table gives none; other columns are ignored.
@@ -17,7 +23,7 @@ repeated rows have equal results; an empty table gives none; other columns are i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +43,9 @@ TILE = 1024
 CROWD = 7
 
 _WHOLE = np.uint64(2**64 - 1)
+
+PLACE = ["band", "key", "i", "j"]
+
 #: Bit j of a byte as byte j of a word.
 _SPREAD = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -88,13 +97,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of fingerprints that differ in at most `radius` bits."""
-    n = len(fps)
+    """Index pairs i < j of fingerprints, of one word or several, that differ in at most `radius` bits."""
+    fps = fps.reshape(len(fps), -1)
+    n, depth = len(fps), 64 * fps.shape[1]
     width = -(-n // 64)
-    bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, width * 64), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+    padded = np.zeros((depth, width * 64), np.uint8)
     padded[:, :n] = bits.T
-    planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64).reshape(64, width)
+    planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64).reshape(depth, width)
     asked = np.where(bits.T, _WHOLE, np.uint64(0))
     own = np.arange(n) // 64
     query = np.repeat(np.arange(n), width - own)
@@ -108,14 +118,14 @@ def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nd
     count = [np.zeros(len(query), np.uint64) for _ in range(digits)]
     over = np.zeros(len(query), np.uint64)
     live = valid
-    for k in range(64):
+    for k in range(depth):
         carry = planes[k][word] ^ asked[k][query]
         for digit in count:
             both = digit & carry
             digit ^= carry
             carry = both
         over |= carry
-        if k % 4 != 3 or k < 7:
+        if k != depth - 1 and (k % 4 != 3 or k <= radius):
             continue
         equal, more = _WHOLE, over
         for b in range(digits - 1, -1, -1):
@@ -125,7 +135,7 @@ def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nd
                 more, equal = more | equal & count[b], equal & ~count[b]
         live = valid & ~more
         keep = live != 0
-        if k == 63 or 2 * np.count_nonzero(keep) < len(keep):
+        if k == depth - 1 or 2 * np.count_nonzero(keep) < len(keep):
             query, word, valid, over, live = query[keep], word[keep], valid[keep], over[keep], live[keep]
             count = [digit[keep] for digit in count]
             if not len(query):
@@ -134,10 +144,9 @@ def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nd
     return query[row], word[row] * 64 + bit
 
 
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, its component's first) that span the near pairs' components."""
-    i, j = near_pairs(fps, radius)
-    label = np.arange(len(fps))
+def spanned(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n reaches by the pairs."""
+    label = np.arange(n)
     while len(i):
         low = np.minimum(label[i], label[j])
         new = label.copy()
@@ -148,10 +157,36 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         if (new == label).all():
             break
         label = new
+    return label
+
+
+def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, its component's first) that span the near pairs' components."""
+    label = spanned(len(fps), *near_pairs(fps, radius))
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return fps[moved], fps[label[moved]]
 
 
+def nearest_forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+    """Which pairs make a spanning forest of the nearest ones, each index's nearest included."""
+    order = np.lexsort((j, i, far))
+    label, chosen = np.arange(n), np.zeros(len(i), bool)
+    rest = order
+    while len(rest):
+        # Every component takes its nearest pair that leads out of it.
+        a, b = label[i[rest]], label[j[rest]]
+        rest, a, b = rest[a != b], a[a != b], b[a != b]
+        first = np.full(n, len(rest))
+        np.minimum.at(first, a, np.arange(len(rest)))
+        np.minimum.at(first, b, np.arange(len(rest)))
+        take = np.unique(first[first < len(rest)])
+        if not len(take):
+            break
+        chosen[rest[take]] = True
+        label = spanned(n, np.concatenate([np.arange(n), i[rest[take]]]), np.concatenate([label, j[rest[take]]]))
+    return np.flatnonzero(chosen)
+
+
 def block_masks(nodes: int, radius: int = RADIUS) -> list[int]:
     """Bit masks of every choice of blocks in which a pair within the radius may agree."""
     wanted = math.log2(max(nodes, 1)) - CROWD
@@ -167,60 +202,71 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def tiled(met: DataFrame, node: str) -> DataFrame:
+    """met(band, key, node, ...) with crowded places dealt out as pairs (i, j) of tiles."""
+    crowd = met.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    crowd = storage.small(storage.written(crowd, "crowd"))
+    values = [c for c in met.columns if c not in PLACE]
+    met = met.join(crowd, ["band", "key"], "left").withColumn("tiles", F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int"))
+    met = met.withColumn("tile", F.pmod(F.xxhash64(node), F.col("tiles")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t != F.col("tile"))
+    met = met.withColumn("other", F.explode(F.when(F.col("tiles") > 1, others).otherwise(F.array(F.lit(0)))))
+    return met.select("band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), *values)
+
+
 def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that connect all nodes(fp) within the radius; distinct fps are expected."""
     masks = block_masks(count, radius)
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])
-    met = nodes.select("fp", F.explode(keys).alias("x")).select("fp", "x.band", "x.key")
-    met = storage.written(met, "met")
-    crowd = met.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    met = met.join(crowd, ["band", "key"]).withColumn("tiles", tiles)
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t != F.col("tile"))
-    met = met.withColumn("tile", mine).withColumn("other", F.explode(F.when(F.col("tiles") > 1, others).otherwise(F.array(F.lit(0)))))
-    place = ["band", "key", "i", "j"]
-    met = met.select("band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp")
+    met = tiled(nodes.select("fp", F.explode(keys).alias("x")).select("fp", "x.band", "x.key"), "fp")
+
+    def linked(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return forest(np.unique(found["fp"].view(np.uint64)), radius)
+
+    return compared(met, linked)
+
+
+def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct links (a, b) that `linked` finds among the rows of each place, several places at once up to a tile."""
+    values = [c for c in met.columns if c not in PLACE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            each = np.unique(np.concatenate(fps)) if fps else np.zeros(0, np.uint64)
-            if len(each) > 1:
-                a, b = forest(each, radius)
+        def emit(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            if sum(len(p[values[0]]) for p in parts) > 1:
+                a, b = linked({c: np.concatenate([p[c] for p in parts]) for c in values})
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
-        ready: list[np.ndarray] = []  # whole places, compared together up to a tile
-        open_fps: list[np.ndarray] = []
+        ready: list[dict[str, np.ndarray]] = []  # whole places
+        open_: list[dict[str, np.ndarray]] = []  # the place being read
         last, size = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in place]
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            change = np.zeros(len(fps), bool)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in PLACE]
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in values}
+            change = np.zeros(batch.num_rows, bool)
             change[0] = tuple(c[0] for c in columns) != last
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
-            cut = np.flatnonzero(change).tolist()
             last = tuple(c[-1] for c in columns)
             at = 0
-            for begin in [*cut, len(fps)]:
+            for begin in [*np.flatnonzero(change).tolist(), batch.num_rows]:
                 if begin > at:
-                    open_fps.append(fps[at:begin])
-                if begin < len(fps):
-                    length = sum(map(len, open_fps))
+                    open_.append({c: x[at:begin] for c, x in rows.items()})
+                if begin < batch.num_rows:
+                    length = sum(len(p[values[0]]) for p in open_)
                     if ready and size + length > TILE:
-                        yield from linked(ready)
+                        yield from emit(ready)
                         ready, size = [], 0
-                    ready += open_fps
+                    ready += open_
                     size += length
-                    open_fps = []
+                    open_ = []
                 at = begin
-        yield from linked(ready)
-        yield from linked(open_fps)
+        yield from emit(ready)
+        yield from emit(open_)
 
-    dealt = met.repartition(*place).sortWithinPartitions(*place)
+    dealt = met.repartition(*PLACE).sortWithinPartitions(*PLACE)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -235,3 +281,165 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = storage.written(rooted.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Bits, shingle words and least similarity of `similar`.
+WIDE = 1024
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Chance that a pair at the least similarity never meets.
+MISS = 0.005
+#: Words of the wide fingerprint that a place compares, and deviations that it allows there.
+PART = 2
+DEVIATIONS = 3.0
+
+
+def bit_share(similarity: float) -> float:
+    """Expected share of differing bits at a Jaccard similarity of equally large sets."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def distinct_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each lower-cased row, ascending, and their number; fewer than
+    n words are one shingle."""
+    words = textvec.Words(column, textvec.NOT_SPACE, _LOWER)
+    hashes = words.hashes()
+    at, shingles = textvec.window_hashes(hashes, words.ptr, n)
+    few = np.flatnonzero((words.counts > 0) & (words.counts < n))
+    whole = textvec.mix(textvec.slice_hashes(textvec.prefix_sums(hashes), words.ptr[few], words.ptr[few + 1])) if len(few) else np.zeros(0, np.uint64)
+    counts = np.maximum(words.counts - n + 1, 0)
+    counts[few] = 1
+    ends = np.cumsum(counts)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    out[(ends - counts)[few]] = whole
+    mine = np.ones(len(out), bool)
+    mine[(ends - counts)[few]] = False
+    out[mine] = shingles
+    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[(ends - counts)[counts > 0]] = True
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return out[new], np.bincount(owner[new], minlength=len(counts))
+
+
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(doc_id, wide: array of WIDE / 64 longs) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textvec.chunks(batch):
+                shingles, counts = distinct_shingles(part.column("text"), shingle)
+                words = WIDE // 64
+                each = [majority(textvec.mix(shingles + textvec.mix(np.array([k + 1], np.uint64))), counts) for k in range(words)]
+                flat = pa.array(np.stack(each, axis=1).reshape(-1).view(np.int64))
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * words)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "wide"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, wide array<long>")
+
+
+def _meetings(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
+    """(band, key, node, p0, ...) of every node at every set of drawn bits."""
+    size = max(14, math.ceil(math.log2(max(count, 1))) - 5)
+    same = 1 - bit_share(similarity)
+    bands = math.ceil(math.log(MISS) / math.log(1 - same**size))
+    rng = np.random.default_rng(64)
+    drawn = np.concatenate([rng.permutation(WIDE) for _ in range(-(-bands * size // WIDE))])[: bands * size].reshape(bands, size)
+    words = WIDE // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                node = part.column("node").to_numpy()
+                wide = part.column("wide").flatten().to_numpy().view(np.uint64).reshape(-1, words)
+                bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
+                power = 1 << np.arange(size, dtype=np.int64)
+                keys = [bits[:, d].astype(np.int64) @ power for d in drawn]
+                out = {"band": pa.array(np.repeat(np.arange(bands, dtype=np.int32), len(node))), "key": pa.array(np.concatenate(keys)), "node": pa.array(np.tile(node, bands))}
+                for p in range(PART):
+                    # Another part in each band, so that a pair's chance differs between them.
+                    out[f"p{p}"] = pa.array(np.concatenate([wide[:, (band * PART + p) % words] for band in range(bands)]).view(np.int64))
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return nodes.mapInArrow(run, "band int, key long, node long, " + ", ".join(f"p{p} long" for p in range(PART)))
+
+
+def candidate_pairs(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes(node, wide) that may reach the similarity."""
+    bits = 64 * PART
+    share = bit_share(similarity)
+    radius = math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
+
+    def linked(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        node, first = np.unique(found["node"], return_index=True)
+        # A node may stand here for several places of one block, with other parts; each is compared.
+        fps = np.stack([found[f"p{p}"] for p in range(PART)], axis=1).view(np.uint64)
+        which = np.searchsorted(node, found["node"])
+        i, j = near_pairs(fps, radius)
+        far = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64)
+        a, b = which[i], which[j]
+        some = nearest_forest(a, b, far, len(node))
+        return node[a[some]], node[b[some]]
+
+    pairs = compared(tiled(_meetings(nodes, count, similarity), "node"), linked)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def exact_similarity(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """pairs(a, b, doc_a, doc_b) with the Jaccard similarity of the two documents' shingles."""
+    asked = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select(F.col("doc_b").alias("doc_id"))).distinct()
+    asked = storage.small(storage.written(asked, "asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textvec.chunks(batch):
+                shingles, counts = distinct_shingles(part.column("text"), shingle)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))], ["doc_id", "s"])
+
+    sets = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>")
+    sets = storage.written(sets.dropDuplicates(["doc_id"]), "shingles")
+    one, other = (sets.select(F.col("doc_id").alias(f"doc_{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(one, "doc_a").join(other, "doc_b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
+
+
+def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of each row of docs, by word-shingle similarity."""
+    prints = storage.written(wide_fingerprints(docs, shingle).withColumn("node", F.xxhash64("wide")), "wide")
+    nodes = storage.written(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("wide").alias("wide")), "nodes")
+    pairs = candidate_pairs(nodes.select("node", "wide"), nodes.count(), similarity)
+    one, other = (nodes.select(F.col("node").alias(x), F.col("rep").alias(f"doc_{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(other, "b")
+    differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    share = bit_share(similarity)
+    slack = DEVIATIONS * math.sqrt(WIDE * share * (1 - share))
+    judged = storage.written(both.select("a", "b", "doc_a", "doc_b", differing.alias("far")).where(F.col("far") <= WIDE * share + slack), "judged")
+    sure = judged.where(F.col("far") < WIDE * share - slack).select("a", "b")
+    # Pairs near the limit matter only between groups that are not joined yet.
+    first = storage.written(components.components(sure), "first")
+    open_ = judged.where(F.col("far") >= WIDE * share - slack)
+    for x in "ab":
+        open_ = open_.join(first.withColumnsRenamed({"node": x, "component": f"c{x}"}), x, "left")
+    open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "doc_a", "doc_b")
+    near = exact_similarity(docs, storage.written(open_, "open"), shingle).where(F.col("similarity") >= similarity).select("a", "b")
+    found = components.components(sure.union(near)).withColumnsRenamed({"component": "root"})
+    rooted = storage.written(nodes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = storage.written(rooted.join(least, "root").select("node", "component_id"), "named")
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its group, each once, and those without doc_id."""
+    groups = similar(docs.where("doc_id is not null"), shingle, similarity)
+    later = storage.written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "later")
+    kept = docs.join(storage.small(later), "doc_id", "left_anti")
+    return kept

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +32,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Rows of a few longs that may be sent to every executor, some tens of megabytes.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written key table, marked for a broadcast if its counted rows allow that; else the
+    join shuffles."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def drop(df: DataFrame) -> None:
     """Delete what `written` wrote; a frame of other origin is left alone."""
     path = getattr(df, "_corpusloom_path", None)
