@@ -230,6 +230,46 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: boo
     return df.withColumn("n_hit", hit_words(F.col("spans")))
 
 
+#: Share of hit words above which a whole document goes.
+MOST_COVERAGE = 0.5
+
+
+def _cut(names: list[str]):
+    """Takes the hit spans out of each text, with the signs inside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textvec.chunks(batch):
+                hit = np.flatnonzero(pa.compute.list_value_length(part.column("spans")).fill_null(0).to_numpy(zero_copy_only=False))
+                text = part.column("text")
+                if len(hit):
+                    rows = text.take(pa.array(hit)).cast(pa.binary())
+                    words = textvec.Words(rows, _INSIDE, FOLD)
+                    cleaned = {}
+                    for k, i in enumerate(hit.tolist()):
+                        raw, base, first, out, at = rows[k].as_py(), int(words.ptr[k]), int(words.offsets[k]), [], 0
+                        for span in sorted(part.column("spans")[i].as_py(), key=lambda s: (s["begin"], s["end"])):
+                            begin, end = int(words.starts[base + span["begin"]]) - first, int(words.ends[base + span["end"] - 1]) - first
+                            if begin > at:
+                                out.append(raw[at:begin])
+                            at = max(at, end)
+                        cleaned[i] = b"".join([*out, raw[at:]]).decode()
+                    text = pa.array([cleaned.get(i, t) for i, t in enumerate(text.to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, *(part.column(n) for n in names)], ["doc_id", "text", *names])
+
+    return run
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = MOST_COVERAGE) -> DataFrame:
+    """docs without the texts' hit spans, and without the documents of which more is hit."""
+    found = scan(docs, benchmark, window, carry=True).where(F.col("n_hit") <= F.col("n_words") * most_coverage)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = ["carried"] if rest else []
+    schema = "doc_id long, text string" + (f", carried {found.schema['carried'].dataType.simpleString()}" if rest else "")
+    cut = found.select("doc_id", "text", "spans", *names).mapInArrow(_cut(names), schema)
+    return cut.select("doc_id", "text", *[F.col("carried")[c].alias(c) for c in rest]).select(docs.columns)
+
+
 def hit_words(spans) -> F.Column:
     """Words in the union of spans."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))

@@ -438,8 +438,18 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
 
 
 def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its group, each once, and those without doc_id."""
-    groups = similar(docs.where("doc_id is not null"), shingle, similarity)
+    """One row of docs for each group, that of least doc_id, and the rows without doc_id.
+
+    Of rows that share that doc_id, the one of least text stays.
+    """
+    groups = storage.written(similar(docs.where("doc_id is not null"), shingle, similarity), "groups")
     later = storage.written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "later")
-    kept = docs.join(storage.small(later), "doc_id", "left_anti")
-    return kept
+    kept = docs.join(storage.small(later), "doc_id", "left_anti").select(docs.columns)
+    again = storage.written(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    again = storage.small(again)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.min(F.struct(F.coalesce("text", F.lit("")).alias("_order"), "text", *rest)).alias("_first")
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", *[F.col(f"_first.{c}").alias(c) for c in ["text", *rest]])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))

@@ -120,7 +120,7 @@ def kept_texts(words: textvec.Words, kept: np.ndarray) -> list[bytes]:
     return [raw[a : max(a, b - 1)] for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
 
 
-def _cut(length: int, names: list[str]):
+def _cut(length: int, names: list[str], verbatim: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textvec.chunks(batch):
@@ -140,9 +140,11 @@ def _cut(length: int, names: list[str]):
                 stop = np.minimum(np.append(np.flatnonzero(~removed), len(words))[np.searchsorted(np.flatnonzero(~removed), begin)], words.ptr[row + 1])
                 spans = pa.StructArray.from_arrays([pa.array((x - words.ptr[row]).astype(np.int32)) for x in (begin, stop)], ["begin", "end"])
                 text = pa.array(kept_texts(words, ~removed), pa.binary()).cast(pa.string())
-                null = part.column("text").is_null()
-                if part.column("text").null_count:
-                    text = pa.compute.if_else(null, pa.scalar(None, pa.string()), text)
+                given = part.column("text")
+                if verbatim:
+                    text = pa.compute.if_else(pa.array(np.diff(sums[words.ptr]) > 0), text, given)
+                if given.null_count:
+                    text = pa.compute.if_else(given.is_null(), given, text)
                 out = {
                     "doc_id": part.column("doc_id"), "text": text, "n_words": pa.array(words.counts), "n_removed": pa.array(np.diff(sums[words.ptr])),
                     "removed": pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)), spans),
@@ -153,9 +155,10 @@ def _cut(length: int, names: list[str]):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False, verbatim: bool = False) -> DataFrame:
     """doc_id, text (its kept words, joined by a space), n_words, n_removed, removed (spans of
-    words) of each row; with carry, `carried` holds the other columns."""
+    words) of each row; with carry, `carried` holds the other columns; with verbatim, a text
+    from which nothing is cut stays as it is."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     extra = [F.struct(*rest).alias("carried")] if carry and rest else []
     base = docs.select("doc_id", "text", F.hash("text").alias("digest"), *extra)
@@ -170,4 +173,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFra
     schema = "doc_id long, text string, n_words long, n_removed long, removed array<struct<begin:int,end:int>>"
     if extra:
         schema += f", carried {base.schema['carried'].dataType.simpleString()}"
-    return known.join(firsts, "doc_id", "left").mapInArrow(_cut(length, names), schema)
+    return known.join(firsts, "doc_id", "left").mapInArrow(_cut(length, names, verbatim), schema)
