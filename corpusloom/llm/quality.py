@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from corpusloom.llm import sampling, textvec
 
-PER_LABEL = 3_000
+PER_LABEL = 2_000
 BUCKETS = 1 << 15
 DIM = 48
 #: Entries of an index vector that are not zero.
@@ -60,16 +60,24 @@ def buckets(words: textvec.Words) -> np.ndarray:
     return (words.hashes() & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def context_vectors(words: textvec.Words, index: np.ndarray) -> np.ndarray:
+def batches_of(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of little text, as the driver's memory is small."""
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    return (part.column("text") for part in textvec.chunks(batch, most=1 << 20))
+
+
+def context_vectors(column: pa.Array, index: np.ndarray) -> np.ndarray:
     """Unit sums of the index vectors within REACH words of each bucket's occurrences."""
-    own, row = buckets(words), words.rows()
     out = np.zeros_like(index)
-    for gap in range(1, REACH + 1):
-        together = np.flatnonzero(row[gap:] == row[:-gap])
-        for a, b in ((together, together + gap), (together + gap, together)):
-            pairs, counts = np.unique(own[a] * BUCKETS + own[b], return_counts=True)
-            for some in np.array_split(np.arange(len(pairs)), max(1, len(pairs) // 100_000)):
-                np.add.at(out, pairs[some] // BUCKETS, index[pairs[some] % BUCKETS] * counts[some, None])
+    for part in batches_of(column):
+        words = textvec.Words(part)
+        own, row = buckets(words), words.rows()
+        for gap in range(1, REACH + 1):
+            together = np.flatnonzero(row[gap:] == row[:-gap])
+            for a, b in ((together, together + gap), (together + gap, together)):
+                pairs, counts = np.unique(own[a] * BUCKETS + own[b], return_counts=True)
+                for some in np.array_split(np.arange(len(pairs)), max(1, len(pairs) // 20_000)):
+                    np.add.at(out, pairs[some] // BUCKETS, index[pairs[some] % BUCKETS] * counts[some, None].astype(np.float32))
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.maximum(norm, 1e-9)
 
@@ -129,7 +137,7 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     y = np.array([label for _, label in rows], dtype=np.float64)
     context = np.zeros_like(index)
     if len(rows):
-        context = context_vectors(textvec.Words(column), index)
+        context = context_vectors(column, index)
     table = np.concatenate([index, context], axis=1)
     width = 2 * DIM + FIGURES
     layers = [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0]
@@ -137,7 +145,7 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     if not 0 < y.sum() < len(y):
         model.offset = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
         return model
-    x = np.concatenate([pooled(column.slice(i, 256), table) for i in range(0, len(rows), 256)]).astype(np.float64)
+    x = np.concatenate([pooled(part, table) for part in batches_of(column)]).astype(np.float64)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
