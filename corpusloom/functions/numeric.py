@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,15 +18,18 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once and not again for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_sum_exp(values: Column) -> Column:
     """Shifted by the maximum, so that no term overflows."""
-    top = F.array_max(values)
-    return top + F.log(total(F.transform(values, lambda x: F.exp(x - top))))
+    return let(F.array_max(values), lambda top: top + F.log(total(F.transform(values, lambda x: F.exp(x - top)))))
 
 
 def log_softmax(values: Column) -> Column:
-    norm = log_sum_exp(values)
-    return F.transform(values, lambda x: x - norm)
+    return let(log_sum_exp(values), lambda norm: F.transform(values, lambda x: x - norm))
 
 
 def softmax(values: Column) -> Column:
@@ -57,7 +62,7 @@ def top_k(logits: Column, k: int) -> Column:
 def top_k_divergence(student: Column, teacher: Column, temperature: float) -> Column:
     """KL of the teacher's top entries from the student's same entries, both renormalised."""
     t = log_softmax(F.transform(teacher, lambda s: s["val"] / temperature))
-    s = log_softmax(F.transform(teacher, lambda e: F.get(student, e["idx"]) / temperature))
+    s = let(F.transform(teacher, lambda e: F.get(student, e["idx"]) / temperature), log_softmax)
     return total(F.zip_with(t, s, lambda a, b: F.exp(a) * (a - b)))
 
 
@@ -76,9 +81,11 @@ def nucleus(logits: Column, top_p: float) -> Column:
         kept = F.when(acc["before"] <= top_p, F.concat(acc["kept"], entry)).otherwise(acc["kept"])
         return F.struct(kept.alias("kept"), (acc["before"] + s["p"]).alias("before"))
 
-    kept = F.aggregate(F.sort_array(probs, asc=False), start, step)["kept"]
-    mass = total(F.transform(kept, lambda s: s["p"]))
-    return F.transform(kept, lambda s: F.struct(s["idx"].alias("idx"), (s["p"] / mass).alias("p")))
+    def renormalised(kept: Column) -> Column:
+        mass = total(F.transform(kept, lambda s: s["p"]))
+        return let(mass, lambda m: F.transform(kept, lambda s: F.struct(s["idx"].alias("idx"), (s["p"] / m).alias("p"))))
+
+    return let(F.aggregate(F.sort_array(probs, asc=False), start, step)["kept"], renormalised)
 
 
 def inverse_cdf(probs: Column, uniform: Column) -> Column:
@@ -95,4 +102,4 @@ def inverse_cdf(probs: Column, uniform: Column) -> Column:
 
 def rms_norm(values: Column, eps: float = 1e-6) -> Column:
     scale = F.sqrt(total(F.transform(values, lambda x: x * x)) / F.size(values) + eps)
-    return F.transform(values, lambda x: x / scale)
+    return let(scale, lambda s: F.transform(values, lambda x: x / s))
