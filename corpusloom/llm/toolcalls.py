@@ -118,7 +118,7 @@ def order_keys(calls: DataFrame) -> DataFrame:
         storage.drop(keys)
         keys = new
     if not done:
-        keys = keys.withColumn("order_key", F.when(F.col("raised") < MOST_ROUNDS, F.col("order_key")))
+        keys = keys.withColumn("order_key", F.when(F.col("raised") < MOST_ROUNDS // 2, F.col("order_key")))
     missing = missing.withColumnsRenamed({"conv_id": "c", "call_id": "k"})
     return keys.join(missing, keys.conv_id.eqNullSafe(missing.c) & keys.call_id.eqNullSafe(missing.k), "left").select("conv_id", "call_id", "order_key", F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
 
