@@ -162,12 +162,17 @@ def o5_early_stop(spark, sf_dir):
     return drawn.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
 
 
-@query(TOKENS.replace("from documents)", "from documents where lang = 'fr')") + """
-select 0 as shard_id, count(distinct doc_id) as n_docs, count(*) as n_tokens, sum(cast(token as bigint) * (g + 1))::bigint as checksum from tokens where g < 60000
+#: Prefix and length of the held-out split.
+HELD_SKIP, HELD = 10_000, 20_000
+
+
+@query(TOKENS.replace("from documents)", "from documents where lang = 'fr')").replace(f"s >= {SKIP}", f"s >= {HELD_SKIP}") + f"""
+select 0 as shard_id, count(distinct doc_id) as n_docs, count(*) as n_tokens, sum(cast(token as bigint) * (g + 1))::bigint as checksum
+from tokens where g < {HELD} having count(*) = {HELD}
 """)
 def o6_heldout_split(spark, sf_dir):
     one = documents(spark, sf_dir).where("lang = 'fr'")
-    found = shards.shard_summary(shards.pack(one, 60_000, 1, SKIP)[0])
+    found = shards.shard_summary(shards.pack(one, HELD, 1, HELD_SKIP)[0])
     return found.select(F.col("shard_id").cast("int").alias("shard_id"), "n_docs", "n_tokens", "checksum")
 
 
