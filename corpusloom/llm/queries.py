@@ -33,6 +33,63 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Each word of each document, numbered from one.
+_WORDS = r"""
+with split as (
+  select doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i, len(ws) as n from split)
+"""
+
+ORACLES["op2_substrings"] = _WORDS + """,
+windows as (
+  select *, case when i <= n - 19 then string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 19 following) end as k from words
+), firsts as (
+  select *, k is not null and row_number() over (partition by k order by doc_id, i) > 1 as later from windows
+), cut as (
+  select *, bool_or(later) over (partition by doc_id order by i rows between 19 preceding and current row) as gone from firsts
+)
+select s.doc_id, count(c.i) as n_words, count(c.i) filter (gone) as n_removed, sha256(coalesce(string_agg(word, ' ' order by i) filter (not gone), '')) as kept_sha256
+from split s left join cut c using (doc_id) group by s.doc_id
+"""
+
+ORACLES["op6_decontamination"] = r"""
+with folded as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents),
+items as (select cast(item_id as varchar) as item, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from benchmark where text is not null),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i, len(ws) as n from folded),
+item_words as (select item, unnest(ws) as word, generate_subscripts(ws, 1) as i, len(ws) as n, least(10, len(ws)) as size from items),
+wanted as (
+  select distinct item, size, k from (select *, string_agg(word, ' ') over (partition by item, n order by i rows between current row and size - 1 following) as k from item_words) where i <= n - size + 1
+), found as (
+  select doc_id, i, w.size, item from (
+    select d.*, s.size, string_agg(word, ' ') over (partition by doc_id, s.size order by i rows between current row and s.size - 1 following) as k
+    from words d, (select distinct size from wanted) s
+  ) w join wanted using (size, k) where w.i <= w.n - w.size + 1
+), hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from (select distinct doc_id, i, size from found)) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from found) group by doc_id)
+select f.doc_id, len(f.ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from folded f left join hit using (doc_id) left join named using (doc_id)
+"""
+
+ORACLES["op10_quality_rules"] = _WORDS + r""",
+windows as (
+  select *, case when i <= n - 4 then string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 4 following) end as k, word = lag(word) over (partition by doc_id order by i) as same from words
+), counted as (select *, k is not null and count(*) over (partition by doc_id, k) > 1 as twice from windows),
+covered as (select *, bool_or(twice) over (partition by doc_id order by i rows between 4 preceding and current row) as rep from counted),
+sums as (select doc_id, sum(length(word))::bigint as chars, count(*) filter (rep) as rep, count(*) filter (same) as same from covered group by doc_id),
+lined as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
+m as (
+  select s.doc_id, len(ws) as n_words, coalesce(chars, 0) as word_chars, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) as n_symbols,
+         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(rep, 0) as n_repeat_words, len(lines) as n_lines, coalesce(same, 0) as same,
+         length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '\p{Lu}', '', 'g')) as capitals
+  from split s join lined using (doc_id) left join sums using (doc_id)
+), b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed or n_symbols > 0.1 * n_words or capitals > 0.4 * word_chars or n_dup_lines > 0.5 * n_lines or same > 0.3 * n_words
+            or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
+from b
+"""
+
+
 @query
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the written shards hold, read back in training order."""
