@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,20 @@ def cache_bytes(floats: Column, layers: Column, tokens: int, batch: int = 1, wid
 
 def bits(nats: Column) -> Column:
     return nats / F.lit(math.log(2))
+
+
+def rotary_table(positions: DataFrame, width: int, base: float = 10_000.0) -> DataFrame:
+    """(position, pair, cosine, sine) of the rotations of a head's `width` / 2 value pairs."""
+    if width % 2:
+        raise ValueError("rotations need an even width")
+    half = width // 2
+    each = positions.select("position", F.explode(F.sequence(F.lit(0), F.lit(half - 1))).alias("pair"))
+    angle = F.col("position") / F.pow(F.lit(base), F.col("pair") / half)
+    return each.select("position", "pair", F.round(F.cos(angle), 9).alias("cosine"), F.round(F.sin(angle), 9).alias("sine"))
+
+
+def is_matrix(name: Column, dimensions: Column) -> Column:
+    """Whether a parameter is a block's weight matrix: no embedding, output head, norm or bias."""
+    low = F.lower(name)
+    outside = low.contains("embed") | low.contains("lm_head") | low.contains("norm") | low.endswith(".bias")
+    return (dimensions >= 2) & ~outside

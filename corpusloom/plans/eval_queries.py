@@ -183,3 +183,9 @@ def f8_key_prefix(spark, sf_dir):
     key = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("_orig_mod.")).otherwise(F.lit("")), F.lit("layer."), F.col("source"))
     clean = docs.select("doc_id", F.explode(evaluate.without_prefix(F.create_map(key, F.col("n_chars")))).alias("key", "value"))
     return clean
+
+
+@query(_SCORED.replace("{0}", "6"))
+def e2_log_likelihood(spark, sf_dir):
+    """Two positions scored behind an opening one and five of context."""
+    return evaluate.score_requests(_positions(spark, sf_dir), 6).withColumn("log_likelihood", F.round("log_likelihood", 6))

@@ -172,3 +172,23 @@ def f13_cache_footprint(spark, sf_dir):
 @query(NLL + "select vec_id, round(nll / ln(2), 6) as bits from nll where nll is not null")
 def f14_bits(spark, sf_dir):
     return losses(spark, sf_dir).where("nll is not null").select("vec_id", rounded(schedules.bits(F.col("nll")), "bits"))
+
+
+@query("""
+with t as (select p, k, p / pow(10000, k / 4.0) as angle from (select unnest(range(64)) as p), (select unnest(range(4)) as k))
+select p as position, cast(k as integer) as pair, round(cos(angle), 9) as cosine, round(sin(angle), 9) as sine from t
+""")
+def m2_rotary_table(spark, sf_dir):
+    """Rotation angles of 64 positions for heads of eight values."""
+    return schedules.rotary_table(spark.range(64).withColumnRenamed("id", "position"), 8)
+
+
+_PARAMETERS = [("blocks.0.attn.q.weight", 2), ("blocks.0.attn.q.bias", 1), ("blocks.1.ffn_norm.weight", 1), ("Embed.weight", 2), ("lm_head.weight", 2), ("blocks.1.ffn.up.weight", 2), ("x.Norm.w", 2), ("y.bias", 2)]
+
+
+@query("with p(name, ndim) as (values " + ", ".join(str(x) for x in _PARAMETERS) + """)
+select name, ndim < 2 or contains(lower(name), 'embed') or contains(lower(name), 'lm_head') or contains(lower(name), 'norm') or ends_with(lower(name), '.bias') as scalar from p
+""")
+def m3_parameter_groups(spark, sf_dir):
+    parameters = spark.createDataFrame(_PARAMETERS, "name string, ndim int")
+    return parameters.select("name", (~schedules.is_matrix(F.col("name"), F.col("ndim"))).alias("scalar"))

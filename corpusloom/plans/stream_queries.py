@@ -348,3 +348,28 @@ def a10_manifest_totals(spark, sf_dir):
     back = sinks.read_manifest(spark, path)
     names = ["shards_written", "tokens_written", "tokens_skipped"]
     return spark.createDataFrame([tuple(back[k] for k in names)], ", ".join(f"{k} long" for k in names))
+
+
+@query(TOKENS + f"""
+select cast(shard_id as bigint) as shard_id, cast(row_number() over (order by lpad(cast(shard_id as varchar), 4, '0')) - 1 as integer) as position, n_docs
+from (select g // {SIZE} as shard_id, count(distinct doc_id) as n_docs from tokens where g // {SIZE} < {FULL} group by 1)
+""")
+def s4_shard_scan(spark, sf_dir):
+    """A written shard folder's shards by zero-padded name, as a reader takes them."""
+    path = scratch(spark, "shards")
+    sinks.write_shards(shards.pack(documents(spark, sf_dir), SIZE, MOST, SKIP)[0], path)
+    held = read_shards(spark, path).groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.count_distinct("doc_id").alias("n_docs"))
+    # As many rows as shards, and those few by parameter.
+    names = F.array_sort(F.collect_list(F.struct(F.lpad(F.col("shard_id").cast("string"), 4, "0").alias("name"), "shard_id", "n_docs")))
+    return held.agg(names.alias("s")).select(F.posexplode("s").alias("position", "s")).select("s.shard_id", "position", "s.n_docs")
+
+
+@query(TOKENS + f"""
+select g // {SIZE} as shard_id, count(*) as n_tokens, count(*) = {SIZE} as is_full, count(*) // {CONTEXT} as windows, count(*) % {CONTEXT} as tail from tokens group by 1
+""")
+def a11_shard_tails(spark, sf_dir):
+    """Every shard of the stream, the partial last one too, and what its windows leave over."""
+    placed, totals = order.place(shards.measured(documents(spark, sf_dir)), "n", "doc_id")
+    cut = shards.spans(shards.skip_prefix(placed, SKIP, totals[None])[0], SIZE, "shard_id")
+    n = F.col("n_tokens")
+    return token_count(cut).select("shard_id", "n_tokens", (n == SIZE).alias("is_full"), F.floor(n / CONTEXT).cast("long").alias("windows"), (n % CONTEXT).alias("tail"))
