@@ -112,7 +112,7 @@ def mix(docs: DataFrame, recipe: list[Entry], source: str = "source", order_colu
         if out:
             yield table()
 
-    meta = rows.select(source, F.col(order_column).cast("long").alias("_order"), "n").coalesce(1).sortWithinPartitions("_order")
+    meta = rows.select(source, F.col(order_column).cast("long").alias("_order"), "n").repartition(1).sortWithinPartitions("_order")
     ranks = meta.mapInArrow(run, "_source string, _order long, rank long, start long")
     on = (rows[source] == F.col("_source")) & (rows[order_column] == F.col("_order"))
     return rows.join(ranks, on).drop("_source", "_order")
