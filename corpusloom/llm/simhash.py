@@ -14,6 +14,9 @@ estimates it, so nodes meet by agreeing in drawn bits, are compared bit-sliced o
 the fingerprint, and the nearest pairs that span a place's components leave it. Pairs whose
 whole fingerprints are clearly near are linked; those near the limit are linked if their
 shingles' exact similarity reaches it. What is drawn grows with the number of nodes.
+Pairs may fail, so a component of a place with more pairs than span it leaves it too. While
+its nodes are not all joined, it is compared again on whole fingerprints, and each group in
+it hands on its nearest pairs, eight times as many each time, until none is left out.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; a
 null doc_id stays null, and its group's id is the smallest known one (null if none is);
@@ -226,16 +229,16 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return compared(met, linked)
 
 
-def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct links (a, b) that `linked` finds among the rows of each place, several places at once up to a tile."""
+def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...]], out: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """Distinct rows, by default links (a, b), that `linked` finds among those of each place, several places at once up to a tile."""
     values = [c for c in met.columns if c not in PLACE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             if sum(len(p[values[0]]) for p in parts) > 1:
-                a, b = linked({c: np.concatenate([p[c] for p in parts]) for c in values})
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+                got = linked({c: np.concatenate([p[c] for p in parts]) for c in values})
+                if len(got[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got], list(out))
 
         ready: list[dict[str, np.ndarray]] = []  # whole places
         open_: list[dict[str, np.ndarray]] = []  # the place being read
@@ -267,7 +270,7 @@ def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.
         yield from emit(open_)
 
     dealt = met.repartition(*PLACE).sortWithinPartitions(*PLACE)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in out)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -370,14 +373,24 @@ def _meetings(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
     return nodes.mapInArrow(run, "band int, key long, node long, " + ", ".join(f"p{p} long" for p in range(PART)))
 
 
+#: What a row of candidates is: a pair (a, b), or node b of crowd a.
+PAIR, CROWDED = 0, 1
+
+
+def _kinds(a: np.ndarray, b: np.ndarray, crowd: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kind = np.repeat(np.array([PAIR, CROWDED], np.int64), [len(a), len(crowd)])
+    return np.concatenate([a, crowd]), np.concatenate([b, node]), kind
+
+
 def candidate_pairs(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of nodes(node, wide) that may reach the similarity."""
+    """Distinct rows (a, b, kind): pairs of nodes(node, wide) that may reach the similarity and
+    span what a place holds, and the crowds in which further pairs may."""
     bits = 64 * PART
     share = bit_share(similarity)
     radius = math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
-    def linked(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        node, first = np.unique(found["node"], return_index=True)
+    def linked(found: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        node = np.unique(found["node"])
         # A node may stand here for several places of one block, with other parts; each is compared.
         fps = np.stack([found[f"p{p}"] for p in range(PART)], axis=1).view(np.uint64)
         which = np.searchsorted(node, found["node"])
@@ -385,10 +398,62 @@ def candidate_pairs(nodes: DataFrame, count: int, similarity: float) -> DataFram
         far = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64)
         a, b = which[i], which[j]
         some = nearest_forest(a, b, far, len(node))
-        return node[a[some]], node[b[some]]
+        root, n = spanned(len(node), a, b), len(node)
+        more = np.bincount(root[a], minlength=n) > np.bincount(root[a[some]], minlength=n)
+        member = np.flatnonzero((more & (np.bincount(root, minlength=n) > 2))[root])
+        # The same nodes are the same crowd wherever they meet.
+        crowd = np.zeros(n, np.uint64)
+        np.add.at(crowd, root[member], textvec.mix(node[member].view(np.uint64)))
+        return _kinds(node[a[some]], node[b[some]], crowd[root[member]].view(np.int64), node[member])
+
+    found = compared(tiled(_meetings(nodes, count, similarity), "node"), linked, ("a", "b", "kind"))
+    pair = F.col("kind") == PAIR
+    found = found.select(F.when(pair, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(pair, F.greatest("a", "b")).otherwise(F.col("b")).alias("b"), "kind")
+    return found.where(~pair | (F.col("a") != F.col("b"))).distinct()
+
+
+def far_limits(similarity: float) -> tuple[float, float]:
+    """Differing bits of whole fingerprints below which a pair is linked, and above which it is not."""
+    share = bit_share(similarity)
+    slack = DEVIATIONS * math.sqrt(WIDE * share * (1 - share))
+    return WIDE * share - slack, WIDE * share + slack
+
+
+def unjoined_pairs(crowds: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Distinct rows (a, b, kind) of crowds(crowd, node, component, wide): links that are sure
+    and span; of the pairs near the limit between components that these leave apart, the `most`
+    nearest of each component; and the crowds in which such pairs were left out."""
+    low, high = far_limits(similarity)
+    words = WIDE // 64
+    met = crowds.select(
+        F.lit(0).alias("band"), F.col("crowd").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "component", "crowd", *[F.col("wide")[p].alias(f"p{p}") for p in range(words)]
+    )
 
-    pairs = compared(tiled(_meetings(nodes, count, similarity), "node"), linked)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    def linked(found: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        node, first = np.unique(found["node"], return_index=True)
+        fps = np.stack([found[f"p{p}"][first] for p in range(words)], axis=1).view(np.uint64)
+        own = np.unique(found["component"][first], return_inverse=True)[1]
+        n = int(own.max()) + 1
+        i, j = near_pairs(fps, math.floor(high))
+        apart = own[i] != own[j]
+        i, j = i[apart], j[apart]
+        far = np.concatenate([np.bitwise_count(fps[x] ^ fps[y]).sum(1, dtype=np.int64) for x, y in zip(*(np.array_split(k, len(i) // 100_000 + 1) for k in (i, j)), strict=True)])
+        sure = np.flatnonzero(far < low)
+        tree = sure[nearest_forest(own[i[sure]], own[j[sure]], far[sure], n)]
+        label = spanned(n, own[i[sure]], own[j[sure]])[own]
+        near = np.flatnonzero((far >= low) & (label[i] != label[j]))
+        # Each component's pairs by distance.
+        end, pair = np.concatenate([label[i[near]], label[j[near]]]), np.tile(near, 2)
+        order = np.lexsort((pair, far[pair], end))
+        begins = np.searchsorted(end[order], end[order])
+        some = np.unique(pair[order[np.arange(len(order)) - begins < most]])
+        rest = np.setdiff1d(near, some, assume_unique=True)
+        left = np.isin(found["node"], node[np.concatenate([i[rest], j[rest]])])
+        crowd = np.unique(found["crowd"][left])
+        chosen = np.concatenate([tree, some])
+        return _kinds(node[i[chosen]], node[j[chosen]], crowd, crowd)
+
+    return compared(met, linked, ("a", "b", "kind"))
 
 
 def exact_similarity(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -411,26 +476,49 @@ def exact_similarity(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFra
     return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
 
 
-def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of each row of docs, by word-shingle similarity."""
-    prints = storage.written(wide_fingerprints(docs, shingle).withColumn("node", F.xxhash64("wide")), "wide")
-    nodes = storage.written(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("wide").alias("wide")), "nodes")
-    pairs = candidate_pairs(nodes.select("node", "wide"), nodes.count(), similarity)
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, links: DataFrame | None, shingle: int, similarity: float) -> DataFrame:
+    """links (a, b) and those of pairs that reach the similarity; pairs that the sure ones join need no exact check."""
     one, other = (nodes.select(F.col("node").alias(x), F.col("rep").alias(f"doc_{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
     both = pairs.join(one, "a").join(other, "b")
     differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    share = bit_share(similarity)
-    slack = DEVIATIONS * math.sqrt(WIDE * share * (1 - share))
-    judged = storage.written(both.select("a", "b", "doc_a", "doc_b", differing.alias("far")).where(F.col("far") <= WIDE * share + slack), "judged")
-    sure = judged.where(F.col("far") < WIDE * share - slack).select("a", "b")
+    low, high = far_limits(similarity)
+    judged = storage.written(both.select("a", "b", "doc_a", "doc_b", differing.alias("far")).where(F.col("far") <= high), "judged")
+    sure = judged.where(F.col("far") < low).select("a", "b")
+    sure = sure if links is None else links.union(sure)
     # Pairs near the limit matter only between groups that are not joined yet.
     first = storage.written(components.components(sure), "first")
-    open_ = judged.where(F.col("far") >= WIDE * share - slack)
+    open_ = judged.where(F.col("far") >= low)
     for x in "ab":
         open_ = open_.join(first.withColumnsRenamed({"node": x, "component": f"c{x}"}), x, "left")
     open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "doc_a", "doc_b")
     near = exact_similarity(docs, storage.written(open_, "open"), shingle).where(F.col("similarity") >= similarity).select("a", "b")
-    found = components.components(sure.union(near)).withColumnsRenamed({"component": "root"})
+    return storage.written(sure.union(near), "links")
+
+
+def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of each row of docs, by word-shingle similarity."""
+    prints = storage.written(wide_fingerprints(docs, shingle).withColumn("node", F.xxhash64("wide")), "wide")
+    nodes = storage.written(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("wide").alias("wide")), "nodes")
+    met = storage.written(candidate_pairs(nodes.select("node", "wide"), nodes.count(), similarity), "met")
+    tried = met.where(F.col("kind") == PAIR).select("a", "b")
+    crowds = met.where(F.col("kind") == CROWDED).select(F.col("a").alias("crowd"), F.col("b").alias("node"))
+    links, most = _verified(docs, nodes, tried, None, shingle, similarity), 1
+    while True:
+        found = storage.written(components.components(links), "found")
+        held = crowds.join(found, "node", "left").select("crowd", "node", F.coalesce("component", "node").alias("component"))
+        held = storage.written(held, "held")
+        apart = held.groupBy("crowd").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("crowd")
+        apart = storage.written(apart, "apart")
+        if apart.isEmpty():
+            break
+        crowds = storage.written(held.join(apart, "crowd"), "crowds")
+        met = storage.written(unjoined_pairs(crowds.join(nodes.select("node", "wide"), "node"), similarity, most), "met")
+        pairs = met.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = storage.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = _verified(docs, nodes, pairs, links, shingle, similarity)
+        tried, most = tried.union(pairs), 8 * most
+        crowds = crowds.join(met.where(F.col("kind") == CROWDED).select(F.col("a").alias("crowd")), "crowd", "left_semi").select("crowd", "node")
+    found = found.withColumnsRenamed({"component": "root"})
     rooted = storage.written(nodes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = storage.written(rooted.join(least, "root").select("node", "component_id"), "named")
