@@ -256,6 +256,14 @@ def test_watch_handles_each_file_once(spark, tmp_path):
     assert sorted(seen) == ["step_0.pt", "step_1.pt", "step_2.pt"]
 
 
+def test_packing_rate_counts_packed_tokens(spark):
+    import bench
+
+    table = spark.createDataFrame([(k, "abc" * 50) for k in range(20)], "doc_id long, text string")
+    assert bench.packed_tokens(shards.shard_summary(shards.pack(table, 100, 5)[0])) == 500
+    assert bench.packed_tokens(shards.shard_summary(shards.pack(table, 10_000)[0])) == 0
+
+
 def test_entry_without_the_optional_package(monkeypatch):
     import importlib
     import sys
