@@ -13,9 +13,9 @@ is the call and `n_calls` tells of the rest, likewise for results; a call withou
 `pending`, a result without call `orphan`, else `linked`; a null identifier or conversation
 matches a null one; arguments that are no JSON object have the error `not an object`, an
 unknown tool `unknown tool`; `after` naming itself or a missing call counts in `n_missing`; a
-call still rising after MOST_ROUNDS rounds stands on a cycle (or a longer chain of calls
-written in reverse) and has a null order_key; empty tables give no rows; other columns are
-ignored.
+call on or behind a cycle has a null order_key; empty tables give no rows; other columns are
+ignored. Conversations that still rise after MOST_ROUNDS rounds are placed call by call
+behind what they need, in as many rounds as their longest chain; a cycle is what is left.
 """
 
 from __future__ import annotations
@@ -94,11 +94,34 @@ def _one(df: DataFrame, values: list[str], number: str) -> DataFrame:
     return df.groupBy("conv_id", "call_id").agg(first.alias("first"), F.count("*").alias(number)).select("conv_id", "call_id", number, "first.*")
 
 
+def _peeled(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """conv_id, call_id, order_key of calls(conv_id, call_id, turn) with edges(c, k, need): a call is
+    placed once all that it needs are; null for those that never are."""
+    state = storage.written(calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("order_key"), F.lit(False).alias("placed")), "state")
+    edges = storage.written(edges, "edges")
+    while True:
+        waits = edges.select("c", "k").distinct().withColumn("waits", F.lit(True))
+        ready = ~F.col("placed") & F.col("waits").isNull()
+        marked = state.join(waits, state.conv_id.eqNullSafe(waits.c) & state.call_id.eqNullSafe(waits.k), "left")
+        marked = storage.written(marked.select("conv_id", "call_id", "order_key", "placed", ready.alias("ready")), "marked")
+        new = marked.where("ready").select(F.col("conv_id").alias("nc"), F.col("call_id").alias("nk"), F.col("order_key").alias("above"))
+        if new.isEmpty():
+            return state.select("conv_id", "call_id", F.when(F.col("placed"), F.col("order_key")).alias("order_key"))
+        met = edges.c.eqNullSafe(new.nc) & edges.need.eqNullSafe(new.nk)
+        up = edges.join(new, met).groupBy("c", "k").agg((F.max("above") + 1).alias("least"))
+        raised = marked.join(up, marked.conv_id.eqNullSafe(up.c) & marked.call_id.eqNullSafe(up.k), "left")
+        raised = storage.written(raised.select("conv_id", "call_id", F.greatest("order_key", "least").alias("order_key"), (F.col("placed") | F.col("ready")).alias("placed")), "state")
+        rest = storage.written(edges.join(new, met, "left_anti"), "edges")
+        for old in (state, edges, marked):
+            storage.drop(old)
+        state, edges = raised, rest
+
+
 def order_keys(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, order_key, n_missing of calls(conv_id, call_id, turn, after)."""
     needs = calls.select("conv_id", "call_id", F.explode("after").alias("need")).distinct()
     needs = needs.withColumn("own", F.col("need").eqNullSafe(F.col("call_id")))
-    keys = calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("order_key"), F.lit(-1).alias("raised"))
+    keys = calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("order_key"))
     found = keys.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), F.lit(True).alias("there"))
     edges = needs.join(found, needs.conv_id.eqNullSafe(found.c) & needs.need.eqNullSafe(found.n), "left")
     edges = storage.written(edges.select("conv_id", "call_id", "need", (F.col("there") & ~F.col("own")).alias("there")), "needs")
@@ -106,19 +129,22 @@ def order_keys(calls: DataFrame) -> DataFrame:
     edges = edges.where("there").select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), "need")
     keys = storage.written(keys, "keys")
     done = False
-    for step in range(MOST_ROUNDS + 1):
+    for _ in range(MOST_ROUNDS + 1):
         up = edges.join(keys, edges.c.eqNullSafe(keys.conv_id) & edges.need.eqNullSafe(keys.call_id)).groupBy("c", "k").agg(F.max("order_key").alias("above"))
         low = keys.join(up, keys.conv_id.eqNullSafe(up.c) & keys.call_id.eqNullSafe(up.k), "left")
         if not low.where("above >= order_key").limit(1).count():
             done = True
             break
         rises = F.coalesce(F.col("above") >= F.col("order_key"), F.lit(False))
-        higher = low.select("conv_id", "call_id", F.when(rises, F.col("above") + 1).otherwise(F.col("order_key")).alias("order_key"), F.when(rises, step).otherwise(F.col("raised")).alias("raised"))
+        higher = low.select("conv_id", "call_id", F.when(rises, F.col("above") + 1).otherwise(F.col("order_key")).alias("order_key"), rises.alias("rose"))
         new = storage.written(higher, "keys")
         storage.drop(keys)
         keys = new
     if not done:
-        keys = keys.withColumn("order_key", F.when(F.col("raised") < MOST_ROUNDS // 2, F.col("order_key")))
+        # A conversation in which nothing rose in the last round is settled.
+        rising = storage.written(keys.where("rose").select(F.col("conv_id").alias("rc")).distinct(), "rising")
+        some = _peeled(calls.join(rising, calls.conv_id.eqNullSafe(rising.rc), "left_semi"), edges.join(rising, edges.c.eqNullSafe(rising.rc), "left_semi"))
+        keys = keys.join(rising, keys.conv_id.eqNullSafe(rising.rc), "left_anti").select("conv_id", "call_id", "order_key").union(some)
     missing = missing.withColumnsRenamed({"conv_id": "c", "call_id": "k"})
     return keys.join(missing, keys.conv_id.eqNullSafe(missing.c) & keys.call_id.eqNullSafe(missing.k), "left").select("conv_id", "call_id", "order_key", F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
 

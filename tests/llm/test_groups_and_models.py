@@ -321,6 +321,17 @@ def test_tool_calls(spark):
     assert toolcalls.link(empty, empty.select("conv_id", "call_id", "turn", F.lit("").alias("content")), TOOLS).count() == 0
 
 
+def test_order_keys_of_long_chains_beside_a_cycle(spark, monkeypatch):
+    monkeypatch.setattr(toolcalls, "MOST_ROUNDS", 4)
+    table = [(1, f"c{k}", 0, [f"c{k - 1}"] if k else []) for k in range(8)]
+    table += [(2, "x", 0, ["y"]), (2, "y", 1, ["x"]), (2, "z", 2, ["y"]), (2, "free", 5, []), (None, "n1", 3, ["n2"]), (None, "n2", 3, [])]
+    table += [(3, f"d{k}", 0, [f"d{k - 1}"] if k else []) for k in range(4)]
+    calls = spark.createDataFrame(table, "conv_id long, call_id string, turn long, after array<string>")
+    keys = {(r.conv_id, r.call_id): r.order_key for r in toolcalls.order_keys(calls).collect()}
+    want = {(1, f"c{k}"): k for k in range(8)} | {(3, f"d{k}"): k for k in range(4)}
+    assert keys == want | {(2, "x"): None, (2, "y"): None, (2, "z"): None, (2, "free"): 5, (None, "n1"): 4, (None, "n2"): 3}
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
