@@ -199,9 +199,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled:
     # The same rows whatever their order in the table. A draw by hash of about twice as many
     # comes first, so that no task hands more than its share of them to the top-k.
     scale = 1_000_000
+    given = given.distinct()
     share = min(scale, int(scale * 2 * train_rows / max(1, given.count())) + 1)
     drawn = given.where(F.pmod(F.xxhash64("url"), F.lit(scale)) < share)
-    chosen = drawn.distinct().orderBy(F.xxhash64("url"), "url", "blocked").limit(train_rows).collect()
+    chosen = drawn.orderBy(F.xxhash64("url"), "url", "blocked").limit(train_rows).collect()
     shared = pages.sparkSession.sparkContext.broadcast(train([tuple(r) for r in chosen]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

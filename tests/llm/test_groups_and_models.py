@@ -297,6 +297,16 @@ CALLS = "conv_id long, call_id string, turn long, name string, arguments string,
 TOOLS = {"find": toolcalls.Schema({"q": toolcalls.Field("string", True, 1), "k": toolcalls.Field("integer", least=1)}), "ping": toolcalls.Schema({})}
 
 
+def test_repeated_urls_leave_enough_to_train_on(spark, monkeypatch):
+    train, seen = urls.train, []
+    monkeypatch.setattr(urls, "train", lambda rows: seen.append(len(set(rows))) or train(rows))
+    table = [(f"https://h{k}.example/p{k % 7}", k % 2) for k in range(300)] * 100
+    labelled = spark.createDataFrame(table, "url string, blocked int")
+    pages = spark.createDataFrame([(1, "https://h1.example/p1")], "page_id long, url string")
+    assert urls.judge(pages, labelled=labelled, train_rows=50).count() == 1
+    assert seen == [50]
+
+
 def test_tool_calls(spark):
     calls = [
         (1, "a", 5, "find", '{"q": "x", "k": 2}', ["b"]), (1, "b", 9, "find", '{"k":0, "z": [1, {"y":1,"x":2}], "q":5}', []), (1, "c", 1, "ping", "{}", ["a", "lost", "c"]),
