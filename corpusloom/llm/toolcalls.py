@@ -184,7 +184,8 @@ REPLY = {"reply": Schema({"prompt": Field("string", required=True, least=1), "tu
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain turns as (calls, results): a user turn calls `reply` under the identifier
     `conversation:turn`, needing the call two turns before it; an assistant turn is the result
-    of the turn before its own."""
+    of the turn before its own. Turns of any other role, or of none, are no part of the linking
+    and give no row."""
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     turn = F.col("turn")
     user = conversations.where("role = 'user'")
