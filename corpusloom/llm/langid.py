@@ -5,7 +5,7 @@ each word, so every byte position of a text is labelled and equal words get equa
 That lets a batch label its distinct words only. A document's probabilities are the pooled
 log-probabilities of all its positions, averaged and normalised. The network is trained in
 numpy by backpropagation through time, on the driver, from a bounded sample of documents
-(PER_LANG of each of the MOST_LANGS commonest values of lang, of each TRAIN_WORDS words).
+(PER_LANG of each value of lang, of each TRAIN_WORDS pieces of words).
 
 Defined results: `und`, score 0, for a null text or one without a letter; a null doc_id
 counts as not held out; repeated rows have equal results; with nothing to learn from, all
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from corpusloom.llm import sampling, textvec
 
 PER_LANG = 150
-MOST_LANGS = 64
 TRAIN_WORDS = 200
 HIDDEN = 16
 EMBED = 12
@@ -150,9 +149,10 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Net
     rng = np.random.default_rng(seed)
     column = pa.array([text for text, _ in rows])
     words = textvec.Words(column)
-    label = np.array([langs.index(lang) for _, lang in rows])[words.rows()]
-    first = np.concatenate([rng.permutation(np.arange(a, b))[:TRAIN_WORDS] for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)])
-    first = first[words.ends[first] - words.starts[first] <= PIECE]
+    starts, sizes, word = pieces(words)
+    label = np.array([langs.index(lang) for _, lang in rows])[words.rows()][word]
+    ptr = np.searchsorted(word, words.ptr)
+    first = np.concatenate([rng.permutation(np.arange(a, b))[:TRAIN_WORDS] for a, b in zip(ptr[:-1], ptr[1:], strict=True)])
     by_lang = [first[label[first] == k] for k in range(len(langs))]
     by_lang = [x for x in by_lang if len(x)]
     if not by_lang:
@@ -160,7 +160,7 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Net
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     for step in range(1, steps + 1):
         some = np.concatenate([rng.choice(x, max(1, BATCH // len(by_lang))) for x in by_lang])
-        data, mask = padded(words.data, words.starts[some], words.ends[some] - words.starts[some])
+        data, mask = padded(words.data, starts[some], sizes[some])
         _, g = net.gradients(data, mask, label[some])
         rate = RATE * (0.1 + 0.9 * 0.5 * (1 + np.cos(np.pi * step / steps)))
         for k, grad in g.items():
@@ -206,7 +206,7 @@ class Labeller:
 
 def predict(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row."""
-    rows = sampling.training_rows(docs, "lang", per_lang, MOST_LANGS)
+    rows = sampling.training_rows(docs, "lang", per_lang, None)
     shared = docs.sparkSession.sparkContext.broadcast(train([(r["text"], r["lang"]) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

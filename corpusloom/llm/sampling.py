@@ -20,14 +20,15 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == HELD_OUT
 
 
-def training_rows(docs: DataFrame, label: str, per_label: int, most_labels: int) -> list:
+def training_rows(docs: DataFrame, label: str, per_label: int, most_labels: int | None) -> list:
     """Up to per_label rows (doc_id, text, label) of each label, those of least hash, none held out.
 
     The share of each label's rows that are drawn follows from a count of all rows; the driver
-    receives per_label * most_labels rows at most.
+    receives per_label rows of each label at most; most_labels None takes every label.
     """
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    counts = known.groupBy(label).count().orderBy(F.desc("count"), label)
+    counts = (counts if most_labels is None else counts.limit(most_labels)).collect()
     # Half as many again as wanted are drawn by hash, so that chance leaves few too few.
     scale = 1_000_000
     draw = None
@@ -38,7 +39,7 @@ def training_rows(docs: DataFrame, label: str, per_label: int, most_labels: int)
         draw = hit if draw is None else draw | hit
     if draw is None:
         return []
-    picked = known.where(draw).select("doc_id", "text", label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_label * most_labels * 2).collect()
+    picked = known.where(draw).select("doc_id", "text", label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_label * (most_labels or len(counts)) * 2).collect()
     left, out = {row[label]: per_label for row in counts}, []
     for row in picked:
         if left[row[label]] > 0:

@@ -210,6 +210,19 @@ def test_language_id_edges(spark):
     assert langid.predict(docs(spark, [])).count() == 0
 
 
+def test_languages_without_spaces_or_beyond_the_commonest(spark, monkeypatch):
+    rng = random.Random(3)
+    line = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    table = [(k, line("日本語文字", 40) if k % 2 else " ".join(line("abcdefg", 5) for _ in range(12)), "ja" if k % 2 else "en") for k in range(80)]
+    got = langid.predict(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()
+    assert sum(r.lang_pred == table[r.doc_id][2] for r in got) == 80
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(len({x for _, x in rows})) or langid.Network.new([]))
+    table = [(k, "some words", f"l{k % 70}") for k in range(700)]
+    assert langid.predict(spark.createDataFrame(table, "doc_id long, text string, lang string")).count() == 700
+    assert seen == [70]
+
+
 def test_equal_words_are_labelled_alike():
     import pyarrow as pa
 
