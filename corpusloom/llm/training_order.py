@@ -5,17 +5,20 @@ sequences, the task's last one padded. Sequences are numbered through all tasks:
 pass counts each task's tokens, and the driver sums one figure per task. A Feistel network
 over the smallest even-bit domain that holds all numbers, walked until it lands below their
 count, is a keyed bijection; it gives each sequence its slot. Slots are dealt out by range,
-a range is sorted by slot and written as one shard of equal-sized records, so that record i
+each range sorted by slot and written as shards of equal-sized records, so that record i
 of the training order lies at a known offset of a known shard, and reading can start or
 resume anywhere. The inverse walk recovers a slot's sequence.
 
 Spark's own text writer writes the shards (any store, committed per task): a record's bytes
-are the line, and the line end is its trailer. The second pass must see the rows that the
-first counted, so docs has to be a table scan, or anything else whose tasks repeat exactly;
-a task that finds another count fails.
+are the line, and the line end is its trailer. `read` takes them back record by record by
+Hadoop's fixed-length input, which splits a shard at record boundaries, so no task ever
+holds a shard; `stream` is a trainer's reader without Spark, which seeks to its first record
+and reads on. The second pass must see the rows that the first counted, so docs has to be a
+table scan, or anything else whose tasks repeat exactly; a task that finds another count fails.
 
-A record: doc_id of the first token's document (int64, the least one if null), that token's place in it
-(uint32), number of ids (uint32), ids (uint16, padded), trailer; all little-endian.
+A record: slot, sequence number and doc_id of the first token's document (int64; the least one if
+null), that token's place in it, number of ids (uint32), all of these big-endian; then the ids
+(uint16, little-endian, padded) and the trailer. Vocabularies of more than 65,536 ids are refused.
 
 Defined results: a null or empty text is its closing id alone; rows that repeat are written
 each for itself; an empty table has no records; other columns are ignored.
@@ -24,8 +27,10 @@ each for itself; an empty table has no records; other columns are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,10 @@ RECORDS = 8192
 ROUNDS = 6
 KEY = 20_240_229
 
-HEAD = np.dtype([("doc_id", "<i8"), ("start", "<u4"), ("n_ids", "<u4")])
+#: Bytes of records that a writing task sorts, in as many whole shards as that takes.
+TASK_BYTES = 1 << 28
+
+HEAD = np.dtype([("slot", ">i8"), ("sequence_id", ">i8"), ("doc_id", ">i8"), ("start", ">u4"), ("n_ids", ">u4")])
 TRAILER = "\r\n"
 NO_DOC = -(1 << 63)
 
@@ -102,26 +110,34 @@ class Layout:
         return cls(**json.loads(spark.read.text(f"{path}/layout").first()[0]))
 
 
-def _task_counts(docs: DataFrame, tokenizer_path: str) -> dict[int, int]:
-    """Tokens of each task, closing ids included."""
+def _task_counts(docs: DataFrame, tokenizer_path: str) -> np.ndarray:
+    """Tokens of each task by its number, closing ids included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = wordbpe.encoder(tokenizer_path).encode, 0
+        encoder, total = wordbpe.encoder(tokenizer_path), 0
         for batch in batches:
             for part in textvec.chunks(batch):
-                total += len(encode(part.column("text"))[0]) + part.num_rows
+                total += len(encoder.encode(part.column("text"))[0]) + part.num_rows
+        encoder.forget()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], ["task", "n"])
 
-    return {r.task: r.n for r in docs.select("doc_id", "text").mapInArrow(run, "task int, n long").where("n > 0").collect()}
+    found = docs.select("doc_id", "text").mapInArrow(run, "task int, n long").where("n > 0").collect()
+    out = np.zeros(max((r.task for r in found), default=-1) + 1, np.int64)
+    for r in found:
+        out[r.task] = r.n
+    return out
 
 
-def _sequences(docs: DataFrame, tokenizer_path: str, layout: Layout, tokens: dict[int, int], first: dict[int, int], end_id: int, pad_id: int) -> DataFrame:
+def _sequences(docs: DataFrame, tokenizer_path: str, layout: Layout, tokens: np.ndarray, end_id: int, pad_id: int) -> DataFrame:
     length = layout.sequence
+    # Eight bytes a task, fetched once by an executor and not by each task.
+    shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, order = wordbpe.encoder(tokenizer_path).encode, Feistel(layout.count, layout.key)
+        encoder, order = wordbpe.encoder(tokenizer_path), Feistel(layout.count, layout.key)
         task = TaskContext.get().partitionId()
-        number, seen = first.get(task, 0), 0
+        before = shared.value[:task]
+        number, seen, wanted = int((-(-before // length)).sum()), 0, int(shared.value[task : task + 1].sum())
         rest, rest_docs, rest_starts, rest_begins = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def table(stream: np.ndarray, docs_: np.ndarray, starts: np.ndarray, begins: np.ndarray, n: int, number: int) -> pa.RecordBatch:
@@ -130,16 +146,17 @@ def _sequences(docs: DataFrame, tokenizer_path: str, layout: Layout, tokens: dic
             ids = np.full((n, length), pad_id, "<u2")
             ids.reshape(-1)[: int(size.sum())] = stream[: int(size.sum())]
             owner = np.searchsorted(begins, length * np.arange(n), side="right") - 1
-            head = np.zeros(n, HEAD)
+            head, numbers = np.zeros(n, HEAD), np.arange(number, number + n)
+            slot = order.slot(numbers)
+            head["slot"], head["sequence_id"] = slot, numbers
             head["doc_id"], head["start"], head["n_ids"] = docs_[owner], starts[owner] + length * np.arange(n) - begins[owner], size
             raw = np.concatenate([head.view(np.uint8).reshape(n, -1), ids.view(np.uint8).reshape(n, -1)], axis=1)
             flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1]), n, [None, pa.py_buffer(np.ascontiguousarray(raw))])
-            slot = order.slot(np.arange(number, number + n))
             return pa.RecordBatch.from_arrays([pa.array(slot), flat.cast(pa.binary())], ["slot", "record"])
 
         for batch in batches:
             for part in textvec.chunks(batch):
-                ids, at = encode(part.column("text"))
+                ids, at = encoder.encode(part.column("text"))
                 size = np.diff(at) + 1
                 stop = np.cumsum(size)
                 new = np.empty(int(stop[-1]) if len(stop) else 0, np.uint16)
@@ -160,10 +177,11 @@ def _sequences(docs: DataFrame, tokenizer_path: str, layout: Layout, tokens: dic
                         starts[0] -= begins[0]
                         begins[0] = 0
                 rest, rest_docs, rest_starts, rest_begins = stream[n * length :], docs_, starts, begins
+        encoder.forget()
         if len(rest):
             yield table(rest, rest_docs, rest_starts, rest_begins, 1, number)
-        if seen != tokens.get(task, 0):
-            raise RuntimeError(f"task {task} read {seen} tokens where {tokens.get(task, 0)} were counted; docs must be a table scan")
+        if seen != wanted:
+            raise RuntimeError(f"task {task} read {seen} tokens where {wanted} were counted; docs must be a table scan")
 
     return docs.select("doc_id", "text").mapInArrow(run, "slot long, record binary")
 
@@ -172,45 +190,70 @@ def materialise(docs: DataFrame, tokenizer_path: str, path: str | None = None, k
     """Write the shards under path (by default in the shared folder)."""
     spark = docs.sparkSession
     tokens = _task_counts(docs, tokenizer_path)
-    first, count = {}, 0
-    for task in sorted(tokens):
-        first[task] = count
-        count += -(-tokens[task] // sequence)
-    layout = Layout(path or storage.new_path(spark, "training-order"), count, key, sequence, records)
-    if count:
-        made = _sequences(docs, tokenizer_path, layout, tokens, first, end_id, pad_id)
-        made = made.withColumn("shard", F.floor(F.col("slot") / records).cast("int"))
-        dealt = made.repartitionById(layout.shards, "shard").sortWithinPartitions("shard", "slot")
+    layout = Layout(path or storage.new_path(spark, "training-order"), int((-(-tokens // sequence)).sum()), key, sequence, records)
+    if layout.count:
+        made = _sequences(docs, tokenizer_path, layout, tokens, end_id, pad_id)
+        # A task writes as many neighbouring shards as keep all of the session's tasks busy, up to TASK_BYTES.
+        tasks = max(-(-layout.count * layout.stride // TASK_BYTES), min(layout.shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        together = -(-layout.shards // tasks)
+        made = made.withColumn("shard", F.floor(F.col("slot") / records).cast("int")).withColumn("task", F.floor(F.col("shard") / together).cast("int"))
+        dealt = made.repartitionById(-(-layout.shards // together), "task").sortWithinPartitions("shard", "slot")
         dealt.select(F.col("record").cast("string"), "shard").write.partitionBy("shard").option("lineSep", TRAILER).text(f"{layout.path}/shards")
     layout.save(spark)
     return layout
 
 
+def _records(spark: SparkSession, layout: Layout, low: int, high: int) -> DataFrame:
+    """The stored records of the shards from low to high, each a binary value."""
+    shards = ["shard=*"] if high - low + 1 == layout.shards else [f"shard={k}" for k in range(low, high + 1)]
+    paths = ",".join(f"{layout.path}/shards/{s}/part-*" for s in shards)
+    stored = spark._jsc.binaryRecords(paths, layout.stride).rdd()
+    return DataFrame(spark._jsparkSession.createDataset(stored, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+
+
 def read(spark: SparkSession, layout: Layout, begin: int = 0, end: int | None = None) -> DataFrame:
-    """slot, sequence_id, shard, byte_offset, doc_id, start, n_ids, ids of the slots [begin, end)."""
+    """slot, sequence_id, shard, byte_offset, doc_id, start, n_ids, ids of the slots [begin, end).
+
+    Only the shards that hold them are read; all of it are expressions on one record at a time.
+    """
     end = layout.count if end is None else min(end, layout.count)
     schema = "slot long, sequence_id long, shard int, byte_offset long, doc_id long, start long, n_ids int, ids binary"
     if begin >= end:
         return spark.createDataFrame([], schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, stride = Feistel(layout.count, layout.key), layout.stride
-        for batch in batches:
-            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
-                raw = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)
-                if not (raw[:, -len(TRAILER) :] == np.frombuffer(TRAILER.encode(), np.uint8)).all():
-                    raise ValueError(f"shard {shard} is not of stride {stride}")
-                slots = shard * layout.records + np.arange(len(raw))
-                some = np.flatnonzero((slots >= begin) & (slots < end))
-                for at in np.array_split(some, max(1, len(some) // 2048)):
-                    head = np.ascontiguousarray(raw[at, : HEAD.itemsize]).view(HEAD)[:, 0]
-                    ids = [raw[i, HEAD.itemsize : HEAD.itemsize + 2 * int(n)].tobytes() for i, n in zip(at, head["n_ids"], strict=True)]
-                    out = {
-                        "slot": slots[at], "sequence_id": order.number(slots[at]), "shard": np.full(len(at), shard, np.int32), "byte_offset": at.astype(np.int64) * stride,
-                        "doc_id": pa.array(head["doc_id"], mask=head["doc_id"] == NO_DOC), "start": head["start"].astype(np.int64), "n_ids": head["n_ids"].astype(np.int32), "ids": pa.array(ids, pa.binary()),
-                    }
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], list(out))
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{layout.path}/shards")
-    wanted = files.where(F.col("shard").between(begin // layout.records, (end - 1) // layout.records)).select("shard", "content")
-    return wanted.mapInArrow(run, schema)
+    value = F.col("value")
+    number = lambda name: F.conv(F.hex(F.substring(value, HEAD.fields[name][1] + 1, HEAD.fields[name][0].itemsize)), 16, -10).cast("long")
+    whole = F.substring(value, layout.stride - len(TRAILER) + 1, len(TRAILER)) == F.lit(TRAILER.encode())
+    slot = F.when(whole, number("slot")).otherwise(F.raise_error(F.lit(f"a record is not of stride {layout.stride}")).cast("long"))
+    stored = _records(spark, layout, begin // layout.records, (end - 1) // layout.records)
+    found = stored.select("value", slot.alias("slot")).where(F.col("slot").between(begin, end - 1))
+    n_ids = number("n_ids").cast("int")
+    return found.select(
+        "slot", number("sequence_id").alias("sequence_id"), F.floor(F.col("slot") / layout.records).cast("int").alias("shard"), (F.col("slot") % layout.records * layout.stride).alias("byte_offset"),
+        F.nullif(number("doc_id"), F.lit(NO_DOC)).alias("doc_id"), number("start").alias("start"), n_ids.alias("n_ids"), F.substr(value, F.lit(HEAD.itemsize + 1), 2 * n_ids).alias("ids"),
+    )
+
+
+def stream(layout: Layout, open_shard: Callable[[int], BinaryIO], begin: int = 0, end: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) of the slots [begin, end) in order, for a trainer: no Spark, one record in memory.
+
+    open_shard gives a shard's file by its number. Nothing before the first record is read.
+    """
+    end = layout.count if end is None else min(end, layout.count)
+    at = begin
+    while at < end:
+        shard, place = divmod(at, layout.records)
+        with open_shard(shard) as f:
+            f.seek(place * layout.stride)
+            for at in range(at, min(end, (shard + 1) * layout.records)):  # noqa: B020
+                raw = f.read(layout.stride)
+                head = np.frombuffer(raw, HEAD, 1)[0]
+                if head["slot"] != at or not raw.endswith(TRAILER.encode()):
+                    raise ValueError(f"no record of slot {at} where it should be")
+                yield at, np.frombuffer(raw, "<u2", int(head["n_ids"]), HEAD.itemsize)
+        at += 1
+
+
+def local_shards(layout: Layout) -> Callable[[int], BinaryIO]:
+    """For `stream`, where the shards lie in a local folder."""
+    top = Path(layout.path.removeprefix("file://"))
+    return lambda shard: next((top / f"shards/shard={shard}").glob("part-*")).open("rb")

@@ -3,7 +3,8 @@
 White space never reaches a token, so a text's ids are its words' ids in turn. Words are
 made distinct per batch by hash; those of ASCII and Latin-1 letters, digits and signs are
 merged all at once as arrays, any other word goes to the tokenizer itself. The ids equal
-`Tokenizer.encode(text, add_special_tokens=False).ids`.
+`Tokenizer.encode(text, add_special_tokens=False).ids`. Ids are kept in 16 bits, so a
+vocabulary of more than 65,536 is refused.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ class WordBPE:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
+        if max(vocab.values()) > 0xFFFF:
+            raise ValueError("ids are kept in 16 bits; the vocabulary has more")
         symbols = _byte_symbols()
         self.byte_id = np.array([[vocab[s] for s in symbols], [vocab[s + end] for s in symbols]], dtype=np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]

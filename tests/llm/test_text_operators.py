@@ -111,6 +111,49 @@ def test_training_order_round_trip(spark, tmp_path):
     assert all(r.byte_offset == r.slot % 50 * layout.stride and r.shard == r.slot // 50 for r in back)
 
 
+def test_training_order_is_read_by_seeking(spark, tmp_path):
+    """A resumed reader touches the bytes of its own records alone."""
+    source = str(tmp_path / "docs")
+    docs(spark).write.parquet(source)
+    layout = training_order.materialise(spark.read.parquet(source), queries.word_tokenizer(), f"file://{tmp_path}/out", sequence=64, records=50)
+    whole = {r.slot: np.frombuffer(r.ids, "<u2").tolist() for r in training_order.read(spark, layout).collect()}
+    touched, opened = [], training_order.local_shards(layout)
+
+    class Watched:
+        def __init__(self, shard):
+            self.shard, self.f = shard, opened(shard)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            touched.append((self.shard, self.f.tell(), n))
+            return self.f.read(n)
+
+    got = {slot: ids.tolist() for slot, ids in training_order.stream(layout, Watched, 45, 57)}
+    assert got == {k: whole[k] for k in range(45, 57)}
+    assert touched == [(k // 50, k % 50 * layout.stride, layout.stride) for k in range(45, 57)]
+    assert {s: i.tolist() for s, i in training_order.stream(layout, opened)} == whole
+    with pytest.raises(ValueError, match="no record of slot"):
+        list(training_order.stream(layout, lambda k: opened(0), 50, 51))
+
+
+def test_training_order_writes_several_shards_a_task(spark, tmp_path, monkeypatch):
+    source = str(tmp_path / "docs")
+    docs(spark).write.parquet(source)
+    layout = training_order.materialise(spark.read.parquet(source), queries.word_tokenizer(), f"file://{tmp_path}/out", sequence=64, records=7)
+    assert layout.shards > 8
+    names = {p.name.split("-")[1] for p in (tmp_path / "out/shards").glob("shard=*/part-*")}
+    assert len(names) <= 4 and len(list((tmp_path / "out/shards").glob("shard=*/part-*"))) == layout.shards
+    assert sorted(r.slot for r in training_order.read(spark, layout).collect()) == list(range(layout.count))
+
+
 def test_training_order_of_nothing(spark):
     layout = training_order.materialise(docs(spark, []), queries.word_tokenizer())
     assert layout.count == 0 and training_order.read(spark, layout).count() == 0
