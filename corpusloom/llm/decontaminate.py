@@ -5,16 +5,18 @@ through it keeps, at each word, the longest sequence ending there that some item
 where that is a whole window's length, the window is hit; where a short item's end state is
 on the suffix links within that length, the short item is hit. Words that no item has reset
 the automaton, as do word pairs that no item has, so those are found by array look-ups first
-and only the stretches between them are stepped through.
+and only the stretches between them are stepped through, all of a batch side by side.
 
-Items are put into automata of at most BLOCK_WORDS words each. One block is a broadcast of
-bounded size; a larger benchmark takes one pass of the documents per block, chained without
-a shuffle.
+Items are put into automata of at most BLOCK_WORDS words each. The driver builds one at a
+time and lays it out as flat arrays (some 50 bytes a word). Up to PASS_WORDS words of items
+are one broadcast, whose automata a task runs one after the other over each batch; a larger
+benchmark takes a written pass of the documents for each further PASS_WORDS. A word is met by
+its hash and, where it may be hit, compared byte by byte with the item's.
 
 Defined results: a null text has no words (a null document is clean and stays null, a null
 item is no window); items that share an item_id count once; a null item_id is written as an
 empty string; rows that repeat have equal results; an empty benchmark hits nothing; other
-columns are carried in the struct `carried`.
+columns, whatever their names, are carried in the struct `carried`.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import textvec
+from corpusloom.llm import storage, textvec
 
 WINDOW = 10
-#: Words of items in one automaton.
-BLOCK_WORDS = 200_000
+#: Words of items in one automaton, and in all that a task holds.
+BLOCK_WORDS = 100_000
+PASS_WORDS = 2_000_000
 
 #: Lower-cases A-Z and turns all that `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` excludes into spaces.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -41,50 +44,36 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD.tobytes()).split()
 
 
-class Automaton:
-    """Generalised suffix automaton of word sequences, with the windows each state ends."""
+class Builder:
+    """Generalised suffix automaton of word sequences, with the items that its states stand for."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.length, self.link = [0], [-1]
-        names = sorted({name for name, _ in items})
-        number = {name: k for k, name in enumerate(names)}
-        self.names = names
-        own: dict[int, set[int]] = {}
-        whole: dict[int, set[int]] = {}
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        #: Items whose sequences end in a state of a window's length or more, and short whole ones.
+        self.own: dict[int, set[int]] = {}
+        self.whole: dict[int, set[int]] = {}
         pairs = set()
         for name, words in items:
             state, ids = 0, [self.ids.setdefault(w, len(self.ids)) for w in words]
             pairs.update(zip(ids, ids[1:], strict=False))
             for w in ids:
                 state = self._extend(state, w)
-                own.setdefault(state, set()).add(number[name])
+                if self.length[state] >= window:
+                    self.own.setdefault(state, set()).add(number[name])
             if 0 < len(ids) < window:
-                whole.setdefault(state, set()).add(number[name])
+                self.whole.setdefault(state, set()).add(number[name])
         # An item that holds a state's longest sequence holds that of every suffix link.
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            if state in own and self.link[state] > 0:
-                own.setdefault(self.link[state], set()).update(own[state])
-        self.items: list[frozenset[int]] = [frozenset()] * len(self.next)
-        for state, found in own.items():
-            if self.length[state] >= window > self.length[self.link[state]]:
-                self.items[state] = frozenset(found)
-        # Short items at or above each state: (length, items).
-        self.short: list[tuple] = [()] * len(self.next)
-        for state in sorted(range(1, len(self.next)), key=lambda s: self.length[s]):
-            up = self.short[self.link[state]]
-            mine = ((self.length[state], frozenset(whole[state])),) if state in whole else ()
-            self.short[state] = up + mine
-        count = len(self.ids)
-        self.pairs = np.array(sorted(a * count + b for a, b in pairs), dtype=np.int64)
-        words = pa.array(list(self.ids), pa.binary())
-        hashes = textvec.Words(words, _INSIDE).hashes() if len(words) else np.zeros(0, np.uint64)
-        order = np.argsort(hashes)
-        self.word_hash, self.word_id = hashes[order], order
-        sizes = [len(words) for _, words in items if words]
-        self.least = min([window, *sizes])
+            up = self.link[state]
+            if state in self.own and self.length[up] >= window:
+                self.own.setdefault(up, set()).update(self.own[state])
+        self.pairs = np.array(sorted(a * len(self.ids) + b for a, b in pairs), dtype=np.int64)
+        self.least = min([window, *(len(words) for _, words in items if words)])
 
     def _clone(self, state: int, length: int) -> int:
         self.next.append(dict(self.next[state]))
@@ -123,13 +112,69 @@ class Automaton:
             self.link[new] = q
         return new
 
+
+def _grouped(sets: dict[int, set[int]], states: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets by state, values) of a few states' sets."""
+    size = np.zeros(states + 1, np.int64)
+    for state, found in sets.items():
+        size[state + 1] = len(found)
+    return np.cumsum(size).astype(np.int32), np.array([x for state in sorted(sets) for x in sorted(sets[state])], dtype=np.int32)
+
+
+class Automaton:
+    """A built automaton as arrays, which runs many word sequences side by side."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        made = Builder(items, window)
+        self.window, self.names, self.least, self.pairs, self.words = window, made.names, made.least, made.pairs, len(made.ids)
+        self.length, self.link = np.array(made.length, dtype=np.int32), np.array(made.link, dtype=np.int32)
+        count = len(made.next)
+        key = np.array([state * max(1, self.words) + w for state, out in enumerate(made.next) for w in out], dtype=np.int64)
+        to = np.array([t for out in made.next for t in out.values()], dtype=np.int32)
+        order = np.argsort(key)
+        self.key, self.to = key[order], to[order]
+        # The state on the suffix links that stands for a window, and the nearest that is a short item.
+        self.top, self.near = np.zeros(count, np.int32), np.zeros(count, np.int32)
+        for state in np.argsort(self.length, kind="stable")[1:].tolist():
+            up = made.link[state]
+            self.top[state] = state if made.length[up] < window else self.top[up]
+            self.near[state] = state if state in made.whole else self.near[up]
+        self.item_at, self.items = _grouped({s: x for s, x in made.own.items() if self.top[s] == s}, count)
+        self.short_at, self.shorts = _grouped(made.whole, count)
+        raw = list(made.ids)
+        self.size = np.array([len(w) for w in raw], dtype=np.int64)
+        self.begin, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(raw), np.uint8)
+        hashes = textvec.Words(pa.array(raw, pa.binary()), _INSIDE).hashes() if raw else np.zeros(0, np.uint64)
+        self.word_id = np.argsort(hashes)
+        self.word_hash = hashes[self.word_id]
+
+    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's number by its hash, -1 if no item has it."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self.word_hash) or not len(hashes):
+            return out
+        at = np.minimum(np.searchsorted(self.word_hash, hashes), len(self.word_hash) - 1)
+        hit = self.word_hash[at] == hashes
+        out[hit] = self.word_id[at[hit]]
+        return out
+
+    def unlike(self, words: textvec.Words, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Those of the words at these places whose bytes are not their item word's."""
+        size = words.ends[at] - words.starts[at]
+        bad = size != self.size[ids[at]]
+        same, number = np.flatnonzero(~bad), ids[at]
+        mine = words.data[textvec.ranges(words.starts[at[same]], size[same])]
+        theirs = self.bytes[textvec.ranges(self.begin[number[same]], size[same])]
+        bad[np.repeat(same, size[same])[mine != theirs]] = True
+        return at[bad]
+
     def stretches(self, ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[begin, end) of the runs of words in which each word and pair is some item's."""
         known = ids >= 0
         joint = np.zeros(len(ids), bool)
         if len(ids) > 1 and len(self.pairs):
             both = np.flatnonzero(known[1:] & known[:-1])
-            codes = ids[both] * len(self.ids) + ids[both + 1]
+            codes = ids[both] * self.words + ids[both + 1]
             at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
             joint[both[self.pairs[at] == codes] + 1] = True
         joint[ptr[ptr < len(ids)]] = False
@@ -139,95 +184,133 @@ class Automaton:
         fit = end - begin >= self.least
         return begin[fit], end[fit]
 
-    def run(self, ids: list[int]) -> Iterator[tuple[int, int, frozenset[int]]]:
-        """(index of the last word, words, items) of every window in a stretch."""
-        state, length = 0, 0
-        following, lengths, links, window = self.next, self.length, self.link, self.window
-        for i, w in enumerate(ids):
-            while state and w not in following[state]:
-                state = links[state]
-                length = lengths[state]
-            state = following[state].get(w, 0)
-            length = length + 1 if state else 0
-            if not state:
-                continue
-            for size, found in self.short[state]:
-                if size <= length:
-                    yield i, size, found
-            if length >= window:
-                up = state
-                while lengths[links[up]] >= window:
-                    up = links[up]
-                yield i, window, self.items[up]
-
-    def word_ids(self, words: textvec.Words) -> np.ndarray:
-        """Each word's number, -1 if no item has it."""
-        out = np.full(len(words), -1, np.int64)
-        if not len(self.word_hash) or not len(words):
-            return out
-        hashes = words.hashes()
-        at = np.minimum(np.searchsorted(self.word_hash, hashes), len(self.word_hash) - 1)
-        hit = self.word_hash[at] == hashes
-        out[hit] = self.word_id[at[hit]]
-        return out
-
-
-def _step(shared, names: list[str]):
-    """Adds one block's hit spans and items to those that earlier blocks found."""
+    def _step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where each state goes by its word, -1 if nowhere."""
+        wanted = state.astype(np.int64) * self.words + word
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        return np.where(self.key[at] == wanted, self.to[at], -1)
+
+    def run(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, words, state) of every window and short item in the stretches [begin, end);
+        the state tells of the items, one of a window's length for windows, else a short one."""
+        order = np.argsort(begin - end, kind="stable")
+        begin, size = begin[order], (end - begin)[order]
+        state, length = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for step in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -step))  # stretches that go on
+            at, s, held = begin[:n] + step, state[:n], length[:n]
+            to = self._step(s, ids[at])
+            while len(lost := np.flatnonzero((to < 0) & (s > 0))):
+                s[lost] = self.link[s[lost]]
+                held[lost] = self.length[s[lost]]
+                to[lost] = self._step(s[lost], ids[at[lost]])
+            state[:n], length[:n] = np.maximum(to, 0), np.where(to >= 0, held + 1, 0)
+            s, held = state[:n], length[:n]
+            hit = np.flatnonzero(held >= self.window)
+            if len(hit):
+                found.append((at[hit] + 1 - self.window, np.full(len(hit), self.window), self.top[s[hit]]))
+            # Short items on the suffix links: fewer than a window's length of them.
+            up, live = self.near[s], np.arange(n)
+            while len(live := live[up[live] > 0]):
+                words = self.length[up[live]]
+                fits = words <= held[live]
+                found.append((at[live][fits] + 1 - words[fits], words[fits], up[live][fits]))
+                up[live] = self.near[self.link[up[live]]]
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+
+    def hits(self, words: textvec.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, words) of every hit, and (hit, item) of every item of each."""
+        ids = self.word_ids(hashes)
+        begin, end = self.stretches(ids, words.ptr)
+        if len(begin):
+            other = self.unlike(words, ids, textvec.ranges(begin, end - begin))
+            if len(other):
+                ids[other] = -1
+                begin, end = self.stretches(ids, words.ptr)
+        first, size, state = self.run(ids, begin, end)
+        out = []
+        for mine, at, items in ((size >= self.window, self.item_at, self.items), (size < self.window, self.short_at, self.shorts)):
+            which = np.flatnonzero(mine)
+            many = (at[state[which] + 1] - at[state[which]]).astype(np.int64)
+            out.append((np.repeat(which, many), items[textvec.ranges(at[state[which]].astype(np.int64), many)]))
+        return first, size, *(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _pass(shared, names: list[str]):
+    """Adds the hit spans and items of some automata to those that earlier passes found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
         for batch in batches:
             for part in textvec.chunks(batch):
                 words = textvec.Words(part.column("text"), _INSIDE, FOLD)
-                ids = automaton.word_ids(words)
-                begins, ends = automaton.stretches(ids, words.ptr)
-                rows = np.searchsorted(words.ptr, begins, side="right") - 1
-                spans, found = part.column("spans").to_pylist(), part.column("items").to_pylist()
-                for a, b, row in zip(begins.tolist(), ends.tolist(), rows.tolist(), strict=True):
-                    base, hits, numbers = a - int(words.ptr[row]), [], set()
-                    for last, size, items in automaton.run(ids[a:b].tolist()):
-                        first, stop = base + last + 1 - size, base + last + 1
-                        if hits and first <= hits[-1]["end"] and first >= hits[-1]["begin"]:
-                            hits[-1]["end"] = stop
-                        else:
-                            hits.append({"begin": first, "end": stop})
-                        numbers.update(items)
-                    if hits:
-                        spans[row] = spans[row] + hits
-                        found[row] = sorted({*found[row], *(automaton.names[k] for k in numbers)})
-                out = {"text": part.column("text"), "n_words": pa.array(words.counts)}
-                out |= {n: part.column(n) for n in names}
-                out |= {"spans": pa.array(spans, part.schema.field("spans").type), "items": pa.array(found, pa.list_(pa.string()))}
+                n, hashes = len(words), words.hashes() if len(words) else np.zeros(0, np.uint64)
+                earlier = part.column("spans")
+                row = np.repeat(np.arange(part.num_rows), earlier.value_lengths().to_numpy(zero_copy_only=False))
+                begin, end = (earlier.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                hit = textvec.covered(n, words.ptr[row] + begin, end - begin)
+                named: dict[int, set[str]] = {}
+                for automaton in shared.value:
+                    first, size, which, item = automaton.hits(words, hashes)
+                    if not len(first):
+                        continue
+                    hit |= textvec.covered(n, first, size)
+                    owner = np.searchsorted(words.ptr, first, side="right") - 1
+                    for r, k in np.unique(np.stack([owner[which], item.astype(np.int64)]), axis=1).T.tolist():
+                        named.setdefault(r, set()).add(automaton.names[k])
+                items = part.column("items")
+                if named:
+                    known = items.to_pylist()
+                    items = pa.array([sorted({*old, *named.get(r, ())}) for r, old in enumerate(known)], pa.list_(pa.string()))
+                n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.ptr])
+                out = {"doc_id": part.column("doc_id"), "text": part.column("text"), "n_words": pa.array(words.counts), "n_hit": pa.array(n_hit)}
+                out |= {"spans": textvec.span_lists(*textvec.runs(hit, words.ptr), part.num_rows), "items": items}
+                out |= {c: part.column(c) for c in names}
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text, n_words, n_hit, spans (hit words), items (ids as text, sorted) of each row."""
-    spark = docs.sparkSession
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    extra = [F.struct(*rest).alias("carried")] if carry and rest else []
-    names = ["doc_id", *(["carried"] if extra else [])]
-    span = "array<struct<begin:int,end:int>>"
-    df = docs.select("doc_id", "text", *extra, F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = f"text string, n_words long, doc_id long, {'carried ' + df.schema['carried'].dataType.simpleString() + ', ' if extra else ''}spans {span}, items array<string>"
+def automata(benchmark: DataFrame, window: int, block_words: int, pass_words: int) -> Iterator[list[Automaton]]:
+    """The automata of each pass. The items come one partition at a time; the driver holds one
+    block of them as text, and one pass as arrays."""
+    made: list[Automaton] = []
     block: list[tuple[str, list[bytes]]] = []
-    size, passes = 0, []
-    # The items come one partition at a time; the driver holds one block of them.
+    size = whole = 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").toLocalIterator():
         words = normal_words(row.text)
         if block and size + len(words) > block_words:
-            passes.append(spark.sparkContext.broadcast(Automaton(block, window)))
+            made.append(Automaton(block, window))
             block, size = [], 0
+            if whole + len(words) > pass_words:
+                yield made
+                made, whole = [], 0
         if words:
             block.append((row.item_id or "", words))
-            size += len(words)
-    passes.append(spark.sparkContext.broadcast(Automaton(block, window)))
-    for shared in passes:
-        df = df.select("doc_id", "text", *(["carried"] if extra else []), "spans", "items").mapInArrow(_step(shared, names), schema)
-    return df.withColumn("n_hit", hit_words(F.col("spans")))
+            size, whole = size + len(words), whole + len(words)
+    if block or not made:
+        made.append(Automaton(block, window))
+    yield made
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False, block_words: int = BLOCK_WORDS, pass_words: int = PASS_WORDS) -> DataFrame:
+    """doc_id, text, n_words, n_hit, spans (hit words), items (ids as text, sorted) of each row."""
+    span = "array<struct<begin:int,end:int>>"
+    df = docs.select("doc_id", "text", *(storage.carried(docs) if carry else []), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
+    names = ["carried"] if "carried" in df.columns else []
+    schema = storage.schema(f"doc_id long, text string, n_words long, n_hit long, spans {span}, items array<string>", df)
+    before = None
+    for made in automata(benchmark, window, block_words, pass_words):
+        if before is not None:
+            # One pass's automata are in memory at a time.
+            kept = storage.written(before, "scanned")
+            storage.drop(df)
+            df = kept
+        shared = docs.sparkSession.sparkContext.broadcast(made)
+        before = df.select("doc_id", "text", "spans", "items", *names).mapInArrow(_pass(shared, names), schema)
+    return before
 
 
 #: Share of hit words above which a whole document goes.
@@ -263,17 +346,6 @@ def _cut(names: list[str]):
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = MOST_COVERAGE) -> DataFrame:
     """docs without the texts' hit spans, and without the documents of which more is hit."""
     found = scan(docs, benchmark, window, carry=True).where(F.col("n_hit") <= F.col("n_words") * most_coverage)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    names = ["carried"] if rest else []
-    schema = "doc_id long, text string" + (f", carried {found.schema['carried'].dataType.simpleString()}" if rest else "")
-    cut = found.select("doc_id", "text", "spans", *names).mapInArrow(_cut(names), schema)
-    return cut.select("doc_id", "text", *[F.col("carried")[c].alias(c) for c in rest]).select(docs.columns)
-
-
-def hit_words(spans) -> F.Column:
-    """Words in the union of spans."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    grown = F.aggregate(
-        F.array_sort(spans), zero, lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["begin"]))).alias("n"), F.greatest(acc["end"], s["end"]).alias("end")),
-    )
-    return grown["n"].cast("long")
+    names = ["carried"] if "carried" in found.columns else []
+    cut = found.select("doc_id", "text", "spans", *names).mapInArrow(_cut(names), storage.schema("doc_id long, text string", found))
+    return storage.unpacked(cut, docs)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import textvec
+from corpusloom.llm import storage, textvec
 
 LENGTH = 20
 GRAM = 8
@@ -135,10 +135,6 @@ def _cut(length: int, names: list[str], verbatim: bool):
                         gone[span] |= ~np.isin(found.hash[span], mine[ends[i] : ends[i + 1]].view(np.uint64))
                 removed = textvec.covered(len(words), found.at[gone], length)
                 sums = np.concatenate([[0], np.cumsum(removed)])
-                begin = np.flatnonzero(removed & ~np.concatenate([[False], removed[:-1]]) | np.isin(np.arange(len(words)), words.ptr) & removed)
-                row = np.searchsorted(words.ptr, begin, side="right") - 1
-                stop = np.minimum(np.append(np.flatnonzero(~removed), len(words))[np.searchsorted(np.flatnonzero(~removed), begin)], words.ptr[row + 1])
-                spans = pa.StructArray.from_arrays([pa.array((x - words.ptr[row]).astype(np.int32)) for x in (begin, stop)], ["begin", "end"])
                 text = pa.array(kept_texts(words, ~removed), pa.binary()).cast(pa.string())
                 given = part.column("text")
                 if verbatim:
@@ -147,7 +143,7 @@ def _cut(length: int, names: list[str], verbatim: bool):
                     text = pa.compute.if_else(given.is_null(), given, text)
                 out = {
                     "doc_id": part.column("doc_id"), "text": text, "n_words": pa.array(words.counts), "n_removed": pa.array(np.diff(sums[words.ptr])),
-                    "removed": pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)), spans),
+                    "removed": textvec.span_lists(*textvec.runs(removed, words.ptr), part.num_rows),
                 }
                 out |= {n: part.column(n) for n in names}
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
@@ -159,8 +155,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False, verbatim:
     """doc_id, text (its kept words, joined by a space), n_words, n_removed, removed (spans of
     words) of each row; with carry, `carried` holds the other columns; with verbatim, a text
     from which nothing is cut stays as it is."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    extra = [F.struct(*rest).alias("carried")] if carry and rest else []
+    extra = storage.carried(docs) if carry else []
     base = docs.select("doc_id", "text", F.hash("text").alias("digest"), *extra)
     names = ["carried"] if extra else []
     seeds = base.select("doc_id", "text", "digest").where("doc_id is not null").mapInArrow(_seeds(length), "gram long, doc_id long, place long")
@@ -170,7 +165,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False, verbatim:
     # The same columns on both ways, so that the texts are shuffled once.
     windows = known.mapInArrow(_windows(length), "gram long, window long, doc_id long")
     firsts = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("window").alias("firsts"))
-    schema = "doc_id long, text string, n_words long, n_removed long, removed array<struct<begin:int,end:int>>"
-    if extra:
-        schema += f", carried {base.schema['carried'].dataType.simpleString()}"
+    schema = storage.schema("doc_id long, text string, n_words long, n_removed long, removed array<struct<begin:int,end:int>>", base)
     return known.join(firsts, "doc_id", "left").mapInArrow(_cut(length, names, verbatim), schema)

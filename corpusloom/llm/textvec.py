@@ -150,6 +150,24 @@ def covered(n: int, starts: np.ndarray, length: np.ndarray | int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
+def runs(flags: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the runs of flagged words, counted inside their rows."""
+    first = np.zeros(len(flags) + 1, bool)
+    first[ptr] = True
+    before = np.concatenate([[False], flags[:-1]])
+    begin = np.flatnonzero(flags & (~before | first[:-1]))
+    row = np.searchsorted(ptr, begin, side="right") - 1
+    stops = np.append(np.flatnonzero(~flags), len(flags))
+    end = np.minimum(stops[np.searchsorted(stops, begin)], ptr[row + 1])
+    return row, begin - ptr[row], end - ptr[row]
+
+
+def span_lists(row: np.ndarray, begin: np.ndarray, end: np.ndarray, rows: int) -> pa.Array:
+    """The runs as a list of (begin, end) for each row."""
+    spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (begin, end)], ["begin", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), spans)
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have at most `most` bytes together, or one row."""
     if not batch.num_rows:

@@ -6,8 +6,8 @@ import random
 import re
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-#: Column names that operators use inside, given to a table as further columns.
-CLASHING = ["fp", "node", "band", "key", "carried", "spans", "items", "digest", "places", "n", "m", "start", "held_out", "_label", "_first", "wide", "rep", "slot"]
+#: Column names that operators use inside or that need quoting, given to a table as further columns.
+CLASHING = ["my col", "a-b", "a.b", "back`tick", "_order", "row", "s", "few", "marked", "crowd", "fp", "node", "band", "key", "carried", "spans", "items", "digest", "places", "n", "m", "start", "held_out", "_label", "_first", "wide", "rep", "slot"]
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -36,7 +36,7 @@ def docs(spark, some: list[tuple] | None = None):
 def clashing(df):
     from pyspark.sql import functions as F
 
-    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING], F.create_map(F.lit("k"), F.lit(1)).alias("a map"))
 
 
 def words(text: str | None) -> list[str]:
@@ -48,4 +48,5 @@ def ascii_lower(text: str | None) -> str:
 
 
 def results(df) -> list[tuple]:
+    """Rows in an order of their own."""
     return sorted((tuple(r) for r in df.collect()), key=repr)

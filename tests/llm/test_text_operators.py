@@ -236,10 +236,10 @@ def benchmark_items():
     ]
 
 
-@pytest.mark.parametrize("block", [30, 200_000])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(30, 2_000_000), (200_000, 2_000_000), (30, 60)])
+def test_decontamination(spark, block, most):
     items = spark.createDataFrame(benchmark_items(), "item_id long, text string")
-    found = decontaminate.scan(clashing(docs(spark)), items, block_words=block)
+    found = decontaminate.scan(clashing(docs(spark)), items, carry=True, block_words=block, pass_words=most)
     got = found.select("doc_id", "n_words", "n_hit", F.array_join("items", ",").alias("items"))
     assert results(got) == benchmark_hits(rows(), benchmark_items())
 
@@ -252,11 +252,10 @@ def test_automaton_finds_every_window(items, text):
     import pyarrow as pa
 
     column = textvec.Words(pa.array([" ".join(text)]), decontaminate._INSIDE, decontaminate.FOLD)
-    ids = found.word_ids(column)
+    first, size, which, item = found.hits(column, column.hashes() if len(column) else np.zeros(0, np.uint64))
     got = {}
-    for a, b in zip(*found.stretches(ids, column.ptr), strict=True):
-        for last, size, names in found.run(ids[a:b].tolist()):
-            got.setdefault((int(a) + last + 1 - size, size), set()).update(found.names[k] for k in names)
+    for k, name in zip(which.tolist(), item.tolist(), strict=True):
+        got.setdefault((int(first[k]), int(size[k])), set()).add(found.names[name])
     want = defaultdict(set)
     for name, item in items:
         n = min(4, len(item))
@@ -267,6 +266,24 @@ def test_automaton_finds_every_window(items, text):
     assert got == dict(want)
 
 
+def test_a_word_of_equal_hash_alone_is_not_hit():
+    import pyarrow as pa
+
+    found = decontaminate.Automaton([("1", [b"one", b"two", b"six"])], 3)
+    words = textvec.Words(pa.array(["one two six", "one ten six"]), decontaminate._INSIDE, decontaminate.FOLD)
+    hashes = words.hashes()
+    hashes[4] = hashes[1]
+    assert found.hits(words, hashes)[0].tolist() == [0]
+
+
+def test_a_large_benchmark_is_small_in_memory():
+    rng = np.random.default_rng(3)
+    items = [(str(k), [b"w%d" % x for x in rng.integers(0, 20_000, 100)]) for k in range(200)]
+    made = decontaminate.Automaton(items, 10)
+    held = sum(x.nbytes for x in vars(made).values() if isinstance(x, np.ndarray))
+    assert held < 120 * 20_000  # bytes a word
+
+
 def test_decontamination_removes_and_keeps(spark):
     items = spark.createDataFrame(benchmark_items(), "item_id long, text string")
     given = clashing(docs(spark))
