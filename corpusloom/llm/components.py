@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = storage.written(edges, "edges")
     state = _digest(edges)
     if not state[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return _resting_on(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), edges)
     for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = storage.written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
@@ -40,5 +40,19 @@ def components(links: DataFrame) -> DataFrame:
         edges, before, state = new, state, _digest(new)
         if state == before:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+            return _resting_on(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), edges)
     raise RuntimeError("the components did not settle")
+
+
+def _resting_on(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, for storage.drop to delete the table that it reads."""
+    df._corpusloom_path = table._corpusloom_path
+    return df
+
+
+def settled(links: DataFrame, label: str) -> DataFrame:
+    """components(links), written, and what it took deleted."""
+    found = components(links)
+    out = storage.written(found, label)
+    storage.drop(found)
+    return out

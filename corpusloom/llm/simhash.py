@@ -14,9 +14,14 @@ estimates it, so nodes meet by agreeing in drawn bits, are compared bit-sliced o
 the fingerprint, and the nearest pairs that span a place's components leave it. Pairs whose
 whole fingerprints are clearly near are linked; those near the limit are linked if their
 shingles' exact similarity reaches it. What is drawn grows with the number of nodes.
-Pairs may fail, so a component of a place with more pairs than span it leaves it too. While
-its nodes are not all joined, it is compared again on whole fingerprints, and each group in
-it hands on its nearest pairs, eight times as many each time, until none is left out.
+Texts of FEW shingles or less estimate worse, so they also meet by more draws and a wider
+limit, and their pairs are always decided exactly.
+
+A spanning pair may fail where another would not, so where a place has more pairs than span
+it, these pairs are marked. Nodes that marked pairs connect are a crowd; a crowd that links
+leave apart is compared once more, bit-sliced on whole fingerprints and then by exact
+shingles inside the task, every node with every node of another group. It is dealt as pairs
+of tiles of bounded size, of which those inside its largest group are left out.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; a
 null doc_id stays null, and its group's id is the smallest known one (null if none is);
@@ -45,6 +50,10 @@ TILE = 1024
 #: comparing them costs less than meeting by more choices of blocks.
 CROWD = 7
 
+#: Nodes, and shingles of them together, that a tile of a crowd has on average at most.
+CROWD_TILE = 512
+CROWD_SHINGLES = 1 << 18
+
 _WHOLE = np.uint64(2**64 - 1)
 
 PLACE = ["band", "key", "i", "j"]
@@ -229,10 +238,15 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return compared(met, linked)
 
 
-def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...]], out: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """Distinct rows, by default links (a, b), that `linked` finds among those of each place, several places at once up to a tile."""
+def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...]], out: tuple[str, ...] = ("a", "b"), sets: str | None = None) -> DataFrame:
+    """Distinct rows, by default links (a, b), that `linked` finds among those of each place, several
+    places at once up to a tile; the lists in a column `sets` count by their lengths too."""
     values = [c for c in met.columns if c not in PLACE]
 
+    def size_of(part: dict[str, np.ndarray]) -> int:
+        rows = len(part[values[0]])
+        return rows if sets is None else max(rows, sum(map(len, part[sets])) * CROWD_TILE // CROWD_SHINGLES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             if sum(len(p[values[0]]) for p in parts) > 1:
@@ -258,7 +272,7 @@ def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.
                 if begin > at:
                     open_.append({c: x[at:begin] for c, x in rows.items()})
                 if begin < batch.num_rows:
-                    length = sum(len(p[values[0]]) for p in open_)
+                    length = sum(map(size_of, open_))
                     if ready and size + length > TILE:
                         yield from emit(ready)
                         ready, size = [], 0
@@ -277,12 +291,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """doc_id, fingerprint (hex), component_id of each row of docs."""
     prints = storage.written(fingerprints(docs, shingle), "fingerprints")
     nodes = storage.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components.components(links(nodes.select("fp"), nodes.count(), radius))
-    found = found.withColumnsRenamed({"node": "fp", "component": "root"})
+    settled = components.settled(links(nodes.select("fp"), nodes.count(), radius), "found")
+    found = settled.withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = storage.written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = storage.written(rooted.join(least, "root").select("fp", "component_id"), "named")
+    storage.drop(nodes, settled, rooted)
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -295,6 +310,12 @@ MISS = 0.005
 #: Words of the wide fingerprint that a place compares, and deviations that it allows there.
 PART = 2
 DEVIATIONS = 3.0
+#: Shingles up to which estimates are not trusted, and the most that a partner of such a text has.
+FEW = 32
+FEW_PARTNER = 40
+#: Share of differing bits that texts of few shingles may come to at the least similarity: of
+#: five shingles four are shared at 0.8, and then 3/16 of the bits differ.
+FEW_SHARE = 0.1875
 
 
 def bit_share(similarity: float) -> float:
@@ -331,7 +352,7 @@ _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(doc_id, wide: array of WIDE / 64 longs) of each row."""
+    """(doc_id, wide: array of WIDE / 64 longs, shingles: how many distinct ones) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,75 +362,81 @@ def wide_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFr
                 each = [majority(textvec.mix(shingles + textvec.mix(np.array([k + 1], np.uint64))), counts) for k in range(words)]
                 flat = pa.array(np.stack(each, axis=1).reshape(-1).view(np.int64))
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "wide"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, flat), pa.array(counts.astype(np.int64))], ["doc_id", "wide", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, wide array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, wide array<long>, shingles long")
 
 
-def _meetings(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
-    """(band, key, node, p0, ...) of every node at every set of drawn bits."""
+def _drawn(count: int, share: float, seed: int) -> np.ndarray:
+    """(bands, size) places of the bits by which nodes meet; a pair that differs in that share
+    of bits meets nowhere with chance MISS."""
     size = max(14, math.ceil(math.log2(max(count, 1))) - 5)
-    same = 1 - bit_share(similarity)
-    bands = math.ceil(math.log(MISS) / math.log(1 - same**size))
-    rng = np.random.default_rng(64)
-    drawn = np.concatenate([rng.permutation(WIDE) for _ in range(-(-bands * size // WIDE))])[: bands * size].reshape(bands, size)
+    bands = math.ceil(math.log(MISS) / math.log(1 - (1 - share) ** size))
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.permutation(WIDE) for _ in range(-(-bands * size // WIDE))])[: bands * size].reshape(bands, size)
+
+
+def _meetings(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
+    """(band, key, node, few, p0, ...) of every node(node, wide, shingles) at every set of drawn bits.
+
+    Bands of texts with few shingles are counted downwards from -1.
+    """
+    usual, more = _drawn(count, bit_share(similarity), 64), _drawn(count, max(FEW_SHARE, bit_share(similarity)), 65)
     words = WIDE // 64
+    names = ["band", "key", "node", "few", *(f"p{p}" for p in range(PART))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                node = part.column("node").to_numpy()
-                wide = part.column("wide").flatten().to_numpy().view(np.uint64).reshape(-1, words)
-                bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
-                power = 1 << np.arange(size, dtype=np.int64)
-                keys = [bits[:, d].astype(np.int64) @ power for d in drawn]
-                out = {"band": pa.array(np.repeat(np.arange(bands, dtype=np.int32), len(node))), "key": pa.array(np.concatenate(keys)), "node": pa.array(np.tile(node, bands))}
-                for p in range(PART):
+                whole = part.column("wide").flatten().to_numpy().view(np.uint64).reshape(-1, words)
+                every, size = part.column("node").to_numpy(), part.column("shingles").to_numpy()
+                for few, drawn, some in ((0, usual, size > FEW), (1, more, size <= FEW_PARTNER)):
+                    node, wide = every[some], whole[some]
+                    if not len(node):
+                        continue
+                    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
+                    power = 1 << np.arange(drawn.shape[1], dtype=np.int64)
+                    band = np.arange(len(drawn), dtype=np.int32)
+                    out = [np.repeat(-1 - band if few else band, len(node)), np.concatenate([bits[:, d].astype(np.int64) @ power for d in drawn]), np.tile(node, len(drawn)), np.full(len(node) * len(drawn), few, np.int64)]
                     # Another part in each band, so that a pair's chance differs between them.
-                    out[f"p{p}"] = pa.array(np.concatenate([wide[:, (band * PART + p) % words] for band in range(bands)]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
-
-    return nodes.mapInArrow(run, "band int, key long, node long, " + ", ".join(f"p{p} long" for p in range(PART)))
+                    out += [np.concatenate([wide[:, (k * PART + p) % words] for k in band]).view(np.int64) for p in range(PART)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
 
+    return nodes.mapInArrow(run, "band int, key long, node long, few long, " + ", ".join(f"p{p} long" for p in range(PART)))
 
-#: What a row of candidates is: a pair (a, b), or node b of crowd a.
-PAIR, CROWDED = 0, 1
 
-
-def _kinds(a: np.ndarray, b: np.ndarray, crowd: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kind = np.repeat(np.array([PAIR, CROWDED], np.int64), [len(a), len(crowd)])
-    return np.concatenate([a, crowd]), np.concatenate([b, node]), kind
+def _limit(bits: int, share: float) -> int:
+    return math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
 
 def candidate_pairs(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
-    """Distinct rows (a, b, kind): pairs of nodes(node, wide) that may reach the similarity and
-    span what a place holds, and the crowds in which further pairs may."""
-    bits = 64 * PART
-    share = bit_share(similarity)
-    radius = math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
+    """Distinct pairs (a, b, marked) of nodes(node, wide, shingles) that may reach the similarity
+    and span what a place holds; marked where other pairs there may as well."""
+    radius = [_limit(64 * PART, bit_share(similarity)), _limit(64 * PART, max(FEW_SHARE, bit_share(similarity)))]
 
     def linked(found: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-        node = np.unique(found["node"])
-        # A node may stand here for several places of one block, with other parts; each is compared.
-        fps = np.stack([found[f"p{p}"] for p in range(PART)], axis=1).view(np.uint64)
-        which = np.searchsorted(node, found["node"])
-        i, j = near_pairs(fps, radius)
-        far = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64)
-        a, b = which[i], which[j]
-        some = nearest_forest(a, b, far, len(node))
-        root, n = spanned(len(node), a, b), len(node)
-        more = np.bincount(root[a], minlength=n) > np.bincount(root[a[some]], minlength=n)
-        member = np.flatnonzero((more & (np.bincount(root, minlength=n) > 2))[root])
-        # The same nodes are the same crowd wherever they meet.
-        crowd = np.zeros(n, np.uint64)
-        np.add.at(crowd, root[member], textvec.mix(node[member].view(np.uint64)))
-        return _kinds(node[a[some]], node[b[some]], crowd[root[member]].view(np.int64), node[member])
-
-    found = compared(tiled(_meetings(nodes, count, similarity), "node"), linked, ("a", "b", "kind"))
-    pair = F.col("kind") == PAIR
-    found = found.select(F.when(pair, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(pair, F.greatest("a", "b")).otherwise(F.col("b")).alias("b"), "kind")
-    return found.where(~pair | (F.col("a") != F.col("b"))).distinct()
+        out = []
+        for few in np.unique(found["few"]):
+            mine = found["few"] == few
+            # A node may stand here for several places of one block, with other parts; each is compared.
+            node, which = np.unique(found["node"][mine], return_inverse=True)
+            fps = np.stack([found[f"p{p}"][mine] for p in range(PART)], axis=1).view(np.uint64)
+            i, j = near_pairs(fps, radius[few])
+            far = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64)
+            a, b, n = which[i], which[j], len(node)
+            other = a != b
+            a, b, far = a[other], b[other], far[other]
+            some = nearest_forest(a, b, far, n)
+            root = spanned(n, a, b)
+            # A pair may be found for several places; distinct ones count.
+            known = np.unique(np.minimum(a, b) * n + np.maximum(a, b)) // n
+            more = np.bincount(root[known], minlength=n) > np.bincount(root[a[some]], minlength=n)
+            out.append((node[a[some]], node[b[some]], more[root[a[some]]].astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    found = compared(tiled(_meetings(nodes, count, similarity), "node"), linked, ("a", "b", "marked"))
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("marked").alias("marked"))
 
 
 def far_limits(similarity: float) -> tuple[float, float]:
@@ -419,47 +446,8 @@ def far_limits(similarity: float) -> tuple[float, float]:
     return WIDE * share - slack, WIDE * share + slack
 
 
-def unjoined_pairs(crowds: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Distinct rows (a, b, kind) of crowds(crowd, node, component, wide): links that are sure
-    and span; of the pairs near the limit between components that these leave apart, the `most`
-    nearest of each component; and the crowds in which such pairs were left out."""
-    low, high = far_limits(similarity)
-    words = WIDE // 64
-    met = crowds.select(
-        F.lit(0).alias("band"), F.col("crowd").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "component", "crowd", *[F.col("wide")[p].alias(f"p{p}") for p in range(words)]
-    )
-
-    def linked(found: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-        node, first = np.unique(found["node"], return_index=True)
-        fps = np.stack([found[f"p{p}"][first] for p in range(words)], axis=1).view(np.uint64)
-        own = np.unique(found["component"][first], return_inverse=True)[1]
-        n = int(own.max()) + 1
-        i, j = near_pairs(fps, math.floor(high))
-        apart = own[i] != own[j]
-        i, j = i[apart], j[apart]
-        far = np.concatenate([np.bitwise_count(fps[x] ^ fps[y]).sum(1, dtype=np.int64) for x, y in zip(*(np.array_split(k, len(i) // 100_000 + 1) for k in (i, j)), strict=True)])
-        sure = np.flatnonzero(far < low)
-        tree = sure[nearest_forest(own[i[sure]], own[j[sure]], far[sure], n)]
-        label = spanned(n, own[i[sure]], own[j[sure]])[own]
-        near = np.flatnonzero((far >= low) & (label[i] != label[j]))
-        # Each component's pairs by distance.
-        end, pair = np.concatenate([label[i[near]], label[j[near]]]), np.tile(near, 2)
-        order = np.lexsort((pair, far[pair], end))
-        begins = np.searchsorted(end[order], end[order])
-        some = np.unique(pair[order[np.arange(len(order)) - begins < most]])
-        rest = np.setdiff1d(near, some, assume_unique=True)
-        left = np.isin(found["node"], node[np.concatenate([i[rest], j[rest]])])
-        crowd = np.unique(found["crowd"][left])
-        chosen = np.concatenate([tree, some])
-        return _kinds(node[i[chosen]], node[j[chosen]], crowd, crowd)
-
-    return compared(met, linked, ("a", "b", "kind"))
-
-
-def exact_similarity(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """pairs(a, b, doc_a, doc_b) with the Jaccard similarity of the two documents' shingles."""
-    asked = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select(F.col("doc_b").alias("doc_id"))).distinct()
-    asked = storage.small(storage.written(asked, "asked"))
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, s) of the wanted(doc_id): the distinct shingle hashes of its text, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -468,76 +456,158 @@ def exact_similarity(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFra
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))], ["doc_id", "s"])
 
-    sets = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>")
-    sets = storage.written(sets.dropDuplicates(["doc_id"]), "shingles")
-    one, other = (sets.select(F.col("doc_id").alias(f"doc_{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(one, "doc_a").join(other, "doc_b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>")
+    # Of rows that share a doc_id, the same one whatever the order.
+    return sets.groupBy("doc_id").agg(F.min("s").alias("s"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, links: DataFrame | None, shingle: int, similarity: float) -> DataFrame:
-    """links (a, b) and those of pairs that reach the similarity; pairs that the sure ones join need no exact check."""
-    one, other = (nodes.select(F.col("node").alias(x), F.col("rep").alias(f"doc_{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+def exact_similarity(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """pairs(a, b, doc_a, doc_b) with the Jaccard similarity of the two documents' shingles."""
+    asked = storage.written(pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select(F.col("doc_b").alias("doc_id"))).distinct(), "asked")
+    sets = storage.written(shingle_sets(docs, storage.small(asked), shingle), "shingles")
+    one, other = (sets.select(F.col("doc_id").alias(f"doc_{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(one, "doc_a").join(other, "doc_b")
+    shared, whole = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    # Two texts without words are alike.
+    found = both.select("a", "b", F.when(whole == 0, 1.0).otherwise(shared / (whole - shared)).alias("similarity"))
+    found = storage.written(found, "similarity")
+    storage.drop(asked, sets)
+    return found
+
+
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) of pairs(a, b, marked): sure ones, and of those near the limit that are
+    not marked and not joined by sure ones the exactly similar ones."""
+    one, other = (nodes.select(F.col("node").alias(x), F.col("rep").alias(f"doc_{x}"), F.col("wide").alias(f"w{x}"), F.col("shingles").alias(f"n{x}")) for x in "ab")
     both = pairs.join(one, "a").join(other, "b")
     differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     low, high = far_limits(similarity)
-    judged = storage.written(both.select("a", "b", "doc_a", "doc_b", differing.alias("far")).where(F.col("far") <= high), "judged")
-    sure = judged.where(F.col("far") < low).select("a", "b")
-    sure = sure if links is None else links.union(sure)
+    few = F.least("na", "nb") <= FEW
+    judged = both.select("a", "b", "marked", "doc_a", "doc_b", few.alias("few"), differing.alias("far")).where(F.col("few") | (F.col("far") <= high))
+    judged = storage.written(judged, "judged")
+    clear = ~F.col("few") & (F.col("far") < low)
+    sure = judged.where(clear).select("a", "b")
     # Pairs near the limit matter only between groups that are not joined yet.
-    first = storage.written(components.components(sure), "first")
-    open_ = judged.where(F.col("far") >= low)
+    first = components.settled(sure, "first")
+    open_ = judged.where(~clear & (F.col("marked") == 0))
     for x in "ab":
         open_ = open_.join(first.withColumnsRenamed({"node": x, "component": f"c{x}"}), x, "left")
-    open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "doc_a", "doc_b")
-    near = exact_similarity(docs, storage.written(open_, "open"), shingle).where(F.col("similarity") >= similarity).select("a", "b")
-    return storage.written(sure.union(near), "links")
+    open_ = storage.written(open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "doc_a", "doc_b"), "open")
+    near = exact_similarity(docs, open_, shingle)
+    out = storage.written(sure.union(near.where(F.col("similarity") >= similarity).select("a", "b")), "links")
+    storage.drop(judged, first, open_, near)
+    return out
+
+
+def similar_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs (i, j) of distinct shingle sets reach the similarity, exactly."""
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    number = np.cumsum(new) - 1
+    # Shingles that one set alone has count for no pair; the rest in blocks of columns.
+    often = np.bincount(number) > 1
+    column = np.cumsum(often) - 1
+    kept = often[number]
+    row, column = owner[order][kept], column[number[kept]]
+    left, right = np.unique(i), np.unique(j)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    place = np.zeros(len(sets), np.int64)
+    block = 4096
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, block):
+        some = slice(*np.searchsorted(column, [begin, begin + block]))
+        has = np.zeros((len(sets), block), np.float32)
+        has[row[some], column[some] - begin] = 1
+        shared += has[left] @ has[right].T
+    at = [np.searchsorted(x, y) for x, y in ((left, i), (right, j))]
+    both = shared[at[0], at[1]].astype(np.float64)
+    whole = size[i] + size[j] - both
+    return (both >= similarity * whole) | (whole == 0)
+
+
+def crowd_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join the similar nodes of different components(node, component) inside
+    the crowds that marked pairs make."""
+    crowds = components.settled(pairs.where("marked = 1").select("a", "b"), "crowds")
+    held = crowds.withColumnRenamed("component", "crowd").join(found, "node", "left").select("crowd", "node", F.coalesce("component", "node").alias("component"))
+    held = storage.written(held, "held")
+    groups = held.groupBy("crowd", "component").count()
+    main = groups.groupBy("crowd").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    apart = held.join(main, "crowd").select("crowd", "node", "component", (F.col("component") == F.col("main")).alias("settled"))
+    apart = storage.written(apart.join(nodes.select("node", "rep", "wide", "shingles"), "node"), "apart")
+    sized = apart.groupBy("crowd", "settled").agg(F.greatest(F.ceil(F.count("*") / CROWD_TILE), F.ceil(F.sum("shingles") / CROWD_SHINGLES), F.lit(1)).cast("int").alias("n"))
+    tiles = sized.groupBy("crowd").agg(F.coalesce(F.max(F.when(~F.col("settled"), F.col("n"))), F.lit(0)).alias("open"), F.coalesce(F.max(F.when(F.col("settled"), F.col("n"))), F.lit(0)).alias("closed"))
+    dealt = apart.join(tiles, "crowd")
+    tile = F.when(F.col("settled"), F.col("open") + F.pmod(F.xxhash64("node"), F.greatest("closed", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("open", F.lit(1)))).cast("int")
+    # Tiles from `open` on lie in the crowd's largest component; no two of them meet.
+    others = F.sequence(F.lit(0), F.col("open") + F.when(F.col("settled"), F.lit(0)).otherwise(F.col("closed")) - 1)
+    dealt = dealt.withColumn("tile", tile).withColumn("other", F.explode(others))
+    wanted = storage.written(apart.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sets = shingle_sets(docs, storage.small(wanted), shingle).withColumnRenamed("doc_id", "rep")
+    met = dealt.select(
+        F.lit(0).alias("band"), F.col("crowd").alias("key"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "component", "rep", *[F.col("wide")[p].alias(f"p{p}") for p in range(WIDE // 64)],
+        F.least("shingles", F.lit(FEW + 1)).alias("few"),
+    ).join(sets, "rep")
+    high = math.floor(far_limits(similarity)[1])
+
+    def linked(found: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        node, first = np.unique(found["node"], return_index=True)
+        own, few = found["component"][first], found["few"][first] <= FEW
+        fps = np.stack([found[f"p{p}"][first] for p in range(WIDE // 64)], axis=1).view(np.uint64)
+        i, j = near_pairs(fps, high)
+        # Texts of few shingles are not judged by their fingerprints: all of them are compared.
+        some = np.flatnonzero(few)
+        x, y = np.triu_indices(len(some), 1)
+        i, j = np.concatenate([i, some[x]]), np.concatenate([j, some[y]])
+        apart = own[i] != own[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return i, j
+        good = similar_links([found["s"][k] for k in first], i, j, similarity)
+        i, j = i[good], j[good]
+        label = spanned(len(node), i, j)
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return node[moved], node[label[moved]]
+
+    out = storage.written(compared(met.drop("rep"), linked, sets="s"), "crowded")
+    storage.drop(crowds, held, apart, wanted)
+    return out
 
 
 def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of each row of docs, by word-shingle similarity."""
     prints = storage.written(wide_fingerprints(docs, shingle).withColumn("node", F.xxhash64("wide")), "wide")
-    nodes = storage.written(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("wide").alias("wide")), "nodes")
-    met = storage.written(candidate_pairs(nodes.select("node", "wide"), nodes.count(), similarity), "met")
-    tried = met.where(F.col("kind") == PAIR).select("a", "b")
-    crowds = met.where(F.col("kind") == CROWDED).select(F.col("a").alias("crowd"), F.col("b").alias("node"))
-    links, most = _verified(docs, nodes, tried, None, shingle, similarity), 1
-    while True:
-        found = storage.written(components.components(links), "found")
-        held = crowds.join(found, "node", "left").select("crowd", "node", F.coalesce("component", "node").alias("component"))
-        held = storage.written(held, "held")
-        apart = held.groupBy("crowd").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("crowd")
-        apart = storage.written(apart, "apart")
-        if apart.isEmpty():
-            break
-        crowds = storage.written(held.join(apart, "crowd"), "crowds")
-        met = storage.written(unjoined_pairs(crowds.join(nodes.select("node", "wide"), "node"), similarity, most), "met")
-        pairs = met.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = storage.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = _verified(docs, nodes, pairs, links, shingle, similarity)
-        tried, most = tried.union(pairs), 8 * most
-        crowds = crowds.join(met.where(F.col("kind") == CROWDED).select(F.col("a").alias("crowd")), "crowd", "left_semi").select("crowd", "node")
+    nodes = storage.written(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("wide").alias("wide"), F.min("shingles").alias("shingles")), "nodes")
+    pairs = storage.written(candidate_pairs(nodes.select("node", "wide", "shingles"), nodes.count(), similarity), "pairs")
+    links = _links(docs, nodes, pairs, shingle, similarity)
+    found = components.settled(links, "found")
+    more = crowd_links(docs, nodes, pairs, found, shingle, similarity)
+    if not more.isEmpty():
+        storage.drop(found)
+        found = components.settled(links.union(more), "found")
     found = found.withColumnsRenamed({"component": "root"})
     rooted = storage.written(nodes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = storage.written(rooted.join(least, "root").select("node", "component_id"), "named")
+    storage.drop(nodes, pairs, links, more, found, rooted)
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of docs for each group, that of least doc_id, and the rows without doc_id.
 
-    Of rows that share that doc_id, the one of least text stays.
+    Of rows that share that doc_id, the one of least text stays, and of those any one.
     """
     groups = storage.written(similar(docs.where("doc_id is not null"), shingle, similarity), "groups")
     later = storage.written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "later")
-    kept = docs.join(storage.small(later), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(storage.small(later), "doc_id", "left_anti").select(*storage.columns(docs))
     again = storage.written(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    storage.drop(groups)
     if again.isEmpty():
         return kept
     again = storage.small(again)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.min(F.struct(F.coalesce("text", F.lit("")).alias("_order"), "text", *rest)).alias("_first")
-    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", *[F.col(f"_first.{c}").alias(c) for c in ["text", *rest]])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    # Any type of column may be carried, so a row is taken by its text and not compared itself.
+    first = F.min_by(F.struct(*storage.columns(docs)), F.coalesce("text", F.lit(""))).alias("row")
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*storage.columns(docs)).union(once)
