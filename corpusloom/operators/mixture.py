@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import order
+from corpusloom.operators import order, shards
 
-#: Text columns in the order in which they are tried.
+# Text columns in the order in which they are tried.
 TEXT_COLUMNS = ("text", "content", "code", "raw_content")
 
 
@@ -25,7 +25,7 @@ class Entry:
     skip: int = 0
 
 
-#: Published mixes (shares of tokens; the web slice of each skips what an earlier run read).
+# Published mixes (shares of tokens; the web slice of each skips what an earlier run read).
 RECIPES = {
     "e2": [Entry("fineweb_edu", 0.55, 8_000_000_000), Entry("web", 0.20), Entry("code", 0.15), Entry("math", 0.10)],
     "e3": [Entry("fineweb_edu", 0.45, 8_000_000_000), Entry("web", 0.20), Entry("code", 0.10), Entry("math", 0.10), Entry("distill", 0.15)],
@@ -50,74 +50,92 @@ def normalised(recipe: list[Entry]) -> list[Entry]:
     return [Entry(e.name, e.weight / whole, e.skip) for e in recipe]
 
 
-def schedule(lengths: list[np.ndarray], weights: list[float], most: int | None = None) -> Iterator[tuple[int, int, int]]:
-    """(source, place in it, tokens before) of each draw, in order.
+class Mixer:
+    """Draws from several queues so that each source stays close to its share of the tokens.
 
-    The live source that is furthest behind its share of what has been drawn is next, the
-    first of equals. A source that has run out leaves; the shares stay as they are. A draw
-    happens while less than `most` tokens have been drawn.
+    A source's credit is its share of all tokens drawn, less its own. The source with most
+    credit is next, the first of equals; one that has handed over all its documents is out, and
+    the shares stay as they are. Documents may be offered long before or just when they
+    are due: drawing stops where the next one has not been offered yet.
     """
-    own = [x.tolist() for x in lengths]
-    emitted, taken, total = [0] * len(own), [0] * len(own), 0
-    live = list(range(len(own)))
-    while live and (most is None or total < most):
-        pick = max(live, key=lambda k: weights[k] * total - emitted[k])
-        if taken[pick] == len(own[pick]):
-            live.remove(pick)
-            continue
-        n = own[pick][taken[pick]]
-        yield pick, taken[pick], total
-        emitted[pick] += n
-        taken[pick] += 1
-        total += n
+
+    def __init__(self, weights: list[float], documents: list[int], most: int | None = None):
+        self.sources = [(k, w, deque()) for k, w in enumerate(weights)]
+        self.open, self.own = list(documents), [0] * len(weights)
+        self.drawn, self.rank, self.most = 0, 0, most
+
+    def offer(self, source: int, document: int, n: int) -> None:
+        self.sources[source][2].append((document, n))
+
+    def draws(self) -> Iterator[tuple[int, int, int, int]]:
+        """(source, document, rank, tokens before) as far as the offered documents go."""
+        while self.most is None or self.drawn < self.most:
+            best, credit = None, 0.0
+            for k, weight, queue in self.sources:
+                mine = weight * self.drawn - self.own[k]
+                if self.open[k] and (best is None or mine > credit):
+                    best, credit, waiting = k, mine, queue
+            if best is None or not waiting:
+                return
+            document, n = waiting.popleft()
+            yield best, document, self.rank, self.drawn
+            self.open[best] -= 1
+            self.own[best] += n
+            self.drawn += n
+            self.rank += 1
 
 
 def mix(docs: DataFrame, recipe: list[Entry], source: str = "source", order_column: str = "doc_id", max_tokens: int | None = None) -> DataFrame:
     """docs(source, order, n, ...) in drawing order: adds `rank` and `start`, the tokens before.
 
-    Each decision depends on all before it, so lengths alone (eight bytes a document) pass
-    through one task; texts stay where they are and meet their rank in a join.
+    Each decision depends on all before it, so the lengths alone (some bytes a document) pass
+    through one task. They come sorted by tokens before them over their weight, which is about
+    the order in which they are drawn, so the task holds the few that are not due yet. With
+    max_tokens, documents that lie behind so many of their own source stay out of it. Texts
+    stay where they are and meet their rank in a join.
     """
     recipe = normalised(recipe)
     names = [e.name for e in recipe]
     rows, _ = order.place(docs.where(F.col(source).isin(names)), "n", order_column, source)
-    keep = F.lit(True)
+    keep, weight = F.lit(True), F.lit(1.0)
     for e in recipe:
         keep = F.when(F.col(source) == e.name, F.col("start") >= e.skip).otherwise(keep)
-    rows = rows.where(keep).drop("start")
-    weights = [e.weight for e in recipe]
+        weight = F.when(F.col(source) == e.name, F.lit(e.weight)).otherwise(weight)
+    rows = rows.where(keep)
+    first = {r[source]: r for r in rows.groupBy(source).agg(F.min("start").alias("start"), F.count("*").alias("n")).collect()}
+    begin = F.lit(0).cast("long")
+    for name, r in first.items():
+        begin = F.when(F.col(source) == name, F.lit(r["start"])).otherwise(begin)
+    meta = rows.select(F.col(source).alias("_source"), F.col(order_column).cast("long").alias("_order"), "n", (F.col("start") - begin).alias("before"), weight.alias("weight"))
+    if max_tokens is not None:
+        meta = meta.where(F.col("before") < max_tokens)
+    weights, counts = [e.weight for e in recipe], [first[name]["n"] if name in first else 0 for name in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [([], []) for _ in names]
-        place = {name: k for k, name in enumerate(names)}
+        mixer, place = Mixer(weights, counts, max_tokens), {name: k for k, name in enumerate(names)}
         for batch in batches:
-            number = np.array([place[s] for s in batch.column(0).to_pylist()], np.int64)
-            ids, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for k in range(len(names)):
-                kept[k][0].append(ids[number == k])
-                kept[k][1].append(n[number == k])
-        ids, lengths = ([np.concatenate(x[part]) if x[part] else np.zeros(0, np.int64) for x in kept] for part in (0, 1))
-        out: list[tuple[str, int, int, int]] = []
-        columns = ["_source", "_order", "rank", "start"]
-
-        def table() -> pa.RecordBatch:
+            for name, document, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                mixer.offer(place[name], document, n)
+            out = list(mixer.draws())
+            columns = list(zip(*out, strict=True)) or [()] * 4
             types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], columns)
-
-        for rank, (k, at, before) in enumerate(schedule(lengths, weights, max_tokens)):
-            out.append((names[k], int(ids[k][at]), rank, before))
-            if len(out) == 10_000:
-                yield table()
-                out = []
-        if out:
-            yield table()
-
-    meta = rows.select(source, F.col(order_column).cast("long").alias("_order"), "n").repartition(1).sortWithinPartitions("_order")
-    ranks = meta.mapInArrow(run, "_source string, _order long, rank long, start long")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[names[k] for k in columns[0]], *columns[1:]], types, strict=True)], ["_source", "_order", "rank", "start"])
+
+    queue = meta.repartition(1).sortWithinPartitions(F.col("before") / F.col("weight"), "_order").select("_source", "_order", "n")
+    ranks = queue.mapInArrow(run, "_source string, _order long, rank long, start long")
+    rows = rows.drop("start")
     on = (rows[source] == F.col("_source")) & (rows[order_column] == F.col("_order"))
     return rows.join(ranks, on).drop("_source", "_order")
 
 
+def packed(drawn: DataFrame, size: int, max_shards: int | None = None) -> tuple[DataFrame, dict]:
+    """Spans of the full shards of a drawn stream (start, n), and the totals."""
+    whole = drawn.agg(F.sum("n")).first()[0] or 0
+    full = whole // size if max_shards is None else min(whole // size, max_shards)
+    cut = shards.spans(drawn.where(F.col("start") < full * size), size, "shard_id").where(F.col("shard_id") < full)
+    return cut, {"shards_written": full, "tokens_written": full * size, "tokens_drawn": whole}
+
+
 def stride_rank(docs: DataFrame, recipe: list[Entry], source: str = "source", order_column: str = "doc_id") -> DataFrame:
     """An approximate mix without a sequential step: documents sort by tokens before / weight.
 

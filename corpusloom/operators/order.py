@@ -2,7 +2,8 @@
 
 Order values are cut into ranges of about equal row counts; each range is summed locally
 and shifted by the totals of the ranges before it, of which the driver holds one number per
-range (and source).
+range (and source). Only the order, the source and the value pass through the window; all
+other columns meet their position in a hash join.
 """
 
 from __future__ import annotations
@@ -24,37 +25,44 @@ def boundaries(df: DataFrame, order: str, ranges: int) -> list:
 
 
 def range_of(order: str, bounds: list) -> Column:
+    """Number of bounds that are not above the order value, by binary search."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)))
+    held, n = F.array(*map(F.lit, bounds)), len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    ahead = lambda at, step: (at + step <= n) & F.coalesce(F.get(held, at + step - 1) <= F.col(order), F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
+
+
+#: Rows of (order, position) that may be sent to every executor: some tens of megabytes.
+SMALL_ROWS = 1_000_000
 
 
 def place(df: DataFrame, value: str, order: str, source: str | None = None, ranges: int | None = None) -> tuple[DataFrame, dict]:
     """df with `start`, the sum of value over the rows before, in the order column's order.
 
     Also the total of each source (under None where there is no source column). Order values
-    are distinct within a source. Sources are those of a recipe, so they are few.
+    are distinct within a source; a null one comes first. Sources are those of a recipe, so they
+    are few.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = df.withColumn("_range", range_of(order, boundaries(df, order, ranges)))
-    by = ["_range"] if source is None else [source, "_range"]
+    keys = df.select(F.col(order).alias("_order"), F.col(value).alias("_value"), *([] if source is None else [F.col(source).alias("_source")]))
+    marked = keys.withColumn("_range", range_of("_order", boundaries(keys, "_order", ranges)))
+    by = ["_range"] if source is None else ["_source", "_range"]
     sums: dict = {}
-    for row in marked.groupBy(*by).agg(F.sum(value).cast("long").alias("n")).collect():
-        sums.setdefault(None if source is None else row[source], {})[row["_range"]] = row["n"]
-    before, totals = {}, {}
+    rows = 0
+    for row in marked.groupBy(*by).agg(F.sum("_value").cast("long").alias("n"), F.count("*").alias("rows")).collect():
+        sums.setdefault(None if source is None else row["_source"], {})[row["_range"]] = row["n"]
+        rows += row["rows"]
+    local = F.coalesce(F.sum("_value").over(Window.partitionBy(*by).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = F.lit(0).cast("long")
     for name, parts in sums.items():
-        keys = sorted(parts)
-        for key, n in zip(keys, accumulate([0, *[parts[k] for k in keys[:-1]]]), strict=True):
-            before[name, key] = n
-        totals[name] = sum(parts.values())
-    local = F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if source is None:
-        most = max((k for _, k in before), default=0)
-        shift = F.get(F.array(*[F.lit(before.get((None, k), 0)).cast("long") for k in range(most + 1)]), F.col("_range"))
-    else:
-        shift = F.lit(0).cast("long")
-        for name, parts in sums.items():
-            most = max(parts)
-            own = F.get(F.array(*[F.lit(before.get((name, k), 0)).cast("long") for k in range(most + 1)]), F.col("_range"))
-            shift = F.when(F.col(source).eqNullSafe(F.lit(name)), own).otherwise(shift)
-    return marked.withColumn("start", (local + shift).cast("long")).drop("_range"), totals
+        sizes = [parts.get(k, 0) for k in range(max(parts) + 1)]
+        own = F.get(F.array(*[F.lit(x).cast("long") for x in accumulate([0, *sizes[:-1]])]), F.col("_range"))
+        shift = own if source is None else F.when(F.col("_source").eqNullSafe(F.lit(name)), own).otherwise(shift)
+    placed = marked.withColumn("start", (local + shift).cast("long")).drop("_range", "_value")
+    same = df[order].eqNullSafe(placed["_order"])
+    if source is not None:
+        same = same & df[source].eqNullSafe(placed["_source"])
+    placed = F.broadcast(placed) if rows <= SMALL_ROWS else placed.hint("shuffle_hash")
+    return df.join(placed, same).drop("_order", "_source"), {name: sum(parts.values()) for name, parts in sums.items()}

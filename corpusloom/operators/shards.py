@@ -92,14 +92,22 @@ class Position:
         return cls(shard, token, epoch)
 
 
-def batch_rows(placed: DataFrame, total: int, batch: int, length: int, batches: int, offset: int = 0) -> DataFrame:
+def full_batches(total: int, batch: int, length: int, offset: int = 0) -> int:
+    """Batches that a stream of `total` tokens fills from an offset on, before it starts over."""
+    return max(0, total - offset) // (batch * (length + 1))
+
+
+def batch_rows(placed: DataFrame, total: int, batch: int, length: int, batches: int, offset: int = 0, max_epochs: int | None = None) -> DataFrame:
     """Spans of `batches` batches of `batch` rows with length + 1 tokens, from a global offset on.
 
-    The stream starts over at its end; `epoch` tells how often it has by each span.
+    The stream starts over at its end; `epoch` tells how often it has by each span. To read
+    into an epoch that max_epochs leaves out is an error.
     """
     row, end = length + 1, offset + batches * batch * (length + 1)
     if total <= 0:
         raise ValueError("no tokens to batch")
+    if max_epochs is not None and batches and (end - 1) // total >= max_epochs:
+        raise ValueError(f"the batches reach epoch {(end - 1) // total} of {total} tokens; {max_epochs} are allowed")
     laps = F.sequence(F.lit(offset // total).cast("long"), F.lit((end - 1) // total).cast("long"))
     lapped = placed.withColumn("epoch", F.explode(laps)).withColumn("start", F.col("start") + F.col("epoch") * total)
     # Only what lies in [offset, end), counted from offset.

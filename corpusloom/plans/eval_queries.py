@@ -8,6 +8,7 @@ from corpusloom.functions import numeric
 from corpusloom.operators import evaluate
 from corpusloom.plans.numeric_queries import NLL, logits, rounded
 from corpusloom.plans.registry import query
+from corpusloom.sources import sinks
 from corpusloom.sources.tables import table
 
 # Published scores (run, attention, optimizer, then acc_norm of two tasks, acc of two).
@@ -167,10 +168,7 @@ def k8_checkpoint_rotation(spark, sf_dir):
 @query("select event_id as step, event_type as metric, value from events where event_id % 25 = 0")
 def k10_metrics_log(spark, sf_dir):
     """Every 25th step's metrics, appended to a table and read again."""
-    from corpusloom.plans.stream_queries import scratch
-    from corpusloom.sources import sinks
-
-    path = scratch(spark, "metrics")
+    path = sinks.scratch(spark, "metrics")
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("metric"), "value")
     for half in range(2):
         sinks.append_metrics(log.where(F.col("step") % 2 == half), path, every=25)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +9,14 @@ from corpusloom.functions import encode
 from corpusloom.operators import mixture, order, shards
 from corpusloom.plans.registry import query
 from corpusloom.sources import sinks
+from corpusloom.sources.sinks import scratch
+from corpusloom.sources.tables import npy_shards, table, text_stream, token_count
 from corpusloom.sources.tables import shards as read_shards
-from corpusloom.sources.tables import table, text_stream, token_count
 from corpusloom.streaming import watch
 
+#: Tokens of the skipped prefix and of a shard; shards of the query that stops early.
 SKIP, SIZE, MOST = 50_000, 100_000, 5
-BATCH, LENGTH, BATCHES, CONTEXT = 4, 512, 6, 2048
+BATCH, LENGTH, CONTEXT = 4, 512, 2048
 
 #: Target shares of the languages in the mixing queries, first of equals first.
 MIX = [mixture.Entry("en", 0.45, 20_000), mixture.Entry("fr", 0.25), mixture.Entry("de", 0.2), mixture.Entry("es", 0.1)]
@@ -37,13 +36,7 @@ tokens as (
 """
 #: The same with nothing skipped.
 ALL_TOKENS = TOKENS.replace(f"s >= {SKIP}", "s >= 0")
-FULL = f"least((select max(g) + 1 from tokens) // {SIZE}, {MOST})"
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+FULL = f"(select (max(g) + 1) // {SIZE} from tokens)"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +47,9 @@ def ended() -> F.Column:
     return encode.with_end(encode.code_points(F.col("text")))
 
 
-@query("select doc_id, source, cast(length(text) as bigint) as n from documents where lang = 'de'")
+@query("select doc_id, source, cast(length(text) as bigint) as n from documents")
 def s1_document_scan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'de'")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", "source", encode.code_point_count(F.col("text")).alias("n"))
 
 
@@ -83,7 +76,7 @@ def s3_source_probe(spark, sf_dir):
 @query(TOKENS + f"select g // {SIZE} as shard_id, count(*) as n_tokens, sum(token)::bigint as token_sum from tokens where g // {SIZE} < {FULL} group by 1")
 def k1_shard_writer(spark, sf_dir):
     """Shards written by folder and read again, each token widened."""
-    cut, totals = shards.pack(documents(spark, sf_dir), SIZE, MOST, SKIP)
+    cut, totals = shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)
     sinks.require_output(totals["shards_written"])
     path = scratch(spark, "shards")
     sinks.check_writable(spark, path)
@@ -92,9 +85,18 @@ def k1_shard_writer(spark, sf_dir):
     return read_shards(spark, path).groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.sum("length").alias("n_tokens"), F.sum(summed).alias("token_sum"))
 
 
+@query(TOKENS + f"select g // {SIZE} as shard_id, count(*) as n_tokens, sum(token)::bigint as token_sum from tokens where g // {SIZE} < {FULL} group by 1")
+def k1_npy_shards(spark, sf_dir):
+    """Shards as flat .npy files, and read again."""
+    path = scratch(spark, "npy")
+    sinks.write_npy_shards(shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)[0], path, SIZE)
+    summed = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    return npy_shards(spark, path).select(F.col("shard_id").cast("long").alias("shard_id"), F.size("tokens").cast("long").alias("n_tokens"), summed.alias("token_sum"))
+
+
 @query(TOKENS + f"select g // {SIZE} as shard_id, count(*) as n_tokens from tokens where g // {SIZE} < {FULL} group by 1")
 def s6_shard_token_count(spark, sf_dir):
-    return token_count(shards.pack(documents(spark, sf_dir), SIZE, MOST, SKIP)[0])
+    return token_count(shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)[0])
 
 
 @query(ALL_TOKENS + """
@@ -152,7 +154,19 @@ select g // {SIZE} as shard_id, count(distinct doc_id) as n_docs, count(*) as n_
 from tokens where g // {SIZE} < {FULL} group by 1
 """)
 def o2_pack_token_shards(spark, sf_dir):
-    return shards.shard_summary(shards.pack(documents(spark, sf_dir), SIZE, MOST, SKIP)[0])
+    return shards.shard_summary(shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)[0])
+
+
+@query()
+def o2_tokenizer_shards(spark, sf_dir):
+    """Shards of a real tokenizer's ids, where its vocabulary files are installed: the texts are tokenised once."""
+    import public_tokenizers
+
+    path = scratch(spark, "ids")
+    ids = encode.tokenizer_ids(public_tokenizers.path("word_bpe_49k.json"))(documents(spark, sf_dir))
+    ids.withColumn("n", F.size("ids").cast("long")).write.parquet(path)
+    cut, _ = shards.pack(spark.read.parquet(path), SIZE, skip=SKIP, count=F.col("n"))
+    return shards.shard_summary(cut, encode.with_end(F.col("ids")))
 
 
 @query(PLACED + f"select count(*) as docs, sum(n)::bigint as tokens from moved where s < {MOST * SIZE}")
@@ -187,45 +201,51 @@ def _rows(cut: DataFrame) -> DataFrame:
     return cut.withColumn("part", part).groupBy("batch_id", "row").agg(F.sum("length").alias("n_tokens"), F.sum("part").alias("checksum"))
 
 
+#: Tokens of a batch, and all that the stream's full batches hold.
+_BATCH = BATCH * (LENGTH + 1)
+_FILLED = f"(select (max(g) + 1) // {_BATCH} * {_BATCH} from tokens)"
+
+
 @query(ALL_TOKENS + f"""
-select g // {BATCH * (LENGTH + 1)} as batch_id, cast(g // {LENGTH + 1} % {BATCH} as integer) as row, count(*) as n_tokens,
+select g // {_BATCH} as batch_id, cast(g // {LENGTH + 1} % {BATCH} as integer) as row, count(*) as n_tokens,
        sum(cast(token as bigint) * (g + 1))::bigint as checksum
-from tokens where g < {BATCHES * BATCH * (LENGTH + 1)} group by 1, 2
+from tokens where g < {_FILLED} group by 1, 2
 """)
 def o7_batches(spark, sf_dir):
     placed, total = _placed(spark, sf_dir)
-    return _rows(shards.batch_rows(placed, total, BATCH, LENGTH, BATCHES))
+    return _rows(shards.batch_rows(placed, total, BATCH, LENGTH, shards.full_batches(total, BATCH, LENGTH), max_epochs=1))
 
 
-#: Tokens before the end at which the wrapping queries begin.
+#: Tokens before the end at which the wrapping query begins; it reads a whole epoch and two batches more.
 BACK = 3000
 
 
-@query(ALL_TOKENS + f""", total as (select max(g) + 1 as n from tokens), want as (select unnest(range({BATCHES * BATCH * (LENGTH + 1)})) as p)
-select p // {BATCH * (LENGTH + 1)} as batch_id, cast(p // {LENGTH + 1} % {BATCH} as integer) as row, cast(min((p + n - {BACK}) // n) as bigint) as first_epoch,
+@query(ALL_TOKENS + f""", total as (select max(g) + 1 as n from tokens), want as (select unnest(range((n // {_BATCH} + 2) * {_BATCH})) as p from total)
+select p // {_BATCH} as batch_id, cast(p // {LENGTH + 1} % {BATCH} as integer) as row, cast(min((p + n - {BACK}) // n) as bigint) as first_epoch,
        cast(max((p + n - {BACK}) // n) as bigint) as last_epoch, sum(cast(token as bigint) * (p + 1))::bigint as checksum
 from want, total join tokens on g = (p + n - {BACK}) % n group by 1, 2
 """)
 def o8_epoch_wrap(spark, sf_dir):
     placed, total = _placed(spark, sf_dir)
-    cut = shards.batch_rows(placed, total, BATCH, LENGTH, BATCHES, offset=total - BACK)
+    cut = shards.batch_rows(placed, total, BATCH, LENGTH, shards.full_batches(total, BATCH, LENGTH) + 2, offset=total - BACK)
     part = shards.checksum(shards.span_ids(ended()), F.col("row_id") * (LENGTH + 1) + F.col("offset"))
     return cut.withColumn("part", part).groupBy("batch_id", "row").agg(F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"), F.sum("part").alias("checksum"))
 
 
 #: A reader that stopped after so many batches.
-READ = 3 * BATCH * (LENGTH + 1)
+READ = 3 * _BATCH
 
 
 @query(ALL_TOKENS + f"""
-select (g - {READ}) // {BATCH * (LENGTH + 1)} as batch_id, cast((g - {READ}) // {LENGTH + 1} % {BATCH} as integer) as row, count(*) as n_tokens,
+select (g - {READ}) // {_BATCH} as batch_id, cast((g - {READ}) // {LENGTH + 1} % {BATCH} as integer) as row, count(*) as n_tokens,
        sum(cast(token as bigint) * (g - {READ} + 1))::bigint as checksum
-from tokens where g >= {READ} and g < {READ + BATCHES * BATCH * (LENGTH + 1)} group by 1, 2
+from tokens where g >= {READ} and g < {_FILLED} group by 1, 2
 """)
 def o9_resume(spark, sf_dir):
     placed, total = _placed(spark, sf_dir)
     state = shards.Position.at(READ, SIZE, max(1, total // SIZE))
-    return _rows(shards.batch_rows(placed, total, BATCH, LENGTH, BATCHES, state.offset(SIZE, max(1, total // SIZE))))
+    offset = state.offset(SIZE, max(1, total // SIZE))
+    return _rows(shards.batch_rows(placed, total, BATCH, LENGTH, shards.full_batches(total, BATCH, LENGTH, offset), offset))
 
 
 _WINDOWS = TOKENS + f""", w as (select g // {SIZE} as shard_id, g % {SIZE} // {CONTEXT} as window_id, g % {SIZE} % {CONTEXT} as p, token from tokens
@@ -235,7 +255,7 @@ _WINDOWS = TOKENS + f""", w as (select g // {SIZE} as shard_id, g % {SIZE} // {C
 
 @query(_WINDOWS + "select shard_id, window_id, count(*) as n_tokens, count(*) - 1 as n_targets, sum(cast(token as bigint) * (p + 1))::bigint as checksum from w group by 1, 2")
 def o11_score_windows(spark, sf_dir):
-    cut = shards.pack(documents(spark, sf_dir), SIZE, MOST, SKIP)[0]
+    cut = shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)[0]
     windows = shards.score_windows(cut, SIZE, CONTEXT)
     part = shards.checksum(shards.span_ids(ended()), F.col("offset"))
     return windows.withColumn("part", part).groupBy("shard_id", "window_id").agg(F.sum("length").alias("n_tokens"), (F.sum("length") - 1).alias("n_targets"), F.sum("part").alias("checksum"))
@@ -246,7 +266,7 @@ select shard_id, window_id, sum(cast(token as bigint) * (p + 1)) filter (p < {CO
 """)
 def o12_causal_shift(spark, sf_dir):
     """Windows put together (each a bounded row) and split into inputs and targets."""
-    cut = shards.score_windows(shards.pack(documents(spark, sf_dir), SIZE, MOST, SKIP)[0], SIZE, CONTEXT)
+    cut = shards.score_windows(shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)[0], SIZE, CONTEXT)
     each = cut.select("shard_id", "window_id", F.struct("offset", shards.span_ids(ended()).alias("ids")).alias("part"))
     whole = each.groupBy("shard_id", "window_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     rows = whole.select("shard_id", "window_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
@@ -325,14 +345,36 @@ def o3_mixture(spark, sf_dir):
 
 
 @query(_DRAWS + f"""
-select lang, sum(n)::bigint as tokens, count(*) as docs, round(sum(n) / (select sum(n) from draw where rank >= 0 and start < {4 * SIZE}), 9) as share
-from draw where rank >= 0 and start < {4 * SIZE} group by lang
+select lang, sum(n)::bigint as tokens, count(*) as docs, round(sum(n) / (select sum(n) from draw where rank >= 0), 9) as share
+from draw where rank >= 0 group by lang
 """)
 def o4_mixture_shares(spark, sf_dir):
-    found = mixture.shares(_mixed(spark, sf_dir, 4 * SIZE), "lang")
+    found = mixture.shares(_mixed(spark, sf_dir), "lang")
     return found.select("lang", "tokens", "docs", F.round("share", 9).alias("share"))
 
 
+@query(_DRAWS + f""",
+tokens as (
+  select doc_id, s + generate_subscripts(ids, 1) - 1 as g, unnest(ids) as token from (
+    select d.doc_id, d.start as s, list_append(case when text = '' then [] else list_transform(string_split(text, ''), lambda c: unicode(c)) end, 2) as ids from draw d join documents using (doc_id) where d.rank >= 0)
+)
+select g // {SIZE} as shard_id, count(distinct doc_id) as n_docs, count(*) as n_tokens, min(doc_id) as first_doc, max(doc_id) as last_doc,
+       sum(cast(token as bigint) * (g % {SIZE} + 1))::bigint as checksum
+from tokens where g // {SIZE} < {FULL} group by 1
+""")
+def o3_mixture_shards(spark, sf_dir):
+    """The mixed stream packed into shards, through a written shard folder and its manifest."""
+    cut, totals = mixture.packed(_mixed(spark, sf_dir), SIZE)
+    sinks.require_output(totals["shards_written"])
+    path = scratch(spark, "mixed")
+    sinks.write_shards(cut, path)
+    sinks.write_manifest(spark, f"{path}-manifest", **totals, weights={e.name: e.weight for e in MIX})
+    part = shards.checksum(F.col("ids"), F.col("offset"))
+    return read_shards(spark, path).withColumn("part", part).groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(
+        F.count("*").alias("n_docs"), F.sum("length").alias("n_tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("part").alias("checksum"),
+    )
+
+
 @query("with r(source, weight) as (values " + ", ".join(f"('{e.name}', cast({e.weight * 2!r} as double))" for e in MIX) + ") select source, round(weight / sum(weight) over (), 9) as share from r")
 def f7_weights(spark, sf_dir):
     doubled = mixture.normalised([mixture.Entry(e.name, e.weight * 2) for e in MIX])
@@ -342,7 +384,7 @@ def f7_weights(spark, sf_dir):
 @query(TOKENS + f"select cast({FULL} as bigint) as shards_written, cast({FULL} * {SIZE} as bigint) as tokens_written, cast((select min(s) from kept) as bigint) as tokens_skipped")
 def a10_manifest_totals(spark, sf_dir):
     """Totals of a packing run, through the manifest that it writes."""
-    _, totals = shards.pack(documents(spark, sf_dir), SIZE, MOST, SKIP)
+    _, totals = shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)
     path = scratch(spark, "manifest")
     sinks.write_manifest(spark, path, **totals)
     back = sinks.read_manifest(spark, path)
@@ -357,7 +399,7 @@ from (select g // {SIZE} as shard_id, count(distinct doc_id) as n_docs from toke
 def s4_shard_scan(spark, sf_dir):
     """A written shard folder's shards by zero-padded name, as a reader takes them."""
     path = scratch(spark, "shards")
-    sinks.write_shards(shards.pack(documents(spark, sf_dir), SIZE, MOST, SKIP)[0], path)
+    sinks.write_shards(shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)[0], path)
     held = read_shards(spark, path).groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.count_distinct("doc_id").alias("n_docs"))
     # As many rows as shards, and those few by parameter.
     names = F.array_sort(F.collect_list(F.struct(F.lpad(F.col("shard_id").cast("string"), 4, "0").alias("name"), "shard_id", "n_docs")))
