@@ -55,13 +55,37 @@ def vocabulary(docs: DataFrame, size: int, first_id: int = 3) -> DataFrame:
     return top.select("word", (rank + (first_id - 1)).cast("int").alias("id"))
 
 
+#: Words that a vocabulary may have; it is sent to every executor.
+MOST_WORDS = 1_000_000
+
+
 def dictionary_ids(docs: DataFrame, vocab: DataFrame, unknown_id: int = 0) -> DataFrame:
-    """(doc_id, ids): the vocabulary ids of each document's words, in order."""
-    each = docs.select("doc_id", F.posexplode_outer(words(F.col("text"))).alias("at", "word"))
-    known = each.join(F.broadcast(vocab), "word", "left")
-    pair = F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(unknown_id)).alias("id")))
-    grouped = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    return grouped.select("doc_id", F.transform("pairs", lambda p: p["id"]).alias("ids"))
+    """(doc_id, ids): the vocabulary ids of each document's words, in order.
+
+    No word is moved: the vocabulary (at most MOST_WORDS words, else an error) goes to the
+    documents, and a batch's words are looked up as one array.
+    """
+    known = vocab.limit(MOST_WORDS + 1).collect()
+    if len(known) > MOST_WORDS:
+        raise ValueError(f"a vocabulary of more than {MOST_WORDS} words")
+    shared = docs.sparkSession.sparkContext.broadcast(([r["word"] for r in known], [r["id"] for r in known]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        words_, ids = shared.value
+        held, number = pa.array(words_, pa.string()), np.array([*ids, unknown_id], dtype=np.int32)
+        for batch in batches:
+            parts = pc.split_pattern_regex(batch.column("text").fill_null(""), "[ \\t\\n\\x0B\\f\\r]+")
+            flat = parts.flatten()
+            real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(flat, value_set=held), len(words_)).to_numpy()
+            before = np.concatenate([[0], np.cumsum(real)])
+            offsets = before[parts.offsets.to_numpy() - parts.offsets[0].as_py()].astype(np.int32) if len(parts) else np.zeros(1, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[at[real]]))], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def tokenizer_ids(path: str) -> Callable[[DataFrame], DataFrame]:

@@ -72,20 +72,24 @@ def greedy(logits: Column) -> Column:
 
 
 def nucleus(logits: Column, top_p: float) -> Column:
-    """(idx, p) of the tokens before which less than top_p is gathered, renormalised."""
-    start = F.struct(F.array().cast("array<struct<idx:int,p:double>>").alias("kept"), F.lit(0.0).alias("before"))
+    """(idx, p) of the tokens before which top_p or less is gathered, renormalised.
+
+    One pass over the sorted probabilities counts the tokens that stay; then they are cut off.
+    """
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("before"))
     probs = F.transform(softmax(logits), lambda p, i: F.struct(p.alias("p"), (-i).alias("back")))
 
     def step(acc: Column, s: Column) -> Column:
-        entry = F.array(F.struct((-s["back"]).cast("int").alias("idx"), s["p"].alias("p")))
-        kept = F.when(acc["before"] <= top_p, F.concat(acc["kept"], entry)).otherwise(acc["kept"])
-        return F.struct(kept.alias("kept"), (acc["before"] + s["p"]).alias("before"))
+        return F.struct((acc["n"] + (acc["before"] <= top_p).cast("int")).alias("n"), (acc["before"] + s["p"]).alias("before"))
+
+    def cut(best: Column) -> Column:
+        return F.slice(best, F.lit(1), F.aggregate(best, start, step)["n"])
 
     def renormalised(kept: Column) -> Column:
         mass = total(F.transform(kept, lambda s: s["p"]))
-        return let(mass, lambda m: F.transform(kept, lambda s: F.struct(s["idx"].alias("idx"), (s["p"] / m).alias("p"))))
+        return let(mass, lambda m: F.transform(kept, lambda s: F.struct((-s["back"]).cast("int").alias("idx"), (s["p"] / m).alias("p"))))
 
-    return let(F.aggregate(F.sort_array(probs, asc=False), start, step)["kept"], renormalised)
+    return let(let(F.sort_array(probs, asc=False), cut), renormalised)
 
 
 def inverse_cdf(probs: Column, uniform: Column) -> Column:

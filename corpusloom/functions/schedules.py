@@ -47,5 +47,6 @@ def rotary_table(positions: DataFrame, width: int, base: float = 10_000.0) -> Da
 def is_matrix(name: Column, dimensions: Column) -> Column:
     """Whether a parameter is a block's weight matrix: no embedding, output head, norm or bias."""
     low = F.lower(name)
+    # What the names of all other parameters contain.
     outside = low.contains("embed") | low.contains("lm_head") | low.contains("norm") | low.endswith(".bias")
     return (dimensions >= 2) & ~outside

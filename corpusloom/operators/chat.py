@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import encode
 from corpusloom.functions.numeric import IGNORED
 
-#: The chat template: what stands before and after a message of each role.
+# Fixed values, the chat template: what stands before and after a message of each role.
 PREFIX = {"system": "<|system|>\n", "user": "<|user|>\n", "assistant": "<|assistant|>\n"}
 SUFFIX = {"system": "\n", "user": "\n", "assistant": ""}
 ANSWERS = "assistant"
@@ -34,9 +34,9 @@ def message_parts(role: Column, text: Column, encoder: encode.Encoder = encode.c
     return ids, labels
 
 
-def render(turns: DataFrame, encoder: encode.Encoder = encode.code_points, end_id: int = encode.END_ID) -> DataFrame:
-    """(conv_id, input_ids, labels) of turns(conv_id, turn, role, text)."""
-    ids, labels = message_parts(F.col("role"), F.col("text"), encoder, end_id)
+def render(turns: DataFrame, encoder: encode.Encoder = encode.code_points, end_id: int = encode.END_ID, prefix: dict[str, str] | None = None) -> DataFrame:
+    """(conv_id, input_ids, labels) of turns(conv_id, turn, role, text); prefix: another template's openings by role."""
+    ids, labels = message_parts(F.col("role"), F.col("text"), encoder, end_id, prefix)
     each = turns.select("conv_id", F.struct("turn", ids.alias("ids"), labels.alias("labels")).alias("m"))
     whole = each.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
     joined = lambda part: F.flatten(F.transform("m", lambda m: m[part]))
@@ -87,6 +87,25 @@ def left_truncated(context: Column, continuation: Column, most: int) -> Column:
     return F.slice(context, F.size(context) - keep + 1, keep)
 
 
+def request_batches(requests: DataFrame, most: int, size: int, pad_id: int = 0) -> DataFrame:
+    """requests(request, context, continuation) as rows of full model batches, the last one short.
+
+    Adds batch_id, row, `ids` (the context's end, the continuation, then padding to the batch's
+    longest), `length` without padding and `scored_from`, the first scored position. A
+    continuation that leaves no room for one id of context before it is an error.
+    """
+    from corpusloom.operators import order
+
+    room = F.size("continuation") < most
+    kept = F.when(room & (F.size("context") > 0), left_truncated(F.col("context"), F.col("continuation"), most))
+    kept = F.coalesce(kept, F.raise_error(F.lit("a request needs an id of context before its continuation")).cast("array<int>"))
+    rows = requests.withColumn("_kept", kept).select("request", F.concat("_kept", "continuation").alias("ids"), F.size("_kept").alias("scored_from"), F.lit(1).cast("long").alias("n"))
+    placed, _ = order.place(rows, "n", "request")
+    numbered = placed.select("request", F.floor(F.col("start") / size).cast("long").alias("batch_id"), (F.col("start") % size).cast("int").alias("row"), "ids", F.size("ids").alias("length"), "scored_from")
+    longest = F.max("length").over(Window.partitionBy("batch_id"))
+    return numbered.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(pad_id), longest - F.col("length"))))
+
+
 def last_ids(ids: Column, most: int) -> Column:
     keep = F.least(F.size(ids), F.lit(most))
     return F.slice(ids, F.size(ids) - keep + 1, keep)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import numeric
 
-#: The metric that counts for each task.
+# The metric that counts for each task.
 HEADLINE = {"hellaswag": "acc_norm", "arc_easy": "acc_norm", "lambada_openai": "acc", "winogrande": "acc"}
 
 
@@ -91,6 +93,17 @@ def throughput(log: DataFrame) -> DataFrame:
     return log.withColumn("tokens_per_sec", F.when(seconds > 0, F.col("tokens") * 1e6 / seconds))
 
 
+Loss = Callable[[Column, Column], Column]
+
+
+def mean_loss(rows: DataFrame, by: list[str], loss: Loss = numeric.nll) -> DataFrame:
+    """(by, loss): the mean over positions that are not ignored of rows(logits, target); any loss of
+    (logits, target) that is null where it does not count may take the default's place."""
+    each = rows.withColumn("_loss", loss(numeric.doubles(F.col("logits")), F.col("target")))
+    mean = numeric.token_mean(F.col("_loss"), F.col("target")).alias("loss")
+    return each.groupBy(*by).agg(mean) if by else each.agg(mean)
+
+
 def micro_mean(losses: DataFrame) -> DataFrame:
     """(step, loss): mean over a step's accumulated micro-batches, losses(step, loss)."""
     return losses.groupBy("step").agg(F.avg("loss").alias("loss"))

@@ -124,6 +124,26 @@ def c7_context_clip(spark, sf_dir):
     return _requests(spark, sf_dir).select("item_id", F.size(cut).cast("long").alias("n"), shards.checksum(cut, F.lit(0)).alias("ids"))
 
 
+@query(f"""
+with r as (select item_id as request, {_CODES.format('text')} as ids from benchmark), s as (select request, [1] || ids[:greatest(len(ids) - {TAIL}, 0)] as c, ids[greatest(len(ids) - {TAIL}, 0) + 1:] as t from r),
+u as (select request, case when len(c) + len(t) > {ROOM} then c[len(c) - ({ROOM} - len(t)) + 1:] else c end as c, t, row_number() over (order by request) - 1 as k from s),
+b as (select request, k // {BATCH} as batch_id, cast(k % {BATCH} as integer) as row, c || t as ids, len(c) as scored_from from u), m as (select *, max(len(ids)) over (partition by batch_id) as n from b)
+select request, batch_id, row, cast(len(ids) as integer) as length, cast(scored_from as integer) as scored_from, n as padded, {_SUM.format('ids')} as checksum from m
+""")
+def e1_request_batches(spark, sf_dir):
+    """Requests behind an opening id, cut from the left to the room there is, batched and padded."""
+    asked = _requests(spark, sf_dir).select(F.col("item_id").alias("request"), F.concat(F.array(F.lit(1)), "context").alias("context"), "continuation")
+    found = chat.request_batches(asked, ROOM, BATCH)
+    return found.select("request", "batch_id", "row", "length", "scored_from", F.size("ids").cast("long").alias("padded"), shards.checksum(F.col("ids"), F.lit(0)).alias("checksum"))
+
+
+@query(RENDERED.replace("'<|' || role || '|>' || chr(10)", "'[' || role || '] '") + f"select conv_id, len(ids) as n, {_SUM.format('ids')} as ids, {_SUM.format('labels')} as masked from chat")
+def u5_role_templates(spark, sf_dir):
+    """Conversations in another template."""
+    other = {role: f"[{role}] " for role in ("system", "user", "assistant")}
+    return sums(chat.render(conversations(spark, sf_dir), prefix=other), "conv_id")
+
+
 @query("""
 with p as (select conv_id, turn, text from conversations where role = 'user'), r as (select conv_id, turn - 1 as turn, text from conversations where role = 'assistant')
 select conv_id, md5('# Samples' || chr(10) || chr(10) || string_agg('### ' || p.text || chr(10) || chr(10) || '> ' || replace(r.text, chr(10), chr(10) || '> ') || chr(10), chr(10) order by turn)) as digest

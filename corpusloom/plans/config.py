@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields, replace
-from typing import Any
+from typing import Any, get_args, get_type_hints
 
 
 @dataclass(frozen=True)
@@ -32,19 +32,32 @@ class TrainingConfig:
     max_epochs: int = 4
 
 
-def load(kind: type, values: Mapping[str, Any], allowed_extra: frozenset[str] = frozenset()):
-    """An instance of kind; a key that it lacks is an error that names all such keys."""
-    known = {f.name for f in fields(kind)}
-    if unknown := sorted(set(values) - known - allowed_extra):
-        raise ValueError(f"unknown keys: {', '.join(unknown)}")
-    return kind(**{k: v for k, v in values.items() if k in known})
+def problems(kind: type, values: Mapping[str, Any], ignored: Iterable[str] = ()) -> list[str]:
+    """What keeps values from being an instance of kind, in words."""
+    rules = get_type_hints(kind)
+    given = {k: v for k, v in values.items() if k not in set(ignored)}
+    out = [f"unknown keys: {', '.join(sorted(given.keys() - rules.keys()))}"] if given.keys() - rules.keys() else []
+    return out + [f"{k}: {v!r} is no {rules[k]}" for k, v in given.items() if k in rules and not _fits(v, rules[k])]
 
 
-def load_yaml(kind: type, path: str, allowed_extra: frozenset[str] = frozenset()):
+def _fits(value: Any, rule: Any) -> bool:
+    kinds = get_args(rule) or (rule,)
+    whole = isinstance(value, int) and not isinstance(value, bool)
+    return whole and float in kinds or isinstance(value, kinds) and (whole or not isinstance(value, int) or bool in kinds)
+
+
+def parsed(kind: type, values: Mapping[str, Any], ignored: Iterable[str] = ()):
+    """An instance of kind, whose annotations are its schema; all that is wrong is one error."""
+    if found := problems(kind, values, ignored):
+        raise ValueError("; ".join(found))
+    return kind(**{f.name: values[f.name] for f in fields(kind) if f.name in values})
+
+
+def from_file(kind: type, path: str, ignored: Iterable[str] = ()):
     import yaml
 
     with open(path, encoding="utf-8") as f:
-        return load(kind, yaml.safe_load(f) or {}, allowed_extra)
+        return parsed(kind, yaml.safe_load(f) or {}, ignored)
 
 
 def overridden(config, names: Mapping[str, str], environment: Mapping[str, str] | None = None):
@@ -57,4 +70,5 @@ def overridden(config, names: Mapping[str, str], environment: Mapping[str, str]
 
 def eval_command(model: str, tasks: list[str], out: str, batch: int = 16, shots: int = 0) -> list[str]:
     """Arguments of an evaluation harness's command line."""
+    # The names of its options.
     return ["lm_eval", "--model", "hf", "--model_args", f"pretrained={model}", "--tasks", ",".join(tasks), "--num_fewshot", str(shots), "--batch_size", str(batch), "--output_path", out]

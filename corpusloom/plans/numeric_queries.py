@@ -95,7 +95,20 @@ def a5_kd_loss(spark, sf_dir):
 
 @query(NLL + "select round(avg(z - l[label + 1]), 6) as loss from lse")
 def a7_default_loss(spark, sf_dir):
-    return logits(spark, sf_dir).agg(rounded(F.avg(numeric.nll(F.col("logits"), F.col("label"))), "loss"))
+    rows = logits(spark, sf_dir).withColumn("target", F.col("label"))
+    return evaluate.mean_loss(rows, []).select(rounded("loss", "loss"))
+
+
+@query(NLL + "select target, round(avg(case when gap > 1 then gap else gap * gap end), 6) as loss from (select label as target, top - l[label + 1] as gap from lse) group by target")
+def u2_loss_hook(spark, sf_dir):
+    """A loss of one's own in the default's place: the margin to the largest logit, squared where small."""
+
+    def margin(l: F.Column, t: F.Column) -> F.Column:
+        gap = F.array_max(l) - F.get(l, t)
+        return F.when(gap > 1, gap).otherwise(gap * gap)
+
+    rows = logits(spark, sf_dir).withColumn("target", F.col("label"))
+    return evaluate.mean_loss(rows, ["target"], margin).select("target", rounded("loss", "loss"))
 
 
 @query(NLL + "select vec_id // 16 as step, round(avg(nll), 6) as loss from nll where nll is not null group by 1")

@@ -87,11 +87,46 @@ def test_closed_forms_equal_the_step_by_step_rules(sizes, skip, size, most):
     assert written == (left // size if most is None else min(left // size, most))
 
 
+def drawn_sources(lengths, weights, most=None, late=0):
+    """Sources in drawing order; with late, documents are offered in small lots, source after source."""
+    mixer = mixture.Mixer(weights, [len(x) for x in lengths], most)
+    offers = [(k, i, n) for k, x in enumerate(lengths) for i, n in enumerate(x)]
+    if late:
+        offers.sort(key=lambda o: (o[1] // late, o[0]))
+    out = []
+    for offer in offers:
+        mixer.offer(*offer)
+        out += mixer.draws()
+    assert [r for _, _, r, _ in out] == list(range(len(out)))
+    return [k for k, _, _, _ in out]
+
+
 def test_greedy_mix_takes_the_first_of_equals():
-    even = [np.full(20, 10)] * 2
-    assert [k for k, _, _ in mixture.schedule(even, [0.5, 0.5], 100)] == [0, 1] * 5
-    short = [np.full(1, 10), np.full(5, 10)]
-    assert [k for k, _, _ in mixture.schedule(short, [0.9, 0.1])] == [0, 1, 1, 1, 1, 1]
+    assert drawn_sources([[10] * 20] * 2, [0.5, 0.5], 100) == [0, 1] * 5
+    assert drawn_sources([[10], [10] * 5], [0.9, 0.1]) == [0, 1, 1, 1, 1, 1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 50), max_size=12), min_size=1, max_size=4), st.integers(1, 4), st.one_of(st.none(), st.integers(1, 200)))
+def test_mix_equals_the_greedy_rule_however_documents_arrive(lengths, late, most):
+    weights = [(k + 1) / sum(range(1, len(lengths) + 1)) for k in range(len(lengths))]
+    want, emitted, total, taken = [], [0] * len(lengths), 0, [0] * len(lengths)
+    while any(taken[k] < len(x) for k, x in enumerate(lengths)) and (most is None or total < most):
+        live = [k for k, x in enumerate(lengths) if taken[k] < len(x)]
+        pick = min(live, key=lambda k: (emitted[k] - weights[k] * total, k))
+        want.append(pick)
+        emitted[pick] += lengths[pick][taken[pick]]
+        total += lengths[pick][taken[pick]]
+        taken[pick] += 1
+    assert drawn_sources(lengths, weights, most) == drawn_sources(lengths, weights, most, late) == want
+
+
+def test_a_mixed_stream_is_packed(spark):
+    rows = [(k, "ab"[k % 2], f"{k % 2 + 1}:9") for k in range(40)]
+    docs = shards.measured(spark.createDataFrame(rows, "doc_id long, source string, text string"), counted())
+    cut, totals = mixture.packed(mixture.mix(docs, [mixture.Entry("a", 0.5), mixture.Entry("b", 0.5)]), 100)
+    assert totals == {"shards_written": 4, "tokens_written": 400, "tokens_drawn": 400}
+    assert shard_ids(cut)[0] == ([1] * 9 + [0] + [2] * 9 + [0]) * 5
 
 
 def test_mix_shares_skip_and_shards(spark):
@@ -123,6 +158,9 @@ def test_batches_wrap_and_resume(spark):
             rows.setdefault((r.batch_id, r.row), []).extend(r.ids)
         flat = [x for key in sorted(rows) for x in rows[key]]
         assert flat == [stream[(offset + k) % total] for k in range(50)]
+    assert shards.batch_rows(placed, total, 2, 4, shards.full_batches(total, 2, 4), max_epochs=1).count()
+    with pytest.raises(ValueError, match="reach epoch 1"):
+        shards.batch_rows(placed, total, 2, 4, shards.full_batches(total, 2, 4) + 1, max_epochs=1)
     for offset in (0, 7, 123):
         assert shards.Position.at(offset, 10, 3).offset(10, 3) == offset
 
@@ -203,17 +241,102 @@ def test_schedules(spark):
     assert math.isclose(one(spark, evaluate.standard_error(F.lit(0.3399721171), F.lit(10_042)).alias("x")).x, 0.0047273, abs_tol=1e-7)
 
 
-def test_closed_configuration():
-    assert config.load(config.PackConfig, {"shard_size": 5}).shard_size == 5
+def test_closed_configuration(tmp_path):
+    assert config.parsed(config.PackConfig, {"shard_size": 5, "max_shards": None}).shard_size == 5
     with pytest.raises(ValueError, match="unknown keys: a, shard_siez"):
-        config.load(config.PackConfig, {"shard_siez": 5, "a": 1})
-    assert config.load(config.PackConfig, {"note": 1}, frozenset({"note"})) == config.PackConfig()
+        config.parsed(config.PackConfig, {"shard_siez": 5, "a": 1})
+    with pytest.raises(ValueError, match="skip_tokens: 'x' is no .*; out: 3 is no"):
+        config.parsed(config.PackConfig, {"skip_tokens": "x", "out": 3})
+    assert config.problems(config.TrainingConfig, {"peak": 1, "batch": True}) == ["batch: True is no <class 'int'>"]
+    assert config.parsed(config.PackConfig, {"note": 1}, ignored=["note"]) == config.PackConfig()
+    (tmp_path / "c.yaml").write_text("end_id: 7\nout: here\n")
+    assert config.from_file(config.PackConfig, str(tmp_path / "c.yaml")) == config.PackConfig(end_id=7, out="here")
     changed = config.overridden(config.PackConfig(), {"out": "OUT", "end_id": "END"}, {"OUT": "x", "END": "3"})
     assert (changed.out, changed.end_id) == ("x", 3)
     assert config.overridden(config.PackConfig(out="y"), {"out": "OUT"}, {"OUT": ""}).out == "y"
     assert config.eval_command("m", ["a", "b"], "o")[6] == "a,b"
 
 
+def test_npy_shards_round_trip(spark, tmp_path):
+    docs = id_docs(spark, [f"{65_000 + k}:{k + 3}" for k in range(40)])
+    cut, totals = shards.pack(docs, 100, count=counted())
+    sinks.write_npy_shards(cut, f"file://{tmp_path}/out", 100, ended())
+    want = shard_ids(cut)
+    got = {r.shard_id: r.tokens for r in tables.npy_shards(spark, f"{tmp_path}/out").collect()}
+    assert got == want and len(got) == totals["shards_written"]
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.npy")) == [f"shard_{k:04d}.npy" for k in sorted(want)]
+    assert all(np.load(tmp_path / f"out/shard_{k:04d}.npy").tolist() == ids for k, ids in want.items())
+    with pytest.raises(Exception, match="beyond 16 bits"):
+        sinks.write_npy_shards(shards.pack(id_docs(spark, ["70000:9"]), 5, count=counted())[0], f"file://{tmp_path}/bad", 5, ended())
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sinks.scratch(Cluster, "x")
+
+
+def test_no_text_goes_through_the_window(spark):
+    docs = spark.createDataFrame([(k, "abc" * k) for k in range(20)], "doc_id long, text string")
+    placed, _ = order.place(shards.measured(docs), "n", "doc_id")
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window ["):]
+    assert "text" not in window[: window.index("\n")]
+    assert {r.doc_id: r.start for r in placed.collect()} == {k: sum(3 * j + 1 for j in range(k)) for k in range(20)}
+
+
+def test_request_rows_keep_the_continuation(spark):
+    rows = [(1, list(range(1, 9)), [20, 21]), (2, [5], [30]), (3, [7, 8], [40, 41, 42])]
+    asked = spark.createDataFrame(rows, "request long, context array<int>, continuation array<int>")
+    got = {r.request: r for r in chat.request_batches(asked, 5, 2).collect()}
+    assert got[1].ids == [6, 7, 8, 20, 21] and (got[1].scored_from, got[1].length) == (3, 5)
+    assert got[2].ids == [5, 30, 0, 0, 0] and got[3].ids == [7, 8, 40, 41, 42]
+    assert [(got[k].batch_id, got[k].row) for k in (1, 2, 3)] == [(0, 0), (0, 1), (1, 0)]
+    with pytest.raises(Exception, match="needs an id of context"):
+        chat.request_batches(asked, 3, 2).collect()
+
+
+def test_nucleus_of_a_large_vocabulary(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, (rng.normal(size=32_000) * 3).tolist()) for k in range(4)]
+    for p in (0.0, 0.9):
+        got = spark.createDataFrame(rows, "k long, l array<double>").select("k", numeric.nucleus(F.col("l"), p).alias("x")).collect()
+        for r in got:
+            probs = np.exp(np.array(rows[r.k][1]) - np.max(rows[r.k][1]))
+            probs /= probs.sum()
+            best = np.argsort(-probs, kind="stable")
+            n = int((np.concatenate([[0], np.cumsum(probs[best])[:-1]]) <= p).sum())
+            assert [e.idx for e in r.x] == best[:n].tolist() and math.isclose(sum(e.p for e in r.x), 1)
+
+
+def test_dictionary_ids_keep_order_and_edges(spark):
+    docs = spark.createDataFrame([(1, " b a\x0bb\n"), (2, None), (3, ""), (4, "zz a")], "doc_id long, text string")
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "word string, id int")
+    assert {r.doc_id: r.ids for r in encode.dictionary_ids(docs, vocab).collect()} == {1: [4, 3, 4], 2: [], 3: [], 4: [0, 3]}
+    assert encode.dictionary_ids(docs.limit(0), vocab).count() == 0
+
+
+def test_tokenizer_shards(spark):
+    files = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(files.path("word_bpe_49k.json"))
+    texts = ["One two three.", None, "", "naïve 日本 words " * 9]
+    ids = encode.tokenizer_ids(files.path("word_bpe_49k.json"))(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    cut, _ = shards.pack(ids.withColumn("n", F.size("ids")), 7, count=F.col("n"))
+    stream = [x for t in texts for x in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
+    got: dict = {}
+    for r in cut.select("shard_id", "offset", shards.span_ids(encode.with_end(F.col("ids"))).alias("ids")).orderBy("shard_id", "offset").collect():
+        got.setdefault(r.shard_id, []).extend(r.ids)
+    assert got == {k: stream[7 * k : 7 * k + 7] for k in range(len(stream) // 7)}
+
+
 def test_text_columns_fall_back(spark):
     df = spark.createDataFrame([(1, "", "c", None), (2, "t", "c", None), (3, "", "", None), (4, None, None, "k")], "doc_id long, text string, content string, body string")
     assert [(r.doc_id, r.text) for r in tables.text_stream(df, "body").orderBy("doc_id").collect()] == [(1, "c"), (2, "t"), (4, "k")]
@@ -232,6 +355,8 @@ def test_stored_shards_and_results(spark, tmp_path):
     (tmp_path / "deep/results_2.json").write_text('{"results": {"t": {"acc,none": 0.0, "acc_stderr,none": 0.1, "acc_norm,none": 0.5}}}')
     (tmp_path / "deep/results_1.json").write_text("{}")
     assert tables.latest_results(spark, str(tmp_path)).endswith("results_2.json")
+    assert sinks.copy_results(spark, str(tmp_path), f"{tmp_path}/canonical.json").endswith("results_2.json")
+    assert (tmp_path / "canonical.json").read_text() == (tmp_path / "deep/results_2.json").read_text()
     flat = evaluate.flattened(tables.eval_json(spark, f"{tmp_path}/deep/results_2.json"))
     assert evaluate.chosen_metric(flat).first().value == 0.0
     empty = spark.range(0).selectExpr("id as shard_id", "id as length")
