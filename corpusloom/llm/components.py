@@ -56,3 +56,15 @@ def settled(links: DataFrame, label: str) -> DataFrame:
     out = storage.written(found, label)
     storage.drop(found)
     return out
+
+
+def extended(found: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """found(node, component) with further links(a, b), written: only components that these join are gone through again."""
+    mapped = links.select("a", "b")
+    for x in "ab":
+        mapped = mapped.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+    mapped = mapped.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = settled(mapped, "over").withColumnsRenamed({"node": "was", "component": "root"})
+    old = found.join(over, found.component == over.was, "left").select("node", F.coalesce("root", "component").alias("component"))
+    new = over.join(found, over.was == found.node, "left_anti").select(F.col("was").alias("node"), F.col("root").alias("component"))
+    return storage.written(old.union(new), label)

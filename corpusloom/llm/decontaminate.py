@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import storage, textvec
+from corpusloom.llm import storage, textvec, workers
 
 WINDOW = 10
 #: Words of items in one automaton, and in all that a task holds.
@@ -309,7 +309,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: boo
             storage.drop(df)
             df = kept
         shared = docs.sparkSession.sparkContext.broadcast(made)
-        before = df.select("doc_id", "text", "spans", "items", *names).mapInArrow(_pass(shared, names), schema)
+        before = df.select("doc_id", "text", "spans", "items", *names).mapInArrow(workers.tidy(_pass(shared, names)), schema)
     return before
 
 
@@ -347,5 +347,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_cov
     """docs without the texts' hit spans, and without the documents of which more is hit."""
     found = scan(docs, benchmark, window, carry=True).where(F.col("n_hit") <= F.col("n_words") * most_coverage)
     names = ["carried"] if "carried" in found.columns else []
-    cut = found.select("doc_id", "text", "spans", *names).mapInArrow(_cut(names), storage.schema("doc_id long, text string", found))
+    cut = found.select("doc_id", "text", "spans", *names).mapInArrow(workers.tidy(_cut(names)), storage.schema("doc_id long, text string", found))
     return storage.unpacked(cut, docs)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from corpusloom.llm import textvec, wordbpe
+from corpusloom.llm import textvec, wordbpe, workers
 
 CAPACITY = 2048
 END_ID = 1
@@ -148,4 +148,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         if rows := sequences.flush():
             yield table(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(workers.tidy(run), SCHEMA)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import components, storage, textvec
+from corpusloom.llm import components, storage, textvec, workers
 
 SHINGLE = 4
 RADIUS = 4
@@ -51,8 +51,8 @@ TILE = 1024
 CROWD = 7
 
 #: Nodes, and shingles of them together, that a tile of a crowd has on average at most.
-CROWD_TILE = 512
-CROWD_SHINGLES = 1 << 18
+CROWD_TILE = 256
+CROWD_SHINGLES = 1 << 17
 
 _WHOLE = np.uint64(2**64 - 1)
 
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 fps = majority(np.concatenate(each), np.array([len(x) for x in each], np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(workers.tidy(run), "doc_id long, fp long")
 
 
 def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -238,9 +238,9 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return compared(met, linked)
 
 
-def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...]], out: tuple[str, ...] = ("a", "b"), sets: str | None = None) -> DataFrame:
+def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...]], out: tuple[str, ...] = ("a", "b"), sets: str | None = None, most: int = TILE) -> DataFrame:
     """Distinct rows, by default links (a, b), that `linked` finds among those of each place, several
-    places at once up to a tile; the lists in a column `sets` count by their lengths too."""
+    places at once up to `most` rows; the lists in a column `sets` count by their lengths too."""
     values = [c for c in met.columns if c not in PLACE]
 
     def size_of(part: dict[str, np.ndarray]) -> int:
@@ -273,7 +273,7 @@ def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.
                     open_.append({c: x[at:begin] for c, x in rows.items()})
                 if begin < batch.num_rows:
                     length = sum(map(size_of, open_))
-                    if ready and size + length > TILE:
+                    if ready and size + length > most:
                         yield from emit(ready)
                         ready, size = [], 0
                     ready += open_
@@ -284,7 +284,7 @@ def compared(met: DataFrame, linked: Callable[[dict[str, np.ndarray]], tuple[np.
         yield from emit(open_)
 
     dealt = met.repartition(*PLACE).sortWithinPartitions(*PLACE)
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in out)).distinct()
+    return dealt.mapInArrow(workers.tidy(run), ", ".join(f"{c} long" for c in out)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -364,7 +364,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFr
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, flat), pa.array(counts.astype(np.int64))], ["doc_id", "wide", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, wide array<long>, shingles long")
+    return docs.select("doc_id", "text").mapInArrow(workers.tidy(run), "doc_id long, wide array<long>, shingles long")
 
 
 def _drawn(count: int, share: float, seed: int) -> np.ndarray:
@@ -403,7 +403,7 @@ def _meetings(nodes: DataFrame, count: int, similarity: float) -> DataFrame:
                     out += [np.concatenate([wide[:, (k * PART + p) % words] for k in band]).view(np.int64) for p in range(PART)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
 
-    return nodes.mapInArrow(run, "band int, key long, node long, few long, " + ", ".join(f"p{p} long" for p in range(PART)))
+    return nodes.mapInArrow(workers.tidy(run), "band int, key long, node long, few long, " + ", ".join(f"p{p} long" for p in range(PART)))
 
 
 def _limit(bits: int, share: float) -> int:
@@ -456,7 +456,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))], ["doc_id", "s"])
 
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>")
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(workers.tidy(run), "doc_id long, s array<long>")
     # Of rows that share a doc_id, the same one whatever the order.
     return sets.groupBy("doc_id").agg(F.min("s").alias("s"))
 
@@ -475,9 +475,9 @@ def exact_similarity(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFra
     return found
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links (a, b) of pairs(a, b, marked): sure ones, and of those near the limit that are
-    not marked and not joined by sure ones the exactly similar ones."""
+def _joined(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) by the links among pairs(a, b, marked): sure ones, and of those near the
+    limit that are not marked and not joined by sure ones the exactly similar ones."""
     one, other = (nodes.select(F.col("node").alias(x), F.col("rep").alias(f"doc_{x}"), F.col("wide").alias(f"w{x}"), F.col("shingles").alias(f"n{x}")) for x in "ab")
     both = pairs.join(one, "a").join(other, "b")
     differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
@@ -494,9 +494,9 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, si
         open_ = open_.join(first.withColumnsRenamed({"node": x, "component": f"c{x}"}), x, "left")
     open_ = storage.written(open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "doc_a", "doc_b"), "open")
     near = exact_similarity(docs, open_, shingle)
-    out = storage.written(sure.union(near.where(F.col("similarity") >= similarity).select("a", "b")), "links")
+    found = components.extended(first, near.where(F.col("similarity") >= similarity), "found")
     storage.drop(judged, first, open_, near)
-    return out
+    return found
 
 
 def similar_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -529,12 +529,16 @@ def similar_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similari
 def crowd_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) that join the similar nodes of different components(node, component) inside
     the crowds that marked pairs make."""
-    crowds = components.settled(pairs.where("marked = 1").select("a", "b"), "crowds")
-    held = crowds.withColumnRenamed("component", "crowd").join(found, "node", "left").select("crowd", "node", F.coalesce("component", "node").alias("component"))
+    held = pairs.where("marked = 1").select("a", "b")
+    for x in "ab":
+        held = held.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
     held = storage.written(held, "held")
-    groups = held.groupBy("crowd", "component").count()
-    main = groups.groupBy("crowd").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    apart = held.join(main, "crowd").select("crowd", "node", "component", (F.col("component") == F.col("main")).alias("settled"))
+    # A crowd is found among components, of which there are fewer than nodes.
+    crowds = components.settled(held.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "crowds")
+    members = held.select(F.col("a").alias("node"), F.col("ca").alias("component")).union(held.select("b", "cb")).distinct()
+    inside = storage.written(members.join(crowds.select(F.col("node").alias("component"), F.col("component").alias("crowd")), "component"), "inside")
+    main = inside.groupBy("crowd", "component").count().groupBy("crowd").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    apart = inside.join(main, "crowd").select("crowd", "node", "component", (F.col("component") == F.col("main")).alias("settled"))
     apart = storage.written(apart.join(nodes.select("node", "rep", "wide", "shingles"), "node"), "apart")
     sized = apart.groupBy("crowd", "settled").agg(F.greatest(F.ceil(F.count("*") / CROWD_TILE), F.ceil(F.sum("shingles") / CROWD_SHINGLES), F.lit(1)).cast("int").alias("n"))
     tiles = sized.groupBy("crowd").agg(F.coalesce(F.max(F.when(~F.col("settled"), F.col("n"))), F.lit(0)).alias("open"), F.coalesce(F.max(F.when(F.col("settled"), F.col("n"))), F.lit(0)).alias("closed"))
@@ -570,8 +574,8 @@ def crowd_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, found: Data
         moved = np.flatnonzero(label != np.arange(len(node)))
         return node[moved], node[label[moved]]
 
-    out = storage.written(compared(met.drop("rep"), linked, sets="s"), "crowded")
-    storage.drop(crowds, held, apart, wanted)
+    out = storage.written(compared(met.drop("rep"), linked, sets="s", most=2 * CROWD_TILE), "crowded")
+    storage.drop(crowds, held, inside, apart, wanted)
     return out
 
 
@@ -580,17 +584,14 @@ def similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float =
     prints = storage.written(wide_fingerprints(docs, shingle).withColumn("node", F.xxhash64("wide")), "wide")
     nodes = storage.written(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("wide").alias("wide"), F.min("shingles").alias("shingles")), "nodes")
     pairs = storage.written(candidate_pairs(nodes.select("node", "wide", "shingles"), nodes.count(), similarity), "pairs")
-    links = _links(docs, nodes, pairs, shingle, similarity)
-    found = components.settled(links, "found")
-    more = crowd_links(docs, nodes, pairs, found, shingle, similarity)
-    if not more.isEmpty():
-        storage.drop(found)
-        found = components.settled(links.union(more), "found")
+    joined = _joined(docs, nodes, pairs, shingle, similarity)
+    more = crowd_links(docs, nodes, pairs, joined, shingle, similarity)
+    found = components.extended(joined, more, "found")
     found = found.withColumnsRenamed({"component": "root"})
     rooted = storage.written(nodes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = storage.written(rooted.join(least, "root").select("node", "component_id"), "named")
-    storage.drop(nodes, pairs, links, more, found, rooted)
+    storage.drop(nodes, pairs, joined, more, found, rooted)
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 

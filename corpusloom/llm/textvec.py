@@ -49,6 +49,13 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Let go of powers that a long text called for."""
+    for base, have in list(_powers.items()):
+        if len(have) > CHUNK_BYTES + (CHUNK_BYTES >> 2):
+            del _powers[base]
+
+
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * _power(_BASE, len(values)), out=out[1:])

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import storage, textvec, wordbpe
+from corpusloom.llm import storage, textvec, wordbpe, workers
 
 SEQUENCE = 2048
 END_ID = 1
@@ -118,10 +118,9 @@ def _task_counts(docs: DataFrame, tokenizer_path: str) -> np.ndarray:
         for batch in batches:
             for part in textvec.chunks(batch):
                 total += len(encoder.encode(part.column("text"))[0]) + part.num_rows
-        encoder.forget()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], ["task", "n"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "task int, n long").where("n > 0").collect()
+    found = docs.select("doc_id", "text").mapInArrow(workers.tidy(run), "task int, n long").where("n > 0").collect()
     out = np.zeros(max((r.task for r in found), default=-1) + 1, np.int64)
     for r in found:
         out[r.task] = r.n
@@ -177,13 +176,12 @@ def _sequences(docs: DataFrame, tokenizer_path: str, layout: Layout, tokens: np.
                         starts[0] -= begins[0]
                         begins[0] = 0
                 rest, rest_docs, rest_starts, rest_begins = stream[n * length :], docs_, starts, begins
-        encoder.forget()
         if len(rest):
             yield table(rest, rest_docs, rest_starts, rest_begins, 1, number)
         if seen != wanted:
             raise RuntimeError(f"task {task} read {seen} tokens where {wanted} were counted; docs must be a table scan")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slot long, record binary")
+    return docs.select("doc_id", "text").mapInArrow(workers.tidy(run), "slot long, record binary")
 
 
 def materialise(docs: DataFrame, tokenizer_path: str, path: str | None = None, key: int = KEY, sequence: int = SEQUENCE, records: int = RECORDS, end_id: int = END_ID, pad_id: int = PAD_ID) -> Layout:

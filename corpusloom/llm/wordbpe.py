@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -211,6 +210,18 @@ class WordBPE:
         return symbol[order], np.bincount(owners[piece], minlength=n).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
+_made: dict[str, WordBPE] = {}
+
+
 def encoder(path: str) -> WordBPE:
-    return WordBPE(path)
+    """The encoder of a file, read once by a worker."""
+    if path not in _made:
+        _made.clear()
+        _made[path] = WordBPE(path)
+    return _made[path]
+
+
+def forget() -> None:
+    """Let go of the words that the encoder keeps."""
+    for made in _made.values():
+        made.forget()
