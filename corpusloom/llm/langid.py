@@ -1,11 +1,17 @@
 """Operator 7, language ID: a bidirectional gated recurrent network over bytes.
 
-Both directions read the bytes of a word, spaces around it; their states start afresh at
-each word, so every byte position of a text is labelled and equal words get equal labels.
-That lets a batch label its distinct words only. A document's probabilities are the pooled
-log-probabilities of all its positions, averaged and normalised. The network is trained in
-numpy by backpropagation through time, on the driver, from a bounded sample of documents
-(PER_LANG of each value of lang, of each TRAIN_WORDS pieces of words).
+Both directions read the bytes of a text as they stand, white space included, in windows of
+WINDOW bytes; each direction begins WARM bytes before its window (behind it, for the
+backward one), so that its state is warm where labels begin, and is cold at a text's own
+ends alone. So every byte position of a text is labelled in its context, whatever the script
+and however long its words. A document's probabilities are the pooled log-probabilities of
+all its positions, averaged and normalised. The windows of many texts run side by side.
+
+The network is trained in numpy by backpropagation through time, on the driver, from a
+bounded sample: of each value of lang PER_LANG documents, and of each of these at most
+PER_DOC windows, drawn from the whole text and cut out where the text is, so that the driver
+receives less than PER_LANG * PER_DOC * (WINDOW + 2 * WARM) bytes for each language. Every
+value of lang that a row which is not held out has can be predicted.
 
 Defined results: `und`, score 0, for a null text or one without a letter; a null doc_id
 counts as not held out; repeated rows have equal results; with nothing to learn from, all
@@ -22,29 +28,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from corpusloom.llm import sampling, textvec
+from corpusloom.llm import sampling, textvec, workers
 
 PER_LANG = 150
-TRAIN_WORDS = 200
+PER_DOC = 40
+#: Bytes that a window labels, and that each direction reads before them.
+WINDOW = 64
+WARM = 16
 HIDDEN = 16
 EMBED = 12
-STEPS = 500
-BATCH = 256
+STEPS = 400
+BATCH = 64
 RATE = 0.01
-#: Longer words are read in pieces of this many bytes.
-PIECE = 24
-#: Distinct words whose labels a worker keeps between batches.
-KEPT_WORDS = 200_000
+#: Windows that run side by side.
+TILE = 2048
 UNKNOWN = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
 @dataclass
 class Network:
-    """Byte embedding, one gated unit per direction, and a softmax over both states."""
+    """Byte embedding, one gated layer per direction, and a softmax over both states."""
 
     langs: list[str]
     p: dict[str, np.ndarray]
@@ -58,38 +61,54 @@ class Network:
             p |= {f"{d}W": draw(EMBED, 3 * HIDDEN), f"{d}U": draw(HIDDEN, 3 * HIDDEN), f"{d}c": np.zeros(3 * HIDDEN, np.float32)}
         return cls(langs, p)
 
-    def _direction(self, d: str, data: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States (time, word, unit); data and mask are (time, word)."""
+    def _direction(self, d: str, data: np.ndarray, mask: np.ndarray, warm: int, keep: bool) -> tuple[np.ndarray, list]:
+        """States (time, window, unit) of the labelled times; data and mask are (time, window) with `warm` times on either side."""
         w, u, c = self.p[f"{d}W"], self.p[f"{d}U"], self.p[f"{d}c"]
         table = self.p["E"] @ w + c  # what each byte value adds to the gates
+        # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        half = table.copy()
+        half[:, : 2 * HIDDEN] *= 0.5
+        gates, inner = u[:, : 2 * HIDDEN] * 0.5, u[:, 2 * HIDDEN :]
         steps, n = data.shape
-        h, out, saved = np.zeros((n, HIDDEN), np.float32), np.zeros((steps, n, HIDDEN), np.float32), [None] * steps
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            x = table[data[t]]
-            zr = _sigmoid(x[:, : 2 * HIDDEN] + h @ u[:, : 2 * HIDDEN])
+        h, out, saved = np.zeros((n, HIDDEN), table.dtype), np.zeros((steps - 2 * warm, n, HIDDEN), table.dtype), [None] * steps
+        for t in range(steps - warm) if d == "f" else range(steps - 1, warm - 1, -1):
+            x = half[data[t]]
+            zr = h @ gates
+            zr += x[:, : 2 * HIDDEN]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            cand = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ u[:, 2 * HIDDEN :])
-            new = h + mask[t][:, None] * z * (cand - h)
+            cand = (r * h) @ inner
+            cand += x[:, 2 * HIDDEN :]
+            np.tanh(cand, out=cand)
             if keep:
                 saved[t] = (h, z, r, cand)
-            out[t] = h = new
+            new = cand - h
+            new *= z
+            new *= mask[t][:, None]
+            new += h
+            h = new
+            if warm <= t < steps - warm:
+                out[t - warm] = h
         return out, saved
 
-    def log_probs(self, data: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._direction(d, data, mask, False)[0] for d in "fb"], axis=2)
-        scores = both @ self.p["O"] + self.p["o"]
+    def log_probs(self, data: np.ndarray, mask: np.ndarray, warm: int = WARM) -> np.ndarray:
+        scores = self.p["o"] + sum(self._direction(d, data, mask, warm, False)[0] @ part for d, part in zip("fb", np.split(self.p["O"], 2), strict=True))
         scores -= scores.max(axis=2, keepdims=True)
-        return scores - np.log(np.exp(scores).sum(axis=2, keepdims=True))
+        scores -= np.log(np.exp(scores).sum(axis=2, keepdims=True))
+        return scores
 
-    def gradients(self, data: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean position loss and its gradients, backwards through time in each direction."""
-        runs = {d: self._direction(d, data, mask, True) for d in "fb"}
+    def gradients(self, data: np.ndarray, mask: np.ndarray, label: np.ndarray, warm: int = WARM) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss of the labelled positions and its gradients, backwards through time in each direction."""
+        runs = {d: self._direction(d, data, mask, warm, True) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         scores = both @ self.p["O"] + self.p["o"]
         scores -= scores.max(axis=2, keepdims=True)
         prob = np.exp(scores)
         prob /= prob.sum(axis=2, keepdims=True)
-        weight = mask / mask.sum()
+        inside = mask[warm : len(mask) - warm]
+        weight = inside / inside.sum()
         n = np.arange(data.shape[1])
         loss = -float((weight * np.log(prob[:, n, label] + 1e-9)).sum())
         delta = prob.copy()
@@ -101,12 +120,13 @@ class Network:
         for k, d in enumerate("fb"):
             w, u = self.p[f"{d}W"], self.p[f"{d}U"]
             above, saved = back[:, :, k * HIDDEN : (k + 1) * HIDDEN], runs[d][1]
-            dh = np.zeros_like(above[0])
+            dh = np.zeros((data.shape[1], HIDDEN), above.dtype)
             gates = np.zeros((256, 3 * HIDDEN), np.float32)
             steps = data.shape[0]
-            for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
+            for t in range(steps - warm - 1, -1, -1) if d == "f" else range(warm, steps):
                 h, z, r, cand = saved[t]
-                dh = dh + above[t]
+                if warm <= t < steps - warm:
+                    dh = dh + above[t - warm]
                 m = mask[t][:, None] * dh
                 dcand = m * z * (1 - cand**2)
                 drh = dcand @ u[:, 2 * HIDDEN :].T
@@ -121,47 +141,63 @@ class Network:
         return loss, g
 
 
-def padded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(time, word) bytes with a space before and after each word, and their mask."""
-    steps = int(sizes.max()) + 2
-    out = np.full((len(starts), steps), 32, np.uint8)
-    row = np.repeat(np.arange(len(starts)), sizes)
-    out[row, 1 + textvec.ranges(np.zeros(len(starts), np.int64), sizes)] = data[textvec.ranges(starts, sizes)]
-    mask = np.arange(steps)[None, :] < (sizes + 2)[:, None]
-    return np.ascontiguousarray(out.T), np.ascontiguousarray(mask.T).astype(np.float32)
+def windows(offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, end) of the windows that cover each text [offsets[k], offsets[k + 1])."""
+    size = np.diff(offsets)
+    parts = -(-size // width)
+    row = np.repeat(np.arange(len(size)), parts)
+    first = offsets[row] + textvec.ranges(np.zeros(len(size), np.int64), parts) * width
+    return row, first, np.minimum(first + width, offsets[row + 1])
+
 
+def framed(data: np.ndarray, low: np.ndarray, first: np.ndarray, high: np.ndarray, width: int = WINDOW, warm: int = WARM) -> tuple[np.ndarray, np.ndarray]:
+    """(time, window) bytes around the windows that begin at `first` in texts [low, high), and their
+    mask: 0 outside of the text."""
+    at = first[None, :] + np.arange(-warm, width + warm)[:, None]
+    inside = (at >= low) & (at < high)
+    return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8), inside.astype(np.float32)
 
-def pieces(words: textvec.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, word) of the pieces of at most PIECE bytes."""
-    size = words.ends - words.starts
-    parts = -(-size // PIECE)
-    word = np.repeat(np.arange(len(size)), parts)
-    inside = textvec.ranges(np.zeros(len(size), np.int64), parts) * PIECE
-    return words.starts[word] + inside, np.minimum(PIECE, size[word] - inside), word
 
+def sampled(docs: DataFrame, per_lang: int) -> list:
+    """Training rows (lang, low, high, raw): a window's bytes with its surroundings, of which
+    [low, high) are the text's; of the same documents whatever the table's order."""
 
-def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Network:
-    """From (text, lang); Adam on batches of words, each with its document's language."""
-    langs = sorted({lang for _, lang in rows})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textvec.chunks(batch):
+                data, offsets = textvec.buffer_of(part.column("text"))
+                row, first, _ = windows(offsets)
+                out = []
+                for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                    mine = first[slice(*np.searchsorted(row, [k, k + 1]))]
+                    for at in np.random.default_rng(abs(doc_id)).permutation(mine)[:PER_DOC].tolist():
+                        a, b = max(at - WARM, offsets[k]), min(at + WINDOW + WARM, offsets[k + 1])
+                        out.append((k, int(a) - at + WARM, int(b) - at + WARM, data[a:b].tobytes()))
+                which, low, high, raw = zip(*out, strict=True) if out else ([],) * 4
+                yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(which, pa.int64())), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(raw, pa.binary())], ["lang", "low", "high", "raw"])
+
+    drawn = sampling.training_table(docs, "lang", per_lang, None)
+    return [] if drawn is None else sorted(drawn.mapInArrow(workers.tidy(run), "lang string, low int, high int, raw binary").collect())
+
+
+def train(rows: list, steps: int = STEPS, seed: int = 7) -> Network:
+    """From (lang, low, high, raw); Adam on batches of windows, of each language as many."""
+    langs = sorted({row[0] for row in rows})
     net = Network.new(langs, seed)
     if len(langs) < 2:
         return net
     rng = np.random.default_rng(seed)
-    column = pa.array([text for text, _ in rows])
-    words = textvec.Words(column)
-    starts, sizes, word = pieces(words)
-    label = np.array([langs.index(lang) for _, lang in rows])[words.rows()][word]
-    ptr = np.searchsorted(word, words.ptr)
-    first = np.concatenate([rng.permutation(np.arange(a, b))[:TRAIN_WORDS] for a, b in zip(ptr[:-1], ptr[1:], strict=True)])
-    by_lang = [first[label[first] == k] for k in range(len(langs))]
-    by_lang = [x for x in by_lang if len(x)]
-    if not by_lang:
-        return net
+    data, mask = np.zeros((len(rows), WINDOW + 2 * WARM), np.uint8), np.zeros((len(rows), WINDOW + 2 * WARM), np.float32)
+    for k, (_, low, high, raw) in enumerate(rows):
+        data[k, low:high], mask[k, low:high] = np.frombuffer(raw, np.uint8), 1
+    label = np.array([langs.index(row[0]) for row in rows])
+    by_lang = [np.flatnonzero(label == k) for k in range(len(langs))]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     for step in range(1, steps + 1):
-        some = np.concatenate([rng.choice(x, max(1, BATCH // len(by_lang))) for x in by_lang])
-        data, mask = padded(words.data, starts[some], sizes[some])
-        _, g = net.gradients(data, mask, label[some])
+        # More languages than a batch has windows take turns.
+        turn = rng.permutation(len(by_lang))[:BATCH]
+        some = np.concatenate([rng.choice(by_lang[k], max(1, BATCH // len(turn))) for k in turn])
+        _, g = net.gradients(np.ascontiguousarray(data[some].T), np.ascontiguousarray(mask[some].T), label[some])
         rate = RATE * (0.1 + 0.9 * 0.5 * (1 + np.cos(np.pi * step / steps)))
         for k, grad in g.items():
             a, b = moment[k]
@@ -171,66 +207,38 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Net
     return net
 
 
-class Labeller:
-    """Sums of a word's position log-probabilities; distinct words are read once while kept."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.known, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(net.langs)), np.float32)
-
-    def words(self, words: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(index of each word's entry, entries)."""
-        distinct, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_WORDS:
-            self.known, self.sums = self.known[:0], self.sums[:0]
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
-        if len(new):
-            sums = self._read(words, first[new])
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known)
-            self.known, self.sums = known[order], np.concatenate([self.sums, sums])[order]
-        return np.searchsorted(self.known, distinct)[back], self.sums
-
-    def _read(self, words: textvec.Words, which: np.ndarray) -> np.ndarray:
-        view = object.__new__(textvec.Words)
-        view.starts, view.ends, view.data = words.starts[which], words.ends[which], words.data
-        start, size, word = pieces(view)
-        order = np.argsort(size, kind="stable")
-        out = np.zeros((len(which), len(self.net.langs)), np.float32)
-        for some in np.array_split(order, max(1, len(order) // 4096)):
-            data, mask = padded(words.data, start[some], size[some])
-            np.add.at(out, word[some], (self.net.log_probs(data, mask) * mask[:, :, None]).sum(0))
-        return out
+def pooled(net: Network, column: pa.Array) -> np.ndarray:
+    """(text, language) mean position log-probabilities; zero for a text without bytes."""
+    data, offsets = textvec.buffer_of(column)
+    row, first, end = windows(offsets)
+    sums = np.zeros((len(column), len(net.langs)))
+    for at in range(0, len(first), TILE):
+        some = slice(at, at + TILE)
+        frame, mask = framed(data, offsets[row[some]], first[some], offsets[row[some] + 1])
+        label = (np.arange(WINDOW)[:, None] < (end - first)[some]).astype(np.float32)
+        np.add.at(sums, row[some], np.einsum("tnl,tn->nl", net.log_probs(frame, mask), label))
+    return sums / np.maximum(np.diff(offsets), 1)[:, None]
 
 
 def predict(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row."""
-    rows = sampling.training_rows(docs, "lang", per_lang, None)
-    shared = docs.sparkSession.sparkContext.broadcast(train([(r["text"], r["lang"]) for r in rows]))
+    shared = docs.sparkSession.sparkContext.broadcast(train([tuple(r) for r in sampled(docs, per_lang)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        labeller = Labeller(net)
+        names = np.array([*net.langs, UNKNOWN], dtype=object)
         for batch in batches:
             for part in textvec.chunks(batch):
                 text = part.column("text")
-                words = textvec.Words(text)
-                n = part.num_rows
-                prob, lang = np.zeros(n), np.full(n, UNKNOWN, dtype=object)
                 lettered = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)
-                if len(words) and net.langs:
-                    index, sums = labeller.words(words)
-                    size = (words.ends - words.starts) + 2 * -(-(words.ends - words.starts) // PIECE)
-                    has = np.flatnonzero(words.counts)
-                    total = np.add.reduceat(sums[index].astype(np.float64), words.ptr[:-1][has], axis=0)
-                    mean = total / np.add.reduceat(size, words.ptr[:-1][has])[:, None]
+                prob, lang = np.zeros(part.num_rows), np.full(part.num_rows, len(net.langs))
+                if net.langs:
+                    mean = pooled(net, text)
                     p = np.exp(mean - mean.max(1, keepdims=True))
                     p /= p.sum(1, keepdims=True)
-                    prob[has], lang[has] = p.max(1), np.array(net.langs, dtype=object)[p.argmax(1)]
-                prob[~lettered], lang[~lettered] = 0.0, UNKNOWN
-                out = {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(prob)}
+                    prob[lettered], lang[lettered] = p.max(1)[lettered], p.argmax(1)[lettered]
+                out = {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "lang_pred": pa.array(names[lang], pa.string()), "score": pa.array(prob)}
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     picked = docs.select("doc_id", "text", sampling.held_out().alias("held_out"))
-    return picked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return picked.mapInArrow(workers.tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")

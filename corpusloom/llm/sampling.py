@@ -20,29 +20,32 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == HELD_OUT
 
 
-def training_rows(docs: DataFrame, label: str, per_label: int, most_labels: int | None) -> list:
-    """Up to per_label rows (doc_id, text, label) of each label, those of least hash, none held out.
+def training_table(docs: DataFrame, label: str, per_label: int, most_labels: int | None) -> DataFrame | None:
+    """The rows (doc_id, text, label) of per_label documents of each label, those of least hash,
+    none held out; None if no row is labelled. Most_labels None takes every label.
 
     The share of each label's rows that are drawn follows from a count of all rows; the driver
-    receives per_label rows of each label at most; most_labels None takes every label.
+    receives ids alone, some more than per_label of each label, and texts stay where they are.
     """
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = known.groupBy(label).count().orderBy(F.desc("count"), label)
     counts = (counts if most_labels is None else counts.limit(most_labels)).collect()
+    if not counts:
+        return None
     # Half as many again as wanted are drawn by hash, so that chance leaves few too few.
     scale = 1_000_000
-    draw = None
+    draw = F.lit(False)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
     for row in counts:
         limit = scale if row["count"] <= per_label else min(scale, int(scale * 1.5 * per_label / row["count"]) + 1)
-        hit = (F.col(label) == F.lit(row[label])) & (place < limit)
-        draw = hit if draw is None else draw | hit
-    if draw is None:
-        return []
-    picked = known.where(draw).select("doc_id", "text", label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_label * (most_labels or len(counts)) * 2).collect()
-    left, out = {row[label]: per_label for row in counts}, []
+        draw = draw | (F.col(label) == F.lit(row[label])) & (place < limit)
+    picked = known.where(draw).select("doc_id", label, F.xxhash64("text").alias("digest")).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(per_label * len(counts) * 2).collect()
+    left, chosen = {row[label]: per_label for row in counts}, []
     for row in picked:
         if left[row[label]] > 0:
             left[row[label]] -= 1
-            out.append(row)
-    return out
+            chosen.append((row["doc_id"], row["digest"]))
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, digest long").distinct()
+    # As few rows as the parameters allow, so they may go to every executor.
+    some = known.where(draw).withColumn("digest", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "digest"], "left_semi")
+    return some.select("doc_id", "text", label)
