@@ -1,15 +1,18 @@
 """Operator 5, quality classifier: random-indexing word vectors and a small numpy network.
 
 A word's index vector is sparse and ternary and follows from the word's hash alone. A word's
-context vector is the sum of the index vectors of the words around it in the training texts;
-words share BUCKETS rows by hash, so the table has a fixed size. A text is the mean of its
-words' index vectors and of their context vectors, pooled over the whole text, with the
-logarithm of its length, of both means' norms (high where few words make up the text) and
-the share of words whose index vector is their neighbour's. A two-layer network turns that into a logit, and a temperature and
-offset fitted on rows that the network was not trained on calibrate its probability.
+context vector is the sum of the index vectors of the words around it in all texts of the
+table; words share BUCKETS rows by hash, so the table of vectors has a fixed size, of which
+each task makes one and Spark sums them up in slices. A text is the mean of its words' index
+vectors and of their context vectors, pooled over the whole text, with the logarithm of its
+length, of both means' norms (high where few words make up the text) and the share of words
+whose index vector is their neighbour's. A two-layer network turns that into a logit, and a
+temperature and offset fitted on rows that the network was not trained on calibrate its
+probability.
 
 Labels are taken from a sample of at most PER_LABEL rows of each label, those of least hash,
-and never from a held-out row. Scores depend on the text alone.
+and never from a held-out row. Of them the driver receives pooled vectors, no texts. Scores
+depend on the text and on the table's texts alone.
 
 Defined results: a null or empty text is scored like any text without words; a null doc_id
 counts as not held out; rows that repeat have equal results; with no label, or one kind of
@@ -25,15 +28,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusloom.llm import sampling, textvec
+from corpusloom.llm import sampling, textvec, workers
 
-PER_LABEL = 2_000
+PER_LABEL = 3_000
 BUCKETS = 1 << 15
 DIM = 48
 #: Entries of an index vector that are not zero.
 NONZERO = 6
 REACH = 2
+#: Rows of the table of vectors that are summed as one value.
+SLICE = 256
 #: A text's figures besides the means.
 FIGURES = 4
 HIDDEN = 32
@@ -60,26 +66,49 @@ def buckets(words: textvec.Words) -> np.ndarray:
     return (words.hashes() & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def batches_of(column: pa.Array) -> Iterator[pa.Array]:
-    """Slices of little text, as the driver's memory is small."""
-    batch = pa.RecordBatch.from_arrays([column], ["text"])
-    return (part.column("text") for part in textvec.chunks(batch, most=1 << 20))
+def add_contexts(words: textvec.Words, index: np.ndarray, out: np.ndarray) -> None:
+    """Adds to out, for each bucket, the index vectors within REACH words of its occurrences."""
+    own, row = buckets(words), words.rows()
+    for gap in range(1, REACH + 1):
+        together = np.flatnonzero(row[gap:] == row[:-gap])
+        for a, b in ((together, together + gap), (together + gap, together)):
+            pairs, counts = np.unique(own[a] * BUCKETS + own[b], return_counts=True)
+            for some in np.array_split(np.arange(len(pairs)), max(1, len(pairs) // 50_000)):
+                if len(some):
+                    bucket = pairs[some] // BUCKETS
+                    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    out[bucket[first]] += np.add.reduceat(index[pairs[some] % BUCKETS] * counts[some, None].astype(np.float32), first, axis=0)
 
 
-def context_vectors(column: pa.Array, index: np.ndarray) -> np.ndarray:
-    """Unit sums of the index vectors within REACH words of each bucket's occurrences."""
-    out = np.zeros_like(index)
-    for part in batches_of(column):
-        words = textvec.Words(part)
-        own, row = buckets(words), words.rows()
-        for gap in range(1, REACH + 1):
-            together = np.flatnonzero(row[gap:] == row[:-gap])
-            for a, b in ((together, together + gap), (together + gap, together)):
-                pairs, counts = np.unique(own[a] * BUCKETS + own[b], return_counts=True)
-                for some in np.array_split(np.arange(len(pairs)), max(1, len(pairs) // 20_000)):
-                    np.add.at(out, pairs[some] // BUCKETS, index[pairs[some] % BUCKETS] * counts[some, None].astype(np.float32))
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norm, 1e-9)
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """Unit context vectors of all texts' words: (BUCKETS, DIM)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_vectors()
+        out = np.zeros_like(index)
+        for batch in batches:
+            for part in textvec.chunks(batch):
+                add_contexts(textvec.Words(part.column("text")), index, out)
+        yield slices(range(0, BUCKETS // SLICE), [out[k * SLICE : (k + 1) * SLICE] for k in range(BUCKETS // SLICE)])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("sums"), strict=True):
+                if k not in sums:
+                    sums[k] = np.zeros((SLICE, DIM))
+                sums[k] += np.frombuffer(raw.as_buffer(), np.float32).reshape(SLICE, DIM)
+        yield slices(sums, [x.astype(np.float32) for x in sums.values()])
+
+    def slices(numbers, values: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.int32()), pa.array([np.ascontiguousarray(v).tobytes() for v in values], pa.binary())], ["slice", "sums"])
+
+    kind = "slice int, sums binary"
+    parts = docs.select("text").mapInArrow(workers.tidy(run), kind).repartition(min(BUCKETS // SLICE, 32), "slice").mapInArrow(workers.tidy(total), kind).collect()
+    out = np.zeros((BUCKETS, DIM), np.float32)
+    for r in parts:
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["sums"], np.float32).reshape(SLICE, DIM)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 @dataclass
@@ -130,22 +159,14 @@ def pooled(column: pa.Array, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
-    """From (text, label)."""
-    index = index_vectors()
-    column = pa.array([t for t, _ in rows], pa.string())
-    y = np.array([label for _, label in rows], dtype=np.float64)
-    context = np.zeros_like(index)
-    if len(rows):
-        context = context_vectors(column, index)
-    table = np.concatenate([index, context], axis=1)
-    width = 2 * DIM + FIGURES
+def train(table: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int = 11) -> Model:
+    """From the vectors of all words, pooled texts and their labels."""
+    width, x, y = 2 * DIM + FIGURES, np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
     layers = [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0]
     model = Model(table, np.zeros(width), np.ones(width), layers, 1.0, 0.0)
     if not 0 < y.sum() < len(y):
         model.offset = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
         return model
-    x = np.concatenate([pooled(part, table) for part in batches_of(column)]).astype(np.float64)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -196,10 +217,22 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
-    marked = labels.where(f"doc_id is not null and {label} in (0, 1)").groupBy("doc_id").agg({label: "min"}).toDF("doc_id", "_label")
+    spark = docs.sparkSession
+    marked = labels.where(f"doc_id is not null and {label} in (0, 1)").groupBy("doc_id").agg(F.min(label).cast("int").alias("_label"))
     known = docs.select("doc_id", "text").join(marked, "doc_id")
-    rows = sampling.training_rows(known, "_label", per_label, 2)
-    shared = docs.sparkSession.sparkContext.broadcast(train([(r["text"], r["_label"]) for r in rows]))
+    table = np.concatenate([index_vectors(), context_vectors(docs)], axis=1)
+    vectors = spark.sparkContext.broadcast(table)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textvec.chunks(batch):
+                x = pooled(part.column("text"), vectors.value)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_label"), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "_label", "x"])
+
+    drawn = sampling.training_table(known, "_label", per_label, 2)
+    rows = [] if drawn is None else sorted(tuple(r) for r in drawn.mapInArrow(workers.tidy(pool), "doc_id long, _label int, x binary").collect())
+    x = np.array([np.frombuffer(r[2], np.float32) for r in rows]).reshape(len(rows), 2 * DIM + FIGURES)
+    shared = spark.sparkContext.broadcast(train(table, x, np.array([r[1] for r in rows])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,4 +242,4 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", per_lab
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted"])
 
     picked = docs.select("doc_id", "text", sampling.held_out().alias("held_out"))
-    return picked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return picked.mapInArrow(workers.tidy(run), "doc_id long, held_out boolean, score double, predicted int")
