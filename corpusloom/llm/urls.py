@@ -4,7 +4,11 @@ The longest rule that fits a URL decides it. The rest is decided by gradient-boo
 fitted on the driver to at most TRAIN_ROWS labelled URLs (those of least hash, whatever the
 table's order) and carried to the executors as a few kilobytes. A URL's features are its
 lengths, depth, ratios of digits and other characters, entropy, parameter counts and, of its
-host's suffixes, the smoothed share of blocked URLs among the labelled ones.
+host's suffixes, the smoothed share of blocked URLs among the labelled ones. Every UNKNOWNth
+training URL stands there as if its suffixes were unknown, so that the trees learn to judge
+such URLs by the rest. Both labels weigh alike, and a URL is blocked only where the trees are
+surer than SURE, so one that is like none of the labelled ones is let through. Features are column expressions; only URLs that no rule decides
+go through Python, which scores a batch of them as arrays.
 
 Defined results: a null URL, or one without `://`, has empty host and path, fits no rule and
 is judged on the features of an empty URL; a null page_id stays null; repeated rows have
@@ -14,7 +18,7 @@ method's verdict; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +34,9 @@ BINS = 32
 RIDGE = 1.0
 #: Labelled URLs that a suffix's share is weighed against.
 PRIOR_WEIGHT = 20.0
+UNKNOWN = 5
+#: Probability from which on a URL is blocked.
+SURE = 0.8
 
 #: (verdict, host, path)
 RULES = [
@@ -62,33 +69,52 @@ def ruled(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return (none, none) if rule is None else (rule, verdict)
 
 
-def _entropy(text: str) -> float:
-    if not text:
-        return 0.0
-    _, counts = np.unique(np.frombuffer(text.encode(), np.uint8), return_counts=True)
-    p = counts / counts.sum()
-    return float(-(p * np.log2(p)).sum())
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _suffixes(host: str) -> list[str]:
-    """The host's last label and its last two."""
-    labels = host.split(".")
-    return [".".join(labels[-n:]) for n in (1, 2)]
+def _count(text: Column, pattern: str) -> Column:
+    """Characters that a one-character pattern matches."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def features(url: str, host: str, path: str, suffixes: dict[str, float], prior: float) -> list[float]:
-    size = max(1, len(url))
-    query = url.split("#", 1)[0].partition("?")[2]
-    digits = lambda s: sum(c.isdigit() for c in s) / max(1, len(s))
-    segments = [s for s in path.split("/") if s]
-    return [
-        len(url), len(host), len(path), len(query), len(segments), max(map(len, segments), default=0),
-        host.count(".") + 1 if host else 0, max(map(len, host.split("."))), digits(url), digits(host), digits(path),
-        sum(not c.isalnum() for c in url) / size, host.count("-"), path.count("-") + path.count("_"),
-        _entropy(host), _entropy(path), query.count("=") , query.count("&"), float("#" in url),
-        float("." in segments[-1]) if segments else 0.0, float(url[:6].lower() == "https:"), sum(c.isupper() for c in url) / size,
-        sum(c in "aeiou" for c in host) / max(1, len(host)), *(suffixes.get(s, prior) for s in _suffixes(host)),
-    ]
+def _share(text: Column, pattern: str) -> Column:
+    return _count(text, pattern) / F.greatest(F.length(text), F.lit(1))
+
+
+def _entropy(text: Column) -> Column:
+    """Bits a character, from the counts of the distinct ones."""
+    distinct = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    share = F.transform(distinct, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text))
+    return F.aggregate(share, F.lit(0.0), lambda sum_, p: sum_ - p * F.log2(p))
+
+
+def features(url: Column, host: Column, path: Column) -> Column:
+    """A URL's figures, as an array of doubles; those of its suffixes come later."""
+    query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+    longest = lambda parts: F.coalesce(F.array_max(F.transform(parts, lambda x: F.length(x))), F.lit(0))
+
+    def listed(segments: Column) -> Column:
+        last = F.coalesce(F.get(segments, F.size(segments) - 1), F.lit(""))
+        each = [
+            F.length(url), F.length(host), F.length(path), F.length(query), F.size(segments), longest(segments),
+            F.when(host == "", 0).otherwise(_count(host, r"\.") + 1), longest(F.split(host, r"\.")), _share(url, "[0-9]"), _share(host, "[0-9]"), _share(path, "[0-9]"),
+            _share(url, r"[^\p{L}\p{N}]"), _count(host, "-"), _count(path, "[-_]"), _entropy(host), _entropy(path), _count(query, "="), _count(query, "&"),
+            url.contains("#").cast("int"), last.contains(".").cast("int"), F.lower(url).startswith("https:").cast("int"), _share(url, r"\p{Lu}"), _share(host, "[aeiou]"),
+        ]
+        return F.array(*[c.cast("double") for c in each])
+
+    return _let(F.filter(F.split(path, "/"), lambda x: x != ""), listed)
+
+
+#: The host's last label and its last two.
+SUFFIXES = {"last": 1, "last_two": 2}
+
+
+def described(urls: DataFrame) -> DataFrame:
+    """urls(url, host, path, ...) with its features and suffixes."""
+    return urls.withColumns({"x": features(F.col("url"), F.col("host"), F.col("path"))} | {name: F.substring_index("host", ".", -n) for name, n in SUFFIXES.items()})
 
 
 @dataclass
@@ -118,18 +144,19 @@ class Trees:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Trees for labels y (1 block) on features x; second-order gains on histograms."""
+    """Trees for labels y (1 block) on features x, both labels weighing alike; second-order gains on histograms."""
     inner = 2**DEPTH - 1
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for f in range(x.shape[1])]
-    share = (y.sum() + 0.5) / (len(y) + 1) if 0 < y.sum() < len(y) else 0.999 if len(y) and y.all() else 0.001
+    share = 0.5 if 0 < y.sum() < len(y) else 0.999 if len(y) and y.all() else 0.001
     model = Trees(float(np.log(share / (1 - share))), edges, np.zeros((0, inner), int), np.zeros((0, inner), int), np.zeros((0, inner + 1)))
     if not 0 < y.sum() < len(y):
         return model
     bins, raw = model.binned(x), np.full(len(y), model.base)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     splits, cuts, leaves = [], [], []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-raw))
-        grad, hess = y - p, p * (1 - p)
+        grad, hess = weight * (y - p), weight * p * (1 - p)
         node = np.zeros(len(y), np.int64)
         split, cut, leaf = np.zeros(inner, int), np.full(inner, BINS + 1), np.zeros(inner + 1)
         for level in range(DEPTH):
@@ -161,29 +188,41 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 @dataclass
 class Judge:
     trees: Trees
-    suffixes: dict[str, float]
+    shares: dict[str, dict[str, float]]
     prior: float
 
-    def block(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
-        width = len(features("", "", "", {}, 0.0))
-        x = np.array([features(*r, self.suffixes, self.prior) for r in rows], dtype=float).reshape(-1, width)
-        return self.trees.score(x) >= 0.5
+    def block(self, x: np.ndarray, suffixes: dict[str, pa.Array]) -> np.ndarray:
+        """Whether each row of described URLs is to be blocked."""
+        return self.trees.score(np.concatenate([x, *(self.shares_of(name, suffixes[name])[:, None] for name in SUFFIXES)], axis=1)) >= SURE
+
+    def shares_of(self, name: str, column: pa.Array) -> np.ndarray:
+        coded = column.dictionary_encode()
+        known = self.shares[name]
+        each = np.array([known.get(s, self.prior) for s in coded.dictionary.to_pylist()])
+        return each[coded.indices.to_numpy()] if len(column) else np.zeros(0)
+
 
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def train(labelled: list[tuple[str, str, str, int]]) -> Judge:
-    """From (url, host, path, 1 if blocked)."""
-    y = np.array([r[3] for r in labelled], dtype=float)
-    prior = float(y.mean()) if len(y) else 0.0
-    sums: dict[str, list[float]] = {}
-    for _, host, _, label in labelled:
-        for s in _suffixes(host):
-            have = sums.setdefault(s, [0.0, 0.0])
-            have[0] += label
-            have[1] += 1
-    suffixes = {s: (a + prior * PRIOR_WEIGHT) / (n + PRIOR_WEIGHT) for s, (a, n) in sums.items()}
-    width = len(features("", "", "", {}, 0.0))
-    x = np.array([features(u, h, p, suffixes, prior) for u, h, p, _ in labelled], dtype=float).reshape(-1, width)
-    return Judge(fit(x, y), suffixes, prior)
+
+def train(labelled: pa.Table) -> Judge:
+    """From described URLs with blocked (1 or 0), in an order of no meaning."""
+    y = labelled.column("blocked").to_numpy().astype(float)
+    judge = Judge(fit(np.zeros((0, 1)), np.zeros(0)), {name: {} for name in SUFFIXES}, float(y.mean()) if len(y) else 0.0)
+    if not len(y):
+        return judge
+    x = [matrix(labelled.column("x").combine_chunks())]
+    for name in SUFFIXES:
+        coded = labelled.column(name).combine_chunks().dictionary_encode()
+        at = coded.indices.to_numpy()
+        share = (np.bincount(at, y) + judge.prior * PRIOR_WEIGHT) / (np.bincount(at) + PRIOR_WEIGHT)
+        judge.shares[name] = dict(zip(coded.dictionary.to_pylist(), share.tolist(), strict=True))
+        seen = share[at]
+        seen[::UNKNOWN] = judge.prior
+        x.append(seen[:, None])
+    judge.trees = fit(np.concatenate(x, axis=1), y)
+    return judge
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -195,23 +234,44 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled:
         given = known.where("ruled is not null").withColumn("blocked", (F.col("ruled") == "block").cast("int"))
     else:
         given = labelled.where("blocked is not null").select(url.alias("url"), F.col("blocked").cast("int")).withColumns(host_and_path(F.col("url")))
-    given = given.select("url", "host", "path", "blocked")
+    shared = pages.sparkSession.sparkContext.broadcast(learnt(given.select("url", "host", "path", "blocked"), train_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                block = shared.value.block(matrix(part.column("x")), {name: part.column(name) for name in SUFFIXES})
+                out = {c: part.column(c) for c in ("page_id", "host", "path", "rule")} | {"verdict": pa.array(np.where(block, "block", "allow").astype(object), pa.string())}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    open_ = described(known.where("ruled is null")).select("page_id", "host", "path", "rule", "x", *SUFFIXES)
+    rest = open_.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return known.where("ruled is not null").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict")).union(rest)
+
+
+def learnt(given: DataFrame, train_rows: int = TRAIN_ROWS) -> Judge:
+    """The judge that labelled URLs (url, host, path, blocked) teach."""
     # The same rows whatever their order in the table. A draw by hash of about twice as many
     # comes first, so that no task hands more than its share of them to the top-k.
     scale = 1_000_000
     given = given.distinct()
     share = min(scale, int(scale * 2 * train_rows / max(1, given.count())) + 1)
     drawn = given.where(F.pmod(F.xxhash64("url"), F.lit(scale)) < share)
-    chosen = drawn.orderBy(F.xxhash64("url"), "url", "blocked").limit(train_rows).collect()
-    shared = pages.sparkSession.sparkContext.broadcast(train([tuple(r) for r in chosen]))
+    chosen = drawn.orderBy(F.xxhash64("url"), "url", "blocked").limit(train_rows)
+    return train(described(chosen).select("x", *SUFFIXES, "blocked").toArrow())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            url, host, path, decided = (batch.column(c).to_pylist() for c in ("url", "host", "path", "ruled"))
-            rest = [i for i, d in enumerate(decided) if d is None]
-            for i, block in zip(rest, shared.value.block([(url[i], host[i], path[i]) for i in rest]), strict=True):
-                decided[i] = "block" if block else "allow"
-            out = {c: batch.column(c) for c in ("page_id", "host", "path", "rule")} | {"verdict": pa.array(decided, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
-
-    return known.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+
+def left_out(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> list[tuple[str, int, float]]:
+    """(rule, URLs, share judged as the rule would) of each rule, by a method that never saw its
+    URLs; a report on TRAIN_ROWS URLs of each at most."""
+    rule, verdict = ruled(rules)
+    known = pages.select(F.coalesce("url", F.lit("")).alias("url")).withColumns(host_and_path(F.col("url"))).withColumns({"rule": rule, "ruled": verdict}).where("rule is not null")
+    out = []
+    for kind, host, path in rules:
+        mine = F.col("rule") == host + path
+        judge = learnt(known.where(~mine).select("url", "host", "path", (F.col("ruled") == "block").cast("int").alias("blocked")))
+        asked = described(known.where(mine).limit(TRAIN_ROWS)).select("x", *SUFFIXES).toArrow().combine_chunks()
+        if asked.num_rows:
+            block = judge.block(matrix(asked.column("x").combine_chunks()), {name: asked.column(name).combine_chunks() for name in SUFFIXES})
+            out.append((host + path, asked.num_rows, float(np.mean(block == (kind == "block")))))
+    return out
