@@ -107,29 +107,46 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
-    found = toolcalls.link(calls, results, toolcalls.REPLY)
+    found = toolcalls.link(calls, results, toolcalls.TOOLS)
     return found.select("conv_id", "call_id", "order_key", "status", "n_missing", F.array_join("errors", "; ").alias("errors"), F.sha2("json", 256).alias("json_sha256"))
 
 
 ORACLES["op3_tool_calls"] = """
-with calls as (
-  select conv_id, conv_id || ':' || turn as call_id, turn, text, conv_id || ':' || (turn - 2) as need
-  from conversations where role = 'user'
+with recursive calls as (
+  select conv_id, turn, text, conv_id || ':' || turn as call_id, (conv_id + turn) % 5 as kind,
+         list_filter(case conv_id % 4 when 0 then [before] when 1 then [behind] when 2 then [before, behind] else [before, conv_id || ':' || turn, 'none'] end, lambda x: x is not null) as after
+  from (select *, case when turn >= 2 then conv_id || ':' || (turn - 2) end as before, conv_id || ':' || (turn + 2) as behind from conversations where role = 'user')
 ), results as (
-  select conv_id, conv_id || ':' || (turn - 1) as call_id, turn, text as content
-  from conversations where role = 'assistant'
+  select conv_id, conv_id || ':' || (turn - 1) as call_id, turn, text as content from conversations where role = 'assistant'
+), needs as (select conv_id, call_id, unnest(after) as need from calls),
+edges as (select n.* from needs n join calls c on c.conv_id = n.conv_id and c.call_id = n.need where n.need <> n.call_id),
+missing as (
+  select n.conv_id, n.call_id, count(*) as n_missing from needs n
+  where n.need = n.call_id or not exists (select 1 from calls c where c.conv_id = n.conv_id and c.call_id = n.need) group by 1, 2
+), size as (select conv_id, count(*) as n from calls group by conv_id),
+walk as (
+  select conv_id, call_id, cast(turn as bigint) as key, 0 as steps from calls
+  union
+  select e.conv_id, e.call_id, w.key + 1, w.steps + 1 from walk w join edges e on e.conv_id = w.conv_id and e.need = w.call_id join size s on s.conv_id = w.conv_id where w.steps < s.n
+), keys as (
+  select w.conv_id, call_id, case when max(steps) < any_value(n) then max(key) end as order_key from walk w join size s using (conv_id) group by w.conv_id, call_id
 ), linked as (
-  select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.turn, r.turn) as order_key,
+  select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, case when c.call_id is null then r.turn else k.order_key end as order_key,
          case when c.call_id is null then 'orphan' when r.call_id is null then 'pending' else 'linked' end as status,
-         c.text as prompt, c.turn as turn, r.content as content, c.call_id is null as orphan,
-         case when c.turn >= 2 and not exists (select 1 from calls p where p.conv_id = c.conv_id and p.call_id = c.need) then 1 else 0 end as missing
-  from calls c full join results r on c.conv_id = r.conv_id and c.call_id = r.call_id
+         c.text, c.turn, c.kind, c.call_id is null as orphan, r.content, coalesce(m.n_missing, 0) as n_missing
+  from calls c left join keys k using (conv_id, call_id) left join missing m using (conv_id, call_id) full join results r on c.conv_id = r.conv_id and c.call_id = r.call_id
 )
-select conv_id, call_id, cast(order_key as bigint) as order_key, status, cast(missing as bigint) as n_missing,
-       case when not orphan and prompt is null then 'prompt: missing' when not orphan and prompt = '' then 'prompt: below 1' else '' end as errors,
+select conv_id, call_id, cast(order_key as bigint) as order_key, status, cast(n_missing as bigint) as n_missing,
+       case when orphan then ''
+            when kind = 4 then concat_ws('; ', case conv_id % 3 when 0 then 'limit: below 1' when 2 then 'limit: not integer' end, case when text is null then 'query: missing' when text = '' then 'query: below 1' end)
+            when kind = 3 then case when conv_id % 2 = 0 then 'unknown tool' else 'not an object' end
+            when text is null then 'prompt: missing' when text = '' then 'prompt: below 1' else '' end as errors,
        sha256('{' || concat_ws(',',
-         case when not orphan then '"arguments":{' || concat_ws(',', case when prompt is not null then '"prompt":' || to_json(prompt) end, '"turn":' || turn) || '}' end,
-         '"id":' || to_json(call_id), case when not orphan then '"name":"reply"' end,
+         case when orphan then null
+              when kind = 4 then '"arguments":{"limit":' || case conv_id % 3 when 2 then '"many"' else cast(conv_id % 3 as varchar) end || case when text is not null then ',"query":' || to_json(text) else '' end || '}'
+              when kind = 3 then case when conv_id % 2 = 0 then '"arguments":{}' when text is not null then '"arguments":{"raw":' || to_json(text) || '}' end
+              else '"arguments":{' || concat_ws(',', case when text is not null then '"prompt":' || to_json(text) end, '"turn":' || turn) || '}' end,
+         '"id":' || to_json(call_id), case when not orphan then '"name":"' || case kind when 4 then 'search' when 3 then 'lookup' else 'reply' end || '"' end,
          case when content is not null then '"result":' || to_json(content) end, '"status":"' || status || '"') || '}') as json_sha256
 from linked
 """

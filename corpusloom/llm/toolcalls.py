@@ -1,12 +1,18 @@
 """Operator 3, chat formatting: tool calls linked to results, ordered, validated, serialised.
 
 Calls and results meet in one hash join on conversation and identifier, so a conversation of
-any size is spread over its identifiers and never gathered. Order keys start as turns and a
-call is raised above each call that it names in `after`, by joins, until none stands below
-one of its own; in a log whose calls follow what they need, that is no round at all. Sorting
-by (order_key, call_id) is then a topological order. Arguments are parsed as variants,
-checked against their tool's schema by expressions, and written with sorted keys and without
-spaces. All of it is DataFrame functions.
+any size is spread over its identifiers and never gathered. A call's order key is the
+largest, over all chains of needs that end at it, of the turn that a chain begins with plus
+the chain's length; sorting by (order_key, call_id) is then a topological order. A
+conversation whose calls all come after what they need is in order as it stands. In the
+others chains are followed by doubling: hops of 1, 2, 4, ... needs at a time, each made by
+joining the last with itself, so a chain of n calls takes log n rounds. A hop as long as its
+conversation has calls goes round a cycle, and the call that it ends at stands on or behind
+one. Where the hops of a tangled conversation become many more than its needs, its calls are
+placed one layer at a time instead; both ways give the same keys.
+
+Arguments are parsed as variants, checked against their tool's schema by expressions, and
+written with sorted keys and without spaces. All of it is DataFrame functions.
 
 Defined results: of calls that share an identifier the one of least turn (then arguments)
 is the call and `n_calls` tells of the rest, likewise for results; a call without result is
@@ -14,8 +20,7 @@ is the call and `n_calls` tells of the rest, likewise for results; a call withou
 matches a null one; arguments that are no JSON object have the error `not an object`, an
 unknown tool `unknown tool`; `after` naming itself or a missing call counts in `n_missing`; a
 call on or behind a cycle has a null order_key; empty tables give no rows; other columns are
-ignored. Conversations that still rise after MOST_ROUNDS rounds are placed call by call
-behind what they need, in as many rounds as their longest chain; a cycle is what is left.
+ignored. One conversation's rows never depend on another's.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import storage
 
-MOST_ROUNDS = 32
+#: Hops for each need above which a round of doubling costs more than placing layers.
+MOST_HOPS = 16
 
 
 @dataclass
@@ -94,59 +100,82 @@ def _one(df: DataFrame, values: list[str], number: str) -> DataFrame:
     return df.groupBy("conv_id", "call_id").agg(first.alias("first"), F.count("*").alias(number)).select("conv_id", "call_id", number, "first.*")
 
 
-def _peeled(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """conv_id, call_id, order_key of calls(conv_id, call_id, turn) with edges(c, k, need): a call is
-    placed once all that it needs are; null for those that never are."""
-    state = storage.written(calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("order_key"), F.lit(False).alias("placed")), "state")
+def _met(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "inner") -> DataFrame:
+    """A hash join by null-safe equality of left's columns with right's."""
+    on = None
+    for a, b in pairs.items():
+        same = left[a].eqNullSafe(right[b])
+        on = same if on is None else on & same
+    return left.join(right.hint("shuffle_hash"), on, how)
+
+
+def _layered(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """c, k, order_key of calls(c, k, val) with edges(c, k, need): a call is placed once all that
+    it needs are; null for those that never are."""
+    state = storage.written(calls.withColumn("placed", F.lit(False)), "state")
     edges = storage.written(edges, "edges")
     while True:
-        waits = edges.select("c", "k").distinct().withColumn("waits", F.lit(True))
+        waits = edges.select(F.col("c").alias("wc"), F.col("k").alias("wk")).distinct().withColumn("waits", F.lit(True))
         ready = ~F.col("placed") & F.col("waits").isNull()
-        marked = state.join(waits, state.conv_id.eqNullSafe(waits.c) & state.call_id.eqNullSafe(waits.k), "left")
-        marked = storage.written(marked.select("conv_id", "call_id", "order_key", "placed", ready.alias("ready")), "marked")
-        new = marked.where("ready").select(F.col("conv_id").alias("nc"), F.col("call_id").alias("nk"), F.col("order_key").alias("above"))
+        marked = storage.written(_met(state, waits, {"c": "wc", "k": "wk"}, "left").select("c", "k", "val", "placed", ready.alias("ready")), "marked")
+        new = marked.where("ready").select(F.col("c").alias("nc"), F.col("k").alias("nk"), F.col("val").alias("above"))
         if new.isEmpty():
-            return state.select("conv_id", "call_id", F.when(F.col("placed"), F.col("order_key")).alias("order_key"))
-        met = edges.c.eqNullSafe(new.nc) & edges.need.eqNullSafe(new.nk)
-        up = edges.join(new, met).groupBy("c", "k").agg((F.max("above") + 1).alias("least"))
-        raised = marked.join(up, marked.conv_id.eqNullSafe(up.c) & marked.call_id.eqNullSafe(up.k), "left")
-        raised = storage.written(raised.select("conv_id", "call_id", F.greatest("order_key", "least").alias("order_key"), (F.col("placed") | F.col("ready")).alias("placed")), "state")
-        rest = storage.written(edges.join(new, met, "left_anti"), "edges")
-        for old in (state, edges, marked):
-            storage.drop(old)
+            return state.select("c", "k", F.when(F.col("placed"), F.col("val")).alias("order_key"))
+        up = _met(edges, new, {"c": "nc", "need": "nk"}).groupBy(F.col("c").alias("uc"), F.col("k").alias("uk")).agg((F.max("above") + 1).alias("least"))
+        raised = _met(marked, up, {"c": "uc", "k": "uk"}, "left")
+        raised = storage.written(raised.select("c", "k", F.greatest("val", "least").alias("val"), (F.col("placed") | F.col("ready")).alias("placed")), "state")
+        rest = storage.written(_met(edges, new, {"c": "nc", "need": "nk"}, "left_anti"), "edges")
+        storage.drop(state, edges, marked)
         state, edges = raised, rest
 
 
+def _doubled(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """c, k, order_key of calls(c, k, val) with edges(c, k, need); null on or behind a cycle."""
+    sizes = calls.groupBy(F.col("c").alias("sc")).agg(F.count("*").alias("n"))
+    state = storage.written(calls.withColumn("endless", F.lit(False)), "state")
+    hops = storage.written(_met(edges, sizes, {"c": "sc"}).select("c", "k", "need", "n"), "hops")
+    most, length = MOST_HOPS * hops.count(), 1
+    while True:
+        # Chains of fewer than `length` needs are in val; those of up to twice as many come in.
+        given = state.select(F.col("c").alias("gc"), F.col("k").alias("gk"), (F.col("val") + length).alias("above"))
+        up = _met(hops, given, {"c": "gc", "need": "gk"}).groupBy(F.col("c").alias("uc"), F.col("k").alias("uk")).agg(F.max("above").alias("above"), F.lit(False).alias("endless"))
+        ahead = hops.select(F.col("c").alias("hc"), F.col("k").alias("hk"), F.col("need").alias("on"))
+        further = storage.written(_met(hops, ahead, {"c": "hc", "need": "hk"}).select("c", "k", F.col("on").alias("need"), "n").distinct(), "hops")
+        length *= 2
+        endless = further.where(F.col("n") <= length).select(F.col("c").alias("ec"), F.col("k").alias("ek")).distinct().withColumn("over", F.lit(True))
+        raised = _met(_met(state, up.drop("endless"), {"c": "uc", "k": "uk"}, "left"), endless, {"c": "ec", "k": "ek"}, "left")
+        raised = storage.written(raised.select("c", "k", F.greatest("val", "above").alias("val"), (F.col("endless") | F.col("over").isNotNull()).alias("endless")), "state")
+        rest = storage.written(further.where(F.col("n") > length), "hops")
+        storage.drop(state, hops, further)
+        state, hops, left = raised, rest, rest.count()
+        if not left:
+            return state.select("c", "k", F.when(~F.col("endless"), F.col("val")).alias("order_key"))
+        if left > most:
+            tangled = storage.written(hops.select(F.col("c").alias("tc")).distinct(), "tangled")
+            placed = _layered(_met(calls, tangled, {"c": "tc"}, "left_semi"), _met(edges, tangled, {"c": "tc"}, "left_semi"))
+            done = _met(state, tangled, {"c": "tc"}, "left_anti").select("c", "k", F.when(~F.col("endless"), F.col("val")).alias("order_key"))
+            return done.union(placed)
+
+
 def order_keys(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, order_key, n_missing of calls(conv_id, call_id, turn, after)."""
-    needs = calls.select("conv_id", "call_id", F.explode("after").alias("need")).distinct()
-    needs = needs.withColumn("own", F.col("need").eqNullSafe(F.col("call_id")))
-    keys = calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).cast("long").alias("order_key"))
-    found = keys.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), F.lit(True).alias("there"))
-    edges = needs.join(found, needs.conv_id.eqNullSafe(found.c) & needs.need.eqNullSafe(found.n), "left")
-    edges = storage.written(edges.select("conv_id", "call_id", "need", (F.col("there") & ~F.col("own")).alias("there")), "needs")
-    missing = edges.where("there is null or not there").groupBy("conv_id", "call_id").agg(F.count("*").alias("n_missing"))
-    edges = edges.where("there").select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), "need")
-    keys = storage.written(keys, "keys")
-    done = False
-    for _ in range(MOST_ROUNDS + 1):
-        up = edges.join(keys, edges.c.eqNullSafe(keys.conv_id) & edges.need.eqNullSafe(keys.call_id)).groupBy("c", "k").agg(F.max("order_key").alias("above"))
-        low = keys.join(up, keys.conv_id.eqNullSafe(up.c) & keys.call_id.eqNullSafe(up.k), "left")
-        if not low.where("above >= order_key").limit(1).count():
-            done = True
-            break
-        rises = F.coalesce(F.col("above") >= F.col("order_key"), F.lit(False))
-        higher = low.select("conv_id", "call_id", F.when(rises, F.col("above") + 1).otherwise(F.col("order_key")).alias("order_key"), rises.alias("rose"))
-        new = storage.written(higher, "keys")
-        storage.drop(keys)
-        keys = new
-    if not done:
-        # A conversation in which nothing rose in the last round is settled.
-        rising = storage.written(keys.where("rose").select(F.col("conv_id").alias("rc")).distinct(), "rising")
-        some = _peeled(calls.join(rising, calls.conv_id.eqNullSafe(rising.rc), "left_semi"), edges.join(rising, edges.c.eqNullSafe(rising.rc), "left_semi"))
-        keys = keys.join(rising, keys.conv_id.eqNullSafe(rising.rc), "left_anti").select("conv_id", "call_id", "order_key").union(some)
-    missing = missing.withColumnsRenamed({"conv_id": "c", "call_id": "k"})
-    return keys.join(missing, keys.conv_id.eqNullSafe(missing.c) & keys.call_id.eqNullSafe(missing.k), "left").select("conv_id", "call_id", "order_key", F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
+    keys = storage.written(calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), F.coalesce("turn", F.lit(0)).cast("long").alias("val")), "keys")
+    needs = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), F.col("turn"), F.explode("after").alias("need")).distinct()
+    there = keys.select(F.col("c").alias("tc"), F.col("k").alias("tk"), F.col("val").alias("at"))
+    needs = _met(needs, there, {"c": "tc", "need": "tk"}, "left")
+    own = F.col("need").eqNullSafe(F.col("k"))
+    needs = storage.written(needs.select("c", "k", "need", (F.col("at").isNotNull() & ~own).alias("there"), (F.col("at") >= F.coalesce("turn", F.lit(0))).alias("late")), "needs")
+    missing = needs.where(~F.col("there")).groupBy(F.col("c").alias("mc"), F.col("k").alias("mk")).agg(F.count("*").alias("n_missing"))
+    edges = needs.where("there")
+    # The rest is in order as it stands: each call's turn is above those of all that it needs.
+    open_ = storage.written(edges.where("late").select(F.col("c").alias("oc")).distinct(), "open")
+    if open_.isEmpty():
+        found = keys.withColumnRenamed("val", "order_key")
+    else:
+        inside = _doubled(_met(keys, open_, {"c": "oc"}, "left_semi"), _met(edges.select("c", "k", "need"), open_, {"c": "oc"}, "left_semi"))
+        found = _met(keys, open_, {"c": "oc"}, "left_anti").withColumnRenamed("val", "order_key").union(inside)
+    out = _met(found, missing, {"c": "mc", "k": "mk"}, "left")
+    return out.select(F.col("c").alias("conv_id"), F.col("k").alias("call_id"), "order_key", F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
@@ -160,8 +189,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     given = _one(results.select("conv_id", "call_id", "turn", "content"), ["content"], "n_results")
     given = given.withColumnsRenamed({"conv_id": "c", "call_id": "k", "turn": "result_turn"})
     keys = order_keys(asked.select("conv_id", "call_id", "turn", "after")).withColumnsRenamed({"conv_id": "oc", "call_id": "ok"})
-    placed = asked.join(keys, asked.conv_id.eqNullSafe(F.col("oc")) & asked.call_id.eqNullSafe(F.col("ok"))).drop("oc", "ok")
-    both = placed.join(given, placed.conv_id.eqNullSafe(given.c) & placed.call_id.eqNullSafe(given.k), "full_outer")
+    placed = _met(asked, keys, {"conv_id": "oc", "call_id": "ok"}).drop("oc", "ok")
+    both = _met(placed, given, {"conv_id": "c", "call_id": "k"}, "full_outer")
     status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "pending").otherwise("linked")
     errors = F.when(F.col("n_calls").isNotNull(), validated(F.col("name"), F.col("arguments"), schemas))
     both = both.select(
@@ -177,20 +206,34 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     return both.select("conv_id", "call_id", "order_key", "status", "n_calls", "n_results", "n_missing", "errors", F.to_json(whole).alias("json"))
 
 
-#: What a question asks of the tool that answers it.
-REPLY = {"reply": Schema({"prompt": Field("string", required=True, least=1), "turn": Field("integer", required=True, least=0)})}
+#: The tools that `from_turns` calls, besides one that is not known.
+TOOLS = {
+    "reply": Schema({"prompt": Field("string", required=True, least=1), "turn": Field("integer", required=True, least=0)}),
+    "search": Schema({"query": Field("string", required=True, least=1), "limit": Field("integer", required=True, least=1)}),
+}
 
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain turns as (calls, results): a user turn calls `reply` under the identifier
-    `conversation:turn`, needing the call two turns before it; an assistant turn is the result
-    of the turn before its own. Turns of any other role, or of none, are no part of the linking
-    and give no row."""
+    """Plain turns as (calls, results) with needs and faults of many kinds.
+
+    A user turn is a call named `conversation:turn`; an assistant turn is the result of the
+    turn before its own. The remainder of conv_id modulo 4 tells what a call needs: the user
+    turn before it (two turns back), the one after it (so the order is turned round), both
+    (so all stand on a cycle), or the one before, itself and one that no one makes. The
+    remainder of conv_id + turn modulo 5 tells the tool: 4 `search`, with a limit of zero, one or
+    a word; 3 `lookup`, which no schema knows, with an empty object or with the bare text; else
+    `reply`. Turns of any other role, or of none, are no part of the linking and give no row.
+    """
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    turn = F.col("turn")
+    conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
     user = conversations.where("role = 'user'")
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), turn.cast("long").alias("turn")))
-    after = F.when(turn >= 2, F.array(name(turn - 2))).otherwise(F.array().cast("array<string>"))
-    calls = user.select("conv_id", name(turn).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"), after.alias("after"))
+    kind, way = (conv + turn) % 5, conv % 4
+    tool = F.when(kind == 4, "search").when(kind == 3, "lookup").otherwise("reply")
+    limit = F.when(conv % 3 == 2, F.to_json(F.struct(F.lit("many").alias("limit"), text.alias("query")))).otherwise(F.to_json(F.struct((conv % 3).alias("limit"), text.alias("query"))))
+    bare = F.when(conv % 2 == 0, F.lit("{}")).otherwise(text)
+    arguments = F.when(kind == 4, limit).when(kind == 3, bare).otherwise(F.to_json(F.struct(text.alias("prompt"), turn.cast("long").alias("turn"))))
+    before, behind = F.when(turn >= 2, name(turn - 2)), name(turn + 2)
+    after = F.when(way == 0, F.array(before)).when(way == 1, F.array(behind)).when(way == 2, F.array(before, behind)).otherwise(F.array(before, name(turn), F.lit("none")))
+    calls = user.select("conv_id", name(turn).alias("call_id"), "turn", tool.alias("name"), arguments.alias("arguments"), F.array_compact(after).alias("after"))
     answers = conversations.where("role = 'assistant'")
     return calls, answers.select("conv_id", name(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))

@@ -163,25 +163,26 @@ def test_held_out_and_training_rows(spark):
     df = docs(spark, table)
     got = {r.doc_id: r.h for r in df.select("doc_id", sampling.held_out().alias("h")).collect()}
     assert got == {r[0]: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in table}
-    drawn = sampling.training_rows(df, "lang", 20, 5)
+    drawn = sampling.training_table(df, "lang", 20, 5).collect()
     assert len(drawn) <= 40 and {r["lang"] for r in drawn} == {"en", "de"}
     assert not any(sampling.is_held_out(r["doc_id"]) or r["text"] is None for r in drawn)
-    assert [r["doc_id"] for r in drawn] == [r["doc_id"] for r in sampling.training_rows(df.repartition(3), "lang", 20, 5)]
+    assert sorted(r["doc_id"] for r in drawn) == sorted(r["doc_id"] for r in sampling.training_table(df.repartition(3), "lang", 20, 5).collect())
+    assert sampling.training_table(df.limit(0), "lang", 20, None) is None
 
 
 def test_network_gradients():
     net = langid.Network.new(["a", "b", "c"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
-    data, label = rng.integers(0, 5, (6, 4)), np.array([0, 1, 2, 1])
-    mask = (np.arange(6)[:, None] < np.array([6, 4, 3, 5])).astype(float)
-    _, grads = net.gradients(data, mask, label)
+    data, label, warm = rng.integers(0, 5, (8, 4)), np.array([0, 1, 2, 1]), 1
+    mask = (np.arange(8)[:, None] < np.array([8, 5, 4, 6])).astype(float)
+    _, grads = net.gradients(data, mask, label, warm)
     for name, value in net.p.items():
         at = (2, 3) if name == "E" else tuple(rng.integers(0, s) for s in value.shape)
         old, loss = value[at], []
         for sign in (1, -1):
             value[at] = old + sign * 1e-4
-            loss.append(net.gradients(data, mask, label)[0])
+            loss.append(net.gradients(data, mask, label, warm)[0])
         value[at] = old
         assert abs((loss[0] - loss[1]) / 2e-4 - grads[name][at]) < 1e-4
 
@@ -217,22 +218,61 @@ def test_languages_without_spaces_or_beyond_the_commonest(spark, monkeypatch):
     got = langid.predict(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()
     assert sum(r.lang_pred == table[r.doc_id][2] for r in got) == 80
     seen = []
-    monkeypatch.setattr(langid, "train", lambda rows: seen.append(len({x for _, x in rows})) or langid.Network.new([]))
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(len({x[0] for x in rows})) or langid.Network.new([]))
     table = [(k, "some words", f"l{k % 70}") for k in range(700)]
     assert langid.predict(spark.createDataFrame(table, "doc_id long, text string, lang string")).count() == 700
     assert seen == [70]
 
 
-def test_equal_words_are_labelled_alike():
+def plain_pooling(net, text):
+    """Byte by byte, one window and one direction at a time."""
+    raw, h, p = text.encode(), langid.HIDDEN, net.p
+    total = np.zeros(len(net.langs))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, places):
+        state, out = np.zeros(h), {}
+        for t in places:
+            x = p["E"][raw[t]] @ p[f"{d}W"] + p[f"{d}c"]
+            z, r = (sigmoid(x[k * h : (k + 1) * h] + state @ p[f"{d}U"][:, k * h : (k + 1) * h]) for k in (0, 1))
+            cand = np.tanh(x[2 * h :] + (r * state) @ p[f"{d}U"][:, 2 * h :])
+            out[t] = state = state + z * (cand - state)
+        return out
+
+    for first in range(0, len(raw), langid.WINDOW):
+        end = min(len(raw), first + langid.WINDOW)
+        forth = states("f", range(max(0, first - langid.WARM), end))
+        back = states("b", range(min(len(raw), first + langid.WINDOW + langid.WARM) - 1, first - 1, -1))
+        for t in range(first, end):
+            s = np.concatenate([forth[t], back[t]]) @ p["O"] + p["o"]
+            total += s - s.max() - np.log(np.exp(s - s.max()).sum())
+    return total / max(1, len(raw))
+
+
+def test_pooling_equals_brute_force():
+    import pyarrow as pa
+
+    net = langid.Network.new(["a", "b", "c"], seed=3)
+    texts = ["one two  three\n", "", "x", prose(4, 60), "日本語の文字" * 9, "a" * langid.WINDOW, "b" * (2 * langid.WINDOW + 1)]
+    got = langid.pooled(net, pa.array([*texts, None]))
+    assert np.allclose(got[:-1], [plain_pooling(net, t) for t in texts], atol=1e-4) and not got[-1].any()
+
+
+def test_contexts_equal_brute_force(spark):
+    texts = ["a b c a", "b", "", None, "c a"]
+    got = quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
     import pyarrow as pa
 
     from corpusloom.llm import textvec
 
-    net = langid.Network.new(["a", "b"])
-    index, sums = langid.Labeller(net).words(textvec.Words(pa.array(["one two one", "two"])))
-    assert np.allclose(sums[index[0]], sums[index[2]]) and np.allclose(sums[index[1]], sums[index[3]])
-    data, mask = langid.padded(np.frombuffer(b"one", np.uint8), np.array([0]), np.array([3]))
-    assert np.allclose(sums[index[0]], (net.log_probs(data, mask) * mask[:, :, None]).sum(0)[0], atol=1e-4)
+    index, want = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        own = quality.buckets(textvec.Words(pa.array([t or ""])))
+        for i, a in enumerate(own):
+            for j, b in enumerate(own):
+                if 0 < abs(i - j) <= quality.REACH:
+                    want[a] += index[b]
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9), atol=1e-5)
 
 
 def test_quality_classifier(spark):
@@ -290,6 +330,34 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def plain_features(url, host, path):
+    query = url.split("#", 1)[0].partition("?")[2]
+    share = lambda s, f: sum(map(f, s)) / max(1, len(s))
+    digit = lambda c: c in "0123456789"
+    segments = [s for s in path.split("/") if s]
+    entropy = lambda s: -sum(s.count(c) / len(s) * np.log2(s.count(c) / len(s)) for c in set(s))
+    return [
+        len(url), len(host), len(path), len(query), len(segments), max(map(len, segments), default=0), host.count(".") + 1 if host else 0, max(map(len, host.split("."))),
+        share(url, digit), share(host, digit), share(path, digit), share(url, lambda c: not c.isalnum()), host.count("-"), path.count("-") + path.count("_"), entropy(host), entropy(path),
+        query.count("="), query.count("&"), "#" in url, bool(segments) and "." in segments[-1], url[:6].lower() == "https:", share(url, str.isupper), share(host, lambda c: c in "aeiou"),
+    ]
+
+
+def test_url_features_equal_brute_force(spark):
+    given = [u or "" for _, u in URLS] + ["https://Ä-x.example.org/a_b/c.html?x=1&y=2#z", "http://a.b/" + "long1" * 200_000]
+    table = spark.createDataFrame([(u,) for u in given], "url string").withColumns(urls.host_and_path(F.col("url")))
+    for r in urls.described(table).collect():
+        assert np.allclose(r.x, np.array(plain_features(r.url, r.host, r.path), dtype=float))
+        assert (r["last"], r.last_two) == (r.host.split(".")[-1], ".".join(r.host.split(".")[-2:]))
+    pages = table.select(F.lit(1).cast("long").alias("page_id"), "url")
+    assert urls.judge(pages).count() == len(given)
+
+
+def test_rules_left_out_of_training_are_judged(spark):
+    found = urls.left_out(spark.read.parquet(f"{DATA}/pages.parquet"))
+    assert {r for r, _, _ in found} <= {h + p for _, h, p in urls.RULES} and all(n > 0 and 0 <= x <= 1 for _, n, x in found)
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 6))
@@ -312,7 +380,7 @@ TOOLS = {"find": toolcalls.Schema({"q": toolcalls.Field("string", True, 1), "k":
 
 def test_repeated_urls_leave_enough_to_train_on(spark, monkeypatch):
     train, seen = urls.train, []
-    monkeypatch.setattr(urls, "train", lambda rows: seen.append(len(set(rows))) or train(rows))
+    monkeypatch.setattr(urls, "train", lambda rows: seen.append(rows.num_rows) or train(rows))
     table = [(f"https://h{k}.example/p{k % 7}", k % 2) for k in range(300)] * 100
     labelled = spark.createDataFrame(table, "url string, blocked int")
     pages = spark.createDataFrame([(1, "https://h1.example/p1")], "page_id long, url string")
@@ -344,15 +412,49 @@ def test_tool_calls(spark):
     assert toolcalls.link(empty, empty.select("conv_id", "call_id", "turn", F.lit("").alias("content")), TOOLS).count() == 0
 
 
-def test_order_keys_of_long_chains_beside_a_cycle(spark, monkeypatch):
-    monkeypatch.setattr(toolcalls, "MOST_ROUNDS", 4)
-    table = [(1, f"c{k}", 0, [f"c{k - 1}"] if k else []) for k in range(8)]
-    table += [(2, "x", 0, ["y"]), (2, "y", 1, ["x"]), (2, "z", 2, ["y"]), (2, "free", 5, []), (None, "n1", 3, ["n2"]), (None, "n2", 3, [])]
-    table += [(3, f"d{k}", 0, [f"d{k - 1}"] if k else []) for k in range(4)]
+def plain_keys(table):
+    """Largest turn plus length over the chains that end at each call; null on or behind a cycle."""
+    turn = {(c, k): t or 0 for c, k, t, _ in table}
+    needs = {(c, k): {(c, n) for n in after or [] if n != k and (c, n) in turn} for c, k, _, after in table}
+    out, left = {}, dict(needs)
+    while ready := [v for v, n in left.items() if all(u in out for u in n)]:
+        for v in ready:
+            out[v] = max([turn[v], *(out[u] + 1 for u in left.pop(v))])
+    return out | {v: None for v in left}
+
+
+def tangle():
+    """A chain of 1,000 against its turns, a cycle of 60 with a tail, a dense order, and short ones, side by side."""
+    rng = random.Random(2)
+    table = [(1, f"c{k}", 2000 - k, [f"c{k - 1}"] if k else []) for k in range(1000)]
+    table += [(2, f"y{k}", k, [f"y{(k + 1) % 60}"]) for k in range(60)] + [(2, "z1", 5, ["y3"]), (2, "z2", 5, ["z1"]), (2, "free", 5, []), (2, "late", None, ["free"])]
+    table += [(3, f"d{k}", rng.randrange(40), [f"d{j}" for j in rng.sample(range(k), min(k, 5))]) for k in range(60)]
+    table += [(None, "n1", 3, ["n2"]), (None, "n2", 3, []), (4, "x", 0, ["y"]), (4, "y", 1, []), (5, None, 7, ["p"]), (5, "p", 9, None)]
+    return table
+
+
+@pytest.mark.parametrize("most", [16, 0])
+def test_order_keys_of_long_chains_beside_cycles(spark, monkeypatch, most):
+    monkeypatch.setattr(toolcalls, "MOST_HOPS", most)
+    # Layer by layer a chain takes a round a call, so that way gets short ones.
+    table = [r for r in tangle() if most or r[0] != 1 and not (r[0] == 3 and int(r[1][1:]) > 8)]
     calls = spark.createDataFrame(table, "conv_id long, call_id string, turn long, after array<string>")
     keys = {(r.conv_id, r.call_id): r.order_key for r in toolcalls.order_keys(calls).collect()}
-    want = {(1, f"c{k}"): k for k in range(8)} | {(3, f"d{k}"): k for k in range(4)}
-    assert keys == want | {(2, "x"): None, (2, "y"): None, (2, "z"): None, (2, "free"): 5, (None, "n1"): 4, (None, "n2"): 3}
+    assert keys == plain_keys(table)
+
+
+def test_long_texts_are_linked(spark):
+    text = "long \"text\" " * 50_000
+    calls = spark.createDataFrame([(1, "a", 0, "find", json.dumps({"q": text}), [])], CALLS)
+    results_ = spark.createDataFrame([(1, "a", 1, text)], "conv_id long, call_id string, turn long, content string")
+    row = toolcalls.link(calls, results_, TOOLS).first()
+    assert row.status == "linked" and row.errors == [] and json.loads(row.json) == {"arguments": {"q": text}, "id": "a", "name": "find", "result": text, "status": "linked"}
+
+
+def test_links_are_made_by_hash_joins(spark):
+    calls, given = toolcalls.from_turns(spark.read.parquet(f"{DATA}/conversations.parquet"))
+    plan = toolcalls.link(calls, given, toolcalls.TOOLS)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "ython" not in plan
 
 
 def test_pipeline_stages_take_effect(spark, tmp_path):
