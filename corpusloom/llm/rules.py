@@ -1,12 +1,14 @@
 """Operator 10, quality rules: measures of a text and a short-circuit cascade, all in the JVM.
 
-Each rule is a condition under which a text is rejected. A bounded sample of the table tells
-what share each rule rejects and how long it takes; the cascade asks the rules in the order
+Each rule is a condition on a text's facts under which the text is rejected. A bounded sample
+of the table, drawn by hash, tells what share each rule rejects and how long it takes, given
+the facts that are there already when its turn comes; the cascade asks the rules in the order
 of rejections per second, and a text that one rule rejects is not put to the next. The order
-changes the work alone: a text is kept if no rule rejects it.
+changes the work alone: a text is kept if no rule rejects it. A text is split into words once
+for all of its measures and rules.
 
-`SAMPLE_ROWS` rows, of each its first `SAMPLE_CHARS` characters, serve for the order only.
-Every verdict is on a whole text. Nothing is shuffled.
+About `SAMPLE_ROWS` rows, of each its first `SAMPLE_CHARS` characters, serve for the order
+only. Every verdict is on a whole text. Nothing but the sample is shuffled.
 
 Defined results: a null or wordless text has zero for every measure and is rejected as too
 short; a null doc_id stays null; rows that repeat have equal results; an empty table gives
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,76 +105,125 @@ def _over(part: Column, whole: Column, share: float) -> Column:
     return part > whole * F.lit(share)
 
 
-#: Rejecting conditions of a text by name.
-RULES: dict[str, Callable[[Column], Column]] = {
-    "few_words": lambda t: F.size(words_of(t)) < LEAST_WORDS,
-    "repeated_words": lambda t: let(words_of(t), lambda w: repeated_words(w) * 100 > F.size(w) * MOST_REPEATED_PERCENT),
-    "symbols": lambda t: _over(matches(t, SYMBOLS), F.size(words_of(t)), MOST_SYMBOLS),
-    "capitals": lambda t: let(words_of(t), lambda w: _over(matches(t, CAPITALS), word_chars(w), MOST_CAPITALS)),
-    "dup_lines": lambda t: _over(dup_lines(t), worded_lines(t), MOST_DUP_LINES),
-    "stutter": lambda t: let(words_of(t), lambda w: _over(stutter(w), F.size(w), MOST_STUTTER)),
-    "word_length": lambda t: let(words_of(t), lambda w: (word_chars(w) < F.size(w) * MEAN_WORD[0]) | (word_chars(w) > F.size(w) * MEAN_WORD[1])),
+@dataclass
+class Facts:
+    """What a rule may ask of a text; each is a column or the expression that makes it."""
+
+    text: Column
+    words: Column
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    n_dup_lines: Column
+    n_repeat_words: Column
+
+    @classmethod
+    def of(cls, text: Column, words: Column) -> Facts:
+        return cls(text, words, **measures(text, words))
+
+    @classmethod
+    def known(cls, text: Column, words: Column, given: Column | None = None) -> Facts:
+        """With measures that are fields of a struct, or columns."""
+        return cls(text, words, **{n: F.col(n) if given is None else given[n] for n in MEASURES})
+
+
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def measures(text: Column, words: Column) -> dict[str, Column]:
+    return {
+        "n_words": F.size(words).cast("long"), "word_chars": word_chars(words), "n_symbols": matches(text, SYMBOLS),
+        "n_dup_lines": dup_lines(text), "n_repeat_words": repeated_words(words),
+    }
+
+
+Rule = Callable[[Facts], Column]
+
+#: Rejecting conditions by name.
+RULES: dict[str, Rule] = {
+    "few_words": lambda f: f.n_words < LEAST_WORDS,
+    "repeated_words": lambda f: f.n_repeat_words * 100 > f.n_words * MOST_REPEATED_PERCENT,
+    "symbols": lambda f: _over(f.n_symbols, f.n_words, MOST_SYMBOLS),
+    "capitals": lambda f: _over(matches(f.text, CAPITALS), f.word_chars, MOST_CAPITALS),
+    "dup_lines": lambda f: _over(f.n_dup_lines, worded_lines(f.text), MOST_DUP_LINES),
+    "stutter": lambda f: _over(stutter(f.words), f.n_words, MOST_STUTTER),
+    "word_length": lambda f: (f.word_chars < f.n_words * MEAN_WORD[0]) | (f.word_chars > f.n_words * MEAN_WORD[1]),
 }
+#: Rules that `measure` reports as base_failed.
+BASE = ("few_words", "repeated_words")
+
 
+def sampled(docs: DataFrame) -> DataFrame:
+    """text, words and the measures of about SAMPLE_ROWS rows, drawn by hash from the whole table."""
+    scale = 1_000_000
+    share = min(scale, scale * SAMPLE_ROWS // max(1, docs.count()) + 1)
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < share)
+    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS)
+    staged = drawn.select(text.alias("text")).repartition(4).select("text", words_of(F.col("text")).alias("words"))
+    return storage.written(staged.select("*", *[c.alias(n) for n, c in measures(F.col("text"), F.col("words")).items()]), "sample")
 
-def estimate(docs: DataFrame, rules: dict[str, Callable[[Column], Column]]) -> dict[str, tuple[float, float]]:
-    """(seconds, share rejected) of each rule on the sample."""
-    sample = storage.written(docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS), "sample")
-    passes = F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_PASSES)))
-    many = sample.select("text", passes.alias("pass"))
+
+def estimate(docs: DataFrame, rules: dict[str, Rule], measured: bool) -> dict[str, tuple[float, float]]:
+    """(seconds, share rejected) of each rule on a sample, as it runs in the cascade: on measures
+    that are there already, or on words and text alone."""
+    sample = sampled(docs)
+    make = Facts.known if measured else Facts.of
+    facts = make(F.col("text"), F.col("words"))
+    many = sample.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_PASSES))))
 
     def run(condition: Column) -> tuple[float, float]:
         began = time.perf_counter()
-        got = many.agg(F.avg(condition.cast("int"))).first()[0]
+        got = many.agg(F.avg(condition.cast("int")), F.max(F.size("words") + F.length("text"))).first()[0]
         return time.perf_counter() - began, got or 0.0
 
     run(F.length("text") < 0)
     idle = run(F.length("text") < 0)[0]
     out = {}
     for name, rule in rules.items():
-        first, share = run(rule(F.col("text")))
+        first, share = run(rule(facts))
         out[name] = max(first - idle, 1e-3), share
     storage.drop(sample)
     return out
 
 
-def ordered(docs: DataFrame, rules: dict[str, Callable[[Column], Column]]) -> list[str]:
-    figures = estimate(docs, rules)
+def ordered(docs: DataFrame, rules: dict[str, Rule], measured: bool = False) -> list[str]:
+    figures = estimate(docs, rules, measured)
     return sorted(rules, key=lambda name: -figures[name][1] / figures[name][0])
 
 
-def rejected_by(text: Column, order: list[str], rules: dict[str, Callable[[Column], Column]]) -> Column:
+def rejected_by(facts: Facts, order: list[str], rules: dict[str, Rule]) -> Column:
     """The first rule of the order that rejects the text, else null; later ones are not asked."""
     out = None
     for name in order:
-        fails = rules[name](text)
+        fails = rules[name](facts)
         out = F.when(fails, F.lit(name)) if out is None else out.when(fails, F.lit(name))
     return F.lit(None).cast("string") if out is None else out
 
 
-def keep(docs: DataFrame, rules: dict[str, Callable[[Column], Column]] = RULES) -> DataFrame:
+def verdict(text: Column, order: list[str], rules: dict[str, Rule]) -> Column:
+    """rejected_by, of a text."""
+    return let(words_of(text), lambda w: rejected_by(Facts.of(text, w), order, rules))
+
+
+def keep(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     """The rows that no rule rejects."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.where(rejected_by(text, ordered(docs, rules), rules).isNull())
+    return docs.where(verdict(F.coalesce("text", F.lit("")), ordered(docs, rules), rules).isNull())
 
 
-def measure(docs: DataFrame, rules: dict[str, Callable[[Column], Column]] = RULES) -> DataFrame:
+def measure(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     """doc_id, the measures, base_failed and kept of every row."""
-    base = ("few_words", "repeated_words")
-    rest = {k: v for k, v in rules.items() if k not in base}
-    order = ordered(docs, rest)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counted = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), word_chars(w).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
-    staged = texts.select("doc_id", "text", counted.alias("m"))
-    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT)
-    out = staged.select(
-        "doc_id", "text", "m.n_words", "m.word_chars", matches(F.col("text"), SYMBOLS).alias("n_symbols"), dup_lines(F.col("text")).alias("n_dup_lines"), "m.n_repeat_words",
-    ).withColumn("base_failed", failed)
-    known = {
-        "symbols": lambda t: _over(F.col("n_symbols"), F.col("n_words"), MOST_SYMBOLS),
-        "word_length": lambda t: (F.col("word_chars") < F.col("n_words") * MEAN_WORD[0]) | (F.col("word_chars") > F.col("n_words") * MEAN_WORD[1]),
-        "capitals": lambda t: _over(matches(t, CAPITALS), F.col("word_chars"), MOST_CAPITALS),
-        "dup_lines": lambda t: _over(F.col("n_dup_lines"), worded_lines(t), MOST_DUP_LINES),
-    }
-    verdict = rejected_by(F.col("text"), order, rest | {k: v for k, v in known.items() if rest.get(k) is RULES.get(k)})
-    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict.isNull())).drop("text")
+    rest = {k: v for k, v in rules.items() if k not in BASE}
+    order = ordered(docs, rest, measured=True)
+    text = F.coalesce("text", F.lit(""))
+
+    def judged(w: Column, m: Column) -> Column:
+        facts = Facts.known(text, w, m)
+        failed = F.lit(False)
+        for name in BASE:
+            failed = failed | RULES[name](facts)
+        kept = let(failed, lambda x: F.struct(x.alias("failed"), F.when(x, False).otherwise(rejected_by(facts, order, rest).isNull()).alias("kept")))
+        return F.struct(m.alias("m"), kept.alias("v"))
+
+    whole = let(words_of(text), lambda w: let(F.struct(*[c.alias(n) for n, c in measures(text, w).items()]), lambda m: judged(w, m)))
+    found = docs.select("doc_id", whole.alias("x"))
+    return found.select("doc_id", *[f"x.m.{n}" for n in MEASURES], F.col("x.v.failed").alias("base_failed"), F.col("x.v.kept").alias("kept"))

@@ -346,11 +346,22 @@ def test_quality_rules(spark):
 def test_quality_rules_do_not_depend_on_their_order(spark):
     table = spark.createDataFrame(RULED, SCHEMA)
     orders = [list(rules.RULES), list(rules.RULES)[::-1]]
-    kept = [sorted(repr(r.doc_id) for r in table.where(rules.rejected_by(F.coalesce("text", F.lit("")), o, rules.RULES).isNull()).collect()) for o in orders]
+    kept = [sorted(repr(r.doc_id) for r in table.where(rules.verdict(F.coalesce("text", F.lit("")), o, rules.RULES).isNull()).collect()) for o in orders]
     assert kept[0] == kept[1]
     assert rules.measure(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rules_are_estimated_on_what_runs(spark):
+    """The sample is drawn from the whole table, and shares come from it."""
+    table = spark.createDataFrame([(k, "x " * 20 if k < 3000 else "one two three four five six seven eight nine ten eleven") for k in range(4000)], "doc_id long, text string").repartition(3)
+    sample = rules.sampled(table)
+    assert 120 < sample.count() < 300 and sample.select("text").distinct().count() == 2
+    for measured in (False, True):
+        found = rules.estimate(table, rules.RULES, measured)
+        assert 0.6 < found["repeated_words"][1] < 0.9 and found["few_words"][1] == 0 and all(cost > 0 for cost, _ in found.values())
+    assert set(rules.ordered(table, rules.RULES)[:3]) == {"repeated_words", "stutter", "word_length"}
+
+
 def test_substring_digest(spark, tmp_path):
     docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in queries.QUERIES["op2_substrings"](spark, str(tmp_path)).collect()}
