@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.llm import storage, textvec, workers
 
@@ -297,32 +298,38 @@ def automata(benchmark: DataFrame, window: int, block_words: int, pass_words: in
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False, block_words: int = BLOCK_WORDS, pass_words: int = PASS_WORDS) -> DataFrame:
     """doc_id, text, n_words, n_hit, spans (hit words), items (ids as text, sorted) of each row."""
+    df, run, schema = _scanned(docs, benchmark, window, carry, block_words, pass_words)
+    return df.mapInArrow(workers.tidy(run), schema)
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, carry: bool, block_words: int, pass_words: int) -> tuple[DataFrame, workers.Run, StructType]:
+    """The rows before the last pass, that pass, and what it gives."""
     span = "array<struct<begin:int,end:int>>"
     df = docs.select("doc_id", "text", *(storage.carried(docs) if carry else []), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
     names = ["carried"] if "carried" in df.columns else []
     schema = storage.schema(f"doc_id long, text string, n_words long, n_hit long, spans {span}, items array<string>", df)
-    before = None
+    run = None
     for made in automata(benchmark, window, block_words, pass_words):
-        if before is not None:
+        if run is not None:
             # One pass's automata are in memory at a time.
-            kept = storage.written(before, "scanned")
+            kept = storage.written(df.mapInArrow(workers.tidy(run), schema).select(*df.columns), "scanned")
             storage.drop(df)
             df = kept
-        shared = docs.sparkSession.sparkContext.broadcast(made)
-        before = df.select("doc_id", "text", "spans", "items", *names).mapInArrow(workers.tidy(_pass(shared, names)), schema)
-    return before
+        run = _pass(docs.sparkSession.sparkContext.broadcast(made), names)
+    return df, run, schema
 
 
 #: Share of hit words above which a whole document goes.
 MOST_COVERAGE = 0.5
 
 
-def _cut(names: list[str]):
-    """Takes the hit spans out of each text, with the signs inside them."""
+def _cut(names: list[str], most_coverage: float):
+    """Takes the hit spans out of each text, with the signs inside them, and the texts of which more is hit out of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textvec.chunks(batch):
+            n_hit, n_words = (batch.column(c).to_numpy() for c in ("n_hit", "n_words"))
+            for part in textvec.chunks(batch.filter(pa.array(n_hit <= n_words * most_coverage))):
                 hit = np.flatnonzero(pa.compute.list_value_length(part.column("spans")).fill_null(0).to_numpy(zero_copy_only=False))
                 text = part.column("text")
                 if len(hit):
@@ -345,7 +352,8 @@ def _cut(names: list[str]):
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = MOST_COVERAGE) -> DataFrame:
     """docs without the texts' hit spans, and without the documents of which more is hit."""
-    found = scan(docs, benchmark, window, carry=True).where(F.col("n_hit") <= F.col("n_words") * most_coverage)
-    names = ["carried"] if "carried" in found.columns else []
-    cut = found.select("doc_id", "text", "spans", *names).mapInArrow(workers.tidy(_cut(names)), storage.schema("doc_id long, text string", found))
+    df, run, schema = _scanned(docs, benchmark, window, True, BLOCK_WORDS, PASS_WORDS)
+    names = ["carried"] if "carried" in df.columns else []
+    # One worker finds and cuts, so that a text goes there and back once.
+    cut = df.mapInArrow(workers.tidy(workers.chained(run, _cut(names, most_coverage))), storage.schema("doc_id long, text string", df))
     return storage.unpacked(cut, docs)

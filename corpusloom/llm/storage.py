@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Where none is set, an own one if driver and executors
     are one process, as in tests; on a cluster that is an error, as executors would write to
@@ -20,8 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="corpusloom-"))
+        folder = _own[0]
     return folder.rstrip("/")
 
 
