@@ -176,7 +176,7 @@ def sampled(docs: DataFrame, per_lang: int) -> list:
                 which, low, high, raw = zip(*out, strict=True) if out else ([],) * 4
                 yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(which, pa.int64())), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(raw, pa.binary())], ["lang", "low", "high", "raw"])
 
-    drawn = sampling.training_table(docs, "lang", per_lang, None)
+    drawn = sampling.training_table(docs, "lang", per_lang)
     return [] if drawn is None else sorted(drawn.mapInArrow(workers.tidy(run), "lang string, low int, high int, raw binary").collect())
 
 

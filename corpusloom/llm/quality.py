@@ -219,7 +219,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", per_lab
     """doc_id, held_out, score, predicted of each row of docs."""
     spark = docs.sparkSession
     marked = labels.where(f"doc_id is not null and {label} in (0, 1)").groupBy("doc_id").agg(F.min(label).cast("int").alias("_label"))
-    known = docs.select("doc_id", "text").join(marked, "doc_id")
     table = np.concatenate([index_vectors(), context_vectors(docs)], axis=1)
     vectors = spark.sparkContext.broadcast(table)
 
@@ -229,8 +228,12 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", per_lab
                 x = pooled(part.column("text"), vectors.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_label"), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "_label", "x"])
 
-    drawn = sampling.training_table(known, "_label", per_label, 2)
-    rows = [] if drawn is None else sorted(tuple(r) for r in drawn.mapInArrow(workers.tidy(pool), "doc_id long, _label int, x binary").collect())
+    # Drawn from the labels alone, so that no text is moved; of rows that share an id one is learnt from.
+    wanted, rows = sampling.drawn(marked, "_label", per_label, 2), []
+    if wanted is not None:
+        texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), "doc_id")
+        made = texts.mapInArrow(workers.tidy(pool), "doc_id long, _label int, x binary").groupBy("doc_id", "_label").agg(F.min("x").alias("x"))
+        rows = sorted(tuple(r) for r in made.collect())
     x = np.array([np.frombuffer(r[2], np.float32) for r in rows]).reshape(len(rows), 2 * DIM + FIGURES)
     shared = spark.sparkContext.broadcast(train(table, x, np.array([r[1] for r in rows])))
 
