@@ -5,11 +5,12 @@ any size is spread over its identifiers and never gathered. A call's order key i
 largest, over all chains of needs that end at it, of the turn that a chain begins with plus
 the chain's length; sorting by (order_key, call_id) is then a topological order. A
 conversation whose calls all come after what they need is in order as it stands. In the
-others chains are followed by doubling: hops of 1, 2, 4, ... needs at a time, each made by
-joining the last with itself, so a chain of n calls takes log n rounds. A hop as long as its
-conversation has calls goes round a cycle, and the call that it ends at stands on or behind
-one. Where the hops of a tangled conversation become many more than its needs, its calls are
-placed one layer at a time instead; both ways give the same keys.
+others, calls that need exactly one other form chains, which are followed by doubling: each
+call points to the one it needs, then to that one's pointer, and so on, so a chain of n calls
+takes log n rounds and one row a call. A pointer that has gone as many steps as its
+conversation has calls goes round a cycle. What is left, calls that need several others, is
+placed in layers, each once all that it needs are; a call that never is stands on or behind a
+cycle. Rounds of the second kind grow with the longest chain of such calls.
 
 Arguments are parsed as variants, checked against their tool's schema by expressions, and
 written with sorted keys and without spaces. All of it is DataFrame functions.
@@ -32,9 +33,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import storage
 
-#: Hops for each need above which a round of doubling costs more than placing layers.
-MOST_HOPS = 16
-
 
 @dataclass
 class Field:
@@ -110,51 +108,68 @@ def _met(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "i
 
 
 def _layered(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """c, k, order_key of calls(c, k, val) with edges(c, k, need): a call is placed once all that
-    it needs are; null for those that never are."""
+    """c, k, order_key of calls(c, k, val, dead) with edges(c, k, need, weight): a call is placed
+    once all that it needs are; null for dead ones and those that never are."""
     state = storage.written(calls.withColumn("placed", F.lit(False)), "state")
     edges = storage.written(edges, "edges")
     while True:
         waits = edges.select(F.col("c").alias("wc"), F.col("k").alias("wk")).distinct().withColumn("waits", F.lit(True))
-        ready = ~F.col("placed") & F.col("waits").isNull()
-        marked = storage.written(_met(state, waits, {"c": "wc", "k": "wk"}, "left").select("c", "k", "val", "placed", ready.alias("ready")), "marked")
+        ready = ~F.col("placed") & ~F.col("dead") & F.col("waits").isNull()
+        marked = storage.written(_met(state, waits, {"c": "wc", "k": "wk"}, "left").select("c", "k", "val", "dead", "placed", ready.alias("ready")), "marked")
         new = marked.where("ready").select(F.col("c").alias("nc"), F.col("k").alias("nk"), F.col("val").alias("above"))
         if new.isEmpty():
             return state.select("c", "k", F.when(F.col("placed"), F.col("val")).alias("order_key"))
-        up = _met(edges, new, {"c": "nc", "need": "nk"}).groupBy(F.col("c").alias("uc"), F.col("k").alias("uk")).agg((F.max("above") + 1).alias("least"))
+        up = _met(edges, new, {"c": "nc", "need": "nk"}).groupBy(F.col("c").alias("uc"), F.col("k").alias("uk")).agg(F.max(F.col("above") + F.col("weight")).alias("least"))
         raised = _met(marked, up, {"c": "uc", "k": "uk"}, "left")
-        raised = storage.written(raised.select("c", "k", F.greatest("val", "least").alias("val"), (F.col("placed") | F.col("ready")).alias("placed")), "state")
+        raised = storage.written(raised.select("c", "k", F.greatest("val", "least").alias("val"), "dead", (F.col("placed") | F.col("ready")).alias("placed")), "state")
         rest = storage.written(_met(edges, new, {"c": "nc", "need": "nk"}, "left_anti"), "edges")
         storage.drop(state, edges, marked)
         state, edges = raised, rest
 
 
-def _doubled(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """c, k, order_key of calls(c, k, val) with edges(c, k, need); null on or behind a cycle."""
-    sizes = calls.groupBy(F.col("c").alias("sc")).agg(F.count("*").alias("n"))
-    state = storage.written(calls.withColumn("endless", F.lit(False)), "state")
-    hops = storage.written(_met(edges, sizes, {"c": "sc"}).select("c", "k", "need", "n"), "hops")
-    most, length = MOST_HOPS * hops.count(), 1
+def _chained(nodes: DataFrame) -> DataFrame:
+    """c, k, val, ptr, dist, dead of the nodes(c, k, val, n, need) that need one other: the key is
+    the larger of val and ptr's key plus dist, and ptr needs none or several; dead goes round a cycle."""
+    sizes = nodes.groupBy(F.col("c").alias("sc")).agg(F.count("*").alias("size"))
+    chain = _met(nodes.where("n = 1"), sizes, {"c": "sc"}).select("c", "k", "val", F.col("need").alias("ptr"), F.lit(1).cast("long").alias("dist"), F.lit(False).alias("dead"), "size")
+    chain = storage.written(chain, "chain")
     while True:
-        # Chains of fewer than `length` needs are in val; those of up to twice as many come in.
-        given = state.select(F.col("c").alias("gc"), F.col("k").alias("gk"), (F.col("val") + length).alias("above"))
-        up = _met(hops, given, {"c": "gc", "need": "gk"}).groupBy(F.col("c").alias("uc"), F.col("k").alias("uk")).agg(F.max("above").alias("above"), F.lit(False).alias("endless"))
-        ahead = hops.select(F.col("c").alias("hc"), F.col("k").alias("hk"), F.col("need").alias("on"))
-        further = storage.written(_met(hops, ahead, {"c": "hc", "need": "hk"}).select("c", "k", F.col("on").alias("need"), "n").distinct(), "hops")
-        length *= 2
-        endless = further.where(F.col("n") <= length).select(F.col("c").alias("ec"), F.col("k").alias("ek")).distinct().withColumn("over", F.lit(True))
-        raised = _met(_met(state, up.drop("endless"), {"c": "uc", "k": "uk"}, "left"), endless, {"c": "ec", "k": "ek"}, "left")
-        raised = storage.written(raised.select("c", "k", F.greatest("val", "above").alias("val"), (F.col("endless") | F.col("over").isNotNull()).alias("endless")), "state")
-        rest = storage.written(further.where(F.col("n") > length), "hops")
-        storage.drop(state, hops, further)
-        state, hops, left = raised, rest, rest.count()
-        if not left:
-            return state.select("c", "k", F.when(~F.col("endless"), F.col("val")).alias("order_key"))
-        if left > most:
-            tangled = storage.written(hops.select(F.col("c").alias("tc")).distinct(), "tangled")
-            placed = _layered(_met(calls, tangled, {"c": "tc"}, "left_semi"), _met(edges, tangled, {"c": "tc"}, "left_semi"))
-            done = _met(state, tangled, {"c": "tc"}, "left_anti").select("c", "k", F.when(~F.col("endless"), F.col("val")).alias("order_key"))
-            return done.union(placed)
+        ahead = chain.select(F.col("c").alias("pc"), F.col("k").alias("pk"), F.col("val").alias("pval"), F.col("ptr").alias("pptr"), F.col("dist").alias("pdist"))
+        on = F.col("pdist").isNotNull()
+        goes = _met(chain, ahead, {"c": "pc", "ptr": "pk"}, "left").select(
+            "c", "k", F.greatest("val", F.col("pval") + F.col("dist")).alias("val"), F.when(on, F.col("pptr")).otherwise(F.col("ptr")).alias("ptr"),
+            (F.col("dist") + F.coalesce("pdist", F.lit(0))).alias("dist"), (F.col("dead") | on & (F.col("dist") >= F.col("size"))).alias("dead"), "size", on.alias("on"),
+        )
+        goes = storage.written(goes, "chain")
+        storage.drop(chain)
+        chain = goes
+        if chain.where("on and not dead").isEmpty():
+            return chain.drop("size", "on")
+
+
+def _tangled(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """c, k, order_key of calls(c, k, val) with edges(c, k, need); null on or behind a cycle."""
+    degree = edges.groupBy(F.col("c").alias("dc"), F.col("k").alias("dk")).agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    nodes = storage.written(_met(calls, degree, {"c": "dc", "k": "dk"}, "left").select("c", "k", "val", F.coalesce("n", F.lit(0)).alias("n"), "need"), "nodes")
+    chain = storage.written(_chained(nodes), "chains")
+    several = nodes.where("n > 1").select(F.col("c").alias("hc"), F.col("k").alias("hk"))
+    # Of a call that needs several, what its chains end at and how far away.
+    link = chain.select(F.col("c").alias("lc"), F.col("k").alias("lk"), F.col("val").alias("lval"), "ptr", "dist", "dead")
+    one = F.col("dist").isNotNull()
+    needs = _met(_met(edges, several, {"c": "hc", "k": "hk"}, "left_semi"), link, {"c": "lc", "need": "lk"}, "left").select(
+        "c", "k", F.when(one, F.col("ptr")).otherwise(F.col("need")).alias("need"), F.coalesce(F.col("dist") + 1, F.lit(1)).alias("weight"), (F.col("lval") + 1).alias("floor"), F.coalesce("dead", F.lit(False)).alias("dead"),
+    )
+    ends = nodes.select(F.col("c").alias("ec"), F.col("k").alias("ek"), F.col("val").alias("eval"), F.col("n").alias("en"))
+    needs = storage.written(_met(needs, ends, {"c": "ec", "need": "ek"}, "left"), "needs")
+    floor = F.max(F.greatest("floor", F.when(F.col("en") == 0, F.col("eval") + F.col("weight"))))
+    least = needs.groupBy(F.col("c").alias("fc"), F.col("k").alias("fk")).agg(floor.alias("floor"), F.max("dead").alias("dead"))
+    hubs = _met(nodes.where("n > 1"), least, {"c": "fc", "k": "fk"}).select("c", "k", F.greatest("val", "floor").alias("val"), "dead")
+    placed = _layered(hubs, needs.where("en > 1 and not dead").select("c", "k", "need", "weight"))
+    known = storage.written(nodes.where("n = 0").select("c", "k", F.col("val").alias("order_key")).union(placed), "known")
+    end = known.select(F.col("c").alias("kc"), F.col("k").alias("kk"), "order_key")
+    key = F.when(~F.col("dead") & F.col("order_key").isNotNull(), F.greatest("val", F.col("order_key") + F.col("dist")))
+    followed = _met(chain, end, {"c": "kc", "ptr": "kk"}, "left").select("c", "k", key.alias("order_key"))
+    return known.union(followed)
 
 
 def order_keys(calls: DataFrame) -> DataFrame:
@@ -172,7 +187,7 @@ def order_keys(calls: DataFrame) -> DataFrame:
     if open_.isEmpty():
         found = keys.withColumnRenamed("val", "order_key")
     else:
-        inside = _doubled(_met(keys, open_, {"c": "oc"}, "left_semi"), _met(edges.select("c", "k", "need"), open_, {"c": "oc"}, "left_semi"))
+        inside = _tangled(_met(keys, open_, {"c": "oc"}, "left_semi"), _met(edges.select("c", "k", "need"), open_, {"c": "oc"}, "left_semi"))
         found = _met(keys, open_, {"c": "oc"}, "left_anti").withColumnRenamed("val", "order_key").union(inside)
     out = _met(found, missing, {"c": "mc", "k": "mk"}, "left")
     return out.select(F.col("c").alias("conv_id"), F.col("k").alias("call_id"), "order_key", F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
