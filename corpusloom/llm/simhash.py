@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import components, storage, textvec, workers
+from corpusloom.llm.components import spanned
 
 SHINGLE = 4
 RADIUS = 4
@@ -156,22 +157,6 @@ def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nd
     return query[row], word[row] * 64 + bit
 
 
-def spanned(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index that each of n reaches by the pairs."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = np.minimum(new, new[label])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, its component's first) that span the near pairs' components."""
     label = spanned(len(fps), *near_pairs(fps, radius))
