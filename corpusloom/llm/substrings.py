@@ -156,14 +156,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False, verbatim:
     words) of each row; with carry, `carried` holds the other columns; with verbatim, a text
     from which nothing is cut stays as it is."""
     extra = storage.carried(docs) if carry else []
-    base = docs.select("doc_id", "text", F.hash("text").alias("digest"), *extra)
+    # Rows without an id meet nothing; a key of their own keeps them from one task.
+    key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")
+    base = docs.select("doc_id", "text", key, F.hash("text").alias("digest"), *extra)
     names = ["carried"] if extra else []
     seeds = base.select("doc_id", "text", "digest").where("doc_id is not null").mapInArrow(workers.tidy(_seeds(length)), "gram long, doc_id long, place long")
     single = seeds.groupBy("gram").agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"), F.max("place").alias("place")).where("n = 1")
-    places = single.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    known = base.join(places, "doc_id", "left")
+    places = single.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("place").alias("places"))
+    known = base.join(places, "key", "left")
     # The same columns on both ways, so that the texts are shuffled once.
     windows = known.mapInArrow(workers.tidy(_windows(length)), "gram long, window long, doc_id long")
-    firsts = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("window").alias("firsts"))
+    firsts = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("doc_id")).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("window").alias("firsts"))
     schema = storage.schema("doc_id long, text string, n_words long, n_removed long, removed array<struct<begin:int,end:int>>", base)
-    return known.join(firsts, "doc_id", "left").mapInArrow(workers.tidy(_cut(length, names, verbatim)), schema)
+    return known.join(firsts, "key", "left").mapInArrow(workers.tidy(_cut(length, names, verbatim)), schema)

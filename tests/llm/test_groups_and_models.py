@@ -31,7 +31,9 @@ def groups(n, linked):
     return [root(x) for x in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL_EDGES", small)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5200)] + [(7, 7)]
     found = dict(results(components.components(spark.createDataFrame(edges, "a long, b long"))))
@@ -40,6 +42,11 @@ def test_components(spark):
     want = groups(len(nodes), [(place[a], place[b]) for a, b in edges if a != b])
     assert found == {x: nodes[want[place[x]]] for x in nodes}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # Further links between known and new nodes give what all links give at once.
+    given = spark.createDataFrame(edges[:150], "a long, b long")
+    known = components.settled(given, "known")
+    more = components.extended(known, spark.createDataFrame(edges[150:], "a long, b long"), "more")
+    assert dict(results(more)) == found
 
 
 @pytest.mark.parametrize(("words_", "radius", "n"), [(1, 4, 300), (1, 0, 65), (2, 31, 130), (1, 3, 1)])
@@ -163,11 +170,11 @@ def test_held_out_and_training_rows(spark):
     df = docs(spark, table)
     got = {r.doc_id: r.h for r in df.select("doc_id", sampling.held_out().alias("h")).collect()}
     assert got == {r[0]: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in table}
-    drawn = sampling.training_table(df, "lang", 20, 5).collect()
+    drawn = sampling.training_table(df, "lang", 20).collect()
     assert len(drawn) <= 40 and {r["lang"] for r in drawn} == {"en", "de"}
     assert not any(sampling.is_held_out(r["doc_id"]) or r["text"] is None for r in drawn)
-    assert sorted(r["doc_id"] for r in drawn) == sorted(r["doc_id"] for r in sampling.training_table(df.repartition(3), "lang", 20, 5).collect())
-    assert sampling.training_table(df.limit(0), "lang", 20, None) is None
+    assert sorted(r["doc_id"] for r in drawn) == sorted(r["doc_id"] for r in sampling.training_table(df.repartition(3), "lang", 20).collect())
+    assert sampling.training_table(df.limit(0), "lang", 20) is None
 
 
 def test_network_gradients():
@@ -275,6 +282,25 @@ def test_contexts_equal_brute_force(spark):
     assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9), atol=1e-5)
 
 
+def test_pooled_vectors_equal_brute_force():
+    import pyarrow as pa
+
+    from corpusloom.llm import textvec
+
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(quality.BUCKETS, 6)).astype(np.float32)
+    texts = ["a b a a", "", None, prose(2, 90), "same same same"]
+    got = quality.pooled(pa.array(texts, pa.string()), table)
+    for row, text in zip(got, texts, strict=True):
+        own = quality.buckets(textvec.Words(pa.array([text or ""])))
+        if not len(own):
+            assert not row.any()
+            continue
+        mean = table[own].mean(0)
+        again = sum(a == b for a, b in zip(own, own[1:], strict=False)) / len(own)
+        assert np.allclose(row, [*mean, np.log1p(len(own)), again, *(np.log(np.linalg.norm(half) + 1e-3) for half in (mean[:3], mean[3:]))], atol=1e-5)
+
+
 def test_quality_classifier(spark):
     given, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     found = quality.classify(given, labels)
@@ -424,20 +450,21 @@ def plain_keys(table):
 
 
 def tangle():
-    """A chain of 1,000 against its turns, a cycle of 60 with a tail, a dense order, and short ones, side by side."""
+    """A chain of 1,000 against its turns, a cycle of 60 with a tail, a dense order, forks, and short ones, side by side."""
     rng = random.Random(2)
     table = [(1, f"c{k}", 2000 - k, [f"c{k - 1}"] if k else []) for k in range(1000)]
     table += [(2, f"y{k}", k, [f"y{(k + 1) % 60}"]) for k in range(60)] + [(2, "z1", 5, ["y3"]), (2, "z2", 5, ["z1"]), (2, "free", 5, []), (2, "late", None, ["free"])]
-    table += [(3, f"d{k}", rng.randrange(40), [f"d{j}" for j in rng.sample(range(k), min(k, 5))]) for k in range(60)]
+    table += [(3, f"d{k}", rng.randrange(40), [f"d{j}" for j in rng.sample(range(k), min(k, 3))]) for k in range(9)]
     table += [(None, "n1", 3, ["n2"]), (None, "n2", 3, []), (4, "x", 0, ["y"]), (4, "y", 1, []), (5, None, 7, ["p"]), (5, "p", 9, None)]
+    # Forks into chains: one chain goes round, one meets itself again, one ends well.
+    table += [(6, "h", 0, ["a1", "b1"]), (6, "a1", 9, ["a2"]), (6, "a2", 1, ["a3"]), (6, "a3", 30, []), (6, "b1", 2, ["b2"]), (6, "b2", 40, []), (6, "t", 0, ["h"]), (6, "u", 3, ["t"])]
+    table += [(7, "h", 0, ["a", "r"]), (7, "a", 0, ["b"]), (7, "b", 0, ["a"]), (7, "r", 4, []), (7, "t", 0, ["h"]), (7, "o", 0, ["r"])]
+    table += [(8, f"p{k}", k, [f"p{k - 1}", f"p{k + 1}"]) for k in range(300)]
     return table
 
 
-@pytest.mark.parametrize("most", [16, 0])
-def test_order_keys_of_long_chains_beside_cycles(spark, monkeypatch, most):
-    monkeypatch.setattr(toolcalls, "MOST_HOPS", most)
-    # Layer by layer a chain takes a round a call, so that way gets short ones.
-    table = [r for r in tangle() if most or r[0] != 1 and not (r[0] == 3 and int(r[1][1:]) > 8)]
+def test_order_keys_of_long_chains_beside_cycles(spark):
+    table = tangle()
     calls = spark.createDataFrame(table, "conv_id long, call_id string, turn long, after array<string>")
     keys = {(r.conv_id, r.call_id): r.order_key for r in toolcalls.order_keys(calls).collect()}
     assert keys == plain_keys(table)
