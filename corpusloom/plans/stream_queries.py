@@ -220,10 +220,11 @@ def o7_batches(spark, sf_dir):
 BACK = 3000
 
 
-@query(ALL_TOKENS + f""", total as (select max(g) + 1 as n from tokens), want as (select unnest(range((n // {_BATCH} + 2) * {_BATCH})) as p from total)
+@query(ALL_TOKENS + f""", total as (select max(g) + 1 as n from tokens),
+read as (select token, n, (g + {BACK}) % n + lap * n as p from tokens, total, (select unnest(range(3)) as lap))
 select p // {_BATCH} as batch_id, cast(p // {LENGTH + 1} % {BATCH} as integer) as row, cast(min((p + n - {BACK}) // n) as bigint) as first_epoch,
        cast(max((p + n - {BACK}) // n) as bigint) as last_epoch, sum(cast(token as bigint) * (p + 1))::bigint as checksum
-from want, total join tokens on g = (p + n - {BACK}) % n group by 1, 2
+from read where p < (n // {_BATCH} + 2) * {_BATCH} group by 1, 2
 """)
 def o8_epoch_wrap(spark, sf_dir):
     placed, total = _placed(spark, sf_dir)
