@@ -25,6 +25,13 @@ def code_point_count(text: Column) -> Column:
     return F.coalesce(F.length(text), F.lit(0)).cast("long")
 
 
+def code_point_span(text: Column, begin: Column, length: Column, end_id: int = END_ID) -> Column:
+    """slice(with_end(code_points(text)), begin + 1, length) of a span inside the text, closing id
+    included, without making the ids outside of it."""
+    part = F.coalesce(F.substr(text, (begin + 1).cast("int"), length.cast("int")), F.lit(""))
+    return F.when(F.length(part) < length, with_end(code_points(part), end_id)).otherwise(code_points(part))
+
+
 def repeated_id(text: Column) -> Column:
     """`ID:N` as ID, N times."""
     part = lambda k: F.split_part(text, F.lit(":"), F.lit(k)).cast("int")

@@ -42,8 +42,11 @@ def spans(placed: DataFrame, size: int, block: str = "block") -> DataFrame:
     return cut.withColumns({"begin": first - F.col("start"), "length": last - first, "offset": first - F.col(block) * size})
 
 
-def span_ids(ids: Column) -> Column:
-    """Ids of a span row, from the document's ids with the closing one."""
+def span_ids(ids: Column | None = None) -> Column:
+    """Ids of a span row, from the document's ids with the closing one; by default the code
+    points of its text. An encoder's ids are best stored before the cut, as each span asks for them."""
+    if ids is None:
+        return encode.code_point_span(F.col("text"), F.col("begin"), F.col("length"))
     return F.slice(ids, (F.col("begin") + 1).cast("int"), F.col("length").cast("int"))
 
 
@@ -67,7 +70,6 @@ def pack(docs: DataFrame, size: int, max_shards: int | None = None, skip: int =
 
 
 def shard_summary(cut: DataFrame, ids: Column | None = None) -> DataFrame:
-    ids = encode.with_end(encode.code_points(F.col("text"))) if ids is None else ids
     part = checksum(span_ids(ids), F.col("offset"))
     return cut.withColumn("part", part).groupBy("shard_id").agg(
         F.count("*").alias("n_docs"), F.sum("length").alias("n_tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("part").alias("checksum"),

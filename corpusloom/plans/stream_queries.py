@@ -197,7 +197,7 @@ def _placed(spark, sf_dir):
 
 def _rows(cut: DataFrame) -> DataFrame:
     position = F.col("row_id") * (LENGTH + 1) + F.col("offset")
-    part = shards.checksum(shards.span_ids(ended()), position)
+    part = shards.checksum(shards.span_ids(), position)
     return cut.withColumn("part", part).groupBy("batch_id", "row").agg(F.sum("length").alias("n_tokens"), F.sum("part").alias("checksum"))
 
 
@@ -229,7 +229,7 @@ from read where p < (n // {_BATCH} + 2) * {_BATCH} group by 1, 2
 def o8_epoch_wrap(spark, sf_dir):
     placed, total = _placed(spark, sf_dir)
     cut = shards.batch_rows(placed, total, BATCH, LENGTH, shards.full_batches(total, BATCH, LENGTH) + 2, offset=total - BACK)
-    part = shards.checksum(shards.span_ids(ended()), F.col("row_id") * (LENGTH + 1) + F.col("offset"))
+    part = shards.checksum(shards.span_ids(), F.col("row_id") * (LENGTH + 1) + F.col("offset"))
     return cut.withColumn("part", part).groupBy("batch_id", "row").agg(F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"), F.sum("part").alias("checksum"))
 
 
@@ -258,7 +258,7 @@ _WINDOWS = TOKENS + f""", w as (select g // {SIZE} as shard_id, g % {SIZE} // {C
 def o11_score_windows(spark, sf_dir):
     cut = shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)[0]
     windows = shards.score_windows(cut, SIZE, CONTEXT)
-    part = shards.checksum(shards.span_ids(ended()), F.col("offset"))
+    part = shards.checksum(shards.span_ids(), F.col("offset"))
     return windows.withColumn("part", part).groupBy("shard_id", "window_id").agg(F.sum("length").alias("n_tokens"), (F.sum("length") - 1).alias("n_targets"), F.sum("part").alias("checksum"))
 
 
@@ -268,7 +268,7 @@ select shard_id, window_id, sum(cast(token as bigint) * (p + 1)) filter (p < {CO
 def o12_causal_shift(spark, sf_dir):
     """Windows put together (each a bounded row) and split into inputs and targets."""
     cut = shards.score_windows(shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)[0], SIZE, CONTEXT)
-    each = cut.select("shard_id", "window_id", F.struct("offset", shards.span_ids(ended()).alias("ids")).alias("part"))
+    each = cut.select("shard_id", "window_id", F.struct("offset", shards.span_ids().alias("ids")).alias("part"))
     whole = each.groupBy("shard_id", "window_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     rows = whole.select("shard_id", "window_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
     inputs, targets = shards.shifted(F.col("ids"))

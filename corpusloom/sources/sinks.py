@@ -16,7 +16,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import encode
 from corpusloom.operators import shards
 from corpusloom.sources import tables
 
@@ -37,7 +36,6 @@ def write_shards(cut: DataFrame, path: str, ids=None) -> None:
 
     A shard is one task's work, its spans are rows: no shard is ever one value.
     """
-    ids = encode.with_end(encode.code_points(F.col("text"))) if ids is None else ids
     rows = cut.select("shard_id", "offset", "length", "doc_id", shards.span_ids(ids).alias("ids"))
     rows.repartition("shard_id").sortWithinPartitions("shard_id", "offset").write.partitionBy("shard_id").parquet(path)
 
@@ -49,7 +47,6 @@ def write_npy_shards(cut: DataFrame, path: str, size: int, ids=None) -> None:
     written span by span, so it is never one value; it gets its name when it is whole. A
     token that does not fit, or a shard of another size, is an error.
     """
-    ids = encode.with_end(encode.code_points(F.col("text"))) if ids is None else ids
     rows = cut.select("shard_id", "offset", shards.span_ids(ids).alias("ids"))
     dealt = rows.repartition("shard_id").sortWithinPartitions("shard_id", "offset")
     head = io.BytesIO()

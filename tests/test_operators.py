@@ -195,6 +195,13 @@ def test_code_points_of_nothing_and_beyond(spark):
     assert [list(r.ids) for r in got] == [[], [], [97, 128512, 233]] and got[2].back == "a😀é"
 
 
+def test_spans_of_code_points_equal_slices(spark):
+    rows = [(t, b, n) for t in ("a😀éb", "", None, "x") for b in range(len(t or "") + 1) for n in range(1, len(t or "") + 2 - b)]
+    df = spark.createDataFrame(rows, "text string, begin long, length long")
+    for r in df.select(shards.span_ids().alias("got"), shards.span_ids(encode.with_end(encode.code_points(F.col("text")))).alias("want")).collect():
+        assert r.got == r.want
+
+
 def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
