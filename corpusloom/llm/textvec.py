@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at once; one longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
