@@ -315,7 +315,10 @@ def distinct_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]
     hashes = words.hashes()
     at, shingles = textvec.window_hashes(hashes, words.ptr, n)
     few = np.flatnonzero((words.counts > 0) & (words.counts < n))
-    whole = textvec.mix(textvec.slice_hashes(textvec.prefix_sums(hashes), words.ptr[few], words.ptr[few + 1])) if len(few) else np.zeros(0, np.uint64)
+    whole = np.zeros(len(few), np.uint64)
+    for size in range(1, n):
+        these = words.counts[few] == size
+        whole[these] = textvec.sequence_hashes(hashes, words.ptr[few[these]], size)
     counts = np.maximum(words.counts - n + 1, 0)
     counts[few] = 1
     ends = np.cumsum(counts)

@@ -4,7 +4,8 @@ A window of `length` words contains length - GRAM + 1 short grams; the one of le
 its anchor, so equal windows have equal anchors at the same distance. Seeds are all anchors
 of the corpus. Those that occur once say that every window around them is unique; they are
 named back to their document, and all others are extended both ways, over every window that
-the anchor stands for, to hashes of whole windows. Of each such window the smallest doc_id
+the anchor stands for, to hashes of whole windows, 128 bits made of BLAKE2 digests of their
+longer words. Of each such window the smallest doc_id
 is named back to its document. A document then knows which of its windows start earlier
 elsewhere, and maximal runs of those are cut out.
 
@@ -41,7 +42,7 @@ def anchored(hashes: np.ndarray, ptr: np.ndarray, length: int) -> tuple[np.ndarr
         none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64)
     gram = min(GRAM, length)
-    _, grams = textvec.window_hashes(hashes, np.array([0, len(hashes)]), gram)
+    grams = textvec.rolling_hashes(hashes, gram)
     best, anchor = grams[at], at.copy()
     for j in range(1, length - gram + 1):
         other = grams[at + j]
@@ -76,8 +77,8 @@ class _Candidates:
 
     def __init__(self, part: pa.RecordBatch, length: int):
         self.words = words = textvec.Words(part.column("text"))
-        hashes = words.hashes()
-        at, anchor, gram = anchored(hashes, words.ptr, length)
+        hashes, more = words.digests()
+        at, anchor, _ = anchored(hashes, words.ptr, length)
         unique = np.zeros(len(words) + 1, bool)
         place, ends = _lists(part.column("places"))
         row = np.repeat(np.arange(part.num_rows), np.diff(ends))
@@ -85,13 +86,14 @@ class _Candidates:
         own = inside & (place >> 32 == part.column("digest").to_numpy()[row])
         unique[words.ptr[row[own]] + (place[own] & 0xFFFFFFFF)] = True
         rest = ~unique[anchor]
-        self.at, self.gram = at[rest], gram[rest]
-        self.hash = textvec.mix(textvec.slice_hashes(textvec.prefix_sums(hashes), self.at, self.at + length))
+        self.at = at[rest]
+        #: 128 bits that stand for the window.
+        self.hash, self.check = (textvec.sequence_hashes(h, self.at, length) for h in (hashes, more))
         self.row = np.searchsorted(words.ptr, self.at, side="right") - 1
         # Whether the same window stands earlier in the row.
-        order = np.lexsort((self.at, self.hash, self.row))
+        order = np.lexsort((self.at, self.check, self.hash, self.row))
         again = np.zeros(len(order), bool)
-        again[1:] = (self.hash[order[1:]] == self.hash[order[:-1]]) & (self.row[order[1:]] == self.row[order[:-1]])
+        again[1:] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (self.hash, self.check, self.row)])
         self.again = np.zeros(len(order), bool)
         self.again[order] = again
 
@@ -103,11 +105,24 @@ def _windows(length: int):
                 found = _Candidates(part, length)
                 new = ~found.again & part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[found.row]
                 doc_id = part.column("doc_id").take(pa.array(found.row[new]))
-                yield pa.RecordBatch.from_arrays([pa.array(found.gram[new].view(np.int64)), pa.array(found.hash[new].view(np.int64)), doc_id], ["gram", "window", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.hash[new].view(np.int64)), pa.array(found.check[new].view(np.int64)), doc_id], ["window", "check", "doc_id"])
 
     return run
 
 
+def _held(hashes: np.ndarray, checks: np.ndarray, of: np.ndarray, of_checks: np.ndarray) -> np.ndarray:
+    """Which of the (hash, check) are among the others."""
+    order = np.lexsort((of_checks, of))
+    of, of_checks = of[order], of_checks[order]
+    if not len(of):
+        return np.zeros(len(hashes), bool)
+    if (of[1:] == of[:-1]).any():
+        known = set(zip(of.tolist(), of_checks.tolist(), strict=True))
+        return np.array([x in known for x in zip(hashes.tolist(), checks.tolist(), strict=True)], dtype=bool)
+    at = np.minimum(np.searchsorted(of, hashes), len(of) - 1)
+    return (of[at] == hashes) & (of_checks[at] == checks)
+
+
 def kept_texts(words: textvec.Words, kept: np.ndarray) -> list[bytes]:
     """Each row's kept words, joined by one space."""
     at = np.flatnonzero(kept)
@@ -126,13 +141,15 @@ def _cut(length: int, names: list[str], verbatim: bool):
             for part in textvec.chunks(batch):
                 found = _Candidates(part, length)
                 words, gone = found.words, found.again.copy()
-                mine, ends = _lists(part.column("firsts"))
+                firsts = part.column("firsts")
+                ends = np.concatenate([[0], np.cumsum(np.array(firsts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64))])
+                mine, checks = (firsts.flatten().field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
                 placed = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 cuts = np.searchsorted(found.row, np.arange(part.num_rows + 1))
                 for i in np.unique(found.row):
                     if placed[i]:
-                        span = slice(cuts[i], cuts[i + 1])
-                        gone[span] |= ~np.isin(found.hash[span], mine[ends[i] : ends[i + 1]].view(np.uint64))
+                        span, own = slice(cuts[i], cuts[i + 1]), slice(ends[i], ends[i + 1])
+                        gone[span] |= ~_held(found.hash[span], found.check[span], mine[own], checks[own])
                 removed = textvec.covered(len(words), found.at[gone], length)
                 sums = np.concatenate([[0], np.cumsum(removed)])
                 text = pa.array(kept_texts(words, ~removed), pa.binary()).cast(pa.string())
@@ -165,7 +182,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False, verbatim:
     places = single.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("place").alias("places"))
     known = base.join(places, "key", "left")
     # The same columns on both ways, so that the texts are shuffled once.
-    windows = known.mapInArrow(workers.tidy(_windows(length)), "gram long, window long, doc_id long")
-    firsts = windows.groupBy("gram", "window").agg(F.min("doc_id").alias("doc_id")).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("window").alias("firsts"))
+    windows = known.mapInArrow(workers.tidy(_windows(length)), "window long, check long, doc_id long")
+    firsts = windows.groupBy("window", "check").agg(F.min("doc_id").alias("doc_id")).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("window", "check")).alias("firsts"))
     schema = storage.schema("doc_id long, text string, n_words long, n_removed long, removed array<struct<begin:int,end:int>>", base)
     return known.join(firsts, "key", "left").mapInArrow(workers.tidy(_cut(length, names, verbatim)), schema)

@@ -1,7 +1,7 @@
 """Batch encoder for a word-end BPE vocabulary file of the `tokenizers` library.
 
 White space never reaches a token, so a text's ids are its words' ids in turn. Words are
-made distinct per batch by hash; those of ASCII and Latin-1 letters, digits and signs are
+made distinct per batch and kept between batches by their bytes; those of ASCII and Latin-1 letters, digits and signs are
 merged all at once as arrays, any other word goes to the tokenizer itself. The ids equal
 `Tokenizer.encode(text, add_special_tokens=False).ids`. Ids are kept in 16 bits, so a
 vocabulary of more than 65,536 is refused.
@@ -96,7 +96,7 @@ class WordBPE:
         self.kind, self.lower = kind, lower
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,32 +104,27 @@ class WordBPE:
         words = textvec.Words(column)
         if not len(words):
             return np.zeros(0, np.uint16), np.zeros(len(column) + 1, np.int64)
-        hashes = words.hashes()
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        place = self._learn(words, distinct, first)
+        first, back = words.distinct()
+        place = self._learn(words, first)
         size = self.size[place][back]
         ids = self.flat[textvec.ranges(self.begin[place][back], size)]
         return ids, np.concatenate([[0], np.cumsum(size)])[words.ptr]
 
-    def _learn(self, words: textvec.Words, distinct: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def _learn(self, words: textvec.Words, first: np.ndarray) -> np.ndarray:
+        """Where the ids of these words are kept."""
         if len(self.known) > KEPT_WORDS:
             self.forget()
-        at = np.searchsorted(self.known, distinct)
-        seen = np.zeros(len(distinct), bool)
-        inside = at < len(self.known)
-        seen[inside] = self.known[at[inside]] == distinct[inside]
-        if not seen.all():
-            new = np.flatnonzero(~seen)
+        raw = words.data.tobytes()
+        spelt = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+        known, before = self.known, len(self.known)
+        place = np.array([known.setdefault(w, len(known)) for w in spelt], dtype=np.int64)
+        new = np.flatnonzero(place >= before)
+        if len(new):
             ids, size = self._encode_words(words.data, words.starts[first[new]], words.ends[first[new]])
-            begin = len(self.flat) + np.cumsum(size) - size
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known, kind="stable")
-            self.known = known[order]
-            self.begin = np.concatenate([self.begin, begin])[order]
-            self.size = np.concatenate([self.size, size])[order]
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, ids.astype(np.uint16)])
-            at = np.searchsorted(self.known, distinct)
-        return at
+        return place
 
     def _encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length = ends - starts
