@@ -64,7 +64,7 @@ def batches(examples: DataFrame, size: int, ranges: int | None = None) -> DataFr
     placed, totals = order.place(examples.withColumn("n", F.lit(1).cast("long")), "n", "conv_id", ranges=ranges)
     full = totals.get(None, 0) // size * size
     kept = placed.where(F.col("start") < full)
-    return kept.withColumns({"batch_id": F.floor(F.col("start") / size).cast("long"), "row": (F.col("start") % size).cast("int")}).drop("start", "n")
+    return kept.withColumns({"batch_id": F.expr(f"start div {int(size)}"), "row": (F.col("start") % size).cast("int")}).drop("start", "n")
 
 
 def padded(batched: DataFrame, pad_id: int = 0) -> DataFrame:
@@ -101,7 +101,7 @@ def request_batches(requests: DataFrame, most: int, size: int, pad_id: int = 0)
     kept = F.coalesce(kept, F.raise_error(F.lit("a request needs an id of context before its continuation")).cast("array<int>"))
     rows = requests.withColumn("_kept", kept).select("request", F.concat("_kept", "continuation").alias("ids"), F.size("_kept").alias("scored_from"), F.lit(1).cast("long").alias("n"))
     placed, _ = order.place(rows, "n", "request")
-    numbered = placed.select("request", F.floor(F.col("start") / size).cast("long").alias("batch_id"), (F.col("start") % size).cast("int").alias("row"), "ids", F.size("ids").alias("length"), "scored_from")
+    numbered = placed.select("request", F.expr(f"start div {int(size)}").alias("batch_id"), (F.col("start") % size).cast("int").alias("row"), "ids", F.size("ids").alias("length"), "scored_from")
     longest = F.max("length").over(Window.partitionBy("batch_id"))
     return numbered.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(pad_id), longest - F.col("length"))))
 

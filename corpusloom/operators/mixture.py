@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import order, shards
+from corpusloom.sources import scratch
 
 # Text columns in the order in which they are tried.
 TEXT_COLUMNS = ("text", "content", "code", "raw_content")
@@ -67,8 +68,13 @@ class Mixer:
     def offer(self, source: int, document: int, n: int) -> None:
         self.sources[source][2].append((document, n))
 
-    def draws(self) -> Iterator[tuple[int, int, int, int]]:
-        """(source, document, rank, tokens before) as far as the offered documents go."""
+    @property
+    def held(self) -> int:
+        """Documents that are offered and not drawn yet."""
+        return sum(len(queue) for _, _, queue in self.sources)
+
+    def draws(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """(source, document, rank, tokens before, tokens) as far as the offered documents go."""
         while self.most is None or self.drawn < self.most:
             best, credit = None, 0.0
             for k, weight, queue in self.sources:
@@ -78,38 +84,68 @@ class Mixer:
             if best is None or not waiting:
                 return
             document, n = waiting.popleft()
-            yield best, document, self.rank, self.drawn
+            yield best, document, self.rank, self.drawn, n
             self.open[best] -= 1
             self.own[best] += n
             self.drawn += n
             self.rank += 1
 
 
-def mix(docs: DataFrame, recipe: list[Entry], source: str = "source", order_column: str = "doc_id", max_tokens: int | None = None) -> DataFrame:
-    """docs(source, order, n, ...) in drawing order: adds `rank` and `start`, the tokens before.
+def draw_times(weights: list[float], totals: list[int]) -> list[list[tuple[float, float, float]]]:
+    """For each source (own tokens, all tokens, own per token of all), from where on this share holds.
+
+    What the rule does if documents are cut as fine as one likes: credits of the sources that are
+    left stay equal, so the share of one that has run out falls to them in equal parts.
+    """
+    own, drawn = [0.0] * len(weights), 0.0
+    left = [k for k, n in enumerate(totals) if n > 0]
+    out: list[list[tuple[float, float, float]]] = [[] for _ in weights]
+    while left:
+        spare = (1 - sum(weights[k] for k in left)) / len(left)
+        # A source without weight is drawn when no other is left.
+        rate = {k: max(weights[k] + spare, 1e-12) for k in left}
+        for k in left:
+            out[k].append((own[k], drawn, rate[k]))
+        first = min(left, key=lambda k: (totals[k] - own[k]) / rate[k])
+        step = (totals[first] - own[first]) / rate[first]
+        drawn += step
+        for k in left:
+            own[k] += step * rate[k]
+        left.remove(first)
+    return out
+
+
+def ranks(docs: DataFrame, recipe: list[Entry], source: str = "source", order_column: str = "doc_id", max_tokens: int | None = None) -> DataFrame:
+    """(source, order, n, rank, start) of the documents that are drawn, written once.
 
     Each decision depends on all before it, so the lengths alone (some bytes a document) pass
-    through one task. They come sorted by tokens before them over their weight, which is about
-    the order in which they are drawn, so the task holds the few that are not due yet. With
-    max_tokens, documents that lie behind so many of their own source stay out of it. Texts
-    stay where they are and meet their rank in a join.
+    through one task. They come sorted by the time at which `draw_times` has them drawn, so
+    that the task holds the few that are not due yet, also when a source has run out. With
+    max_tokens, documents that lie behind so many of their own source stay out of it. Order
+    values have to differ within a source.
     """
     recipe = normalised(recipe)
     names = [e.name for e in recipe]
-    rows, _ = order.place(docs.where(F.col(source).isin(names)), "n", order_column, source)
-    keep, weight = F.lit(True), F.lit(1.0)
+    lengths = docs.where(F.col(source).isin(names)).select(F.col(source).alias("_name"), F.col(order_column).alias("_document"), "n")
+    rows, _ = order.place(lengths, "n", "_document", "_name", ties=False)
+    keep = F.lit(True)
     for e in recipe:
-        keep = F.when(F.col(source) == e.name, F.col("start") >= e.skip).otherwise(keep)
-        weight = F.when(F.col(source) == e.name, F.lit(e.weight)).otherwise(weight)
+        keep = F.when(F.col("_name") == e.name, F.col("start") >= e.skip).otherwise(keep)
     rows = rows.where(keep)
-    first = {r[source]: r for r in rows.groupBy(source).agg(F.min("start").alias("start"), F.count("*").alias("n")).collect()}
-    begin = F.lit(0).cast("long")
-    for name, r in first.items():
-        begin = F.when(F.col(source) == name, F.lit(r["start"])).otherwise(begin)
-    meta = rows.select(F.col(source).alias("_source"), F.col(order_column).cast("long").alias("_order"), "n", (F.col("start") - begin).alias("before"), weight.alias("weight"))
+    first = {r["_name"]: r for r in rows.groupBy("_name").agg(F.min("start").alias("start"), F.count("*").alias("docs"), F.sum("n").alias("n")).collect()}
+    weights, counts = [e.weight for e in recipe], [first[name]["docs"] if name in first else 0 for name in names]
+    times = draw_times(weights, [first[name]["n"] if name in first else 0 for name in names])
+    before, due = F.lit(0).cast("long"), F.lit(0.0)
+    for name, parts in zip(names, times, strict=True):
+        if name in first:
+            before = F.when(F.col("_name") == name, F.col("start") - F.lit(first[name]["start"])).otherwise(before)
+            own = F.lit(0.0)
+            for mine, drawn, rate in parts:
+                own = F.when(F.col("before") >= mine, drawn + (F.col("before") - mine) / rate).otherwise(own)
+            due = F.when(F.col("_name") == name, own).otherwise(due)
+    meta = rows.select("_name", F.col("_document").cast("long").alias("_document"), "n", before.alias("before")).withColumn("due", due)
     if max_tokens is not None:
         meta = meta.where(F.col("before") < max_tokens)
-    weights, counts = [e.weight for e in recipe], [first[name]["n"] if name in first else 0 for name in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, place = Mixer(weights, counts, max_tokens), {name: k for k, name in enumerate(names)}
@@ -117,15 +153,23 @@ def mix(docs: DataFrame, recipe: list[Entry], source: str = "source", order_colu
             for name, document, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 mixer.offer(place[name], document, n)
             out = list(mixer.draws())
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[names[k] for k in columns[0]], *columns[1:]], types, strict=True)], ["_source", "_order", "rank", "start"])
-
-    queue = meta.repartition(1).sortWithinPartitions(F.col("before") / F.col("weight"), "_order").select("_source", "_order", "n")
-    ranks = queue.mapInArrow(run, "_source string, _order long, rank long, start long")
-    rows = rows.drop("start")
-    on = (rows[source] == F.col("_source")) & (rows[order_column] == F.col("_order"))
-    return rows.join(ranks, on).drop("_source", "_order")
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = [pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[names[k] for k in columns[0]], *columns[1:]], types, strict=True)], ["_name", "_document", "rank", "start", "n"])
+
+    queue = meta.repartition(1).sortWithinPartitions("due", "_name", "_document").select("_name", "_document", "n")
+    return scratch.written(queue.mapInArrow(run, "_name string, _document long, rank long, start long, n long"), "draws")
+
+
+def mix(docs: DataFrame, recipe: list[Entry], source: str = "source", order_column: str = "doc_id", max_tokens: int | None = None) -> DataFrame:
+    """docs(source, order, n, ...) in drawing order: adds `rank` and `start`, the tokens before.
+
+    The draw is made once, from the lengths (`ranks`). Texts stay where they are and meet their
+    rank in a join.
+    """
+    drawn = ranks(docs, recipe, source, order_column, max_tokens)
+    rows = docs.drop("n")
+    return rows.join(drawn, (rows[source] == F.col("_name")) & (rows[order_column] == F.col("_document"))).drop("_name", "_document")
 
 
 def packed(drawn: DataFrame, size: int, max_shards: int | None = None) -> tuple[DataFrame, dict]:

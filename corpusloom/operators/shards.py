@@ -36,7 +36,7 @@ def skip_prefix(placed: DataFrame, skip: int, total: int) -> tuple[DataFrame, in
 def spans(placed: DataFrame, size: int, block: str = "block") -> DataFrame:
     """A row per document and block: block, `begin` (in the document), `length`, `offset` (in the block)."""
     end = F.col("start") + F.col("n")
-    low, high = F.floor(F.col("start") / size).cast("long"), F.floor((end - 1) / size).cast("long")
+    low, high = F.expr(f"start div {int(size)}"), F.expr(f"(start + n - 1) div {int(size)}")
     cut = placed.withColumn(block, F.explode(F.sequence(low, high)))
     first, last = F.greatest(F.col("start"), F.col(block) * size), F.least(end, (F.col(block) + 1) * size)
     return cut.withColumns({"begin": first - F.col("start"), "length": last - first, "offset": first - F.col(block) * size})
@@ -118,7 +118,7 @@ def batch_rows(placed: DataFrame, total: int, batch: int, length: int, batches:
     inside = lapped.withColumns({"_cut": first - F.col("start"), "_first": first, "_last": last}).where("_last > _first")
     moved = inside.withColumns({"start": F.col("_first") - offset, "n": F.col("_last") - F.col("_first")})
     cut = spans(moved, row, "row_id").withColumn("begin", F.col("begin") + F.col("_cut")).drop("_cut", "_first", "_last")
-    return cut.withColumns({"batch_id": F.floor(F.col("row_id") / batch).cast("long"), "row": (F.col("row_id") % batch).cast("int")})
+    return cut.withColumns({"batch_id": F.expr(f"row_id div {int(batch)}"), "row": (F.col("row_id") % batch).cast("int")})
 
 
 def score_windows(cut: DataFrame, size: int, context: int) -> DataFrame:

@@ -394,7 +394,7 @@ def a10_manifest_totals(spark, sf_dir):
 
 
 @query(TOKENS + f"""
-select cast(shard_id as bigint) as shard_id, cast(row_number() over (order by lpad(cast(shard_id as varchar), 4, '0')) - 1 as integer) as position, n_docs
+select cast(shard_id as bigint) as shard_id, cast(row_number() over (order by format('{{:04d}}', shard_id)) - 1 as integer) as position, n_docs
 from (select g // {SIZE} as shard_id, count(distinct doc_id) as n_docs from tokens where g // {SIZE} < {FULL} group by 1)
 """)
 def s4_shard_scan(spark, sf_dir):
@@ -402,9 +402,11 @@ def s4_shard_scan(spark, sf_dir):
     path = scratch(spark, "shards")
     sinks.write_shards(shards.pack(documents(spark, sf_dir), SIZE, skip=SKIP)[0], path)
     held = read_shards(spark, path).groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.count_distinct("doc_id").alias("n_docs"))
-    # As many rows as shards, and those few by parameter.
-    names = F.array_sort(F.collect_list(F.struct(F.lpad(F.col("shard_id").cast("string"), 4, "0").alias("name"), "shard_id", "n_docs")))
-    return held.agg(names.alias("s")).select(F.posexplode("s").alias("position", "s")).select("s.shard_id", "position", "s.n_docs")
+    # Names in their own order as numbers: digits filled up on the right, then the length.
+    name = "lpad(cast(shard_id as string), greatest(4, length(cast(shard_id as string))), '0')"
+    named = held.withColumns({"_name": F.expr(f"cast(rpad({name}, 16, '0') as long) * 100 + length({name})"), "_one": F.lit(1).cast("long")})
+    placed, _ = order.place(named, "_one", "_name")
+    return placed.select("shard_id", F.col("start").cast("int").alias("position"), "n_docs")
 
 
 @query(TOKENS + f"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -18,17 +17,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import shards
 from corpusloom.sources import tables
+from corpusloom.sources.scratch import new_path as scratch
 
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share. Where none is set, a local one if
-    they are one process; on a cluster that is an error, as later reads would miss rows."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+__all__ = ["append_metrics", "check_writable", "copy_results", "read_manifest", "require_output", "scratch", "write_manifest", "write_npy_shards", "write_results", "write_shards"]
 
 
 def write_shards(cut: DataFrame, path: str, ids=None) -> None:

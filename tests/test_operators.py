@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -52,6 +52,36 @@ def test_prefix_sums_over_ranges(spark):
         assert sum(totals.values()) == sum(r[2] for r in rows)
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 4)), st.integers(1, 5), st.sampled_from("ab")), min_size=1, max_size=12), st.booleans())
+def test_repeated_order_values_stand_one_behind_the_other(spark, rows, by_source):
+    df = spark.createDataFrame(rows, "k long, n long, s string")
+    placed, totals = order.place(df, "n", "k", "s" if by_source else None, ranges=3)
+    got = [(r.s if by_source else None, -1 if r.k is None else r.k, r.start, r.n) for r in placed.collect()]
+    assert sorted((-1 if k is None else k, n) for k, n, _ in rows) == sorted((k, n) for _, k, _, n in got)
+    for name in {g[0] for g in got}:
+        own = sorted((start, n, k) for s, k, start, n in got if s == name)
+        assert own[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:], strict=False))
+        assert [k for _, _, k in own] == sorted(k for _, _, k in own) and own[-1][0] + own[-1][1] == totals[name]
+
+
+def test_shards_of_repeated_ids_are_full(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "ab"), (1, "cd"), (2, "e")], "doc_id long, text string")
+    cut, totals = shards.pack(docs, 4)
+    summary = {r.shard_id: r.n_tokens for r in shards.shard_summary(cut).collect()}
+    assert totals["shards_written"] == 2 and summary == {0: 4, 1: 4}
+    monkeypatch.setattr(order, "TIED", 1)
+    with pytest.raises(ValueError, match="2 rows share a value of doc_id"):
+        shards.pack(docs, 4)
+
+
+def test_texts_are_read_twice_to_be_packed(spark, tmp_path):
+    spark.createDataFrame([(k, "x" * k) for k in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    cut, _ = shards.pack(spark.read.parquet(f"{tmp_path}/docs"), 100, skip=10)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("text") and sum("text" in line for line in plan.splitlines() if "ReadSchema" in line) == 1  # the other read made the lengths
+
+
 def test_pack_runs_documents_on(spark):
     cut, totals = shards.pack(id_docs(spark, ["1:5", "2:5", "3:5"]), 8, 2, count=counted())
     assert shard_ids(cut) == {0: [1, 1, 1, 1, 1, 0, 2, 2], 1: [2, 2, 2, 0, 3, 3, 3, 3]}
@@ -97,8 +127,8 @@ def drawn_sources(lengths, weights, most=None, late=0):
     for offer in offers:
         mixer.offer(*offer)
         out += mixer.draws()
-    assert [r for _, _, r, _ in out] == list(range(len(out)))
-    return [k for k, _, _, _ in out]
+    assert [r for _, _, r, _, _ in out] == list(range(len(out)))
+    return [k for k, *_ in out]
 
 
 def test_greedy_mix_takes_the_first_of_equals():
@@ -121,6 +151,24 @@ def test_mix_equals_the_greedy_rule_however_documents_arrive(lengths, late, most
     assert drawn_sources(lengths, weights, most) == drawn_sources(lengths, weights, most, late) == want
 
 
+def test_few_documents_wait_when_a_source_has_run_out():
+    rng = random.Random(4)
+    lengths, weights = [[rng.randrange(1, 40) for _ in range(n)] for n in (2_000, 9_000, 10_000)], [0.7, 0.2, 0.1]
+    times, offers = mixture.draw_times(weights, [sum(x) for x in lengths]), []
+    for k, own in enumerate(lengths):
+        before = 0
+        for i, n in enumerate(own):
+            mine, drawn, rate = [p for p in times[k] if p[0] <= before][-1]
+            offers.append((drawn + (before - mine) / rate, k, i, n))
+            before += n
+    mixer, most, drawn = mixture.Mixer(weights, [len(x) for x in lengths]), 0, 0
+    for _, k, i, n in sorted(offers):
+        mixer.offer(k, i, n)
+        drawn += len(list(mixer.draws()))
+        most = max(most, mixer.held)
+    assert drawn == 21_000 and most < 210
+
+
 def test_a_mixed_stream_is_packed(spark):
     rows = [(k, "ab"[k % 2], f"{k % 2 + 1}:9") for k in range(40)]
     docs = shards.measured(spark.createDataFrame(rows, "doc_id long, source string, text string"), counted())
