@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, langid, packing, quality, rules, simhash, substrings, toolcalls, training_order, urls
+from corpusloom.llm import decontaminate, divergence, langid, packing, quality, rules, simhash, substrings, toolcalls, training_order, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +189,32 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t, row_number() over () as id from documents),
+w as (select lang, source, id, unnest(list_filter(regexp_split_to_array(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) as term from d),
+kept as (select lang, term, count(*) as lang_n from w group by lang, term having count(distinct id) >= 10),
+size as (select lang, count(*) as v, sum(lang_n) as n from kept group by lang),
+grp as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by lang, source, term),
+whole as (select g.lang, g.source, coalesce(sum(c.n), 0) as n from grp g left join c using (lang, source) group by g.lang, g.source),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (wh.n + 2 * s.v) as p, 1 + (1000000000::hugeint * (k.lang_n + 2)) // (s.n + 2 * s.v) as q
+  from grp g join kept k using (lang) join size s using (lang) join whole wh using (lang, source) left join c using (lang, source, term)
+), pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3
+), every as (
+  select a.lang, a.source, b.source as item, coalesce(value, 0) as value from grp a join grp b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+), ranked as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from every
+  union all
+  select * from (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value, row_number() over (partition by lang, source order by (p - q) * (p - q) // (p + q) desc, term) as rank from p where n > 0 and p > q) where rank <= 10
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked
+"""
