@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, divergence, langid, packing, quality, rules, simhash, substrings, toolcalls, training_order, urls
+from corpusloom.llm import decontaminate, divergence, langid, lexical, packing, quality, rules, simhash, substrings, toolcalls, training_order, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,6 +191,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = r"""
+with d as (select doc_id, row_number() over () as id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents),
+size as (select id, doc_id, len(ws) as n from d where len(ws) > 0),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as total from size),
+items as (select item_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) as term from benchmark where text is not null),
+times as (select item_id, term, count(*) as k from items group by item_id, term),
+tf as (select id, term, count(*) as tf from (select id, unnest(ws) as term from d) where term in (select term from times) group by id, term),
+weight as (select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double)) as bigint) as w from (select term, count(*) as df from tf group by term), whole),
+impact as (select id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)) as i from tf join size using (id), whole),
+score as (select item_id, id, cast(sum(k * w * i) as bigint) as score from times join weight using (term) join impact using (term) group by item_id, id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from score join size using (id) where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20
+"""
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
