@@ -10,7 +10,8 @@ call points to the one it needs, then to that one's pointer, and so on, so a cha
 takes log n rounds and one row a call. A pointer that has gone as many steps as its
 conversation has calls goes round a cycle. What is left, calls that need several others, is
 placed in layers, each once all that it needs are; a call that never is stands on or behind a
-cycle. Rounds of the second kind grow with the longest chain of such calls.
+cycle. A conversation with up to GATHERED such calls is one bounded row for this, whose layers
+are rounds of one expression; only in larger ones is a layer a round of joins.
 
 Arguments are parsed as variants, checked against their tool's schema by expressions, and
 written with sorted keys and without spaces. All of it is DataFrame functions.
@@ -107,6 +108,50 @@ def _met(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "i
     return left.join(right.hint("shuffle_hash"), on, how)
 
 
+#: Calls with several needs, and such needs, of a conversation that is placed as one row.
+GATHERED, GATHERED_NEEDS = 1_024, 8_192
+
+
+def _placed(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """`_layered`, with the conversations that are small enough gathered into rows."""
+    calls, edges = storage.written(calls, "hubs"), storage.written(edges, "needs")
+    needs = edges.groupBy(F.col("c").alias("ec")).agg(F.count("*").alias("edges"))
+    sizes = _met(calls.groupBy("c").agg(F.count("*").alias("n")), needs, {"c": "ec"}, "left")
+    large = storage.written(sizes.where((F.col("n") > GATHERED) | (F.col("edges") > GATHERED_NEEDS)).select(F.col("c").alias("bc")), "large")
+    if large.isEmpty():
+        return _gathered(calls, edges)
+    part = lambda df, how: _met(df, large, {"c": "bc"}, how)
+    return _gathered(part(calls, "left_anti"), part(edges, "left_anti")).union(_layered(part(calls, "left_semi"), part(edges, "left_semi")))
+
+
+def _gathered(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """`_layered` for conversations of bounded size, each as one row."""
+    own = edges.groupBy(F.col("c").alias("ec"), F.col("k").alias("ek")).agg(F.collect_list(F.struct("need", "weight")).alias("needs"))
+    node = F.struct("k", "val", "dead", F.coalesce("needs", F.array().cast("array<struct<need:string,weight:bigint>>")).alias("needs"))
+    rows = _met(calls, own, {"c": "ec", "k": "ek"}, "left").groupBy("c").agg(F.collect_list(node).alias("nodes"))
+    # Needs by their places, a null identifier's too.
+    rows = rows.withColumn("names", F.transform("nodes", lambda x: F.struct(x["k"].alias("k"))))
+    at = lambda e: F.struct((F.array_position("names", F.struct(e["need"].alias("k"))) - 1).cast("int").alias("at"), e["weight"].alias("weight"))
+    rows = rows.withColumn("nodes", F.transform("nodes", lambda x: F.struct(x["k"].alias("k"), x["val"].alias("val"), x["dead"].alias("dead"), F.transform(x["needs"], at).alias("needs"))))
+
+    def layer(keys: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            waits = F.exists(x["needs"], lambda e: F.get(keys, e["at"]).isNull())
+            least = F.aggregate(x["needs"], x["val"], lambda most, e: F.greatest(most, F.get(keys, e["at"]) + e["weight"]))
+            return F.coalesce(F.get(keys, i), F.when(~x["dead"] & ~waits, least))
+
+        return F.transform("nodes", one)
+
+    def round_(state: Column, _: Column) -> Column:
+        left = lambda keys: F.size(F.filter(keys, lambda x: x.isNull()))
+        more = F.get(F.transform(F.array(layer(state["keys"])), lambda keys: F.struct(keys.alias("keys"), (left(keys) < left(state["keys"])).alias("on"))), F.lit(0))
+        return F.when(state["on"], more).otherwise(state)
+
+    begin = F.struct(F.transform("nodes", lambda x: F.lit(None).cast("long")).alias("keys"), F.lit(True).alias("on"))
+    keys = F.aggregate(F.sequence(F.lit(0), F.size("nodes")), begin, round_)["keys"]
+    return rows.select("c", "names", keys.alias("keys")).select("c", F.explode(F.arrays_zip("names", "keys")).alias("x")).select("c", F.col("x.names.k").alias("k"), F.col("x.keys").alias("order_key"))
+
+
 def _layered(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """c, k, order_key of calls(c, k, val, dead) with edges(c, k, need, weight): a call is placed
     once all that it needs are; null for dead ones and those that never are."""
@@ -164,7 +209,7 @@ def _tangled(calls: DataFrame, edges: DataFrame) -> DataFrame:
     floor = F.max(F.greatest("floor", F.when(F.col("en") == 0, F.col("eval") + F.col("weight"))))
     least = needs.groupBy(F.col("c").alias("fc"), F.col("k").alias("fk")).agg(floor.alias("floor"), F.max("dead").alias("dead"))
     hubs = _met(nodes.where("n > 1"), least, {"c": "fc", "k": "fk"}).select("c", "k", F.greatest("val", "floor").alias("val"), "dead")
-    placed = _layered(hubs, needs.where("en > 1 and not dead").select("c", "k", "need", "weight"))
+    placed = _placed(hubs, needs.where("en > 1 and not dead").select("c", "k", "need", "weight"))
     known = storage.written(nodes.where("n = 0").select("c", "k", F.col("val").alias("order_key")).union(placed), "known")
     end = known.select(F.col("c").alias("kc"), F.col("k").alias("kk"), "order_key")
     key = F.when(~F.col("dead") & F.col("order_key").isNotNull(), F.greatest("val", F.col("order_key") + F.col("dist")))

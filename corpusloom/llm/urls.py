@@ -84,10 +84,14 @@ def _share(text: Column, pattern: str) -> Column:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits a character, from the counts of the distinct ones."""
-    distinct = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    share = F.transform(distinct, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text))
-    return F.aggregate(share, F.lit(0.0), lambda sum_, p: sum_ - p * F.log2(p))
+    """Bits a character: the characters are sorted, and where a run of equal ones ends gives its count."""
+
+    def runs(chars: Column) -> Column:
+        n = F.size(chars)
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & F.coalesce(F.get(chars, i) != F.get(chars, i - 1), F.lit(True)))
+        return _let(ends, lambda e: F.aggregate(F.transform(e, lambda x, k: (x - F.coalesce(F.get(e, k - 1), F.lit(0))) / n), F.lit(0.0), lambda sum_, p: sum_ - p * F.log2(p)))
+
+    return _let(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), runs)
 
 
 def features(url: Column, host: Column, path: Column) -> Column:
