@@ -6,7 +6,8 @@ of the corpus. Those that occur once say that every window around them is unique
 named back to their document, and all others are extended both ways, over every window that
 the anchor stands for, to hashes of whole windows, 128 bits made of BLAKE2 digests of their
 longer words. Of each such window the smallest doc_id
-is named back to its document. A document then knows which of its windows start earlier
+is named back to its document, by 64 of them: two windows of one text that shared those could
+only be kept, never cut. A document then knows which of its windows start earlier
 elsewhere, and maximal runs of those are cut out.
 
 Grouping is by hash with partial aggregates of fixed size, what returns to a document is
@@ -110,19 +111,6 @@ def _windows(length: int):
     return run
 
 
-def _held(hashes: np.ndarray, checks: np.ndarray, of: np.ndarray, of_checks: np.ndarray) -> np.ndarray:
-    """Which of the (hash, check) are among the others."""
-    order = np.lexsort((of_checks, of))
-    of, of_checks = of[order], of_checks[order]
-    if not len(of):
-        return np.zeros(len(hashes), bool)
-    if (of[1:] == of[:-1]).any():
-        known = set(zip(of.tolist(), of_checks.tolist(), strict=True))
-        return np.array([x in known for x in zip(hashes.tolist(), checks.tolist(), strict=True)], dtype=bool)
-    at = np.minimum(np.searchsorted(of, hashes), len(of) - 1)
-    return (of[at] == hashes) & (of_checks[at] == checks)
-
-
 def kept_texts(words: textvec.Words, kept: np.ndarray) -> list[bytes]:
     """Each row's kept words, joined by one space."""
     at = np.flatnonzero(kept)
@@ -141,15 +129,13 @@ def _cut(length: int, names: list[str], verbatim: bool):
             for part in textvec.chunks(batch):
                 found = _Candidates(part, length)
                 words, gone = found.words, found.again.copy()
-                firsts = part.column("firsts")
-                ends = np.concatenate([[0], np.cumsum(np.array(firsts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64))])
-                mine, checks = (firsts.flatten().field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+                mine, ends = _lists(part.column("firsts"))
                 placed = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 cuts = np.searchsorted(found.row, np.arange(part.num_rows + 1))
                 for i in np.unique(found.row):
                     if placed[i]:
-                        span, own = slice(cuts[i], cuts[i + 1]), slice(ends[i], ends[i + 1])
-                        gone[span] |= ~_held(found.hash[span], found.check[span], mine[own], checks[own])
+                        span = slice(cuts[i], cuts[i + 1])
+                        gone[span] |= ~np.isin(found.hash[span], mine[ends[i] : ends[i + 1]].view(np.uint64))
                 removed = textvec.covered(len(words), found.at[gone], length)
                 sums = np.concatenate([[0], np.cumsum(removed)])
                 text = pa.array(kept_texts(words, ~removed), pa.binary()).cast(pa.string())
@@ -183,6 +169,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False, verbatim:
     known = base.join(places, "key", "left")
     # The same columns on both ways, so that the texts are shuffled once.
     windows = known.mapInArrow(workers.tidy(_windows(length)), "window long, check long, doc_id long")
-    firsts = windows.groupBy("window", "check").agg(F.min("doc_id").alias("doc_id")).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("window", "check")).alias("firsts"))
+    firsts = windows.groupBy("window", "check").agg(F.min("doc_id").alias("doc_id")).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("window").alias("firsts"))
     schema = storage.schema("doc_id long, text string, n_words long, n_removed long, removed array<struct<begin:int,end:int>>", base)
     return known.join(firsts, "key", "left").mapInArrow(workers.tidy(_cut(length, names, verbatim)), schema)
