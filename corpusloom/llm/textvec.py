@@ -51,7 +51,7 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-@lru_cache(1 << 17)
+@lru_cache(1 << 15)
 def _kept_digest(word: bytes) -> bytes:
     return hashlib.blake2b(word, digest_size=16).digest()
 
