@@ -26,9 +26,12 @@ def score_requests(positions: DataFrame, context: int) -> DataFrame:
 
 
 def choice_accuracy(choices: DataFrame) -> DataFrame:
-    """(acc, acc_norm, items) of choices(item, choice, ll, length, gold); of equal scores the first choice counts."""
+    """(acc, acc_norm, items) of choices(item, choice, ll, length, gold); of equal scores the first choice counts.
+
+    A choice without length counts as one of length 1.
+    """
     best = lambda score: F.max_by("choice", F.struct(score, -F.col("choice")))
-    items = choices.groupBy("item").agg(best(F.col("ll")).alias("raw"), best(F.col("ll") / F.col("length")).alias("normed"), F.max("gold").alias("gold"))
+    items = choices.groupBy("item").agg(best(F.col("ll")).alias("raw"), best(F.col("ll") / F.greatest("length", F.lit(1))).alias("normed"), F.max("gold").alias("gold"))
     hit = lambda c: F.avg((F.col(c) == F.col("gold")).cast("double"))
     return items.agg(hit("raw").alias("acc"), hit("normed").alias("acc_norm"), F.count("*").alias("items"))
 

@@ -10,8 +10,8 @@ from corpusloom.plans import stream_queries as stream
 from corpusloom.plans.registry import query
 from corpusloom.sources import sinks, tensors
 from corpusloom.sources.sinks import scratch
-from corpusloom.sources.tables import table
-from corpusloom.streaming import batches, packing
+from corpusloom.sources.tables import npy_shards, table
+from corpusloom.streaming import batches, packing, upload
 
 #: Rows of a slice, and the bytes of a container file and of a read, small enough to have several of each.
 SLICE, PART = 16, 20_000
@@ -156,3 +156,30 @@ def t7_generate(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("key"), F.col("text").alias("prompt"))
     choices = generate.table(generate.counted(table(spark, sf_dir, "documents").where("text is not null")), TOP)
     return generate.generate(asked, choices, NEW).select("key", F.md5("new").alias("digest"), "n", "ended")
+
+
+
+
+@query(stream.TOKENS + f""", whole as (select g // {stream.SIZE} as shard, cast(token as bigint) as token from tokens where g < {stream.FULL} * {stream.SIZE})
+select printf('shard_%04d.npy', shard) as name, 'uploaded' as status, cast(1 as bigint) as entries, cast({stream.SIZE} as bigint) as n_tokens, cast(sum(token) as bigint) as sum from whole group by shard
+union all select 'README.md', 'missing', 2, null, null
+""")
+def k9_upload(spark, sf_dir):
+    """Shards brought to another folder by a stream of two batches, and brought again without its checkpoint."""
+    source, asked, target = (scratch(spark, name) for name in ("npy", "asked", "uploaded"))
+    sinks.write_npy_shards(shards.pack(stream.documents(spark, sf_dir), stream.SIZE, skip=stream.SKIP)[0], source, stream.SIZE)
+    listed = spark.read.format("binaryFile").load(f"{source}/*.npy").select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    # Hadoop's paths have one slash behind the scheme, the URIs that executors take have three.
+    listed = listed.withColumn("path", F.concat(F.lit(f"{source}/"), "name"))
+    number = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+    for half in (0, 1):
+        part = listed.where(number % 2 == half)
+        if half:
+            part = part.unionByName(spark.range(1).select(F.lit(f"{source}/README.md").alias("path"), F.lit("README.md").alias("name")))
+        part.write.mode("append").parquet(asked)
+        upload.upload(spark.readStream.schema("path string, name string").parquet(asked), target, f"{target}-checkpoint").awaitTermination()
+    upload.upload(spark.readStream.schema("path string, name string").parquet(asked), target, f"{target}-other").awaitTermination()
+    entered = upload.ledger(spark, target).groupBy("name", "status").agg(F.count("*").alias("entries"))
+    held = npy_shards(spark, target)
+    tokens = held.select(F.format_string("shard_%04d.npy", "shard_id").alias("name"), F.size("tokens").cast("long").alias("n_tokens"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum"))
+    return entered.join(tokens, "name", "left").select("name", "status", "entries", "n_tokens", "sum")
