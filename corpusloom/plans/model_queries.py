@@ -14,8 +14,8 @@ ANSWER = 3
 
 @query(f"""
 with ch as (select case when text = '' then [] else string_split(text, '') end as c from documents where text is not null),
-pos as (select list_append(c, '') as c, unnest(range(1, len(c) + 2)) as i from ch),
-long as (select array_to_string(c[greatest(1, i - {generate.REACH}):i - 1], '') as context, c[i] as nxt, count(*) as n from pos group by 1, 2),
+pos as (select unnest(list_append(c, '')) as nxt, unnest((['', '', ''] || c)[:len(c) + 1]) || unnest((['', ''] || c)[:len(c) + 1]) || unnest([''] || c) as context from ch),
+long as (select context, nxt, count(*) as n from pos group by 1, 2),
 cnt as (select right(context, cast(k as integer)) as context, nxt, sum(n)::bigint as n from (select *, unnest(range(0, length(context) + 1)) as k from long) group by 1, 2),
 ctx as (select context, sum(n) as total, list(nxt order by n desc, nxt)[1] as top from cnt group by context),
 size as (select count(*) + 1 as v from cnt where context = ''),
