@@ -5,7 +5,9 @@ goes through the keys block by block, and keeps for each query the largest score
 weights below it, and the weighted vector. These three merge in any order, so spans of keys are
 merged behind it by an expression. No position meets another as a row: a query and a key are
 copied once for each span of the other side, and no task holds more than two spans, whatever
-the length of the sequence; a sequence that holds most rows is many keys.
+the length of the sequence; a sequence that holds most rows is many keys. What is copied is half
+the sequence's length over the span, so a span is as long as a task can hold: at 64 values, some
+16 MB of queries and sums and 8 MB of keys and values.
 
 Queries and keys are two tables, so keys may be a cache: new positions attend to all that was
 kept before. The latent form keeps a narrow vector and a small rotated part for each position,
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import numeric
 
 #: Positions of a span (a side of a tile), and of a block of keys within it.
-SPAN, BLOCK = 1024, 128
+SPAN, BLOCK = 8192, 128
 PARTIAL = "seq {seq}, at long, top double, mass double, sum array<double>"
 
 

@@ -45,9 +45,6 @@ def u6_task_requests(spark, sf_dir):
     return tasks.scored(asked, counts).withColumn("log_likelihood", F.round("log_likelihood", 6))
 
 
-#: Positions of a span and of a block, so few that every sequence has several.
-SPAN, BLOCK = 16, 5
-
 _SEQUENCES = """
 with e as (select label as seq, row_number() over (partition by label order by vec_id) - 1 as place, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where label is not null),
 """
@@ -65,7 +62,7 @@ def m4_attention(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").where("label is not null").select("vec_id", F.col("label").alias("seq"), "embedding", F.lit(1).cast("long").alias("one"))
     placed = order.place(rows, "one", "vec_id", "seq")[0].withColumnRenamed("start", "at")
     turned = placed.select("seq", "at", attention.rotated(F.col("embedding"), F.col("at"), 64).alias("q"), F.col("embedding").alias("v"))
-    found = attention.attend(turned.select("seq", "at", "q"), turned.select("seq", "at", F.col("q").alias("k"), "v"), span=SPAN, block=BLOCK)
+    found = attention.attend(turned.select("seq", "at", "q"), turned.select("seq", "at", F.col("q").alias("k"), "v"))
     weighed = F.aggregate(F.transform("out", lambda y, k: y * (k + 1)), F.lit(0.0), lambda a, y: a + y)
     return found.select("seq", F.col("at").alias("place"), F.round(F.get("out", F.lit(0)), 5).alias("first"), F.round(weighed, 4).alias("weighed"))
 

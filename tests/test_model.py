@@ -291,3 +291,16 @@ def test_diverged_training_and_unknown_modes_are_refused(spark):
         training.train_step(rows, start, training.Plan(total=1, mode="sgd"))
     empty, entry = training.train_step(rows.limit(0), start, training.Plan(total=1))
     assert entry["n"] == 0 and not empty.weights.any()
+
+
+def test_attention_of_the_query_copies_little(spark, monkeypatch):
+    """A sequence of a table's usual length is few tiles: each of its rows is dealt to no more than two spans."""
+    import math
+
+    seen = {}
+    whole = attention.attend
+    monkeypatch.setattr(attention, "attend", lambda q, k, scale=None, span=attention.SPAN, block=attention.BLOCK: (seen.update(span=span), whole(q, k, scale, span, block))[1])
+    from corpusloom.plans.queries import QUERIES
+
+    QUERIES["m4_attention"](spark, "/root/testdata/sf0.001")
+    assert math.ceil(10_000 / seen["span"]) <= 2
