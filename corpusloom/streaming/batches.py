@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "batch_id long, row int, epoch long, tokens array<int>"
-#: Batches that one task makes.
-AT_ONCE = 64
+#: Batches that one task makes at least, and tasks of a micro-batch at most, if it has more than that.
+AT_ONCE, TASKS = 64, 1_000
 
 
 def _header(files: fs.FileSystem, path: str) -> tuple[int, int]:
@@ -58,11 +58,14 @@ def shards_in(uri: str) -> list[Shard]:
 
 @dataclass
 class Span(InputPartition):
-    """Batches from a global token position on."""
+    """Batches from a global token position on, and the files that hold them, in order."""
 
     first: int
     batches: int
     shards: list[Shard]
+    #: Where the first of the files begins in the stream, and the tokens of an epoch.
+    before: int = 0
+    total: int = 0
 
 
 class BatchReader(DataSourceStreamReader):
@@ -83,14 +86,15 @@ class BatchReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         held = shards_in(self.uri)
         count = max(0, end["token"] - start["token"]) // self.size
-        return [Span(start["token"] + k * self.size, min(AT_ONCE, count - k), held) for k in range(0, count, AT_ONCE)] or [Span(start["token"], 0, [])]
+        each = max(AT_ONCE, -(-count // TASKS))
+        return [span(held, start["token"] + k * self.size, min(each, count - k), self.size) for k in range(0, count, each)] or [Span(start["token"], 0, [])]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         files, row = fs.FileSystem.from_uri(self.uri)[0], self.length + 1
-        total = sum(s.tokens for s in partition.shards)
+        total = partition.total
         for k in range(partition.batches):
             first = partition.first + k * self.size
-            tokens = _tokens(files, partition.shards, first, self.size, total)
+            tokens = _tokens(files, partition.shards, first - partition.before, self.size)
             ends = pa.array(np.arange(self.batch + 1, dtype=np.int32) * row)
             number = (first - self.begin) // self.size
             epoch = (first + np.arange(self.batch) * row) // total
@@ -101,9 +105,20 @@ class BatchReader(DataSourceStreamReader):
         pass
 
 
-def _tokens(files: fs.FileSystem, shards: list[Shard], first: int, n: int, total: int) -> np.ndarray:
-    """n tokens from a position on; the files' ranges that hold them are read, and no more."""
-    out, at = [], first % total
+def span(held: list[Shard], first: int, batches: int, size: int) -> Span:
+    """A task's batches, with those of the files alone that they touch: all of them only if they go through an epoch."""
+    ends = np.cumsum([s.tokens for s in held])
+    total, n = int(ends[-1]), batches * size
+    if n >= total:
+        return Span(first, batches, held, first // total * total, total)
+    low, high = (int(np.searchsorted(ends, at % total, side="right")) for at in (first, first + n - 1))
+    some = held[low : high + 1] if low <= high and first // total == (first + n - 1) // total else held[low:] + held[: high + 1]
+    return Span(first, batches, some, first // total * total + int(ends[low]) - held[low].tokens, total)
+
+
+def _tokens(files: fs.FileSystem, shards: list[Shard], at: int, n: int) -> np.ndarray:
+    """n tokens from a position in the files on, which begin again behind the last; the ranges that hold them are read, and no more."""
+    out, at = [], at % sum(s.tokens for s in shards)
     while n:
         for shard in shards:
             if at < shard.tokens and n:

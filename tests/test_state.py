@@ -147,3 +147,22 @@ def test_the_nucleus_keeps_what_lies_before_its_share(spark):
     (row,) = generate.table(counts).collect()
     assert [(c.next, c.upto) for c in row.choices] == [("a", 50), ("b", 80), ("c", 95)] and row.whole == 95
     assert [c.next for c in generate.table(counts, top_k=2).first().choices] == ["a", "b"]
+
+
+def test_a_task_gets_the_files_of_its_batches_alone():
+    """So that what the driver sends grows with the files, not with the files times the tasks."""
+    held = [batches.Shard(f"shard_{k}", 80, n) for k, n in enumerate([100] * 500 + [30, 7, 1])]
+    reader = batches.BatchReader({"path": "", "batch": "1", "length": "9", "epochs": "2"})
+    size, total = reader.size, sum(s.tokens for s in held)
+    stream = [(s.path, t) for s in held for t in range(s.tokens)] * 2
+    for first, n in ((0, 12), (990, 5), (total - 35, 6), (total, 3), (total - 10, 1), (3, total // size + 2)):
+        part = batches.span(held, first, n, size)
+        tokens = [(s.path, t) for s in part.shards for t in range(s.tokens)]
+        at = first - part.before
+        assert [tokens[(at + k) % len(tokens)] for k in range(n * size)] == stream[first : first + n * size]
+        assert len(part.shards) <= n * size // 100 + 5 or n * size >= total
+    import unittest.mock
+
+    with unittest.mock.patch.object(batches, "shards_in", return_value=held):
+        spans = reader.partitions({"token": 0}, {"token": total // size * size})
+    assert sum(len(p.shards) for p in spans) <= len(held) + 2 * len(spans)
