@@ -467,3 +467,10 @@ def test_texts_are_tokenised_some_bytes_at_a_time():
     texts = pa.array(["a" * 10, None, "b" * 10, "c" * 50, "", "d" * 5])
     parts = list(encode._slices(texts, 20)) if hasattr(encode, "_slices") else list(encode.slices(texts, 20))
     assert [(p.start, p.stop) for p in parts] == [(0, 3), (3, 5), (5, 6)]
+
+
+def test_decoding_keeps_byte_order_marks(spark):
+    texts = ["\ufeffa\ufeff", "\ufeff", "a\U0001f600b", "", "  x "]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = {r.k: r.t for r in df.select("k", encode.decode(encode.with_end(encode.code_points(F.col("text")))).alias("t")).collect()}
+    assert [got[k] for k in range(len(texts))] == [t.strip(" ") for t in texts]
