@@ -13,9 +13,14 @@ Counts are whole numbers and ties go by the character, so results are the same e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import encode
 from corpusloom.sources import scratch
 
 REACH = 3
@@ -27,12 +32,58 @@ SMALL_ROWS = 500_000
 END = ""
 
 
+#: Bytes of texts that are counted at once; one longer text is alone.
+AT_ONCE = 1 << 22
+
+
+def _tally(texts: pa.Array, reach: int) -> pa.RecordBatch:
+    """(context, next, n) of some texts: a place is a number whose digits are the characters before it and its own."""
+    held = [t or "" for t in texts.to_pylist()]
+    sizes = np.array([len(t) for t in held])
+    # Behind `reach` places that stand for nothing, each text's characters and its end, which is none either.
+    begin = np.cumsum(sizes + reach + 1) - (sizes + reach + 1)
+    flat = np.zeros(int((sizes + reach + 1).sum()), np.uint32)
+    inside = np.ones(len(flat), bool)
+    inside[(begin[:, None] + np.arange(reach)).ravel()] = False
+    ends = begin + sizes + reach
+    real = inside.copy()
+    real[ends] = False
+    flat[real] = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32) + 1
+    used = np.flatnonzero(np.bincount(flat, minlength=1))
+    number = np.zeros(int(used[-1]) + 1, np.int64)
+    number[used] = np.arange(len(used))
+    digits, places = number[flat], np.flatnonzero(inside)
+    windows = [digits[places - back] for back in range(reach, -1, -1)]
+    if len(used) ** (reach + 1) < 1 << 62:
+        key = windows[0]
+        for w in windows[1:]:
+            key = key * len(used) + w
+        key, n = np.unique(key, return_counts=True)
+        found = [key // len(used) ** back % len(used) for back in range(reach, -1, -1)]
+    else:
+        rows, n = np.unique(np.stack(windows, axis=1), axis=0, return_counts=True)
+        found = list(rows.T)
+    names = np.array([chr(c - 1) if c else END for c in used.tolist()], dtype=object)
+    context = np.full(len(n), "", dtype=object)
+    for digit in found[:-1]:
+        context = context + names[digit]
+    return pa.RecordBatch.from_arrays([pa.array(context, pa.string()), pa.array(names[found[-1]], pa.string()), pa.array(n.astype(np.int64))], ["context", "next", "n"])
+
+
+def _tallied(reach: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for part in encode.slices(texts, AT_ONCE):
+                yield _tally(texts.slice(part.start, part.stop - part.start), reach)
+
+    return run
+
+
 def counted(docs: DataFrame, reach: int = REACH, text: str = "text") -> DataFrame:
     """(context, next, n): how often each character, or the end, follows each context of 0 to reach."""
-    chars = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
-    held = docs.select(chars.alias("c")).select("c", F.posexplode(F.concat("c", F.array(F.lit(END)))).alias("at", "next"))
-    before = F.least(F.lit(reach), F.col("at"))
-    longest = held.select(F.array_join(F.slice("c", F.col("at") - before + 1, before), "").alias("context"), "next").groupBy("context", "next").agg(F.count("*").alias("n"))
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(_tallied(reach), "context string, next string, n long")
+    longest = parts.groupBy("context", "next").agg(F.sum("n").alias("n"))
     # Shorter contexts are sums over the longest ones, of which there are few.
     each = F.explode(F.sequence(F.lit(0), F.length("context")))
     return longest.select("context", "next", "n", each.alias("k")).select(F.expr("right(context, k)").alias("context"), "next", "n").groupBy("context", "next").agg(F.sum("n").alias("n"))

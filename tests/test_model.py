@@ -304,3 +304,16 @@ def test_attention_of_the_query_copies_little(spark, monkeypatch):
 
     QUERIES["m4_attention"](spark, "/root/testdata/sf0.001")
     assert math.ceil(10_000 / seen["span"]) <= 2
+
+
+def test_counts_are_tallied_before_they_are_rows(spark, monkeypatch):
+    """One row for each context of a batch and not for each character; the same counts by brute force, whatever the alphabet."""
+    import collections
+
+    import pyarrow as pa
+
+    wide = "".join(chr(0x4E00 + k) for k in range(3000)) * 2
+    for texts in (["abcabcabc", None, "", "ab\x00"] * 50, [wide, wide[5:900]], [wide * 6 + "".join(chr(0x1F000 + k) for k in range(40_000))]):
+        want = collections.Counter((t[max(0, k - 3) : k], t[k : k + 1]) for t in (x or "" for x in texts) for k in range(len(t) + 1))
+        got = generate._tally(pa.array(texts, pa.string()), 3)
+        assert {(r["context"], r["next"]): r["n"] for r in got.to_pylist()} == want and got.num_rows == len(want)
