@@ -41,3 +41,10 @@ def test_query_equals_sql(spark, duck, name):
     at = [want.columns.index(c) for c in names]
     assert rows == sorted(tuple(str(r[k]) for k in at) for r in want.fetchall())
     assert rows
+
+
+@pytest.mark.parametrize("name", ["e7_headline", "e8_deltas", "e9_factorial", "f10_planned_steps", "f13_cache_footprint", "f7_weights", "f9_cosine_rate", "m2_rotary_table", "m3_parameter_groups", "o13_preflight"])
+def test_parameters_come_from_a_table(spark, tmp_path, name):
+    """Without the tables there is nothing to compute."""
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        QUERIES[name](spark, str(tmp_path)).collect()
