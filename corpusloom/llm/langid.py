@@ -43,6 +43,9 @@ RATE = 0.01
 #: Windows that run side by side.
 TILE = 2048
 UNKNOWN = "und"
+#: A place outside of a text, in place of a byte, and its update gate's input, which leaves the state as it is.
+OUTSIDE = np.intp(256)
+SHUT = -1e9
 
 
 @dataclass
@@ -61,8 +64,8 @@ class Network:
             p |= {f"{d}W": draw(EMBED, 3 * HIDDEN), f"{d}U": draw(HIDDEN, 3 * HIDDEN), f"{d}c": np.zeros(3 * HIDDEN, np.float32)}
         return cls(langs, p)
 
-    def _direction(self, d: str, data: np.ndarray, mask: np.ndarray, warm: int, keep: bool) -> tuple[np.ndarray, list]:
-        """States (time, window, unit) of the labelled times; data and mask are (time, window) with `warm` times on either side."""
+    def _direction(self, d: str, data: np.ndarray, mask: np.ndarray, warm: int) -> tuple[np.ndarray, list]:
+        """States (time, window, unit) of the labelled times, and what gradients need of each time; data and mask are (time, window) with `warm` times on either side."""
         w, u, c = self.p[f"{d}W"], self.p[f"{d}U"], self.p[f"{d}c"]
         table = self.p["E"] @ w + c  # what each byte value adds to the gates
         # sigmoid(x) = (1 + tanh(x / 2)) / 2
@@ -82,8 +85,7 @@ class Network:
             cand = (r * h) @ inner
             cand += x[:, 2 * HIDDEN :]
             np.tanh(cand, out=cand)
-            if keep:
-                saved[t] = (h, z, r, cand)
+            saved[t] = (h, z, r, cand)
             new = cand - h
             new *= z
             new *= mask[t][:, None]
@@ -93,15 +95,47 @@ class Network:
                 out[t - warm] = h
         return out, saved
 
-    def log_probs(self, data: np.ndarray, mask: np.ndarray, warm: int = WARM) -> np.ndarray:
-        scores = self.p["o"] + sum(self._direction(d, data, mask, warm, False)[0] @ part for d, part in zip("fb", np.split(self.p["O"], 2), strict=True))
-        scores -= scores.max(axis=2, keepdims=True)
-        scores -= np.log(np.exp(scores).sum(axis=2, keepdims=True))
-        return scores
+    def _states(self, d: str, data: np.ndarray, warm: int) -> np.ndarray:
+        """_direction's states of the labelled times, for labelling alone: data holds OUTSIDE where a
+        text has no byte. Each gate has its own arrays, written in place, as their halves' products
+        over slices and copies cost more than the network itself."""
+        w, u, c = self.p[f"{d}W"], self.p[f"{d}U"], self.p[f"{d}c"]
+        # sigmoid(x) = (1 + tanh(x / 2)) / 2; the candidate's half is taken off its weights.
+        table = (self.p["E"] @ w + c) * np.repeat(np.array([0.5, 0.5, 1], w.dtype), HIDDEN)
+        tables = [np.ascontiguousarray(np.vstack([part, np.full(HIDDEN, fill, w.dtype)])) for part, fill in zip(np.split(table, 3, axis=1), (SHUT, 0, 0), strict=True)]
+        update, reset, inner = (np.ascontiguousarray(part) * w.dtype.type(0.5) for part in np.split(u, 3, axis=1))
+        steps, n = data.shape
+        out = np.empty((steps - 2 * warm, n, HIDDEN), w.dtype)
+        h, z, r, cand, add = (np.zeros((n, HIDDEN), w.dtype) for _ in range(5))
+        for t in range(steps - warm) if d == "f" else range(steps - 1, warm - 1, -1):
+            for x, part in zip((z, r, cand), tables, strict=True):
+                np.take(part, data[t], axis=0, out=x, mode="clip")
+            z += np.matmul(h, update, out=add)
+            np.tanh(z, out=z)
+            r += np.matmul(h, reset, out=add)
+            np.tanh(r, out=r)
+            r += 1
+            r *= h
+            cand += np.matmul(r, inner, out=add)
+            np.tanh(cand, out=cand)
+            cand -= h
+            z += 1
+            z *= 0.5
+            z *= cand
+            h = np.add(h, z, out=out[t - warm] if warm <= t < steps - warm else h)
+        return out
+
+    def log_probs(self, data: np.ndarray, warm: int = WARM) -> np.ndarray:
+        """(language, time, window) log-probabilities; data as `framed` gives it."""
+        parts = zip("fb", np.split(self.p["O"], 2), strict=True)
+        scores = sum(np.ascontiguousarray(part.T) @ self._states(d, data, warm).reshape(-1, HIDDEN).T for d, part in parts) + self.p["o"][:, None]
+        scores -= scores.max(axis=0)
+        scores -= np.log(np.exp(scores).sum(axis=0))
+        return scores.reshape(len(self.langs), -1, data.shape[1])
 
     def gradients(self, data: np.ndarray, mask: np.ndarray, label: np.ndarray, warm: int = WARM) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the labelled positions and its gradients, backwards through time in each direction."""
-        runs = {d: self._direction(d, data, mask, warm, True) for d in "fb"}
+        runs = {d: self._direction(d, data, mask, warm) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         scores = both @ self.p["O"] + self.p["o"]
         scores -= scores.max(axis=2, keepdims=True)
@@ -150,12 +184,11 @@ def windows(offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.nd
     return row, first, np.minimum(first + width, offsets[row + 1])
 
 
-def framed(data: np.ndarray, low: np.ndarray, first: np.ndarray, high: np.ndarray, width: int = WINDOW, warm: int = WARM) -> tuple[np.ndarray, np.ndarray]:
-    """(time, window) bytes around the windows that begin at `first` in texts [low, high), and their
-    mask: 0 outside of the text."""
+def framed(data: np.ndarray, low: np.ndarray, first: np.ndarray, high: np.ndarray, width: int = WINDOW, warm: int = WARM) -> np.ndarray:
+    """(time, window) bytes around the windows that begin at `first` in texts [low, high); OUTSIDE where
+    the text has none."""
     at = first[None, :] + np.arange(-warm, width + warm)[:, None]
-    inside = (at >= low) & (at < high)
-    return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8), inside.astype(np.float32)
+    return np.where((at >= low) & (at < high), data[np.clip(at, 0, len(data) - 1)], OUTSIDE)
 
 
 def sampled(docs: DataFrame, per_lang: int) -> list:
@@ -214,9 +247,9 @@ def pooled(net: Network, column: pa.Array) -> np.ndarray:
     sums = np.zeros((len(column), len(net.langs)))
     for at in range(0, len(first), TILE):
         some = slice(at, at + TILE)
-        frame, mask = framed(data, offsets[row[some]], first[some], offsets[row[some] + 1])
-        label = (np.arange(WINDOW)[:, None] < (end - first)[some]).astype(np.float32)
-        np.add.at(sums, row[some], np.einsum("tnl,tn->nl", net.log_probs(frame, mask), label))
+        logs = net.log_probs(framed(data, offsets[row[some]], first[some], offsets[row[some] + 1]))
+        logs *= np.arange(WINDOW)[:, None] < (end - first)[some]
+        np.add.at(sums, row[some], logs.sum(axis=1).T)
     return sums / np.maximum(np.diff(offsets), 1)[:, None]
 
 
