@@ -474,3 +474,29 @@ def test_decoding_keeps_byte_order_marks(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
     got = {r.k: r.t for r in df.select("k", encode.decode(encode.with_end(encode.code_points(F.col("text")))).alias("t")).collect()}
     assert [got[k] for k in range(len(texts))] == [t.strip(" ") for t in texts]
+
+
+def test_shard_folders_are_listed_by_few_tasks(spark, tmp_path):
+    spark.range(300).selectExpr("id as shard_id", "id as doc_id").coalesce(1).write.partitionBy("shard_id").parquet(f"{tmp_path}/many")
+    context = spark.sparkContext
+    context.setJobGroup("listing", "")
+    try:
+        assert tables.shards(spark, f"{tmp_path}/many").columns == ["doc_id", "shard_id"]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(k) for job in tracker.getJobIdsForGroup("listing") for k in tracker.getJobInfo(job).stageIds]
+    # Before: a task for each folder to list them, and one for each few files to see if there is a row.
+    assert 0 < sum(stage.numTasks for stage in stages) <= 4 * context.defaultParallelism + 2
+
+
+def test_written_shards_hold_the_code_points_of_their_spans(spark, tmp_path):
+    texts = ["", None, "a\U0001f600b", "\x02\x00", "äöü" * 50, "x" * 7]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    cut, _ = shards.pack(docs, 10)
+    sinks.write_shards(cut, f"{tmp_path}/shards")
+    key = ["shard_id", "offset"]
+    got = [tuple(r) for r in tables.shards(spark, f"{tmp_path}/shards").select(*key, "length", "doc_id", "ids").orderBy(*key).collect()]
+    assert got == [tuple(r) for r in cut.select(*key, "length", "doc_id", shards.span_ids().alias("ids")).orderBy(*key).collect()]
+    stream = [x for text in texts for x in [*map(ord, text or ""), 2]]
+    assert [x for row in got for x in row[-1]] == stream[: len(stream) // 10 * 10]
