@@ -1,8 +1,9 @@
 """Operator 1, training-order materialisation: fixed-stride token shards in a keyed order.
 
 Each task tokenises its rows, ends each document with an id and cuts the stream into
-sequences, the task's last one padded. Sequences are numbered through all tasks: a first
-pass counts each task's tokens, and the driver sums one figure per task. A Feistel network
+sequences, the task's last one padded, which are stored with their number in the task. Sequences
+are numbered through all tasks: the stored ones of each task are counted, and the driver sums
+one figure per task. A Feistel network
 over the smallest even-bit domain that holds all numbers, walked until it lands below their
 count, is a keyed bijection; it gives each sequence its slot. Slots are dealt out by range,
 each range sorted by slot and written as shards of equal-sized records, so that record i
@@ -13,8 +14,8 @@ Spark's own text writer writes the shards (any store, committed per task): a rec
 are the line, and the line end is its trailer. `read` takes them back record by record by
 Hadoop's fixed-length input, which splits a shard at record boundaries, so no task ever
 holds a shard; `stream` is a trainer's reader without Spark, which seeks to its first record
-and reads on. The second pass must see the rows that the first counted, so docs has to be a
-table scan, or anything else whose tasks repeat exactly; a task that finds another count fails.
+and reads on. Texts are read and tokenised once: slots are given to what was stored then, so docs
+may be anything, even if its tasks don't repeat exactly. The stored sequences are deleted at the end.
 
 A record: slot, sequence number and doc_id of the first token's document (int64; the least one if
 null), that token's place in it, number of ids (uint32), all of these big-endian; then the ids
@@ -47,6 +48,10 @@ RECORDS = 8192
 ROUNDS = 6
 KEY = 20_240_229
 
+#: How sequences are stored until their slots are known: beside them, shuffle and shards take
+#: two and a quarter times the table, so they are packed closer than by default.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": 6, "parquet.page.size": 8 << 20, "parquet.enable.dictionary": "false"}
+
 #: Bytes of records that a writing task sorts, in as many whole shards as that takes.
 TASK_BYTES = 1 << 28
 
@@ -110,33 +115,21 @@ class Layout:
         return cls(**json.loads(spark.read.text(f"{path}/layout").first()[0]))
 
 
-def _task_counts(docs: DataFrame, tokenizer_path: str) -> np.ndarray:
-    """Tokens of each task by its number, closing ids included."""
+def _raw(column: pa.Array, width: int) -> np.ndarray:
+    """The bytes of equally long binary values, one row each."""
+    return textvec.buffer_of(column)[0].reshape(len(column), width)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = wordbpe.encoder(tokenizer_path), 0
-        for batch in batches:
-            for part in textvec.chunks(batch):
-                total += len(encoder.encode(part.column("text"))[0]) + part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], ["task", "n"])
 
-    found = docs.select("doc_id", "text").mapInArrow(workers.tidy(run), "task int, n long").where("n > 0").collect()
-    out = np.zeros(max((r.task for r in found), default=-1) + 1, np.int64)
-    for r in found:
-        out[r.task] = r.n
-    return out
+def _binary(raw: np.ndarray) -> pa.Array:
+    flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1]), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))])
+    return flat.cast(pa.binary())
 
 
-def _sequences(docs: DataFrame, tokenizer_path: str, layout: Layout, tokens: np.ndarray, end_id: int, pad_id: int) -> DataFrame:
-    length = layout.sequence
-    # Eight bytes a task, fetched once by an executor and not by each task.
-    shared = docs.sparkSession.sparkContext.broadcast(tokens)
+def _sequences(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, pad_id: int) -> DataFrame:
+    """Each task's sequences, numbered from zero: records without slot and sequence number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, order = wordbpe.encoder(tokenizer_path), Feistel(layout.count, layout.key)
-        task = TaskContext.get().partitionId()
-        before = shared.value[:task]
-        number, seen, wanted = int((-(-before // length)).sum()), 0, int(shared.value[task : task + 1].sum())
+        encoder, task, number = wordbpe.encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         rest, rest_docs, rest_starts, rest_begins = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def table(stream: np.ndarray, docs_: np.ndarray, starts: np.ndarray, begins: np.ndarray, n: int, number: int) -> pa.RecordBatch:
@@ -145,13 +138,10 @@ def _sequences(docs: DataFrame, tokenizer_path: str, layout: Layout, tokens: np.
             ids = np.full((n, length), pad_id, "<u2")
             ids.reshape(-1)[: int(size.sum())] = stream[: int(size.sum())]
             owner = np.searchsorted(begins, length * np.arange(n), side="right") - 1
-            head, numbers = np.zeros(n, HEAD), np.arange(number, number + n)
-            slot = order.slot(numbers)
-            head["slot"], head["sequence_id"] = slot, numbers
+            head = np.zeros(n, HEAD)
             head["doc_id"], head["start"], head["n_ids"] = docs_[owner], starts[owner] + length * np.arange(n) - begins[owner], size
             raw = np.concatenate([head.view(np.uint8).reshape(n, -1), ids.view(np.uint8).reshape(n, -1)], axis=1)
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1]), n, [None, pa.py_buffer(np.ascontiguousarray(raw))])
-            return pa.RecordBatch.from_arrays([pa.array(slot), flat.cast(pa.binary())], ["slot", "record"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), pa.array(np.arange(number, number + n)), _binary(raw)], ["task", "number", "record"])
 
         for batch in batches:
             for part in textvec.chunks(batch):
@@ -162,7 +152,6 @@ def _sequences(docs: DataFrame, tokenizer_path: str, layout: Layout, tokens: np.
                 new[stop - 1] = end_id
                 new[textvec.ranges(stop - size, size - 1)] = ids
                 doc = part.column("doc_id").fill_null(NO_DOC).to_numpy()
-                seen += len(new)
                 begins = np.concatenate([rest_begins, len(rest) + stop - size])
                 docs_, starts = np.concatenate([rest_docs, doc]), np.concatenate([rest_starts, np.zeros(len(doc), np.int64)])
                 stream = np.concatenate([rest, new])
@@ -178,29 +167,61 @@ def _sequences(docs: DataFrame, tokenizer_path: str, layout: Layout, tokens: np.
                 rest, rest_docs, rest_starts, rest_begins = stream[n * length :], docs_, starts, begins
         if len(rest):
             yield table(rest, rest_docs, rest_starts, rest_begins, 1, number)
-        if seen != wanted:
-            raise RuntimeError(f"task {task} read {seen} tokens where {wanted} were counted; docs must be a table scan")
 
-    return docs.select("doc_id", "text").mapInArrow(workers.tidy(run), "slot long, record binary")
+    return docs.select("doc_id", "text").mapInArrow(workers.tidy(run), "task int, number long, record binary")
+
+
+def _slotted(stored: DataFrame, layout: Layout, before: np.ndarray) -> DataFrame:
+    """The stored sequences with their slots; before: sequences of the tasks in front of each."""
+    # Eight bytes a task, fetched once by an executor and not by each task.
+    shared = stored.sparkSession.sparkContext.broadcast(before)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Feistel(layout.count, layout.key)
+        for batch in batches:
+            numbers = shared.value[batch.column("task").to_numpy()] + batch.column("number").to_numpy()
+            slot = order.slot(numbers)
+            raw = _raw(batch.column("record"), layout.stride - len(TRAILER)).copy()
+            for name, value in (("slot", slot), ("sequence_id", numbers)):
+                kind, at = HEAD.fields[name][:2]
+                raw[:, at : at + kind.itemsize] = value.astype(kind)[:, None].view(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), _binary(raw)], ["slot", "record"])
+
+    return stored.mapInArrow(workers.tidy(run), "slot long, record binary")
 
 
 def materialise(docs: DataFrame, tokenizer_path: str, path: str | None = None, key: int = KEY, sequence: int = SEQUENCE, records: int = RECORDS, end_id: int = END_ID, pad_id: int = PAD_ID) -> Layout:
     """Write the shards under path (by default in the shared folder)."""
     spark = docs.sparkSession
-    tokens = _task_counts(docs, tokenizer_path)
-    layout = Layout(path or storage.new_path(spark, "training-order"), int((-(-tokens // sequence)).sum()), key, sequence, records)
-    if layout.count:
-        made = _sequences(docs, tokenizer_path, layout, tokens, end_id, pad_id)
-        # A task writes as many neighbouring shards as keep all of the session's tasks busy, up to TASK_BYTES.
-        tasks = max(-(-layout.count * layout.stride // TASK_BYTES), min(layout.shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        together = -(-layout.shards // tasks)
-        made = made.withColumn("shard", F.floor(F.col("slot") / records).cast("int")).withColumn("task", F.floor(F.col("shard") / together).cast("int"))
-        dealt = made.repartitionById(-(-layout.shards // together), "task").sortWithinPartitions("shard", "slot")
-        dealt.select(F.col("record").cast("string"), "shard").write.partitionBy("shard").option("lineSep", TRAILER).text(f"{layout.path}/shards")
+    path = path or storage.new_path(spark, "training-order")
+    sequences = f"{path}/sequences"
+    try:
+        made = _sequences(docs, tokenizer_path, sequence, end_id, pad_id)
+        made.write.options(**STORED).parquet(sequences)
+        stored = spark.read.schema(made.schema).parquet(sequences)
+        found = stored.groupBy("task").count().collect()
+        counts = np.zeros(max((r["task"] for r in found), default=-1) + 1, np.int64)
+        for r in found:
+            counts[r["task"]] = r["count"]
+        layout = Layout(path, int(counts.sum()), key, sequence, records)
+        if layout.count:
+            _write(_slotted(stored, layout, np.cumsum(counts) - counts), layout)
+    finally:
+        storage.delete(spark, sequences)
     layout.save(spark)
     return layout
 
 
+def _write(slotted: DataFrame, layout: Layout) -> None:
+    # A task writes as many neighbouring shards as keep all of the session's tasks busy, up to TASK_BYTES.
+    wanted = int(slotted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(-(-layout.count * layout.stride // TASK_BYTES), min(layout.shards, wanted))
+    together = -(-layout.shards // tasks)
+    made = slotted.withColumn("shard", F.floor(F.col("slot") / layout.records).cast("int")).withColumn("task", F.floor(F.col("shard") / together).cast("int"))
+    dealt = made.repartitionById(-(-layout.shards // together), "task").sortWithinPartitions("shard", "slot")
+    dealt.select(F.col("record").cast("string"), "shard").write.partitionBy("shard").option("lineSep", TRAILER).text(f"{layout.path}/shards")
+
+
 def _records(spark: SparkSession, layout: Layout, low: int, high: int) -> DataFrame:
     """The stored records of the shards from low to high, each a binary value."""
     shards = ["shard=*"] if high - low + 1 == layout.shards else [f"shard={k}" for k in range(low, high + 1)]

@@ -154,6 +154,22 @@ def test_training_order_writes_several_shards_a_task(spark, tmp_path, monkeypatc
     assert sorted(r.slot for r in training_order.read(spark, layout).collect()) == list(range(layout.count))
 
 
+def test_training_order_tokenises_once(spark, tmp_path):
+    """Every row is read once, and nothing but the shards and their layout is left."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    given = docs(spark)
+    layout = training_order.materialise(given.mapInArrow(watched, given.schema), queries.word_tokenizer(), f"file://{tmp_path}/out", sequence=64, records=50)
+    assert seen.value == len(rows())
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"shards", "layout"}
+    assert training_order.read(spark, layout).count() == layout.count
+
+
 def test_training_order_of_nothing(spark):
     layout = training_order.materialise(docs(spark, []), queries.word_tokenizer())
     assert layout.count == 0 and training_order.read(spark, layout).count() == 0
