@@ -38,6 +38,8 @@ DIM = 48
 #: Entries of an index vector that are not zero.
 NONZERO = 6
 REACH = 2
+#: Occurrences of a bucket whose contexts are summed in 16 bits an entry.
+MOST = 0xFFFF // (4 * REACH * NONZERO)
 #: Rows of the table of vectors that are summed as one value.
 SLICE = 256
 #: A text's figures besides the means.
@@ -66,26 +68,50 @@ def buckets(words: textvec.Words) -> np.ndarray:
     return (words.hashes() & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def lanes(index: np.ndarray) -> np.ndarray:
+    """Index vectors, and zeros as the last, with a byte for each entry and eight of them in a number.
+    NONZERO is added to an entry, so none is negative and sums of few carry nothing over."""
+    return (np.concatenate([index, np.zeros((1, DIM))]) + NONZERO).astype(np.uint8).view(np.uint64)
+
+
 def add_contexts(words: textvec.Words, index: np.ndarray, out: np.ndarray) -> None:
-    """Adds to out, for each bucket, the index vectors within REACH words of its occurrences."""
-    own, row = buckets(words), words.rows()
-    for gap in range(1, REACH + 1):
-        together = np.flatnonzero(row[gap:] == row[:-gap])
-        for a, b in ((together, together + gap), (together + gap, together)):
-            pairs, counts = np.unique(own[a] * BUCKETS + own[b], return_counts=True)
-            for some in np.array_split(np.arange(len(pairs)), max(1, len(pairs) // 50_000)):
-                if len(some):
-                    bucket = pairs[some] // BUCKETS
-                    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    out[bucket[first]] += np.add.reduceat(index[pairs[some] % BUCKETS] * counts[some, None].astype(np.float32), first, axis=0)
+    """Adds to out, for each bucket, the index vectors (as lanes) within REACH words of its occurrences.
+
+    Occurrences are put side by side by bucket; a bucket's sum is the difference of two running
+    sums. Those may run over, as a difference is right as long as it fits itself: 16 bits an
+    entry, which MOST occurrences do not fill."""
+    own = buckets(words)
+    if not len(own):
+        return
+    # Between rows there are as many empty places as a word reaches over.
+    place = np.arange(len(own)) + REACH * (words.rows() + 1)
+    near = np.full(place[-1] + REACH + 1, BUCKETS)
+    near[place] = own
+    order = np.argsort(own.astype(np.uint16), kind="stable")
+    own, place = own[order], place[order]
+    sums = index[near[place - REACH]]
+    for gap in (*range(1 - REACH, 0), *range(1, REACH + 1)):
+        sums += index[near[place + gap]]
+    total = np.cumsum(sums.view(np.uint8).astype(np.uint16).view(np.uint64), axis=0)
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    size = np.diff(first, append=len(own))
+    often = -(-size // MOST)
+    first = np.repeat(first, often) + MOST * textvec.ranges(np.zeros_like(often), often)
+    size = np.diff(first, append=len(own))
+    ends = total[first + size - 1]
+    ends[1:] -= ends[:-1].copy()
+    found = ends.view(np.uint16).astype(np.float32) - (2 * REACH * NONZERO * size)[:, None].astype(np.float32)
+    if len(first) > len(often):
+        np.add.at(out, own[first], found)
+    else:
+        out[own[first]] += found
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors of all texts' words: (BUCKETS, DIM)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        out = np.zeros_like(index)
+        index, out = lanes(index_vectors()), np.zeros((BUCKETS, DIM), np.float32)
         for batch in batches:
             for part in textvec.chunks(batch):
                 add_contexts(textvec.Words(part.column("text")), index, out)

@@ -297,6 +297,55 @@ def test_contexts_equal_brute_force(spark):
     assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9), atol=1e-5)
 
 
+def test_contexts_of_very_frequent_words():
+    """Sums of many occurrences carry nothing over."""
+    import pyarrow as pa
+
+    from corpusloom.llm import textvec
+
+    index, texts = quality.index_vectors(), ["x " * 5_000, None, "", "x y " * 3_000, prose(3, 2_000), "x"]
+    words = textvec.Words(pa.array(texts))
+    own, row, want = quality.buckets(words), words.rows(), np.zeros((quality.BUCKETS, quality.DIM))
+    for gap in range(1, quality.REACH + 1):
+        same = np.flatnonzero(row[gap:] == row[:-gap])
+        np.add.at(want, own[same], index[own[same + gap]])
+        np.add.at(want, own[same + gap], index[own[same]])
+    got = np.zeros((quality.BUCKETS, quality.DIM), np.float32)
+    quality.add_contexts(words, quality.lanes(index), got)
+    assert (got == want).all() and np.bincount(own).max() > 4 * quality.MOST
+    quality.add_contexts(textvec.Words(pa.array(["", None])), quality.lanes(index), got)
+    assert (got == want).all()
+
+
+def test_contexts_are_cheaper_than_pairs():
+    """Pairs of words are neither sorted nor are their vectors added one by one."""
+    import time
+
+    import pyarrow as pa
+
+    from corpusloom.llm import textvec
+
+    rng = np.random.default_rng(3)
+    words = textvec.Words(pa.array([" ".join(f"w{k}" for k in rng.integers(0, 20_000, 400)) for _ in range(100)]))
+    index, own, row = quality.index_vectors(), quality.buckets(words), words.rows()
+    packed, got, want = quality.lanes(index), np.zeros((quality.BUCKETS, quality.DIM), np.float32), np.zeros((quality.BUCKETS, quality.DIM), np.float32)
+
+    def by_pairs():
+        for gap in range(1, quality.REACH + 1):
+            together = np.flatnonzero(row[gap:] == row[:-gap])
+            for a, b in ((together, together + gap), (together + gap, together)):
+                pairs, counts = np.unique(own[a] * quality.BUCKETS + own[b], return_counts=True)
+                bucket = pairs // quality.BUCKETS
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                want[bucket[first]] += np.add.reduceat(index[pairs % quality.BUCKETS] * counts[:, None].astype(np.float32), first, axis=0)
+
+    spent = lambda f: min((begin := time.thread_time(), f(), time.thread_time() - begin)[2] for _ in range(5))
+    new, old = spent(lambda: quality.add_contexts(words, packed, got)), spent(by_pairs)
+    assert (got == want).all()
+    # Measured: 0.14 to 0.16 of the time, with the words' hashes.
+    assert new < 0.6 * old, new / old
+
+
 def test_pooled_vectors_equal_brute_force():
     import pyarrow as pa
 
