@@ -1,8 +1,9 @@
 """Operator 13, source divergence audit: how far the sources of a language lie apart in their words.
 
-Words are counted per (language, source) where the texts are, some megabytes of text at a time,
-then summed by Spark. A language keeps the terms of at least `least` of its documents; a kept
-term gets a place in one of the language's chunks, which hold about CHUNK terms each. A group's
+Words are counted per (language, source) where the texts are, in Arrow tables that are merged
+when HELD_COUNTS are held, then summed by Spark. A language keeps the terms of at least `least`
+of its documents; a kept term gets a place in one of the language's chunks, which hold about
+CHUNK terms each. A group's
 counts in a chunk are packed into one sparse vector. Groups of a language are dealt into blocks,
 and vectors are replicated to every block-by-block tile that their block is part of; a tile goes
 through successive chunks, turns its two blocks' counts into shares and adds up their pair
@@ -40,8 +41,10 @@ TOP_TERMS = 10
 CHUNK = 4096
 SPAN = 4
 BLOCK = 64
-#: Distinct (language, source, term) that a task counts before it hands them on.
-HELD_COUNTS = 200_000
+#: Counts of (language, source, term) that a task holds, and their bytes, before it merges them;
+#: if more than half are left, it hands them on.
+HELD_COUNTS = 250_000
+HELD_BYTES = 16 << 20
 
 #: Lower-cases A-Z and turns all that `[^\x00-\x40\x5B-\x60\x7B-\x7F]` excludes into spaces.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -49,47 +52,57 @@ _INSIDE = textvec.byte_class(b" ")
 UNIT = 1_000_000_000
 
 
+def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings of these lengths that lie in data one behind the other."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 class _Counts:
     """Occurrences and documents of each (language, source, term)."""
 
     def __init__(self):
-        self.held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        self.size = 0
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[pa.Table] = []
+        self.size = self.bytes = 0
 
     def add(self, part: pa.RecordBatch) -> None:
         words = textvec.Words(part.column("text"), _INSIDE, FOLD)
         if not len(words):
             return
-        first, number = words.distinct()
-        row = words.rows()
-        groups: dict[tuple[str, str], int] = {}
-        group = np.array([groups.setdefault(g, len(groups)) for g in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)], dtype=np.int64)
-        key = group[row] * len(first) + number
-        pair, times = np.unique(key, return_counts=True)
-        # A term's documents: its words that are the first of their row.
-        rows = np.unique(row * len(first) + number)
-        documents = np.bincount(np.searchsorted(pair, group[rows // len(first)] * len(first) + rows % len(first)), minlength=len(pair))
-        raw = words.data.tobytes()
-        spelt = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
-        names = list(groups)
-        for k, n, d in zip(pair.tolist(), times.tolist(), documents.tolist(), strict=True):
-            own = self.held.setdefault(names[k // len(first)], {})
-            have = own.get(spelt[k % len(first)])
-            if have is None:
-                own[spelt[k % len(first)]] = [n, d]
-                self.size += 1
-            else:
-                have[0] += n
-                have[1] += d
+        spelt = _strings(words.data[_INSIDE[words.data]], words.ends - words.starts).dictionary_encode()
+        size, number = len(spelt.dictionary), spelt.indices.to_numpy()
+        group = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)], dtype=np.int64)
+        # Each term of a row once, with its times there; then each of a group.
+        held, times = np.unique(words.rows() * size + number, return_counts=True)
+        key = group[held // size] * size + held % size
+        order = np.argsort(key)
+        key = key[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key = key[begin]
+        columns = [pa.array((key // size).astype(np.int32)), spelt.dictionary.take(pa.array(key % size))]
+        columns += [pa.array(np.add.reduceat(times[order], begin)), pa.array(np.diff(np.append(begin, len(order))))]
+        self.hold(pa.Table.from_arrays(columns, ["group", "term", "n", "docs"]))
+
+    def hold(self, part: pa.Table) -> None:
+        self.parts.append(part)
+        self.size += part.num_rows
+        self.bytes += part.nbytes
+
+    def full(self, share: int = 1) -> bool:
+        return self.size > HELD_COUNTS // share or self.bytes > HELD_BYTES // share
+
+    def merge(self) -> None:
+        sums = pa.concat_tables(self.parts).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        self.parts, self.size, self.bytes = [], 0, 0
+        self.hold(sums.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(["group", "term", "n", "docs"]))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), own in self.held.items():
-            items = list(own.items())
-            for k in range(0, len(items), 50_000):
-                some = items[k : k + 50_000]
-                columns = [pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array([w for w, _ in some], pa.binary()).cast(pa.string())]
-                columns += [pa.array([x[i] for _, x in some], pa.int64()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        lang, source = (pa.array([g[k] for g in self.groups], pa.string()) for k in (0, 1))
+        for some in (b for part in self.parts for b in part.to_batches(max_chunksize=50_000)):
+            group, *rest = some.columns
+            yield pa.RecordBatch.from_arrays([lang.take(group), source.take(group), *rest], ["lang", "source", "term", "n", "docs"])
         self.__init__()
 
 
@@ -98,8 +111,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textvec.chunks(batch):
             counts.add(part)
-            if counts.size > HELD_COUNTS:
-                yield from counts.flush()
+            if counts.full():
+                counts.merge()
+                # What repeats is merged again; what doesn't is handed on.
+                if counts.full(2):
+                    yield from counts.flush()
+    if counts.parts:
+        counts.merge()
     yield from counts.flush()
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import cProfile
+import pstats
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,6 +77,39 @@ def test_counts_that_are_handed_on_early(spark, monkeypatch):
     assert found and made(spark, rows) == want
 
 
+def batch(rows):
+    return pa.RecordBatch.from_pydict({"text": [r[0] for r in rows], "lang": [r[1] for r in rows], "source": [r[2] for r in rows]})
+
+
+@pytest.mark.parametrize(("counts", "size"), [(10**6, 16 << 20), (3, 16 << 20), (10**6, 200), (0, 0)])
+def test_counts_of_a_task(monkeypatch, counts, size):
+    monkeypatch.setattr(divergence, "HELD_COUNTS", counts)
+    monkeypatch.setattr(divergence, "HELD_BYTES", size)
+    monkeypatch.setattr(divergence.textvec.chunks, "__defaults__", ("text", 100))
+    rows = [((text or "") + " ÀB" * (k % 2), lang or "", source or "") for k, text, lang, source in corpus()]
+    n, docs = Counter(), Counter()
+    for text, *group in rows:
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", data.ascii_lower(text))
+        n.update((*group, w) for w in words)
+        docs.update({(*group, w) for w in words})
+    got, n_got, docs_got = list(divergence._count(iter([batch(rows[:50]), batch([]), batch(rows).slice(50)]))), Counter(), Counter()
+    for lang, source, term, times, rows_with in (r.values() for b in got for r in b.to_pylist()):
+        n_got[lang, source, term] += times
+        docs_got[lang, source, term] += rows_with
+    assert (n_got, docs_got) == (n, docs)
+    assert len(n) == sum(b.num_rows for b in got) or (counts, size) != (10**6, 16 << 20)
+
+
+def test_terms_of_a_task_cost_no_python_step_each_and_are_handed_on_once():
+    letters = np.array([chr(97 + k) for k in range(26)])
+    words = ["".join(w) for w in letters[np.arange(50_000)[:, None] // 26 ** np.arange(4) % 26]]
+    rows = [(" ".join(words[k : k + 500]), "en", f"s{half}") for _ in range(2) for half in (0, 1) for k in range(0, len(words), 500)]
+    profile = cProfile.Profile()
+    handed_on = sum(b.num_rows for b in profile.runcall(lambda: list(divergence._count(iter([batch(rows)])))))
+    assert handed_on == 2 * len(words)
+    assert pstats.Stats(profile).total_calls < len(words) // 2
+
+
 def test_further_columns_are_not_looked_at(spark):
     docs = data.docs(spark)
     assert data.results(divergence.audit(data.clashing(docs), least=1)) == data.results(divergence.audit(docs, least=1)) != []
