@@ -4,9 +4,10 @@ The checkpoint of a query that reads it is therefore the loader's state: a query
 again goes on with the batch behind the last one it has committed, without gap or repeat, and
 what had been read ahead and not committed is read again, alike. Spark's own tasks read ahead.
 
-Batches are cut from flat `shard_*.npy` files (unsigned 16-bit tokens) in name order: `batch`
-rows of length + 1 tokens, running on from shard to shard; after the last token the stream
-starts over until `epochs` are through, and an incomplete batch at the very end is not made.
+Batches are cut from flat `shard_*.npy` files (unsigned 16-bit tokens) in the order of the
+numbers in their names, so that shard_10000 follows shard_9999: `batch` rows of length + 1
+tokens, running on from shard to shard; after the last token the stream starts over until
+`epochs` are through, and an incomplete batch at the very end is not made.
 Shards that appear while the query runs lengthen its last epoch, so they are for epochs=1.
 With `until`, the stream ends at that token position: whoever starts it again may set another.
 """
@@ -14,6 +15,7 @@ With `until`, the stream ends at that token position: whoever starts it again ma
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -48,12 +50,17 @@ class Shard:
     tokens: int
 
 
+def _numbered(name: str) -> tuple[list, str]:
+    """Sorts names by their text and, where that is alike, by their numbers, however many digits these have."""
+    return [int(x) if k % 2 else x for k, x in enumerate(re.split("([0-9]+)", name))], name
+
+
 def shards_in(uri: str) -> list[Shard]:
     files, folder = fs.FileSystem.from_uri(uri)
-    found = sorted(i.path for i in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if i.base_name.startswith("shard_") and i.base_name.endswith(".npy"))
+    found = [i for i in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if i.base_name.startswith("shard_") and i.base_name.endswith(".npy")]
     if not found:
         raise FileNotFoundError(f"no shards in {uri}")
-    return [Shard(path, *_header(files, path)) for path in found]
+    return [Shard(i.path, *_header(files, i.path)) for i in sorted(found, key=lambda i: _numbered(i.base_name))]
 
 
 @dataclass

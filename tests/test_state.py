@@ -55,6 +55,17 @@ def test_batches_start_over_and_begin_anywhere(spark, tmp_path):
     assert run(batches.read(spark, f"file://{tmp_path}/shards", 2, 8, epochs=2, begin=23), tmp_path, "b") == expected(tokens, 2, 8, 2, 23)
 
 
+def test_shards_follow_by_number_where_names_get_longer(spark, tmp_path):
+    """By name alone, shard_10000 would come before shard_1001 and shard_9998."""
+    tokens = write_npy(tmp_path / "shards", [50, 47, 60, 33, 41])
+    for k, number in enumerate((1_001, 9_998, 9_999, 10_000, 10_001)):
+        (tmp_path / "shards" / f"shard_{k:04d}.npy").rename(tmp_path / "shards" / f"shard_{number:04d}.npy")
+    uri, want = f"file://{tmp_path}/shards", expected(tokens, 2, 8)
+    assert [s.tokens for s in batches.shards_in(uri)] == [50, 47, 60, 33, 41]
+    for until in (18 * 4 + 5, None):
+        assert run(batches.read(spark, uri, 2, 8, until=until), tmp_path) == want[: len(want) if until is None else until // 18 * 2]
+
+
 def test_folders_without_shards_and_other_files_are_refused(spark, tmp_path):
     (tmp_path / "none").mkdir()
     with pytest.raises(FileNotFoundError, match="no shards"):
